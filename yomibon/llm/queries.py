@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, html_extract, language, mixing, near_dedup, token_file, toxicity, url_filter
+from . import decontaminate, html_extract, language, media, mixing, near_dedup, token_file, toxicity, url_filter
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.tokenized(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measured(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_file": op2_token_file,
+    "op3_media": op3_media,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
