@@ -8,12 +8,14 @@ All processes of a batch run as arrays, round by round, on the arrivals still in
 
 1. Sketches: `bands` keys of `rows` registers each, and a digest of the shingle set. Documents with
    one digest are one node, so copies never meet in pairs.
-2. Banding: the least node of each bucket is its hub; the others are checked against it. Pairs are
-   verified exactly: Jaccard similarity of the shingle sets of both whole texts, 0.8 or more.
+2. Banding: in each bucket the node with most bucket mates is the hub, as it is likely what others
+   were copied from; the others are checked against it. Pairs are verified exactly: Jaccard
+   similarity of the shingle sets of both whole texts, 0.8 or more.
 3. Connected components of the verified links (large and small star steps, each written).
-4. What hubs could miss: in buckets that hold several components, each pair with an end outside the
-   bucket's largest component is verified too, and the components are taken again. After it, every
-   two nodes of a bucket are verified or in one component.
+4. What one hub misses: buckets that still hold several components get another hub, and then all
+   pairs across components are verified. Jaccard distance is a metric, so pairs whose distances to
+   their hub differ by more than 0.2 are out. At the end every two nodes of a bucket are verified,
+   ruled out or in one component.
 
 At similarity 0.8 a pair misses all of 24 bands of 5 rows with probability 7e-5.
 
@@ -37,6 +39,8 @@ from .common import spare_name, written
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Rounds in which each bucket is compared with one hub, before all that is left is compared.
+HUB_ROUNDS = 2
 #: Shingle ids have 48 bits; the upper 16 hold the row in a piece of a batch.
 ID = np.uint64(0xFFFFFFFFFFFF)
 
@@ -134,13 +138,13 @@ def similarities(size: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """pairs (a, b), distinct -> those whose texts are similar. Only the texts of their documents are shuffled."""
+def similarity(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """pairs (a, b), distinct -> a, b, similarity of their whole texts. Only the texts of their documents are shuffled."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(similarities(size), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(similarities(size), "a long, b long, similarity double")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -162,6 +166,24 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         state = now
 
 
+def unresolved(hubbed: DataFrame, done: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """What a round leaves: (key, node, weight, root, far) of buckets without their hubs, which hold several components.
+
+    `far` is the distance to the hub. Jaccard distance is a metric, so two nodes whose distances to one
+    hub differ by more than 1 - threshold can't be similar; a node without any such partner is dropped.
+    """
+    a, b = F.least("hub", "node"), F.greatest("hub", "node")
+    known = done.select(F.col("a").alias("a_"), F.col("b").alias("b_"), (1 - F.col("similarity")).alias("far"))
+    left = hubbed.where("node <> hub").join(known, (a == F.col("a_")) & (b == F.col("b_"))).select("key", "node", "weight", "far")
+    left = left.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"), "far")
+    left = written(left, "left")
+    # In slices of the reach, partners are in the same or in neighbouring ones.
+    slices = F.floor(F.col("far") / (1 - threshold + 1e-9)).cast("int")
+    around = left.select("key", "root", F.explode(F.array(slices - 1, slices, slices + 1)).alias("slice"))
+    mixed = around.groupBy("key", "slice").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "slice")
+    return written(left.withColumn("slice", slices).join(mixed, ["key", "slice"]).drop("slice"), "unresolved")
+
+
 def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id, a row for each row of docs."""
     sketches = docs.select("doc_id", "text").mapInArrow(sketcher(size, bands, rows), "doc_id long, digest binary, keys array<long>")
@@ -175,25 +197,30 @@ def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, ban
     linked = linked.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b")
 
     buckets = nodes.where("node is not null").select("node", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    full = written(buckets.join(hubs.select("key", "hub"), "key"), "buckets")
-    pairs = written(full.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = written(verified(pairs, docs, size, threshold).select("a", "b").unionByName(linked), "links")
-    roots = written(components(links), "roots")
-
-    # Buckets with several components: pairs with an end outside the largest one.
-    placed = full.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    placed = written(placed.join(mixed, "key"), "placed")
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    outside = placed.join(largest, "key").where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    more = outside.join(placed, "key").where("root <> x_root").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = written(verified(more, docs, size, threshold).select("a", "b"), "extra")
+    counts = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = written(buckets.join(counts, "key").select("key", "node", "n"), "buckets")
+    # The node with most bucket mates is the likeliest to be what others were copied from.
+    weights = full.groupBy("node").agg(F.sum("n").alias("weight"))
+    full = written(full.join(weights, "node").select("key", "node", "weight"), "weighted")
+    done = links = roots = None
+    for _ in range(HUB_ROUNDS):
+        hubs = full.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+        hubbed = written(full.select("key", "node", "weight").join(hubs, "key"), "hubbed")
+        pairs = hubbed.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        new = written(similarity(pairs, docs, size), "similarities")
+        done = new if done is None else written(done.unionByName(new), "done")
+        links = done.where(F.col("similarity") >= threshold).select("a", "b").unionByName(linked)
+        roots = written(components(links), "roots")
+        full = unresolved(hubbed, done, roots, threshold)
+    # What is left of the buckets is compared pair by pair, across components.
+    y = full.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("far").alias("y_far"))
+    rest = full.join(y, "key").where((F.col("node") < F.col("y")) & (F.col("root") != F.col("y_root")) & (F.abs(F.col("far") - F.col("y_far")) <= 1 - threshold + 1e-9))
+    rest = written(rest.select(F.col("node").alias("a"), F.col("y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        extra = written(similarity(rest, docs, size).where(F.col("similarity") >= threshold).select("a", "b"), "extra")
         if not extra.isEmpty():
-            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)), "roots")
+            roots = written(components(links.unionByName(extra)), "roots")
     found = members.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     return found
 
