@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,11 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its `rows` rows of at most row_bytes are proven to be few; else Spark shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -47,3 +54,9 @@ def spare_name(taken: list[str], name: str) -> str:
     while name.lower() in {x.lower() for x in taken}:
         name += "_"
     return name
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, for what is costly to load. Functions are pickled by
+    value, so their own modules' globals are new in each task."""
+    return sys.modules.setdefault("_yomibon_worker", types.ModuleType("_yomibon_worker")).__dict__

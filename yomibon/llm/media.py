@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import BROADCAST_BYTES, written
+from .common import bounded, written
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 512, 11, 8192
 DIGEST = 16
@@ -196,11 +196,6 @@ REFERENCES = 512
 REFERENCE_BYTES = 64
 
 
-def side(df: DataFrame, rows: int) -> DataFrame:
-    """df, broadcast if its references are proven to be few; else Spark joins it by shuffles."""
-    return F.broadcast(df) if rows * REFERENCE_BYTES <= BROADCAST_BYTES else df
-
-
 def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> the written packs, and the references (key, digest, owner, salts) to foreign chunks."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -209,7 +204,7 @@ def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = shared.select("digest", "owner", F.ceil(F.col("n") / REFERENCES).alias("salts"))
     references = written(listed.join(shared, "digest").where("key <> owner").distinct(), "references")
     foreign = references.groupBy("key").agg(F.collect_list("digest").alias("foreign"))
-    packs = keyed.join(side(foreign, references.count()), "key", "left").select("key", "doc_id", "text", "foreign").mapInArrow(packer, PACKED)
+    packs = keyed.join(bounded(foreign, references.count(), REFERENCE_BYTES), "key", "left").select("key", "doc_id", "text", "foreign").mapInArrow(packer, PACKED)
     return written(packs, "packs", codec="zstd"), references
 
 
@@ -219,7 +214,7 @@ def measured(docs: DataFrame) -> DataFrame:
     n = references.count()
     wanted = references.select("digest", "owner", "salts").distinct().groupBy(F.col("owner").alias("key")).agg(F.collect_list(F.struct("digest", "salts")).alias("wanted"))
     # Rows equal in id and text have one key: any of their packs has the chunk.
-    fetched = packs.join(side(wanted, n), "key").select("digests", "sizes", "own", "samples", "wanted").mapInArrow(fetcher, "digest binary, salt long, bytes binary").dropDuplicates(["digest", "salt"])
+    fetched = packs.join(bounded(wanted, n, REFERENCE_BYTES), "key").select("digests", "sizes", "own", "samples", "wanted").mapInArrow(fetcher, "digest binary, salt long, bytes binary").dropDuplicates(["digest", "salt"])
     asked = references.select("key", "digest", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"))
     given = asked.join(fetched, ["digest", "salt"]).groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     whole = packs.where(F.forall("own", lambda x: x)).withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>"))
