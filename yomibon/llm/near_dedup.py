@@ -12,10 +12,10 @@ All processes of a batch run as arrays, round by round, on the arrivals still in
    were copied from; the others are checked against it. Pairs are verified exactly: Jaccard
    similarity of the shingle sets of both whole texts, 0.8 or more.
 3. Connected components of the verified links (large and small star steps, each written).
-4. What one hub misses: buckets that still hold several components get another hub, and then all
-   pairs across components are verified. Jaccard distance is a metric, so pairs whose distances to
-   their hub differ by more than 0.2 are out. At the end every two nodes of a bucket are verified,
-   ruled out or in one component.
+4. What hubs leave open: the nodes of buckets that still hold several components (Jaccard distance
+   is a metric, so distances to the hub rule many out) are joined with each other by the rarest
+   shingles of each, a prefix filter that loses no pair, and verified too. At the end every two nodes
+   of a bucket are verified, ruled out or in one component, without pairs within a component.
 
 At similarity 0.8 a pair misses all of 24 bands of 5 rows with probability 7e-5.
 
@@ -35,12 +35,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import spare_name, written
+from .common import bounded, spare_name, written
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Rounds in which each bucket is compared with one hub, before all that is left is compared.
-HUB_ROUNDS = 2
 #: Shingle ids have 48 bits; the upper 16 hold the row in a piece of a batch.
 ID = np.uint64(0xFFFFFFFFFFFF)
 
@@ -138,15 +136,55 @@ def similarities(size: int):
     return run
 
 
-def similarity(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """pairs (a, b), distinct -> a, b, similarity of their whole texts. Only the texts of their documents are shuffled."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def shingler(size: int):
+    """Batches of (node, text) -> (node, ids): the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in kernels.pieces(batch.column(1)):
+                for low in range(0, end - first, 1 << 15):
+                    cut = offsets[low : low + (1 << 15) + 1]
+                    ids, rows, _ = unique_shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
+                    bounds = kernels.grouped(rows, len(cut) - 1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + low, len(cut) - 1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view(np.int64)))], ["node", "ids"])
+
+    return run
+
+
+def similarity(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """pairs (a, b), distinct, and texts (node, text) -> a, b, similarity of the whole texts."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(similarities(size), "a long, b long, similarity double")
 
 
+def prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """placed (node, root) -> all pairs (a, b) of different roots that can be similar, by prefix filtering.
+
+    Shingles stand in order of their frequency, rarest first. Two sets with Jaccard similarity t or more
+    share one of the first n - ceil(t n) + 1 of each; shingles of one node only fill that prefix first.
+    Lengths and the positions of the common shingle bound the pairs further; none that can be similar is lost.
+    """
+    sets = written(texts.join(placed.select("node"), "node", "left_semi").select("node", "text").mapInArrow(shingler(size), "node long, ids array<long>"), "sets")
+    each = sets.select("node", F.size("ids").alias("n"), F.explode("ids").alias("id"))
+    counts = each.groupBy("id").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    shared = each.join(counts, "id").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("nodes", "id"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone
+    prefix = shared.where(length > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("pos", "s"))
+    prefix = prefix.select("node", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("left"), F.col("s.id").alias("id"))
+    prefix = written(prefix.join(placed, "node"), "prefix")
+    by = prefix.groupBy("id", "root").agg(F.count(F.lit(1)).alias("nodes"))
+    main = by.groupBy("id").agg(F.max_by("root", F.struct("nodes", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("id", "main")
+    mixed = prefix.join(main, "id")
+    outside = mixed.where("root <> main").select("id", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("left").alias("x_left"), F.col("root").alias("x_root"))
+    # Nothing before the first common shingle is shared, so what is left of either set bounds the overlap.
+    overlap = F.least("left", "x_left") >= (F.col("n") + F.col("x_n")) * (threshold / (1 + threshold)) - 1e-6
+    near = overlap & (F.col("n") >= F.col("x_n") * (threshold - 1e-9)) & (F.col("x_n") >= F.col("n") * (threshold - 1e-9))
+    found = outside.join(mixed, "id").where((F.col("root") != F.col("x_root")) & near)
+    return found.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """links (a, b) -> (node, root): each node's least connected node, by large and small star steps."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
@@ -167,21 +205,21 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
 
 def unresolved(hubbed: DataFrame, done: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """What a round leaves: (key, node, weight, root, far) of buckets without their hubs, which hold several components.
+    """(node, root) of the nodes in buckets that still hold several components.
 
-    `far` is the distance to the hub. Jaccard distance is a metric, so two nodes whose distances to one
-    hub differ by more than 1 - threshold can't be similar; a node without any such partner is dropped.
+    Jaccard distance is a metric, so two nodes whose distances to one hub differ by more than
+    1 - threshold can't be similar; a node without any such partner in a bucket is dropped.
     """
     a, b = F.least("hub", "node"), F.greatest("hub", "node")
     known = done.select(F.col("a").alias("a_"), F.col("b").alias("b_"), (1 - F.col("similarity")).alias("far"))
-    left = hubbed.where("node <> hub").join(known, (a == F.col("a_")) & (b == F.col("b_"))).select("key", "node", "weight", "far")
-    left = left.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"), "far")
+    left = hubbed.where("node <> hub").join(known, (a == F.col("a_")) & (b == F.col("b_"))).select("key", "node", "far")
+    left = left.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), "far")
     left = written(left, "left")
     # In slices of the reach, partners are in the same or in neighbouring ones.
     slices = F.floor(F.col("far") / (1 - threshold + 1e-9)).cast("int")
     around = left.select("key", "root", F.explode(F.array(slices - 1, slices, slices + 1)).alias("slice"))
     mixed = around.groupBy("key", "slice").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "slice")
-    return written(left.withColumn("slice", slices).join(mixed, ["key", "slice"]).drop("slice"), "unresolved")
+    return left.withColumn("slice", slices).join(mixed, ["key", "slice"]).select("node", "root").distinct()
 
 
 def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -202,23 +240,20 @@ def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, ban
     # The node with most bucket mates is the likeliest to be what others were copied from.
     weights = full.groupBy("node").agg(F.sum("n").alias("weight"))
     full = written(full.join(weights, "node").select("key", "node", "weight"), "weighted")
-    done = links = roots = None
-    for _ in range(HUB_ROUNDS):
-        hubs = full.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
-        hubbed = written(full.select("key", "node", "weight").join(hubs, "key"), "hubbed")
-        pairs = hubbed.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        new = written(similarity(pairs, docs, size), "similarities")
-        done = new if done is None else written(done.unionByName(new), "done")
-        links = done.where(F.col("similarity") >= threshold).select("a", "b").unionByName(linked)
-        roots = written(components(links), "roots")
-        full = unresolved(hubbed, done, roots, threshold)
-    # What is left of the buckets is compared pair by pair, across components.
-    y = full.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("far").alias("y_far"))
-    rest = full.join(y, "key").where((F.col("node") < F.col("y")) & (F.col("root") != F.col("y_root")) & (F.abs(F.col("far") - F.col("y_far")) <= 1 - threshold + 1e-9))
-    rest = written(rest.select(F.col("node").alias("a"), F.col("y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "rest")
+    n = weights.count()
+    needed = bounded(weights.select(F.col("node").alias("doc_id")), n, 16)
+    texts = written(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")), "texts")
+    hubs = full.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    hubbed = written(full.join(hubs, "key"), "hubbed")
+    pairs = hubbed.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    done = written(similarity(pairs, texts, size), "similarities")
+    links = done.where(F.col("similarity") >= threshold).select("a", "b").unionByName(linked)
+    roots = written(components(links), "roots")
+    # What hubs leave open is joined by prefixes, across components.
+    placed = written(unresolved(hubbed, done, roots, threshold), "placed")
+    rest = written(prefix_pairs(placed, texts, size, threshold).join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        extra = written(similarity(rest, docs, size).where(F.col("similarity") >= threshold).select("a", "b"), "extra")
+        extra = written(similarity(rest, texts, size).where(F.col("similarity") >= threshold).select("a", "b"), "extra")
         if not extra.isEmpty():
             roots = written(components(links.unionByName(extra)), "roots")
     found = members.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
@@ -245,7 +280,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("gone"))
     marks = written(gone.withColumn("why", F.lit(1)).unionByName(repeated.withColumn("why", F.lit(2))).groupBy("gone").agg(F.min("why").alias("why")), "gone")
     key, turn = spare_name(docs.columns, "gone"), spare_name(docs.columns, "turn")
-    left = docs.join(marks.where("why = 1").select(F.col("gone").alias(key)), F.col("doc_id") == F.col(key), "left_anti")
+    out = marks.where("why = 1").select(F.col("gone").alias(key))
+    left = docs.join(bounded(out, out.count(), 16), F.col("doc_id") == F.col(key), "left_anti")
     again = marks.where("why = 2").select(F.col("gone").alias(key))
     if again.isEmpty():
         return left
