@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_lower, words
+from .common import BROADCAST_BYTES, bounded, spare_name, words, written
 
 WIDTH = 10
 #: Bytes that a window takes at most in a broadcast table, for words of usual length.
@@ -112,6 +112,15 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_b
     return result.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_key", each.alias("copy")).drop("copy", "text_key")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of docs without those of contaminated documents, by doc_id; rows without a doc_id, by their text."""
+    pairs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.col("text").cast("binary")))).alias("doc_id"), "text")
+    bad = written(contamination(pairs, items, **options).where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "contaminated")
+    key = spare_name(docs.columns, "bad")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.col("text").cast("binary"))))
+    return docs.join(bounded(bad.withColumnRenamed("bad", key), bad.count(), 64), own == F.col(key), "left_anti")
+
+
 #: The same in DuckDB's SQL.
 SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
