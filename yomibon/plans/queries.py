@@ -1,4 +1,600 @@
-"""The catalogue of queries of the reading-corpus operators, and the same in DuckDB's SQL."""
+"""The catalogue of queries of the reading-corpus operators, each with the same in DuckDB's SQL where SQL can say it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Queries run over whole tables. Where the tables have no Japanese, they give the operators volume and
+small inline relations give them Japanese.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import kana
+from ..operators import chunks, evidence, library, refine, tiers, tokens
+from ..session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def long(c):
+    return F.col(c).cast("long").alias(c) if isinstance(c, str) else c.cast("long")
+
+
+# --- tokens over documents -------------------------------------------------------------------------
+
+TOK = r"""tok AS (SELECT doc_id, source, CAST(i - 1 AS BIGINT) AS token_idx, w, regexp_replace(w, '[^\p{L}\p{N}]', '', 'g') AS reading,
+    CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+    FROM (SELECT doc_id, source, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)),
+t AS (SELECT doc_id, source, token_idx, w AS word, lower(reading) AS surface, reading, s AS start, s + length(w) AS "end" FROM tok WHERE w <> '')"""
+COUNTS = f"""{TOK},
+c AS (SELECT surface AS base, reading, count(*) AS n FROM t WHERE surface <> '' GROUP BY ALL),
+r AS (SELECT base, reading, n, row_number() OVER (PARTITION BY base ORDER BY n DESC, reading) AS rank, CAST(sum(n) OVER (PARTITION BY base) AS BIGINT) AS total,
+    lead(n) OVER (PARTITION BY base ORDER BY n DESC, reading) AS next_n, count(*) OVER (PARTITION BY base) AS n_readings FROM c),
+sh AS (SELECT base, reading, n, total, n_readings, n / total AS share, coalesce(next_n, 0) / total AS alt_share FROM r WHERE rank = 1),
+d AS (SELECT base, total, n_readings, share, n_readings > 1 AND (share < 0.9 OR n_readings >= 3) AS flagged, (1 - share) * total AS score FROM sh)"""
+
+
+def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.tokenize(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source")
+
+
+def doc_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = tokens.bare_tokens(table(spark, d, "documents").select("text")).where("surface <> ''")
+    return evidence.reading_counts(rows.select(F.col("surface").alias("base"), "reading"))
+
+
+@query(f"WITH {COUNTS} SELECT base, total, n_readings, round(share, 6) AS share, flagged, round(score, 6) AS score FROM d WHERE n_readings > 1 ORDER BY flagged DESC, d.score DESC, total DESC, base LIMIT 15")
+def token_conflicts(spark, d):
+    """The top fifteen surfaces with conflicting readings."""
+    rows = evidence.diagnostics(doc_counts(spark, d)).where("n_readings > 1").orderBy(F.desc("flagged"), F.desc("score"), F.desc("total"), "base").limit(15)
+    return rows.select("base", "total", "n_readings", F.round("share", 6).alias("share"), "flagged", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {COUNTS} SELECT CAST(sum(total) AS BIGINT) AS total, count(*) AS surfaces, count_if(n_readings > 1) AS several, count_if(flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN total ELSE 0 END) AS BIGINT) AS flagged_tokens FROM d")
+def token_stats(spark, d):
+    return evidence.diagnostics(doc_counts(spark, d)).agg(
+        F.sum("total").alias("total"), F.count(F.lit(1)).alias("surfaces"), F.count_if(F.col("n_readings") > 1).alias("several"), F.count_if("flagged").alias("flagged"), F.sum(F.when(F.col("flagged"), F.col("total")).otherwise(0)).alias("flagged_tokens")
+    )
+
+
+@query(f"WITH {TOK} SELECT source, count(*) AS total, count_if(reading = '') AS missing FROM t GROUP BY source")
+def token_missing(spark, d):
+    rows = tokens.bare_tokens(table(spark, d, "documents").select("source", "text"), "source")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reading") == "").alias("missing"))
+
+
+@query(f"WITH {TOK} SELECT source, doc_id, token_idx FROM t WHERE surface = 'worthless'")
+def token_search_surface(spark, d):
+    rows = tokens.bare_tokens(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id")
+    return tokens.search(rows, " worthless ").select("source", "doc_id", "token_idx")
+
+
+@query(f"WITH {TOK} SELECT surface, source, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE surface <> '' GROUP BY ALL")
+def token_source_histogram(spark, d):
+    rows = tokens.bare_tokens(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id").where("surface <> ''")
+    return rows.groupBy("surface", "source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"WITH {TOK} SELECT doc_id, token_idx, start, \"end\" FROM t")
+def word_offsets(spark, d):
+    return doc_tokens(spark, d).select("doc_id", "token_idx", "start", "end")
+
+
+@query(f'WITH {TOK}, g AS (SELECT doc_id, token_idx, start, coalesce(max("end") OVER (PARTITION BY doc_id, source ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start FROM t) SELECT doc_id, token_idx, gap_start, start - gap_start AS gap_len FROM g WHERE start > gap_start')
+def token_gaps(spark, d):
+    return tokens.gaps(doc_tokens(spark, d), "doc_id", "source").drop("source")
+
+
+@query(
+    f'WITH {TOK}, g AS (SELECT doc_id, token_idx, start, "end", length(reading) AS size, greatest(0, start - coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS gap FROM t) '
+    'SELECT doc_id, token_idx, CAST(sum(gap + size) OVER w AS BIGINT) - size AS t_start, CAST(sum(gap + size) OVER w AS BIGINT) AS t_end FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING)'
+)
+def rendered_offsets(spark, d):
+    return tokens.rendered(doc_tokens(spark, d), "doc_id", "source").drop("source")
+
+
+@query(f"WITH {TOK} SELECT doc_id, surface, token_idx, row_number() OVER (PARTITION BY doc_id, surface ORDER BY token_idx) AS nth FROM t WHERE surface <> ''")
+def nth_occurrence_align(spark, d):
+    rows = tokens.bare_tokens(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return tokens.occurrences(rows, "doc_id")
+
+
+CONV = r"""cv AS (SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS token_idx, lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')) AS surface
+    FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) WHERE w <> '')"""
+
+
+def conv_tokens(spark, d):
+    return tokens.bare_tokens(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+
+
+@query(f"WITH {CONV} SELECT conv_id, turn, token_idx, surface, lag(surface) OVER w AS previous, lead(surface) OVER w AS following FROM cv WINDOW w AS (PARTITION BY conv_id, turn ORDER BY token_idx)")
+def neighbour_context(spark, d):
+    return tokens.neighbours(conv_tokens(spark, d), "conv_id", "turn")
+
+
+@query(f"WITH {TOK} SELECT t.doc_id, token_idx, substr(text, greatest(1, start - 2), least(3, start)) AS prefix, substr(text, \"end\" + 1, 3) AS suffix FROM t JOIN documents USING (doc_id) WHERE surface = 'worthless'")
+def context_prefix_suffix3(spark, d):
+    docs = table(spark, d, "documents")
+    found = tokens.search(tokens.tokenize(docs.select("doc_id", "text"), "doc_id"), "worthless").join(docs.select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", "token_idx", F.expr("substring(text, greatest(1, cast(start as int) - 2), least(3, cast(start as int)))").alias("prefix"), F.expr("substring(text, cast(`end` as int) + 1, 3)").alias("suffix"))
+
+
+@query(
+    f"WITH {COUNTS} SELECT base, reading, total, round(share, 6) AS share, round(alt_share, 6) AS alt_share, CASE WHEN length(base) = 1 THEN 'skip_single' WHEN alt_share >= 0.3 THEN 'skip_contested' "
+    "WHEN total >= 3 AND share >= 0.95 THEN 'accept_sure' ELSE 'undecided' END AS decision FROM sh"
+)
+def reading_arbitration(spark, d):
+    rows = evidence.arbitrated(doc_counts(spark, d), is_single=F.char_length("base") == 1)
+    return rows.select("base", "reading", "total", F.round("share", 6).alias("share"), F.round("alt_share", 6).alias("alt_share"), "decision")
+
+
+@query(f"WITH {COUNTS} SELECT base, reading, total FROM sh WHERE total >= 3 AND share >= 0.9")
+def corpus_dominance_filter(spark, d):
+    return evidence.corpus_filter(doc_counts(spark, d))
+
+
+@query(
+    f"WITH {CONV}, f AS (SELECT surface AS base, lead(surface) OVER (PARTITION BY conv_id, turn ORDER BY token_idx) AS value FROM cv), n AS (SELECT base, value, count(*) AS n FROM f WHERE value <> '' GROUP BY ALL) "
+    "SELECT base, value, n, row_number() OVER (PARTITION BY base ORDER BY n DESC, value) AS rank FROM n QUALIFY rank <= 8"
+)
+def suffix_topk(spark, d):
+    rows = tokens.neighbours(conv_tokens(spark, d), "conv_id", "turn").select(F.col("surface").alias("base"), "following")
+    return evidence.top_contexts(rows, "following")
+
+
+@query(
+    f"WITH {COUNTS}, bt AS (SELECT lower(reading) AS base, reading FROM (SELECT regexp_replace(unnest(string_split(text, ' ')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS reading FROM benchmark) WHERE reading <> ''), "
+    "bc AS (SELECT base, reading, count(*) AS n FROM bt GROUP BY ALL), b AS (SELECT base, reading FROM bc QUALIFY row_number() OVER (PARTITION BY base ORDER BY n DESC, reading) = 1) "
+    "SELECT base, reading, 'book' AS origin FROM b UNION ALL SELECT base, reading, 'corpus' FROM sh WHERE total >= 3 AND share >= 0.9 AND base NOT IN (SELECT base FROM b)"
+)
+def book_over_corpus(spark, d):
+    own = tokens.bare_tokens(table(spark, d, "benchmark").select("text")).where("surface <> ''").select(F.col("surface").alias("base"), "reading")
+    book = evidence.shares(evidence.reading_counts(own)).select("base", "reading")
+    return evidence.overlay(book, evidence.corpus_filter(doc_counts(spark, d)).select("base", "reading"))
+
+
+@query(
+    f"WITH {CONV}, s AS (SELECT *, token_idx - row_number() OVER (PARTITION BY conv_id, turn ORDER BY token_idx) AS run FROM cv WHERE length(surface) = 1) "
+    "SELECT conv_id, turn, min(token_idx) AS pos, count(*) AS n, string_agg(surface, '' ORDER BY token_idx) AS base, string_agg(upper(surface), '' ORDER BY token_idx) AS reading FROM s GROUP BY conv_id, turn, run HAVING count(*) > 1"
+)
+def adjacent_single_compounds(spark, d):
+    rows = conv_tokens(spark, d).select("conv_id", "turn", F.col("token_idx").alias("pos"), F.col("surface").alias("base"), F.upper("surface").alias("reading"))
+    return evidence.compounds(rows, "conv_id", "turn")
+
+
+# --- pages -----------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+@query(
+    r"""WITH n AS (SELECT page_id, regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1) AS nav FROM pages),
+a AS (SELECT page_id, unnest(regexp_extract_all(nav, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>', 1)) AS href, unnest(regexp_extract_all(nav, '(?is)<a\s[^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)) AS title, generate_subscripts(regexp_extract_all(nav, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>', 1), 1) AS i FROM n)
+SELECT page_id, CAST(i - 1 AS BIGINT) AS nav_order, href, title FROM a"""
+)
+def page_nav_toc(spark, d):
+    nav = F.regexp_extract("html", r"(?is)<nav[^>]*>(.*?)</nav>", 1)
+    pairs = F.arrays_zip(F.regexp_extract_all(nav, F.lit(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>'), 1).alias("href"), F.regexp_extract_all(nav, F.lit(r'(?is)<a\s[^>]*href="[^"]*"[^>]*>(.*?)</a>'), 1).alias("title"))
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(pairs).alias("nav_order", "p"))
+    return rows.select("page_id", long("nav_order"), "p.href", "p.title")
+
+
+@query(r"WITH a AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM a GROUP BY ALL")
+def page_tag_counts(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag"))
+    return rows.groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages")
+def page_text_regex(spark, d):
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>", " "), "<[^>]*>", " ")
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(plain, r"[ \t\r\n]+", " ")).alias("text"))
+
+
+@query()
+def page_text_udf(spark, d):
+    """Text with ruby resolved, from the event parser."""
+    from ..sources import markup
+
+    return markup.texts(table(spark, d, "pages").select("page_id", "html"), "page_id")
+
+
+URL_PATH = r"regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '')"
+
+
+def url_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), "/+$", "").alias("path"))
+
+
+ANCESTORS = f"""p AS (SELECT page_id, string_split({URL_PATH}, '/') AS parts FROM pages),
+a AS (SELECT page_id AS o, unnest(list_transform(range(1, len(parts) + 1), lambda n: array_to_string(parts[1:n], '/'))) AS folder FROM p)"""
+
+
+@query(f"WITH {ANCESTORS}, k AS (SELECT folder, o, row_number() OVER (PARTITION BY folder ORDER BY o) AS rank FROM a) SELECT folder, count(*) AS n, min(o) AS first, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) FILTER (WHERE rank <= 4) AS sample FROM k GROUP BY folder")
+def url_folder_rollup(spark, d):
+    return library.rollup(url_paths(spark, d), "path", "page_id")
+
+
+@query(f"WITH {ANCESTORS} SELECT folder, CAST(len(string_split(folder, '/')) AS BIGINT) AS depth, count(*) AS n, min(o) AS first FROM a GROUP BY folder")
+def url_chapter_tree(spark, d):
+    rows = url_paths(spark, d).select(F.col("page_id").alias("o"), F.explode(library.ancestors(F.col("path"))).alias("folder"))
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first")).select("folder", F.size(F.split("folder", "/")).cast("long").alias("depth"), "n", "first")
+
+
+@query(r"SELECT page_id, substr(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS slug FROM pages")
+def page_slug(spark, d):
+    return table(spark, d, "pages").select("page_id", kana.slug(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("slug"))
+
+
+@query(f"SELECT page_id, TRY_CAST(nullif(regexp_extract(regexp_extract({URL_PATH}, '([^/]*)$', 1), '^(\\d+)', 1), '') AS BIGINT) AS track FROM pages")
+def track_number(spark, d):
+    return url_paths(spark, d).select("page_id", kana.track_number(F.regexp_extract("path", "([^/]*)$", 1)).alias("track"))
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(string_split('./' || {URL_PATH} || '/../x', '/'), lambda x: x NOT IN ('', '.', '..')), '/') AS path FROM pages")
+def library_path_norm(spark, d):
+    return url_paths(spark, d).select("page_id", kana.library_path(F.concat(F.lit("./"), "path", F.lit("/../x"))).alias("path"))
+
+
+# --- lines and chunks of documents -----------------------------------------------------------------
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+b AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM l)
+SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS first_line, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM b WHERE trim(line) <> '' GROUP BY doc_id, block"""
+)
+def line_blocks(spark, d):
+    """Blocks of lines between blank lines."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    block = F.sum(F.when(F.trim("line") == "", 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("i"))
+    rows = lines.withColumn("block", block).where(F.trim("line") != "")
+    return rows.groupBy("doc_id", "block").agg(F.min("i").cast("long").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).alias("n_chars")).drop("block")
+
+
+@query(r"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1] AS line FROM documents")
+def first_non_blank_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", kana.first_line(F.col("text")).alias("line"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([^ \t\n\x0B\f\r])\n([^ \t\n\x0B\f\r])', '\1' || chr(10) || chr(10) || '\2', 'g'), '([^ \t\n\x0B\f\r])\n([^ \t\n\x0B\f\r])', '\1' || chr(10) || chr(10) || '\2', 'g')) AS spaced FROM documents")
+def paragraph_spacing(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(kana.paragraph_spacing(F.col("text")).cast("binary")).alias("spaced"))
+
+
+@query()
+def speech_chunks(spark, d):
+    return chunks.chunked(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query()
+def chunk_token_overlap(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return chunks.chunk_tokens(chunks.chunked(docs, "doc_id"), tokens.tokenize(docs, "doc_id"), "doc_id")
+
+
+@query("SELECT conv_id, turn, substr(sha1(text || '||' || role), 1, 10) AS key FROM conversations")
+def chunk_cache_key(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", kana.chunk_key(F.col("text"), F.col("role")).alias("key"))
+
+
+@query(r"SELECT doc_id, sha1(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) AS text_sha1 FROM documents")
+def text_sha1(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha1(F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "").cast("binary")).alias("text_sha1"))
+
+
+@query("SELECT l_orderkey, string_agg(l_linenumber || ':' || (l_linenumber + 1) || ':' || l_returnflag || ':' || l_suppkey, '|' ORDER BY l_linenumber, l_returnflag, l_suppkey) AS signature FROM lineitem GROUP BY l_orderkey")
+def pitch_signature(spark, d):
+    part = F.struct(F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.col("l_returnflag").alias("reading"), F.col("l_suppkey").alias("accent"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(chunks.pitch_signature(F.collect_list(part)).alias("signature"))
+
+
+@query()
+def dictionary_replace_guarded(spark, d):
+    replaced = tiers.replacer({"the": "ザ", "of": "オブ", "20": "ハタチ", "a": "ア"})("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(replaced.cast("binary")).alias("replaced"))
+
+
+# --- joins, library, progress ----------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_docs(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def labelled_docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def status_latest(spark, d):
+    return library.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
+
+
+@query(
+    "WITH l AS (SELECT user_id, event_type, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) "
+    "SELECT user_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'click' AND event_id % 7 > 0 THEN 'building ' || (event_id % 5) || '/' || (event_id % 7) WHEN event_type = 'click' THEN 'building' WHEN event_type = 'signup' THEN 'queued' WHEN event_type = 'purchase' AND value > 50 THEN 'played' WHEN event_type = 'purchase' THEN 'ready' ELSE 'pending' END AS label FROM l"
+)
+def status_label_case(spark, d):
+    last = library.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"])
+    kind, n = F.col("event_type"), F.col("event_id")
+    return last.select("user_id", library.status_label(kind == "signup", kind == "click", n % 5, n % 7, kind == "error", F.col("value") > 50, kind == "purchase").alias("label"))
+
+
+@query("WITH g AS (SELECT user_id, event_id, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS gap FROM events) SELECT user_id, event_id, CAST(gap AS BIGINT) AS gap FROM g WHERE gap >= 600")
+def stalled_jobs(spark, d):
+    return library.stalled(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id")
+
+
+@query("WITH g AS (SELECT user_id, event_id, value, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS moved FROM events) SELECT user_id, event_id, value FROM g WHERE value >= 5 AND (moved IS NULL OR moved >= 1)")
+def playback_throttle(spark, d):
+    return library.throttled(table(spark, d, "events").select("user_id", "event_id", "ts", "value"), "user_id", "value").drop("ts")
+
+
+@query("SELECT o_custkey, count(*) AS total, count_if(o_orderstatus = 'F') AS completed, count_if(o_orderstatus <> 'F') AS pending FROM orders GROUP BY o_custkey")
+def completion_summary(spark, d):
+    return library.completion(table(spark, d, "orders"), F.col("o_orderstatus") == "F", "o_custkey")
+
+
+@query("SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id ORDER BY last_ts DESC, user_id LIMIT 20")
+def recent_users(spark, d):
+    """The twenty users seen last."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_ts")).orderBy(F.desc("last_ts"), "user_id").limit(20)
+
+
+@query("WITH p AS (SELECT c_custkey, lower(c_name) AS name, max(o_orderdate) AS last FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL) SELECT c_custkey, last IS NOT NULL AS played, row_number() OVER (ORDER BY last IS NULL, last DESC, name, c_custkey) AS place FROM p")
+def played_sort(spark, d):
+    played = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+    rows = table(spark, d, "customer").select("c_custkey", F.lower("c_name").alias("name")).join(played, "c_custkey", "left")
+    place = F.row_number().over(Window.orderBy(F.col("last").isNull(), F.desc("last"), "name", "c_custkey"))
+    return rows.select("c_custkey", F.col("last").isNotNull().alias("played"), long(place).alias("place"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_k(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k string").getField("k").try_cast("long").alias("k"))
+
+
+@query("WITH s AS (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS saved, max(o_totalprice) AS config FROM orders GROUP BY 1) SELECT c_custkey, coalesce(saved, config, CAST(-0.08 AS DOUBLE)) AS setting FROM customer LEFT JOIN s ON c_custkey = o_custkey")
+def settings_precedence(spark, d):
+    saved = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("saved"), F.max("o_totalprice").alias("config"))
+    return table(spark, d, "customer").select("c_custkey").join(saved, "c_custkey", "left").select("c_custkey", library.preferred(F.col("saved"), F.col("config"), -0.08).alias("setting"))
+
+
+@query("SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment = 'BUILDING', lower(CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END) NULLS FIRST, lower(c_name)) AS place FROM customer")
+def listing_author_sort(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("author"), F.col("c_name").alias("title"))
+    return rows.select("c_custkey", long(F.dense_rank().over(Window.orderBy(*library.author_order("author", "title", "title")))).alias("place"))
+
+
+@query("WITH l AS (SELECT user_id AS book, CAST(event_id % 10 AS VARCHAR) AS id, arg_max({'op': CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END, 'chapter': event_type, 'time': value}, (ts, event_id)) AS x FROM events GROUP BY ALL) SELECT book, id, x.chapter AS chapter, x.time AS time FROM l WHERE x.op <> 'delete'")
+def bookmarks_sorted(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("book"), (F.col("event_id") % 10).cast("string").alias("id"), F.struct("ts", "event_id").alias("ts"), F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("op"), F.col("event_type").alias("chapter"), F.col("value").alias("time"), F.lit(None).cast("string").alias("label"))
+    return library.bookmarks(rows).select("book", "id", "chapter", "time")
+
+
+@query("SELECT event_type, user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 5")
+def samples_grouped_newest(spark, d):
+    """The five newest samples of each kind."""
+    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    return table(spark, d, "events").withColumn("rank", rank).where("rank <= 5").select("event_type", "user_id", "event_id")
+
+
+@query("SELECT s_nationkey, s_suppkey, s_name FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) = 1")
+def roster_dedupe(spark, d):
+    return library.deduped(table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name"), ["s_nationkey"], ["s_name", "s_suppkey"])
+
+
+@query("SELECT l_orderkey, arg_max(l_linenumber, (l_returnflag = 'R', l_quantity, l_linenumber)) AS best FROM lineitem GROUP BY l_orderkey")
+def cache_rank_max_by(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct(F.col("l_returnflag") == "R", "l_quantity", "l_linenumber")).alias("best"))
+
+
+@query(
+    "SELECT o_custkey, o_orderkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous, "
+    "first_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM orders"
+)
+def next_playable(spark, d):
+    return library.next_playable(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F")
+
+
+@query("SELECT conv_id, turn FROM conversations ORDER BY conv_id, turn OFFSET 99")
+def start_index_slice(spark, d):
+    """Everything from the hundredth turn on."""
+    return table(spark, d, "conversations").select("conv_id", "turn").orderBy("conv_id", "turn").offset(99)
+
+
+# --- Japanese, on inline relations -----------------------------------------------------------------
+
+JA_TEXTS = ("ひらがなとカタカナ", "ゝゞゟ", "シンチヨウ", "ヂヅヮヵヶ", "マッテ...まだ...", "……ああ…。", "雨", "")
+JA_VALUES = ", ".join(f"({k}, '{x}')" for k, x in enumerate(JA_TEXTS))
+
+
+def ja_texts(spark):
+    return spark.createDataFrame([*enumerate(JA_TEXTS)], "k long, x string")
+
+
+@query(f"SELECT k, translate(x, '{kana.HIRAGANA}', '{kana.KATAKANA}') AS katakana FROM (VALUES {JA_VALUES}) v(k, x)")
+def ja_hira_to_kata(spark, d):
+    return ja_texts(spark).select("k", kana.to_katakana(F.col("x")).alias("katakana"))
+
+
+@query(f"SELECT k, translate(x, '{kana.SMALL}', '{kana.FULL}') AS folded FROM (VALUES {JA_VALUES}) v(k, x)")
+def ja_small_kana_fold(spark, d):
+    return ja_texts(spark).select("k", kana.fold_small(F.col("x")).alias("folded"))
+
+
+@query(f"SELECT k, regexp_replace(regexp_replace(x, '\\.{{3,}}', '…', 'g'), '…{{2,}}', '…', 'g') AS text FROM (VALUES {JA_VALUES}) v(k, x)")
+def ja_ellipsis(spark, d):
+    return ja_texts(spark).select("k", kana.ellipsis(F.col("x")).alias("text"))
+
+
+def golden(columns: str, *rows: tuple) -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) v({columns})"
+
+
+@query(golden("k, replaced", (0, "2025年"), (1, "ハタチ歳"), (2, "17日")))
+def ja_numeric_guard(spark, d):
+    rows = spark.createDataFrame([(0, "2025年"), (1, "20歳"), (2, "17日")], "k int, text string")
+    return rows.select("k", tiers.replacer({"20": "ハタチ", "7日": "ナノカ"})("text").alias("replaced"))
+
+
+@query(golden("base, reading, n", ("温水", "ヌクミズ", 3)))
+def ja_ruby_compound(spark, d):
+    from ..sources import markup
+
+    page = "".join(f"<p>{x}<ruby>温<rt>ぬく</rt></ruby><ruby>水<rt>みず</rt></ruby>の</p>" for x in "あいう")
+    pages = spark.createDataFrame([(0, page)], "page_id long, html string")
+    ruby = markup.ruby(pages, "page_id")
+    # Neighbouring spans are compounds if nothing stands between them.
+    place = Window.partitionBy("page_id").orderBy("start")
+    run = F.sum(F.when(F.col("start") == F.lag("end").over(place), 0).otherwise(1)).over(place)
+    rows = ruby.withColumn("pos", F.col("pos") + run * 1000)
+    found = evidence.compounds(rows.select("page_id", "pos", "base", "reading"), "page_id")
+    return evidence.reading_counts(found).select("base", "reading", F.col("n").cast("int").alias("n"))
+
+
+@query(golden("base, reading, decision", ("明日", "アシタ", "accept_sure"), ("東", "アズマ", "skip_single"), ("慎重", "シンチョウ", "accept_variant"), ("生", "イキ", "skip_single"), ("蛙池", "カエルイケ", "skip_contested")))
+def ja_arbitration(spark, d):
+    counts = spark.createDataFrame([("明日", "アシタ", 4), ("東", "アズマ", 2), ("慎重", "シンチョウ", 1), ("生", "イキ", 2), ("蛙池", "カエルイケ", 2), ("蛙池", "カワズイケ", 1)], "base string, reading string, n long")
+    variants = spark.createDataFrame([("慎重", ["シンチョウ"])], "base string, variants array<string>")
+    return evidence.arbitrated(counts, variants, is_single=kana.is_single_kanji(F.col("base"))).select("base", "reading", "decision")
+
+
+@query(golden("surface, reading, block", ("守衛", "モリエ", True), ("守衛", "シュエイ", True), ("雨", "アメ", False)))
+def ja_ambiguity_flags(spark, d):
+    rows = spark.createDataFrame([("守衛", "モリエ", "unidic"), ("守衛", "シュエイ", "unidic"), ("雨", "アメ", "unidic")], "surface string, reading string, reading_source string").withColumn("chapter", F.lit(1))
+    return tokens.flag_ambiguous(rows, "chapter", source="unidic").select("surface", "reading", "block")
+
+
+def ja_chapter(spark):
+    return spark.createDataFrame([(1, "馬締光也の顔")], "chapter long, text string")
+
+
+def ja_tokens(spark):
+    docs = ja_chapter(spark)
+    found = tiers.candidates(docs, {"馬締光也": "マジメミツヤ", "馬締": "マジメ"}, 1, "propagation", "chapter").unionByName(tiers.candidates(docs, {"馬": "ウマ", "締": "シメ", "光也": "ミツナリ", "顔": "カオ"}, 3, "unidic", "chapter"))
+    return tiers.select_free(found, "chapter")
+
+
+@query(golden("surface, reading, reading_source", ("馬締光也", "マジメミツヤ", "propagation"), ("顔", "カオ", "unidic")))
+def ja_tier_precedence(spark, d):
+    return ja_tokens(spark).select("surface", "reading", "reading_source")
+
+
+@query(golden("chapter, rendered", (1, "マジメミツヤの顔")))
+def ja_render_partial(spark, d):
+    return tiers.render(ja_chapter(spark), ja_tokens(spark).withColumn("keep", F.col("reading_source") == "unidic"), "chapter", partial=True).select(F.col("chapter").cast("int").alias("chapter"), "rendered")
+
+
+@query(golden("chapter, rendered", (1, "マジメミツヤのカオ")))
+def ja_render_full(spark, d):
+    return tiers.render(ja_chapter(spark), ja_tokens(spark).withColumn("keep", F.lit(False)), "chapter").select(F.col("chapter").cast("int").alias("chapter"), "rendered")
+
+
+REFINED = "chapter long, text string, surface string, reading string, accent long, start long, end long, source string"
+
+
+def refined(spark, rows, overrides=(), removals=()):
+    out = refine.refined(spark.createDataFrame(rows, REFINED), list(overrides), list(removals), "chapter")
+    return out.select("text", "surface", "reading", F.col("accent").cast("int").alias("accent"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+@query(golden('text, surface, reading, accent, start, "end"', ("ティアラが来た。", "天愛星", "ティアラ", 2, 0, 4)))
+def ja_refine_replace(spark, d):
+    rule = {"pattern": "テイアラ", "replacement": "ティアラ", "reading": "ティアラ", "accent": 2, "surface": "天愛星"}
+    return refined(spark, [(1, "テイアラが来た。", "天愛星", "テイアラ", None, 0, 4, "unidic")], [rule])
+
+
+@query(golden('text, surface, reading, accent, start, "end"', ("カーナカナ", "仮名一", "カーナ", None, 0, 3), ("カーナカナ", "仮名二", "カナ", None, 3, 5)))
+def ja_refine_shift(spark, d):
+    rule = {"pattern": "カナ", "replacement": "カーナ", "reading": "カーナ", "match_surface": "仮名一"}
+    return refined(spark, [(1, "カナカナ", "仮名一", "カナ", None, 0, 2, "unidic"), (1, "カナカナ", "仮名二", "カナ", None, 2, 4, "unidic")], [rule])
+
+
+@query(golden('text, surface, reading, accent, start, "end"', ("セイザキが来た", "正崎", "セイザキ", 0, 0, 4), ("セイザキが来た", "が", "ガ", None, 4, 5)))
+def ja_refine_covered(spark, d):
+    rule = {"pattern": "正崎", "replacement": "セイザキ", "reading": "セイザキ", "accent": 0}
+    return refined(spark, [(1, "正崎が来た", "正", "セイ", None, 0, 1, "unidic"), (1, "正崎が来た", "崎", "サキ", None, 1, 2, "unidic"), (1, "正崎が来た", "が", "ガ", None, 2, 3, "unidic")], [rule])
+
+
+@query(golden('text, surface, reading, accent, start, "end"', ("自分", "分", "ブン", None, 1, 2)))
+def ja_remove_rule(spark, d):
+    return refined(spark, [(1, "ヽ分", "自", "ヽ", None, 0, 1, "unidic"), (1, "ヽ分", "分", "ブン", None, 1, 2, "unidic")], removals=[{"reading": "ヽ"}])
+
+
+@query(golden("phrase_idx, new_accent", (0, 1), (1, 3)))
+def ja_accent_phrases(spark, d):
+    phrases = spark.createDataFrame([(1, 0, ["ア", "メ"], 2), (1, 1, ["ト", "ア", "メ"], 1)], "chapter long, phrase_idx int, moras array<string>, accent int")
+    found = spark.createDataFrame([(1, 0, 2, 1, "名詞"), (1, 3, 5, 0, "名詞")], "chapter long, start long, end long, accent int, pos string")
+    return chunks.phrase_accents(phrases, found, "chapter").select("phrase_idx", "new_accent")
+
+
+# --- streams and further aggregations --------------------------------------------------------------
+
+
+def event_stream(spark, d):
+    from ..streaming import progress
+
+    return progress.events(spark, d, table(spark, d, "events").schema)
+
+
+def checkpoint(spark) -> str:
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_status_latest(spark, d):
+    from ..streaming import progress
+
+    return progress.run_to_end(progress.latest_status(event_stream(spark, d)), "status_latest_out", checkpoint(spark)).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_event_window(spark, d):
+    from ..streaming import progress
+
+    return progress.run_to_end(progress.by_window(event_stream(spark, d)), "event_window_out", checkpoint(spark))
+
+
+@query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def library_rollup(spark, d):
+    return table(spark, d, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
+def cube_lang_source(spark, d):
+    return table(spark, d, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("(SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'click') EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
+def setops_users(spark, d):
+    rows = table(spark, d, "events")
+    of = lambda kind: rows.where(F.col("event_type") == kind).select("user_id")
+    return of("purchase").intersect(of("click")).subtract(of("error"))
