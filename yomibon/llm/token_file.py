@@ -29,6 +29,7 @@ import itertools
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,16 +40,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, shared_dir
+from .common import BROADCAST_BYTES, shared_dir, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Pieces that a worker remembers; beyond it the memo starts anew.
-MEMO = 400_000
+MEMO = 600_000
 SCHEMA = "shard int, block int, shard_start long, bits int, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
 #: A single space that isn't the last of a run of white space.
 UNSAFE = r"\s (?:\s|\Z)"
 
+#: Letters of Latin-1 and marks: what the byte-level pattern cuts between, and nowhere else.
+SIMPLE = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)"
+#: Byte-level vocabularies write printable bytes as themselves, the others as characters from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -64,6 +71,8 @@ def width(n_ids: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids below 2**bits, bits <= 32, as little-endian words of 64 bits."""
     n_words = -(-len(ids) * bits // 64)
+    if bits in (8, 16, 32):
+        return np.asarray(ids).astype(f"<u{bits // 8}").tobytes().ljust(8 * n_words, b"\0")
     rows = -(-len(ids) // 64)
     padded = np.zeros((rows, 64), np.uint64)
     padded.ravel()[: len(ids)] = ids
@@ -109,17 +118,40 @@ class Encoder:
         self.bits = width(max(self.tokenizer.get_vocab_size(), 1))
         self.unsafe = re.compile(UNSAFE)
         self.memo: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.simple = re.compile(SIMPLE).fullmatch
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def unit(self, text: str) -> bytes:
+        """The ids of one pre-token, by the tokenizer's own model."""
+        found = self.units.get(text)
+        if found is None:
+            mapped = text.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            found = self.units[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def pieces(self, pieces: list[str]) -> None:
+        """Remembers the ids of new pieces, each behind a space: Latin letters and marks after them are two
+        pre-tokens for the byte-level pattern; all else goes through the whole tokenizer."""
+        memo, simple, odd = self.memo, self.simple, []
+        for p in pieces:
+            m = simple(p)
+            if m:
+                letters, marks = m.groups()
+                memo[p] = self.unit(" " + letters) + self.unit(marks) if marks else self.unit(" " + letters)
+            else:
+                odd.append(p)
+        memo.update(zip(odd, self.whole([" " + p for p in odd]), strict=True))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.split(" ") if self.by_piece and not self.unsafe.search(x) else None for x in texts]
         if len(self.memo) > MEMO:
-            self.memo = {}
+            self.memo, self.units = {}, {}
         memo = self.memo
-        new = list({p for parts in split if parts for p in itertools.islice(parts, 1, None) if p not in memo})
-        memo.update(zip(new, self.whole([" " + p for p in new]), strict=True))
+        self.pieces(list({p for parts in split if parts for p in itertools.islice(parts, 1, None) if p not in memo}))
         heads = self.whole([parts[0] if parts else text for text, parts in zip(texts, split, strict=True)])
         ids = (head + b"".join([memo[p] for p in itertools.islice(parts, 1, None)]) if parts else head for head, parts in zip(heads, split, strict=True))
         return [np.frombuffer(x, "<u4") for x in ids]
@@ -129,7 +161,8 @@ def encoder(path: str, end_id: int, block_ids: int):
     """Sorted batches of (doc_id, text) -> blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        kept = worker_cache()  # the tokenizer and its memo serve all tasks of a worker
+        encode = kept[path] = kept.get(path) or Encoder(path)
         bits = max(encode.bits, width(end_id + 1))
         context = TaskContext.get()
         shard, block, start = context.partitionId() if context else 0, 0, 0
