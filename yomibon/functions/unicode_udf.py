@@ -6,15 +6,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normalisation; null stays null."""
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def all_digits(texts: pd.Series) -> pd.Series:
     """Whether all characters are digits of any script, superscripts and circled ones too."""
     return texts.map(lambda x: x.isdigit(), na_action="ignore")

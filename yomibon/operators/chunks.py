@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .intervals import overlap_join
 
@@ -41,7 +42,7 @@ def split_text(text: str, limit: int = LIMIT) -> list[tuple[str, int, int]]:
     return found
 
 
-@F.pandas_udf("array<struct<text:string,start:long,end:long>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("text", "string").add("start", "long").add("end", "long")))
 def speech_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: [{"text": t, "start": a, "end": b} for t, a, b in split_text(x)], na_action="ignore")
 

@@ -17,6 +17,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Encodings that are tried in turn.
 ENCODINGS = ("utf-8", "utf-16", "cp932", "shift_jis", "euc_jp")
@@ -33,7 +34,7 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", errors="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(raw: pd.Series) -> pd.Series:
     return raw.map(decoded, na_action="ignore")
 
@@ -114,7 +115,8 @@ def ncx_points(page: str) -> list[tuple[str, str]]:
         return []
 
 
-PACKAGE = "struct<title:string,authors:array<string>,items:array<struct<id:string,href:string,type:string,properties:string>>,spine:array<string>,cover_id:string>"
+ITEM = T.StructType().add("id", "string").add("href", "string").add("type", "string").add("properties", "string")
+PACKAGE = T.StructType().add("title", "string").add("authors", T.ArrayType(T.StringType())).add("items", T.ArrayType(ITEM)).add("spine", T.ArrayType(T.StringType())).add("cover_id", "string")
 
 
 @F.pandas_udf(PACKAGE)
@@ -154,7 +156,7 @@ def packages(files: DataFrame) -> DataFrame:
     return first.select("book", F.col("entry").alias("opf"), F.regexp_extract("entry", r"^(.*/)?[^/]*$", 1).alias("base"), package_of(decode_text("bytes")).alias("package"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([posixpath.normpath(b + h) if h else None for b, h in zip(base, href, strict=True)])
 
@@ -191,7 +193,7 @@ def covers(files: DataFrame, packs: DataFrame) -> DataFrame:
     return there.groupBy("book").agg(F.min(F.struct("rank", "pos", "entry", "bytes")).alias("best")).select("book", F.col("best.entry").alias("path"), "best.bytes")
 
 
-@F.pandas_udf("array<struct<href:string,title:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("href", "string").add("title", "string")))
 def contents_of(page: pd.Series, ncx: pd.Series) -> pd.Series:
     return pd.Series([[{"href": h, "title": t} for h, t in (ncx_points(p) if n else nav_points(p))] for p, n in zip(page, ncx, strict=True)])
 
@@ -212,6 +214,6 @@ def contents(files: DataFrame, packs: DataFrame, order: DataFrame) -> DataFrame:
     return each.join(first, ["book", "path"]).select("book", "nav_order", "spine_index", "fragment", "title", local.cast("long").alias("local_order"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unquoted(x: pd.Series) -> pd.Series:
     return x.map(unquote, na_action="ignore")

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kana import CANONICAL, HIRAGANA, KATAKANA
 
@@ -74,7 +75,7 @@ def page_text(page: str) -> tuple[str, list[tuple[str, str, int, int]]]:
     keep, last = [], "\n\n"
     for line in re.finditer(r"[^\n]*\n?", reader.text):
         body = line[0].rstrip("\n").rstrip()
-        end = "\n" if line[0].endswith("\n") and not last.endswith("\n\n") else ""
+        end = "\n" if line[0].endswith("\n") and (body or not last.endswith("\n\n")) else ""
         if last.endswith("\n\n") and not body:
             continue
         keep.append((line.start(), body + end))
@@ -93,10 +94,11 @@ def page_text(page: str) -> tuple[str, list[tuple[str, str, int, int]]]:
     return moved, spans
 
 
-MARKUP = "text string, spans array<struct<base:string,reading:string,start:long,end:long,suffix:string>>"
+SPAN = T.StructType().add("base", "string").add("reading", "string").add("start", "long").add("end", "long").add("suffix", "string")
+MARKUP = T.StructType().add("text", "string").add("spans", T.ArrayType(SPAN))
 
 
-@F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in MARKUP.split(', ', 1))}>")
+@F.pandas_udf(MARKUP)
 def parse_markup(pages: pd.Series) -> pd.DataFrame:
     rows = []
     for page in pages:
