@@ -75,14 +75,54 @@ class Chapter:
             self.tokens.sort(key=lambda t: (t["start"], t["end"]))
             at = start + len(new)
 
-    def remove(self, rule: dict) -> None:
+    def remove(self, rule: dict, only: dict | None = None) -> None:
         """Tokens that match all given fields go; the text gets their surface back."""
-        for t in [t for t in self.tokens if all(t[k] == rule[k] for k in ("reading", "surface") if rule.get(k) is not None)]:
+        for t in [t for t in self.tokens if (only is None or t is only) and all(t[k] == rule[k] for k in ("reading", "surface") if rule.get(k) is not None)]:
             start, end = t["start"], t["end"]
             self.tokens.remove(t)
             self.replace(start, end, (t["surface"] or "").strip())
 
 
+def edited(chapters: DataFrame, edits: DataFrame, *keys: str) -> DataFrame:
+    """chapters as in refined(), edits (keys..., token_idx, reading, accent): the tokens of these places, by order in
+    the chapter, get the reading, its text and the accent, and count as set by hand. A null reading removes the token."""
+    names = [*keys, "text", *TOKEN_COLUMNS]
+    rows = chapters.select(*names)
+
+    def run(key, group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return group[names]
+        chapter = Chapter(group["text"].iloc[0] or "", tokens_of(group))
+        for edit in wanted.sort_values("token_idx", ascending=False).itertuples():  # from the end, so places hold
+            if edit.token_idx < len(chapter.tokens):
+                t = chapter.tokens[edit.token_idx]
+                if edit.reading is None:
+                    chapter.remove({"surface": t["surface"], "reading": t["reading"]}, only=t)
+                    continue
+                start = t["start"]
+                chapter.replace(start, t["end"], edit.reading)
+                t.update(start=start, end=start + len(edit.reading), reading=edit.reading, source="manual", accent=t["accent"] if pd.isna(edit.accent) else int(edit.accent))
+        return table_of(chapter, group, keys, names)
+
+    return rows.groupBy(*keys).cogroup(edits.groupBy(*keys)).applyInPandas(run, rows.schema)
+
+
+def tokens_of(group: pd.DataFrame) -> list[dict]:
+    return [
+        {"surface": r.surface, "reading": r.reading, "accent": None if pd.isna(r.accent) else int(r.accent), "start": int(r.start), "end": int(r.end), "source": r.source}
+        for r in group.itertuples()
+        if not pd.isna(r.start)
+    ]
+
+
+def table_of(chapter: Chapter, group: pd.DataFrame, keys: tuple[str, ...], names: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(sorted(chapter.tokens, key=lambda t: (t["start"], t["end"])) or [dict.fromkeys(TOKEN_COLUMNS)], columns=TOKEN_COLUMNS)
+    out["text"] = chapter.text
+    for k in keys:
+        out[k] = group[k].iloc[0]
+    return out[names].astype({"accent": "Int64", "start": "Int64", "end": "Int64"})
+
+
 def refined(chapters: DataFrame, overrides: list[dict], removals: list[dict], *keys: str) -> DataFrame:
     """chapters: a row a token (keys..., text, surface, reading, accent, start, end, source), null token columns
     for a chapter without tokens -> the same after the rules, in order."""
@@ -90,23 +130,14 @@ def refined(chapters: DataFrame, overrides: list[dict], removals: list[dict], *k
     rows = chapters.select(*names)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        tokens = [
-            {"surface": r.surface, "reading": r.reading, "accent": None if pd.isna(r.accent) else int(r.accent), "start": int(r.start), "end": int(r.end), "source": r.source}
-            for r in group.itertuples()
-            if not pd.isna(r.start)
-        ]
-        chapter = Chapter(group["text"].iloc[0] or "", tokens)
+        chapter = Chapter(group["text"].iloc[0] or "", tokens_of(group))
         for rule in overrides:
             if rule.get("pattern"):
                 chapter.override(rule)
         for rule in removals:
             if rule.get("reading") is not None or rule.get("surface") is not None:
                 chapter.remove(rule)
-        out = pd.DataFrame([{**t} for t in sorted(chapter.tokens, key=lambda t: (t["start"], t["end"]))] or [dict.fromkeys(TOKEN_COLUMNS)], columns=TOKEN_COLUMNS)
-        out["text"] = chapter.text
-        for k in keys:
-            out[k] = group[k].iloc[0]
-        return out[names].astype({"accent": "Int64", "start": "Int64", "end": "Int64"})
+        return table_of(chapter, group, keys, names)
 
     return rows.groupBy(*keys).applyInPandas(run, rows.schema)
 

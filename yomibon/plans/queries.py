@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kana
-from ..operators import chunks, evidence, library, refine, tiers, tokens
+from ..operators import chunks, context, evidence, library, refine, tiers, tokens
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,14 +66,14 @@ def token_conflicts(spark, d):
     return rows.select("base", "total", "n_readings", F.round("share", 6).alias("share"), "flagged", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {COUNTS} SELECT CAST(sum(total) AS BIGINT) AS total, count(*) AS surfaces, count_if(n_readings > 1) AS several, count_if(flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN total ELSE 0 END) AS BIGINT) AS flagged_tokens FROM d")
+@query(f"WITH {COUNTS} SELECT CAST(sum(total) AS BIGINT) AS total, count(*) AS surfaces, CAST(count_if(n_readings > 1) AS BIGINT) AS several, CAST(count_if(flagged) AS BIGINT) AS flagged, CAST(sum(CASE WHEN flagged THEN total ELSE 0 END) AS BIGINT) AS flagged_tokens FROM d")
 def token_stats(spark, d):
     return evidence.diagnostics(doc_counts(spark, d)).agg(
         F.sum("total").alias("total"), F.count(F.lit(1)).alias("surfaces"), F.count_if(F.col("n_readings") > 1).alias("several"), F.count_if("flagged").alias("flagged"), F.sum(F.when(F.col("flagged"), F.col("total")).otherwise(0)).alias("flagged_tokens")
     )
 
 
-@query(f"WITH {TOK} SELECT source, count(*) AS total, count_if(reading = '') AS missing FROM t GROUP BY source")
+@query(f"WITH {TOK} SELECT source, count(*) AS total, CAST(count_if(reading = '') AS BIGINT) AS missing FROM t GROUP BY source")
 def token_missing(spark, d):
     rows = tokens.bare_tokens(table(spark, d, "documents").select("source", "text"), "source")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reading") == "").alias("missing"))
@@ -352,7 +352,7 @@ def playback_throttle(spark, d):
     return library.throttled(table(spark, d, "events").select("user_id", "event_id", "ts", "value"), "user_id", "value").drop("ts")
 
 
-@query("SELECT o_custkey, count(*) AS total, count_if(o_orderstatus = 'F') AS completed, count_if(o_orderstatus <> 'F') AS pending FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, count(*) AS total, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS completed, CAST(count_if(o_orderstatus <> 'F') AS BIGINT) AS pending FROM orders GROUP BY o_custkey")
 def completion_summary(spark, d):
     return library.completion(table(spark, d, "orders"), F.col("o_orderstatus") == "F", "o_custkey")
 
@@ -435,23 +435,23 @@ def ja_texts(spark):
     return spark.createDataFrame([*enumerate(JA_TEXTS)], "k long, x string")
 
 
-@query(f"SELECT k, translate(x, '{kana.HIRAGANA}', '{kana.KATAKANA}') AS katakana FROM (VALUES {JA_VALUES}) v(k, x)")
+@query(f"SELECT CAST(k AS BIGINT) AS k, translate(x, '{kana.HIRAGANA}', '{kana.KATAKANA}') AS katakana FROM (VALUES {JA_VALUES}) v(k, x)")
 def ja_hira_to_kata(spark, d):
     return ja_texts(spark).select("k", kana.to_katakana(F.col("x")).alias("katakana"))
 
 
-@query(f"SELECT k, translate(x, '{kana.SMALL}', '{kana.FULL}') AS folded FROM (VALUES {JA_VALUES}) v(k, x)")
+@query(f"SELECT CAST(k AS BIGINT) AS k, translate(x, '{kana.SMALL}', '{kana.FULL}') AS folded FROM (VALUES {JA_VALUES}) v(k, x)")
 def ja_small_kana_fold(spark, d):
     return ja_texts(spark).select("k", kana.fold_small(F.col("x")).alias("folded"))
 
 
-@query(f"SELECT k, regexp_replace(regexp_replace(x, '\\.{{3,}}', '…', 'g'), '…{{2,}}', '…', 'g') AS text FROM (VALUES {JA_VALUES}) v(k, x)")
+@query(f"SELECT CAST(k AS BIGINT) AS k, regexp_replace(regexp_replace(x, '\\.{{3,}}', '…', 'g'), '…{{2,}}', '…', 'g') AS text FROM (VALUES {JA_VALUES}) v(k, x)")
 def ja_ellipsis(spark, d):
     return ja_texts(spark).select("k", kana.ellipsis(F.col("x")).alias("text"))
 
 
 def golden(columns: str, *rows: tuple) -> str:
-    quoted = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    quoted = lambda x: "CAST(NULL AS INTEGER)" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) v({columns})"
 
 
@@ -545,6 +545,33 @@ def ja_remove_rule(spark, d):
     return refined(spark, [(1, "ヽ分", "自", "ヽ", None, 0, 1, "unidic"), (1, "ヽ分", "分", "ブン", None, 1, 2, "unidic")], removals=[{"reading": "ヽ"}])
 
 
+JA_MORPHEMES = (
+    (0, (("他", "タ", "名詞"), ("は", "ハ", "助詞"))), (1, (("その", "ソノ", "連体詞"), ("他", "タ", "名詞"))), (2, (("他", "タ", "名詞"), ("人", "ジン", "名詞"))),
+    (3, (("父", "チチ", "名詞"), ("上", "ウエ", "名詞"))), (4, (("1", "1", "名詞"), ("7", "7", "名詞"), ("日", "カ", "名詞"))), (5, (("7", "7", "名詞"), ("日", "カ", "名詞"))),
+)
+
+
+@query(golden("k, readings", (0, "ホカ|ハ"), (1, "ソノ|ホカ"), (2, "タ|ジン"), (3, "チチ|ウエ"), (4, "1|7|ニチ"), (5, "7|カ")))
+def ja_context_readings(spark, d):
+    rows = [(k, i, *m) for k, ms in JA_MORPHEMES for i, m in enumerate(ms)]
+    found = context.readings(spark.createDataFrame(rows, "k int, token_idx long, surface string, reading string, pos string"), "k")
+    return found.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "reading"))), lambda x: x["reading"]), "|").alias("readings"))
+
+
+@query(golden('text, surface, reading, accent, start, "end"', ("アマが降る。", "雨", "アマ", 2, 0, 2)))
+def ja_edit_token(spark, d):
+    rows = spark.createDataFrame([(1, "アメが降る。", "雨", "アメ", 1, 0, 2, "unidic")], REFINED)
+    edits = spark.createDataFrame([(1, 0, "アマ", 2)], "chapter long, token_idx long, reading string, accent long")
+    out = refine.edited(rows, edits, "chapter")
+    return out.select("text", "surface", "reading", F.col("accent").cast("int").alias("accent"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+@query(golden('chapter, text', (1, "題名\n\n著者\n\n本文です。"), (2, "これは文章です。\nつづき。")))
+def ja_title_break(spark, d):
+    rows = spark.createDataFrame([(1, "題名\n著者\n\n本文です。"), (2, "これは文章です。\nつづき。")], "chapter int, text string")
+    return rows.select("chapter", context.title_break(F.col("text")).alias("text"))
+
+
 @query(golden("phrase_idx, new_accent", (0, 1), (1, 3)))
 def ja_accent_phrases(spark, d):
     phrases = spark.createDataFrame([(1, 0, ["ア", "メ"], 2), (1, 1, ["ト", "ア", "メ"], 1)], "chapter long, phrase_idx int, moras array<string>, accent int")
