@@ -224,7 +224,8 @@ def unresolved(hubbed: DataFrame, done: DataFrame, roots: DataFrame, threshold:
 
 def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id, a row for each row of docs."""
-    sketches = docs.select("doc_id", "text").mapInArrow(sketcher(size, bands, rows), "doc_id long, digest binary, keys array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = docs.mapInArrow(sketcher(size, bands, rows), "doc_id long, digest binary, keys array<long>")
     sketches = written(sketches, "sketches")
     nodes = sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("keys", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("keys"))
     nodes = written(nodes, "nodes")

@@ -187,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(fold(F.col("doc_id")) != 0, F.lit(False))).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     known = sample(known, known.count(), bound=sample_rows)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").cache()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(known), "doc_id").cache()
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1.0) or not n.get(0.0):
         return None
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, toxic) -> doc_id, held_out, score, predicted."""
     grammar = learn(docs, labels, sample_rows)
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if grammar is None:
         rows = rows.select("doc_id", F.lit(0.0).alias("score"))
     else:
