@@ -24,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare_name
+from .common import bounded, spare_name, written
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2.0
 BUCKET_ROWS = 1024
+#: Bytes that a source takes in a broadcast table, for names of usual length.
+SOURCE_BYTES = 256
 RUN = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,20 +61,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs (doc_id, text, source, ...) -> the same rows under a struct `row`, with size, source_size, target, copies."""
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("source"), size(F.col("text")).alias("size"))
-    known = sized.select("id", "source", "size")
+    # A null source as a pair of keys that join by equality, so one dealing of the texts serves window and join.
+    source, key = F.col("source"), ["name", "none"]
+    named = [F.coalesce(source, F.lit("")).alias("name"), source.isNull().alias("none")]
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), source.alias("source"), *named, size(F.col("text")).alias("size"))
+    known = sized.select("id", "source", *key, "size")
     sources = targets(known.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, limit)
-    sources = sources.withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
-    sources = sources.select(F.col("source").alias("of"), "source_size", "target", "buckets")
-    bucket = F.pmod(digits(F.coalesce(F.col("id").cast("string"), F.lit("")), 8), F.col("buckets")).alias("bucket")
-    same = F.col("source").eqNullSafe(F.col("of"))
-    counts = known.join(sources, same).groupBy("source", bucket).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    rows = sized.join(sources, same).withColumn("bucket", bucket)
-    place = Window.partitionBy("source", "bucket").orderBy("size", "id")
-    rows = rows.withColumn("place", F.row_number().over(place))
-    rows = rows.join(counts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
+    # Written, so that its size is known before texts are joined with it: a row a source.
+    sources = written(sources.select(*named, "source_size", "target", F.ceil(F.col("n") / bucket_rows).alias("buckets")), "sources")
+    sources = bounded(sources, sources.count(), SOURCE_BYTES)
+    bucket = F.pmod(digits(F.coalesce(F.col("id").cast("string"), F.lit("")), 8), F.col("buckets"))
+    counts = known.join(sources, key).withColumn("bucket", bucket).groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*key, "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = Window.partitionBy(*key, "bucket").orderBy("size", "id")
+    rows = sized.join(sources, key).withColumn("bucket", bucket).withColumn("place", F.row_number().over(place)).join(counts, [*key, "bucket"])
     offset = (digits(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\x00"))), 4) + 0.5) / 65536
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = F.col("before") + F.col("place")
