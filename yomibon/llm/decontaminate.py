@@ -69,7 +69,7 @@ def hits(docs_words: DataFrame, windows: DataFrame) -> DataFrame:
     start = F.col("pos") - F.col("at")  # 1-based, as the document itself is at 0
     probe = ends.join(F.broadcast(windows.unionByName(itself)), F.col("word") == F.col("prefix"))
     fits = (start >= 1) & (start + F.col("len") - 1 <= F.size("w"))
-    same = (F.try_element_at("w", start + F.col("next_at")) == F.col("next")) & (F.slice("w", F.greatest(start, F.lit(1)), F.col("len")) == F.col("words"))
+    same = (F.try_element_at("w", F.greatest(start + F.col("next_at"), F.lit(1))) == F.col("next")) & (F.slice("w", F.greatest(start, F.lit(1)), F.col("len")) == F.col("words"))
     return probe.where((F.col("len") == 0) | (fits & same)).select(*keys, F.size("w").alias("n_words"), start.alias("start"), "len", "words")
 
 
