@@ -31,8 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows; a null is empty."""
+def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of about `size` bytes; a null is empty."""
     column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
     if column.null_count:
         column = column.fill_null("")
@@ -43,7 +43,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, side="right")) - 1)
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         end = min(end, n)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end

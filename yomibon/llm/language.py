@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import kernels
 
 BUCKET_BITS = 15
+#: Bytes of text at a time; the arrays of n-grams take about a hundred times as much.
+PIECE = 1 << 19
 #: At most about this many labelled rows are read for training.
 SAMPLE_ROWS = 20_000
 #: Smoothing count added to every bucket.
@@ -71,7 +73,7 @@ def counter(languages: list[str]):
         total = np.zeros(len(languages) << BUCKET_BITS, np.int64)
         for batch in batches:
             langs = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
-            for first, end, data, offsets in kernels.pieces(batch.column(1)):
+            for first, end, data, offsets in kernels.pieces(batch.column(1), PIECE):
                 keys, rows = grams(data, offsets)
                 which = langs[first:end][rows]
                 keep = which >= 0
@@ -122,8 +124,9 @@ def scorer(model):
         letter = re.compile(r"[^\W\d_]")
         for batch in batches:
             n = batch.num_rows
-            logs = np.zeros((n, len(own.languages)))
-            for first, end, data, offsets in kernels.pieces(batch.column(1)):
+            logs, known = np.zeros((n, len(own.languages))), np.zeros(n, bool)
+            for first, end, data, offsets in kernels.pieces(batch.column(1), PIECE):
+                known[first:end] = [bool(x and letter.search(x)) for x in batch.column(1).slice(first, end - first).to_pylist()]
                 keys, rows = grams(data, offsets)
                 half = len(rows) // 2
                 for part in (slice(0, half), slice(half, None)):  # each half is ordered by row
@@ -136,7 +139,6 @@ def scorer(model):
             odds = np.exp(total)
             best = odds.argmax(axis=1)
             score = 1 / odds.sum(axis=1)
-            known = np.array([bool(x and letter.search(x)) for x in batch.column(1).to_pylist()], bool)
             names = np.array([*own.languages, UNDETERMINED], object)[np.where(known, best, len(own.languages))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*batch.schema.names, "lang_pred", "score"])
 
