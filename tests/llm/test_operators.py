@@ -289,6 +289,23 @@ def test_html_extract(spark):
     assert html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted_texts(spark, pages):
+    """{page_id: text} of (host, html) pages, numbered."""
+    rows = [(k, f"http://{name}.example/{k}", page) for k, (name, page) in enumerate(pages)]
+    return {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_extract_keeps_copies(spark):
+    """Rows that repeat an article are no evidence of a template, whatever differs in their links."""
+    copy = '<body><nav>Menu</nav><article><h1>One title</h1><p>By someone</p><p>The story <a href="/?utm={k}">goes on</a></p></article></body>'
+    for n in (1, 9, 10, 14):
+        got = extracted_texts(spark, [("mirror", copy.replace("{k}", str(k))) for k in range(n)])
+        assert set(got.values()) == {"One title\nBy someone\nThe story goes on"}
+    # Of ten texts one is all template: it is kept.
+    pages = [("h", f"<body><article><p>All of it</p>{f'<p>More {k}</p>' if k else ''}</article></body>") for k in range(12)]
+    assert extracted_texts(spark, pages)[0] == "All of it"
+
+
 def jaccard_classes(rows):
     sets = {}
     for doc_id, text in rows:

@@ -7,8 +7,8 @@ their sum of page hashes, so Spark aggregates them without gathering a host's pa
 
 A class is valid if its tokens keep their order and nest: the tokens of the root class occur once on
 every page, and further classes nest under the token whose path encloses theirs. The valid classes
-make the host's template; template text (a block of the root class on at least TEMPLATE_PAGES pages)
-is furniture. Of the template's slots, those below the content token are kept: `article` or `main`
+make the host's template; template text (a block of the root class on a host of at least
+TEMPLATE_PAGES different page texts) is furniture, unless it is all that a page has. Of the template's slots, those below the content token are kept: `article` or `main`
 in the root class, else the deepest token that holds most of the running text. Slots within menus,
 headers, footers, sidebars, notices, adverts, forms, comments and the like are left out by tag, role,
 class or id. A host of one page is its own template, from tags alone.
@@ -122,11 +122,12 @@ def parsed(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
 
 
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page_key, html) -> a row for each page and token: how often, where first, and the text that it holds."""
+    """(host, page_key, html) -> a row for each page and token: how often, where first, and the text that it holds; and one for the whole text."""
     for batch in batches:
         rows, kinds, keys, tags, counts, places, mass, furniture = [], [], [], [], [], [], [], []
         for row, page in enumerate(batch.column(2).to_pylist()):
             own: dict[tuple[str, str], list] = {}
+            shown = []
             for place, (kind, value, path, out) in enumerate(parsed(page or "")):
                 if kind == "tag":
                     entry = own.setdefault(("tag", path), [0, place, 0, out, value])
@@ -135,10 +136,12 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entry = own.setdefault(("text", f"{path}\x00{value}"), [0, place, 0, out, ""])
                 entry[0] += 1
                 if not out:
+                    shown.append(value)
                     upper = path
                     while upper:  # every enclosing token holds the text
                         own[("tag", upper)][2] += len(value)
                         upper = upper.rpartition("/")[0]
+            own["page", "\n".join(shown)] = [1, 0, 0, False, ""]
             for (kind, key), (n, place, held, out, tag) in own.items():
                 rows.append(row)
                 kinds.append(kind)
@@ -155,7 +158,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, page_key, html) -> host, content array<string>, texts array<long>: each host's template."""
+    """pages (host, page_key, html) -> host, content string, texts array<long>: each host's template."""
     tokens = pages.select("host", "page_key", "html").mapInArrow(vectors, "host string, page long, kind string, key string, tag string, n long, place long, mass long, furniture boolean")
     tokens = tokens.select("host", "page", "kind", F.when(F.col("kind") == "tag", F.col("key")).alias("path"), F.xxhash64("key").alias("token"), "tag", "n", "place", "mass", "furniture")
     by = tokens.groupBy("host", "kind", "token").agg(
@@ -166,7 +169,10 @@ def templates(pages: DataFrame) -> DataFrame:
     by = by.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).drop("of")
     by = by.withColumn("root", (F.col("n_pages") == F.col("host_pages")) & (F.col("total") == F.col("n_pages")))
     # Text outside the root class is no template text; without it a host has as many rows as kinds of tags.
-    by = by.where("kind = 'tag' or root")
+    by = written(by.where("kind <> 'text' or root"), "tokens")
+    # Rows that repeat a text are no further evidence of a template.
+    contents = by.where("kind = 'page'").groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("contents"))
+    by = by.where("kind <> 'page'").join(contents, F.col("host").eqNullSafe(F.col("of"))).drop("of")
     # A class is all tokens of one vector; the size of the classes above tells a token's own apart from chance.
     by = by.withColumn("class_size", F.count(F.lit(1)).over(Window.partitionBy("host", "vector")))
     held = F.when((F.col("kind") == "tag") & ~F.col("furniture"), F.col("mass"))
@@ -180,7 +186,7 @@ def templates(pages: DataFrame) -> DataFrame:
         F.min(F.when(named & (F.col("share") >= CONTENT_SHARE), F.struct(-depth, F.col("path")))),
         F.max(F.when((F.col("share") >= CONTENT_SHARE) & (F.col("kind") == "tag") & ~F.col("furniture"), F.struct(depth, F.col("path")))),
     )
-    texts = F.collect_list(F.when((F.col("kind") == "text") & F.col("root") & (F.col("host_pages") >= TEMPLATE_PAGES), F.col("token")))
+    texts = F.collect_list(F.when((F.col("kind") == "text") & F.col("root") & (F.col("contents") >= TEMPLATE_PAGES), F.col("token")))
     return by.groupBy("host").agg(content.getField("path").alias("content"), texts.alias("texts"))
 
 
@@ -197,7 +203,8 @@ def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blocks = below or blocks  # a page without the content token keeps all its slots
             if texts:
                 known = set(texts)
-                blocks = [(v, p) for v, p in blocks if np.uint64(xxhash.xxh64_intdigest(f"{p}\x00{v}", 42)).astype(np.int64) not in known]
+                # A page whose whole text is template text keeps it.
+                blocks = [(v, p) for v, p in blocks if np.uint64(xxhash.xxh64_intdigest(f"{p}\x00{v}", 42)).astype(np.int64) not in known] or blocks
             result.append("\n".join(v for v, _ in blocks))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(result, pa.string())], ["page_id", "url", "text"])
 
