@@ -306,6 +306,19 @@ def test_html_extract_keeps_copies(spark):
     assert extracted_texts(spark, pages)[0] == "All of it"
 
 
+def test_html_extract_keeps_text_beside_the_content_token(spark):
+    shapes = {
+        "teaser": "<body><div class='top'>My site</div><main><h1>T{k}</h1><div class='story'>a story {k}, told at length</div><article class='teaser'>next {k}</article></main></body>",
+        "title": "<body><div class='top'>My site</div><main><h1>T{k}</h1><article>a story {k}, told at length</article></main></body>",
+        "lead": "<body><div class='top'>My site</div><div class='content'><div class='lead'>lead {k} of it, in some forty more letters</div><div class='body'>a story {k}, told at some length and more{more}</div></div></body>",
+    }
+    want = {"teaser": "T{k}\na story {k}, told at length\nnext {k}", "title": "T{k}\na story {k}, told at length", "lead": "lead {k} of it, in some forty more letters\na story {k}, told at some length and more{more}"}
+    more = ", with a great deal of further words" * 6
+    pages = [(f"{name}{n}", page.replace("{k}", str(k)).replace("{more}", more)) for name, page in shapes.items() for n in (2, 9, 12) for k in range(n)]
+    texts = [want[name].replace("{k}", str(k)).replace("{more}", more) for name in shapes for n in (2, 9, 12) for k in range(n)]
+    assert extracted_texts(spark, pages) == dict(enumerate(texts))
+
+
 def jaccard_classes(rows):
     sets = {}
     for doc_id, text in rows:

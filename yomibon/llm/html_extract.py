@@ -8,8 +8,10 @@ their sum of page hashes, so Spark aggregates them without gathering a host's pa
 A class is valid if its tokens keep their order and nest: the tokens of the root class occur once on
 every page, and further classes nest under the token whose path encloses theirs. The valid classes
 make the host's template; template text (a block of the root class on a host of at least
-TEMPLATE_PAGES different page texts) is furniture, unless it is all that a page has. Of the template's slots, those below the content token are kept: `article` or `main`
-in the root class, else the deepest token that holds most of the running text. Slots within menus,
+TEMPLATE_PAGES different page texts) is furniture, unless it is all that a page has. The content token is the outermost `article` or
+`main` that holds most of the running text, one of the root class first, else the deepest token that
+holds nearly all of it. All slots are kept, but outside the content token template text is furniture
+from the second page text on. Slots within menus,
 headers, footers, sidebars, notices, adverts, forms, comments and the like are left out by tag, role,
 class or id. A host of one page is its own template, from tags alone.
 
@@ -38,6 +40,8 @@ from .url_filter import host
 TEMPLATE_PAGES = 10
 #: Share of the running text that the content token must hold.
 CONTENT_SHARE = 0.6
+#: Share that it must hold if it is neither `article` nor `main`.
+NEARLY = 0.95
 
 # Elements whose text is never shown, elements that break lines, elements that build the page.
 RAW = "script|style|noscript|template|iframe|svg|textarea|title|object|canvas|math|select"
@@ -158,7 +162,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, page_key, html) -> host, content string, texts array<long>: each host's template."""
+    """pages (host, page_key, html) -> host, content string, texts array<long>, many boolean: each host's template."""
     tokens = pages.select("host", "page_key", "html").mapInArrow(vectors, "host string, page long, kind string, key string, tag string, n long, place long, mass long, furniture boolean")
     tokens = tokens.select("host", "page", "kind", F.when(F.col("kind") == "tag", F.col("key")).alias("path"), F.xxhash64("key").alias("token"), "tag", "n", "place", "mass", "furniture")
     by = tokens.groupBy("host", "kind", "token").agg(
@@ -179,32 +183,32 @@ def templates(pages: DataFrame) -> DataFrame:
     whole = F.max(held).over(Window.partitionBy("host"))
     by = by.withColumn("share", held / F.greatest(whole, F.lit(1)))
     valid = F.col("root") & (F.col("class_size") >= 2)
-    named = F.col("tag").isin(*CONTENT_TAGS) & ~F.col("furniture") & (F.col("mass") > 0)
+    named = F.col("tag").isin(*CONTENT_TAGS) & ~F.col("furniture") & (F.col("share") >= CONTENT_SHARE)
     depth = F.size(F.split("path", "/"))
     content = F.coalesce(
-        F.min(F.when(named & valid, F.struct(-depth, F.col("path")))),
-        F.min(F.when(named & (F.col("share") >= CONTENT_SHARE), F.struct(-depth, F.col("path")))),
-        F.max(F.when((F.col("share") >= CONTENT_SHARE) & (F.col("kind") == "tag") & ~F.col("furniture"), F.struct(depth, F.col("path")))),
+        F.min(F.when(named & valid, F.struct(depth, F.col("path")))),
+        F.min(F.when(named, F.struct(depth, F.col("path")))),
+        F.min(F.when((F.col("share") >= NEARLY) & (F.col("kind") == "tag") & ~F.col("furniture"), F.struct(-depth, F.col("path")))),
     )
-    texts = F.collect_list(F.when((F.col("kind") == "text") & F.col("root") & (F.col("contents") >= TEMPLATE_PAGES), F.col("token")))
-    return by.groupBy("host").agg(content.getField("path").alias("content"), texts.alias("texts"))
+    # Of one text nothing tells a template's blocks from its own.
+    texts = F.collect_list(F.when((F.col("kind") == "text") & F.col("root") & (F.col("contents") > 1), F.col("token")))
+    return by.groupBy("host").agg(content.getField("path").alias("content"), texts.alias("texts"), (F.max("contents") >= TEMPLATE_PAGES).alias("many"))
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, content, texts) -> (page_id, url, text): the blocks in kept slots."""
+    """(page_id, url, html, content, texts, many) -> (page_id, url, text): the blocks in kept slots."""
     import xxhash
 
     for batch in batches:
         result = []
-        for page, content, texts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+        for page, content, texts, many in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
             blocks = [(value, path) for kind, value, path, out in parsed(page or "") if kind == "text" and not out]
-            if content:
-                below = [(v, p) for v, p in blocks if p == content or p.startswith(f"{content}/")]
-                blocks = below or blocks  # a page without the content token keeps all its slots
             if texts:
                 known = set(texts)
-                # A page whose whole text is template text keeps it.
-                blocks = [(v, p) for v, p in blocks if np.uint64(xxhash.xxh64_intdigest(f"{p}\x00{v}", 42)).astype(np.int64) not in known] or blocks
+                inside = [not content or p == content or p.startswith(f"{content}/") for _, p in blocks]
+                standing = [(many or not below) and np.uint64(xxhash.xxh64_intdigest(f"{p}\x00{v}", 42)).astype(np.int64) in known for (v, p), below in zip(blocks, inside, strict=True)]
+                # A page whose whole text is template text keeps what is in the content token, or all.
+                blocks = [b for b, out in zip(blocks, standing, strict=True) if not out] or [b for b, below in zip(blocks, inside, strict=True) if below] or blocks
             result.append("\n".join(v for v, _ in blocks))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(result, pa.string())], ["page_id", "url", "text"])
 
@@ -215,5 +219,5 @@ def extracted(pages: DataFrame) -> DataFrame:
     known = written(templates(rows.select("host", "html", F.xxhash64("page_id", "url").alias("page_key"))), "templates")
     rows = rows.join(known.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
-    found = rows.select("page_id", "url", "html", "content", "texts").mapInArrow(extractor, f"page_id {types['page_id']}, url string, text string")
+    found = rows.select("page_id", "url", "html", "content", "texts", "many").mapInArrow(extractor, f"page_id {types['page_id']}, url string, text string")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
