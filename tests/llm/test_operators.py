@@ -319,6 +319,27 @@ def test_html_extract_keeps_text_beside_the_content_token(spark):
     assert extracted_texts(spark, pages) == dict(enumerate(texts))
 
 
+def test_html_extract_of_elements_named_like_furniture(spark):
+    wraps = {
+        "body": "<body class='has-sidebar fixed-header'>{}</body>",
+        "article": "<body><article class='post comments-open'>{}</article></body>",
+        "share": "<body><div class='content share-enabled'>{}</div></body>",
+        "inside": "<body><article><div class='content share-enabled'>{}</div></article></body>",
+        "style": "<body><div style='overflow:hidden'>{}</div></body>",
+        "data": "<body><div data-hidden='0' title='hidden gems'>{}</div></body>",
+        "head": "<html><head><meta charset='utf-8'><title>t</title><body>{}</body></html>",
+        "form": "<body><form action='/'>{}</form></body>",
+        "headless": "<html><head><title>t</title><p>{}</p></html>",
+    }
+    story = "Story {k}<nav>Menu</nav><div class='related'>Next</div><div hidden>gone</div><p>told {k}, at its length</p>"
+    pages = [(name, wrap.replace("{}", story).replace("{k}", str(k))) for name, wrap in wraps.items() for k in range(3)]
+    got = extracted_texts(spark, pages)
+    assert {(pages[k][0], text) for k, text in got.items()} == {(name, f"Story {k}\ntold {k}, at its length") for name in wraps for k in range(3)}
+    # Comments beside an article stay out, however long they are.
+    long = "<body><article>Story</article><div class='comments'><article class='comment'>a long reply to it all</article></div></body>"
+    assert extracted_texts(spark, [("c", long)]) == {0: "Story"}
+
+
 def jaccard_classes(rows):
     sets = {}
     for doc_id, text in rows:

@@ -8,12 +8,15 @@ their sum of page hashes, so Spark aggregates them without gathering a host's pa
 A class is valid if its tokens keep their order and nest: the tokens of the root class occur once on
 every page, and further classes nest under the token whose path encloses theirs. The valid classes
 make the host's template; template text (a block of the root class on a host of at least
-TEMPLATE_PAGES different page texts) is furniture, unless it is all that a page has. The content token is the outermost `article` or
-`main` that holds most of the running text, one of the root class first, else the deepest token that
-holds nearly all of it. All slots are kept, but outside the content token template text is furniture
-from the second page text on. Slots within menus,
-headers, footers, sidebars, notices, adverts, forms, comments and the like are left out by tag, role,
-class or id. A host of one page is its own template, from tags alone.
+TEMPLATE_PAGES different page texts) is furniture, unless it is all that a page has. The content token
+is the outermost `article` or `main` that holds most of the running text, one of the root class first,
+else the deepest token that holds nearly all of it. All slots are kept, but outside the content token
+template text is furniture from the second page text on. Slots within menus, headers, footers,
+sidebars, notices, adverts, forms, comments and the like are left out by tag, role, class or id. A
+class or id word (or `form`) is a hint only: it never marks html, body, main or article, and an element
+that holds most of its host's text is shown all the same, if it is inside an article or main or no other
+one has text; so is one on a page that would be left empty. A host of one page is its own template,
+from tags alone.
 
 Character references are decoded, white space inside a block becomes one space (a line break too),
 blocks are trimmed and joined in page order by one line feed.
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +54,7 @@ BLOCKS = frozenset(
 )
 STRUCTURE = frozenset("article aside body details dialog div dl fieldset figure footer form head header html main menu nav ol section table td ul".split())
 # Furniture by element, role, and word of class or id.
-FURNITURE_TAGS = frozenset("aside button dialog footer form head menu nav".split())
+FURNITURE_TAGS = frozenset("aside button dialog footer head menu nav".split())
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notification notifications pager pagination paywall popup promo promoted promotion recommended related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
@@ -58,33 +62,37 @@ FURNITURE_WORDS = frozenset(
 #: Headers are furniture outside the content, and part of it inside.
 HEADER_TAGS, HEADER_WORDS = frozenset(["header"]), frozenset(["header", "masthead"])
 CONTENT_TAGS = ("article", "main")
+#: Never furniture by a class or id word; tags that do not end an open head.
+WHOLE_TAGS = frozenset(["html", "body", *CONTENT_TAGS])
+HEAD_PARTS = frozenset("html head base basefont bgsound link meta".split())
 
 ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORD = re.compile(r"[a-z0-9]+")
 
 
-def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(name with class and id words, furniture, header) of an element."""
+def described(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """(name with class and id words, furniture, header, furniture by a word, header by a word) of an element."""
     words, role, hidden = [], "", False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
-        value = "".join(values)
-        if name.lower() == "role":
+        name, value = name.lower(), "".join(values)
+        if name == "role":
             role = value.strip().lower()
-        elif name.lower() in ("class", "id"):
+        elif name in ("class", "id"):
             words += WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
         else:
-            hidden = hidden or name.lower() == "hidden" or value.strip().lower() == "true"
-    furniture = hidden or tag in FURNITURE_TAGS or role in FURNITURE_ROLES or not FURNITURE_WORDS.isdisjoint(words)
-    header = tag in HEADER_TAGS or not HEADER_WORDS.isdisjoint(words)
+            hidden = hidden or name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true")
+    furniture = hidden or tag in FURNITURE_TAGS or role in FURNITURE_ROLES
+    hint = tag == "form" or (tag not in WHOLE_TAGS and not FURNITURE_WORDS.isdisjoint(words))
+    header_hint = tag not in WHOLE_TAGS and not HEADER_WORDS.isdisjoint(words)
     # Numbers in class and id words vary from page to page.
-    return ".".join([tag, *sorted({w for w in words if not w.isdigit()})]), furniture, header
+    return ".".join([tag, *sorted({w for w in words if not w.isdigit()})]), furniture, tag in HEADER_TAGS, hint, header_hint
 
 
-def parsed(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
-    """("tag", path) for opened structure and ("text", block) with the path and whether it is furniture."""
-    stack: list[tuple[str, str, bool]] = []  # (tag, path, furniture)
+def parsed(page: str) -> Iterator[tuple[str, str, str, bool, tuple[str, ...]]]:
+    """("tag", tag) for opened structure and ("text", block), with the path, whether it is furniture, and the enclosing paths that a word makes so."""
+    stack: list[tuple[str, str, bool, tuple[str, ...]]] = []  # (tag, path, furniture, hints)
     block: list[str] = []
     inside_content = 0
     at = 0
@@ -92,8 +100,10 @@ def parsed(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
     def flush():
         text = " ".join(html.unescape("".join(block)).split())
         block.clear()
-        top = stack[-1] if stack else ("", "", False)
-        return [("text", text, top[1], top[2])] if text else []
+        if text and stack and stack[-1][0] == "head":
+            stack.pop()  # text ends a head whose end is left out
+        top = stack[-1] if stack else ("", "", False, ())
+        return [("text", text, *top[1:])] if text else []
 
     for m in TOKEN.finditer(page):
         block.append(page[at : m.start()])
@@ -106,15 +116,19 @@ def parsed(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
             continue
         if tag in BLOCKS:
             yield from flush()
+        if stack and stack[-1][0] == "head" and not m[2] and tag not in HEAD_PARTS:
+            stack.pop()  # so does any other element
         if tag == "button" and not m[2]:
-            stack.append((tag, f"{stack[-1][1] if stack else ''}/button", True))
+            above = stack[-1] if stack else ("", "", False, ())
+            stack.append((tag, f"{above[1]}/button", True, above[3]))
         elif tag in STRUCTURE and not m[2]:
-            name, furniture, header = described(tag, m[4])
-            above = stack[-1] if stack else ("", "", False)
+            name, furniture, header, hint, header_hint = described(tag, m[4])
+            above = stack[-1] if stack else ("", "", False, ())
             path = f"{above[1]}/{name}"
-            stack.append((tag, path, above[2] or furniture or (header and not inside_content)))
+            hints = (*above[3], path) if hint or (header_hint and not inside_content) else above[3]
+            stack.append((tag, path, above[2] or furniture or (header and not inside_content), hints))
             inside_content += tag in CONTENT_TAGS
-            yield "tag", tag, path, stack[-1][2]
+            yield "tag", tag, *stack[-1][1:]
         elif m[2] and any(s[0] == tag for s in stack):
             while True:
                 last = stack.pop()[0]
@@ -125,28 +139,35 @@ def parsed(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
     yield from flush()
 
 
+def above(path: str) -> Iterator[str]:
+    """A path and those that enclose it."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+
+
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page_key, html) -> a row for each page and token: how often, where first, and the text that it holds; and one for the whole text."""
+    """(host, page_key, html) -> a row for each page and token: how often, where first, and the text that it holds (without hints, with them); and one for the whole text."""
     for batch in batches:
-        rows, kinds, keys, tags, counts, places, mass, furniture = [], [], [], [], [], [], [], []
+        rows, kinds, keys, tags, counts, places, mass, loose, furniture, hinted, marked = [], [], [], [], [], [], [], [], [], [], []
         for row, page in enumerate(batch.column(2).to_pylist()):
             own: dict[tuple[str, str], list] = {}
             shown = []
-            for place, (kind, value, path, out) in enumerate(parsed(page or "")):
+            for place, (kind, value, path, out, hints) in enumerate(parsed(page or "")):
                 if kind == "tag":
-                    entry = own.setdefault(("tag", path), [0, place, 0, out, value])
+                    entry = own.setdefault(("tag", path), [0, place, 0, 0, out, bool(hints), path in hints, value])
                     entry[0] += 1
                     continue
-                entry = own.setdefault(("text", f"{path}\x00{value}"), [0, place, 0, out, ""])
+                entry = own.setdefault(("text", f"{path}\x00{value}"), [0, place, 0, 0, out, bool(hints), False, ""])
                 entry[0] += 1
                 if not out:
                     shown.append(value)
-                    upper = path
-                    while upper:  # every enclosing token holds the text
-                        own[("tag", upper)][2] += len(value)
-                        upper = upper.rpartition("/")[0]
-            own["page", "\n".join(shown)] = [1, 0, 0, False, ""]
-            for (kind, key), (n, place, held, out, tag) in own.items():
+                    for upper in above(path):  # every enclosing token holds the text
+                        entry = own["tag", upper]
+                        entry[3] += len(value)
+                        entry[2] += 0 if hints else len(value)
+            own["page", "\n".join(shown)] = [1, 0, 0, 0, False, False, False, ""]
+            for (kind, key), (n, place, held, all_held, out, hint, mark, tag) in own.items():
                 rows.append(row)
                 kinds.append(kind)
                 keys.append(key)
@@ -154,19 +175,23 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(n)
                 places.append(place)
                 mass.append(held)
+                loose.append(all_held)
                 furniture.append(out)
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        columns = [pa.array(c, t) for c, t in zip([kinds, keys, tags, counts, places, mass, furniture], types, strict=True)]
+                hinted.append(hint)
+                marked.append(mark)
+        types = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4, *[pa.bool_()] * 3]
+        columns = [pa.array(c, t) for c, t in zip([kinds, keys, tags, counts, places, mass, loose, furniture, hinted, marked], types, strict=True)]
         of = [batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*of, *columns], ["host", "page", "kind", "key", "tag", "n", "place", "mass", "furniture"])
+        yield pa.RecordBatch.from_arrays([*of, *columns], ["host", "page", "kind", "key", "tag", "n", "place", "mass", "loose", "furniture", "hinted", "marked"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, page_key, html) -> host, content string, texts array<long>, many boolean: each host's template."""
-    tokens = pages.select("host", "page_key", "html").mapInArrow(vectors, "host string, page long, kind string, key string, tag string, n long, place long, mass long, furniture boolean")
-    tokens = tokens.select("host", "page", "kind", F.when(F.col("kind") == "tag", F.col("key")).alias("path"), F.xxhash64("key").alias("token"), "tag", "n", "place", "mass", "furniture")
+    """pages (host, page_key, html) -> host, shown array<string>, content string, texts array<long>, many boolean: each host's template."""
+    tokens = pages.select("host", "page_key", "html").mapInArrow(vectors, "host string, page long, kind string, key string, tag string, n long, place long, mass long, loose long, furniture boolean, hinted boolean, marked boolean")
+    tokens = tokens.select("host", "page", "kind", F.when(F.col("kind") == "tag", F.col("key")).alias("path"), F.xxhash64("key").alias("token"), "tag", "n", "place", "mass", "loose", "furniture", "hinted", "marked")
     by = tokens.groupBy("host", "kind", "token").agg(
-        F.max("path").alias("path"), F.max("tag").alias("tag"), F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("total"), F.sum("mass").alias("mass"), F.bool_or("furniture").alias("furniture"), F.avg("place").alias("place"),
+        F.max("path").alias("path"), F.max("tag").alias("tag"), F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("total"), F.sum("mass").alias("mass"), F.sum("loose").alias("loose"),
+        *(F.bool_or(c).alias(c) for c in ("furniture", "hinted", "marked")), F.avg("place").alias("place"),
         F.sum(F.pmod(F.xxhash64("page", "n"), F.lit(1 << 32))).alias("vector"),
     )
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
@@ -179,11 +204,20 @@ def templates(pages: DataFrame) -> DataFrame:
     by = by.where("kind <> 'page'").join(contents, F.col("host").eqNullSafe(F.col("of"))).drop("of")
     # A class is all tokens of one vector; the size of the classes above tells a token's own apart from chance.
     by = by.withColumn("class_size", F.count(F.lit(1)).over(Window.partitionBy("host", "vector")))
-    held = F.when((F.col("kind") == "tag") & ~F.col("furniture"), F.col("mass"))
-    whole = F.max(held).over(Window.partitionBy("host"))
+    # Words are hints: an element that holds most of the host's text is no furniture by a word.
+    each = Window.partitionBy("host")
+    named = F.col("tag").isin(*CONTENT_TAGS)
+    by = by.withColumn("declared", F.max(named & ~F.col("furniture") & ~F.col("hinted") & (F.col("mass") > 0)).over(each))
+    by = by.withColumn("most", F.max(F.when(~F.col("furniture"), F.col("loose"))).over(each))
+    enough = (F.col("loose") > 0) & (F.col("loose") >= CONTENT_SHARE * F.col("most"))
+    by = by.withColumn("shown", F.col("marked") & ~F.col("furniture") & enough & (~F.col("declared") | F.col("path").rlike("/(article|main)[./]")))
+    by = by.withColumn("opened", F.max("shown").over(each))
+    by = by.withColumn("furniture", F.col("furniture") | (F.col("hinted") & ~F.col("opened")))
+    held = F.when((F.col("kind") == "tag") & ~F.col("furniture"), F.when(F.col("opened"), F.col("loose")).otherwise(F.col("mass")))
+    whole = F.max(held).over(each)
     by = by.withColumn("share", held / F.greatest(whole, F.lit(1)))
     valid = F.col("root") & (F.col("class_size") >= 2)
-    named = F.col("tag").isin(*CONTENT_TAGS) & ~F.col("furniture") & (F.col("share") >= CONTENT_SHARE)
+    named = named & ~F.col("furniture") & (F.col("share") >= CONTENT_SHARE)
     depth = F.size(F.split("path", "/"))
     content = F.coalesce(
         F.min(F.when(named & valid, F.struct(depth, F.col("path")))),
@@ -192,17 +226,26 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     # Of one text nothing tells a template's blocks from its own.
     texts = F.collect_list(F.when((F.col("kind") == "text") & F.col("root") & (F.col("contents") > 1), F.col("token")))
-    return by.groupBy("host").agg(content.getField("path").alias("content"), texts.alias("texts"), (F.max("contents") >= TEMPLATE_PAGES).alias("many"))
+    shown = F.collect_list(F.when(F.col("shown"), F.col("path")))
+    return by.groupBy("host").agg(shown.alias("shown"), content.getField("path").alias("content"), texts.alias("texts"), (F.max("contents") >= TEMPLATE_PAGES).alias("many"))
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, content, texts, many) -> (page_id, url, text): the blocks in kept slots."""
+    """(page_id, url, html, shown, content, texts, many) -> (page_id, url, text): the blocks in kept slots."""
     import xxhash
 
     for batch in batches:
         result = []
-        for page, content, texts, many in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-            blocks = [(value, path) for kind, value, path, out in parsed(page or "") if kind == "text" and not out]
+        for page, shown, content, texts, many in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True):
+            found = [(value, path, hints) for kind, value, path, out, hints in parsed(page or "") if kind == "text" and not out]
+            blocks = [(v, p) for v, p, hints in found if not hints or shown and set(shown).issuperset(hints)]
+            if found and not blocks:  # as templates() does for a host
+                least = CONTENT_SHARE * sum(len(v) for v, _, _ in found)
+                held = Counter()
+                for v, _, hints in found:
+                    for x in {*hints}:
+                        held[x] += len(v)
+                blocks = [(v, p) for v, p, hints in found if all(held[x] >= least for x in hints)]
             if texts:
                 known = set(texts)
                 inside = [not content or p == content or p.startswith(f"{content}/") for _, p in blocks]
@@ -219,5 +262,5 @@ def extracted(pages: DataFrame) -> DataFrame:
     known = written(templates(rows.select("host", "html", F.xxhash64("page_id", "url").alias("page_key"))), "templates")
     rows = rows.join(known.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
-    found = rows.select("page_id", "url", "html", "content", "texts", "many").mapInArrow(extractor, f"page_id {types['page_id']}, url string, text string")
+    found = rows.select("page_id", "url", "html", "shown", "content", "texts", "many").mapInArrow(extractor, f"page_id {types['page_id']}, url string, text string")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
