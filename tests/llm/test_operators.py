@@ -387,6 +387,18 @@ def test_near_duplicates_of_one_base(spark):
     assert got == jaccard_classes(rows)
 
 
+def test_near_duplicates_that_repeat_lines(spark):
+    """Repeats of a line leave the set of shingles, and so the links, as they are."""
+    rows = []
+    for k in range(40):
+        base = [f"w{k}_{j}" for j in range(104)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base, *[f"x{k}_{j}" for j in range(16)] * 50]))]
+    want = jaccard_classes(rows)
+    assert len(set(want.values())) == 40
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_prob_minhash_estimates_similarity():
     ids = kernels.mix(np.arange(1, 3001, dtype=np.uint64)) >> np.uint64(16)  # as shingles are: hashes
     a, b = ids[:2000], ids[500:2500]

@@ -1,7 +1,7 @@
 """Near-duplicate groups of documents by ProbMinHash, banding and verification.
 
-A document is the weighted set of its five-word shingles, a shingle that occurs c times weighing
-1 + ln c. Each shingle sends a Poisson process of its weight's rate over the registers; a register
+A document is the set of its five-word shingles, each of weight 1 however often it occurs: links are
+similarities of sets, and weights by count would move copies that repeat lines apart. Each shingle sends a Poisson process of its weight's rate over the registers; a register
 keeps the shingle that arrives first, so two documents agree in a register with their probability
 Jaccard similarity. A document stops drawing once no arrival can beat the latest of its registers.
 All processes of a batch run as arrays, round by round, on the arrivals still in play.
@@ -91,8 +91,8 @@ def sketcher(size: int, bands: int, band_rows: int):
                 for low in range(0, end - first, 1 << 15):
                     cut = offsets[low : low + (1 << 15) + 1]
                     n = len(cut) - 1
-                    ids, rows, counts = unique_shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
-                    keys = band_keys(prob_minhash(ids, rows, 1 + np.log(counts), n, bands * band_rows), bands, band_rows)
+                    ids, rows, _ = unique_shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
+                    keys = band_keys(prob_minhash(ids, rows, np.ones(len(ids)), n, bands * band_rows), bands, band_rows)
                     bounds = kernels.grouped(rows, n)
                     held = np.flatnonzero(bounds[1:] > bounds[:-1])
                     if not len(held):
