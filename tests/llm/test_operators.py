@@ -399,6 +399,17 @@ def test_near_duplicates_that_repeat_lines(spark):
     assert got == want
 
 
+def test_near_duplicates_of_doc_ids_with_several_texts(spark):
+    rows = []
+    for k in range(0, 50, 10):
+        one, two, three = ([f"{c}{k}_{j}" for j in range(80)] for c in "abc")
+        rows += [(k, " ".join(one)), (k, " ".join(two)), (k, None), (k + 1, " ".join([*one, "x"])), (k + 2, " ".join([*two, "y"])), (k + 3, " ".join(two)), (k + 4, " ".join(three)), (k + 5, " ".join(three)), (k + 5, " ".join(["z", *one]))]
+        rows += [(k + 6 + n, " ".join([*three[:70], *(f"{c}{j}" for j in range(8))])) for n, c in enumerate("pq")]
+    want = jaccard_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and got[1] == got[2] == 0
+
+
 def test_prob_minhash_estimates_similarity():
     ids = kernels.mix(np.arange(1, 3001, dtype=np.uint64)) >> np.uint64(16)  # as shingles are: hashes
     a, b = ids[:2000], ids[500:2500]

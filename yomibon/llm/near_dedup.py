@@ -152,10 +152,11 @@ def shingler(size: int):
 
 
 def similarity(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """pairs (a, b), distinct, and texts (node, text) -> a, b, similarity of the whole texts."""
+    """pairs (a, b), distinct, and texts (node, text) -> a, b, similarity of the whole texts; of several texts of a node, of the most similar."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(similarities(size), "a long, b long, similarity double")
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(similarities(size), "a long, b long, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -164,11 +165,12 @@ def prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, threshold: floa
     Shingles stand in order of their frequency, rarest first. Two sets with Jaccard similarity t or more
     share one of the first n - ceil(t n) + 1 of each; shingles of one node only fill that prefix first.
     Lengths and the positions of the common shingle bound the pairs further; none that can be similar is lost.
+    A node of several texts has a set for each.
     """
-    sets = written(texts.join(placed.select("node"), "node", "left_semi").select("node", "text").mapInArrow(shingler(size), "node long, ids array<long>"), "sets")
-    each = sets.select("node", F.size("ids").alias("n"), F.explode("ids").alias("id"))
+    sets = written(texts.join(placed.select("node"), "node", "left_semi").select("node", "text").mapInArrow(shingler(size), "node long, ids array<long>").withColumn("set", F.monotonically_increasing_id()), "sets")
+    each = sets.select("node", "set", F.size("ids").alias("n"), F.explode("ids").alias("id"))
     counts = each.groupBy("id").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-    shared = each.join(counts, "id").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("nodes", "id"))).alias("shared"))
+    shared = each.join(counts, "id").groupBy("node", "set", "n").agg(F.array_sort(F.collect_list(F.struct("nodes", "id"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone
     prefix = shared.where(length > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("pos", "s"))
@@ -204,17 +206,21 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         state = now
 
 
-def unresolved(hubbed: DataFrame, done: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def unresolved(hubbed: DataFrame, done: DataFrame, roots: DataFrame, several: DataFrame, threshold: float) -> DataFrame:
     """(node, root) of the nodes in buckets that still hold several components.
 
     Jaccard distance is a metric, so two nodes whose distances to one hub differ by more than
-    1 - threshold can't be similar; a node without any such partner in a bucket is dropped.
+    1 - threshold can't be similar; a node without any such partner in a bucket is dropped. Nodes of
+    `several` texts have no one distance: in their buckets all are partners.
     """
     a, b = F.least("hub", "node"), F.greatest("hub", "node")
     known = done.select(F.col("a").alias("a_"), F.col("b").alias("b_"), (1 - F.col("similarity")).alias("far"))
     left = hubbed.where("node <> hub").join(known, (a == F.col("a_")) & (b == F.col("b_"))).select("key", "node", "far")
     left = left.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), "far")
     left = written(left, "left")
+    if not several.isEmpty():
+        free = hubbed.join(several, "node", "left_semi").select(F.col("key").alias("free")).distinct()
+        left = left.join(free, F.col("key") == F.col("free"), "left").withColumn("far", F.when(F.col("free").isNull(), F.col("far")).otherwise(0.0)).drop("free")
     # In slices of the reach, partners are in the same or in neighbouring ones.
     slices = F.floor(F.col("far") / (1 - threshold + 1e-9)).cast("int")
     around = left.select("key", "root", F.explode(F.array(slices - 1, slices, slices + 1)).alias("slice"))
@@ -243,7 +249,9 @@ def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, ban
     full = written(full.join(weights, "node").select("key", "node", "weight"), "weighted")
     n = weights.count()
     needed = bounded(weights.select(F.col("node").alias("doc_id")), n, 16)
-    texts = written(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")), "texts")
+    texts = written(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node"), F.sha2("text", 256)).agg(F.max("text").alias("text")).select("node", "text"), "texts")
+    # A doc_id with several texts is one node with all of them, as its rows are one document.
+    several = written(texts.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "several")
     hubs = full.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
     hubbed = written(full.join(hubs, "key"), "hubbed")
     pairs = hubbed.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
@@ -251,7 +259,7 @@ def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, ban
     links = done.where(F.col("similarity") >= threshold).select("a", "b").unionByName(linked)
     roots = written(components(links), "roots")
     # What hubs leave open is joined by prefixes, across components.
-    placed = written(unresolved(hubbed, done, roots, threshold), "placed")
+    placed = written(unresolved(hubbed, done, roots, several, threshold), "placed")
     rest = written(prefix_pairs(placed, texts, size, threshold).join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         extra = written(similarity(rest, texts, size).where(F.col("similarity") >= threshold).select("a", "b"), "extra")
