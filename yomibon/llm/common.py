@@ -6,6 +6,8 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """The rows of df, written to the shared folder and read again: it cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, codec: str = "snappy", paths: list[str] | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: it cuts the lineage and survives lost executors.
+
+    The path is added to `paths`, for those who delete the table once it is used up."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """written(), whose tables are deleted at the end of the block: what leaves it must not read them."""
+    paths: list[str] = []
+    try:
+        yield lambda df, name, **options: written(df, name, paths=paths, **options)
+    finally:
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df, marked for broadcast if its `rows` rows of at most row_bytes are proven to be few; else Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -1,18 +1,21 @@
 """Vectorised helpers for text in Arrow batches: lower-casing, words, word hashes and shingles on UTF-8 bytes.
 
 The word class splits at ASCII bytes only, so bytes decide it: digits, letters and all bytes from
-0x80 on are part of words. Texts are taken in pieces of about `PIECE` bytes to bound the memory
-that the arrays take; a longer text is a piece by itself, never cut.
+0x80 on are part of words. Texts are taken in pieces of about `PIECE` bytes to bound the memory that
+the arrays take; a longer text is a piece by itself, never cut. What they took is given back to the
+system at the end of a task, as workers live on (`tidy`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+#: Bytes of text at a time; the arrays of words and shingles take about fifty times as much.
+PIECE = 1 << 19
 
 _bytes = np.arange(256)
 LOWERED = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint8)
@@ -21,6 +24,20 @@ IN_WORD = ((_bytes >= 48) & (_bytes <= 57)) | ((_bytes >= 65) & (_bytes <= 90))
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def tidy(run: Callable) -> Callable:
+    """The task function, and after its last batch Arrow's and the C library's free memory go back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the GNU library
+            pass
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes about half of the output bits."""
     x = x.astype(np.uint64, copy=True)
