@@ -15,12 +15,16 @@ a Parquet table that Spark's writer commits, so lost executors and any shared st
 Documents are ordered by doc_id (null first), then by a hash of their text. The global offset of
 a document is the sum of its shards', block's and own places; only one row a shard is summed.
 
-Encoding. The byte-level tokenizer cuts a text before each single space, so pieces between spaces
-are encoded once and their ids kept in a bounded memo of the Python worker; texts where a space is
-the middle or end of a run of white space, and other tokenizers, are encoded as a whole.
+Encoding. The ids are those of the tokenizer's plain encode without added special tokens; a special
+token that stands in a text is that token's id, as the plain encode has it. The byte-level tokenizer
+cuts a text before each single space, so pieces between spaces are encoded once a task and their ids
+kept in a memo bounded in bytes; texts where a space is the middle or end of a run of white space,
+texts that hold a special token, and other tokenizers, are encoded as a whole.
 
 Defined results. A null text is empty: only the end id. Rows that repeat a doc_id are documents of
-their own. An empty table makes an empty file. Extra columns are ignored.
+their own, in the order of a hash of their texts; which of equal rows comes first makes no difference.
+A very long text is one row and one block: its ids stand in memory once, and only those. An empty
+table makes an empty file. Extra columns are ignored and may have any names.
 """
 
 from __future__ import annotations
@@ -44,8 +48,8 @@ from .common import BROADCAST_BYTES, shared_dir, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Pieces that a worker remembers; beyond it the memo starts anew.
-MEMO = 600_000
+#: Bytes that a task's memo takes at most; beyond it the memo starts anew. An entry takes its text, its ids and ENTRY.
+MEMO_BYTES, ENTRY = 48 << 20, 200
 SCHEMA = "shard int, block int, shard_start long, bits int, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
 #: A single space that isn't the last of a run of white space.
 UNSAFE = r"\s (?:\s|\Z)"
@@ -110,16 +114,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
         self.bits = width(max(self.tokenizer.get_vocab_size(), 1))
-        self.unsafe = re.compile(UNSAFE)
+        # Added tokens are cut out of a text before anything else, so they may hold spaces or stand beside letters.
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
+        self.unsafe = re.compile("|".join([UNSAFE, *sorted(added, key=len, reverse=True)]))
+        self.forget()
+        self.simple = re.compile(SIMPLE).fullmatch
+
+    def forget(self) -> None:
         self.memo: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
-        self.simple = re.compile(SIMPLE).fullmatch
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,6 +140,7 @@ class Encoder:
             mapped = text.encode().decode("latin-1").translate(BYTE_CHARS)
             ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
             found = self.units[text] = struct.pack(f"<{len(ids)}I", *ids)
+            self.held += ENTRY + len(mapped) + len(found)
         return found
 
     def pieces(self, pieces: list[str]) -> None:
@@ -145,11 +155,12 @@ class Encoder:
             else:
                 odd.append(p)
         memo.update(zip(odd, self.whole([" " + p for p in odd]), strict=True))
+        self.held += sum(ENTRY + 2 * len(p) for p in pieces)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.split(" ") if self.by_piece and not self.unsafe.search(x) else None for x in texts]
-        if len(self.memo) > MEMO:
-            self.memo, self.units = {}, {}
+        if self.held > MEMO_BYTES:
+            self.forget()
         memo = self.memo
         self.pieces(list({p for parts in split if parts for p in itertools.islice(parts, 1, None) if p not in memo}))
         heads = self.whole([parts[0] if parts else text for text, parts in zip(texts, split, strict=True)])
@@ -161,7 +172,7 @@ def encoder(path: str, end_id: int, block_ids: int):
     """Sorted batches of (doc_id, text) -> blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache()  # the tokenizer and its memo serve all tasks of a worker
+        kept = worker_cache()  # the tokenizer serves all tasks of a worker, its memo one
         encode = kept[path] = kept.get(path) or Encoder(path)
         bits = max(encode.bits, width(end_id + 1))
         context = TaskContext.get()
@@ -177,19 +188,22 @@ def encoder(path: str, end_id: int, block_ids: int):
             names = ["shard", "block", "shard_start", "bits", "n_ids", "doc_ids", "n_tokens", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names)
 
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
-                texts = [x or "" for x in some.column(1).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
-                    docs.append(doc_id)
-                    parts.append(np.append(ids, np.uint32(end_id)))
-                    held += len(ids) + 1
-                    if held >= block_ids:
-                        yield close()
-                        block, start, docs, parts, held = block + 1, start + held, [], [], 0
-        if parts:
-            yield close()
+        try:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 256):
+                    some = batch.slice(low, 256)
+                    texts = [x or "" for x in some.column(1).to_pylist()]
+                    for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                        docs.append(doc_id)
+                        parts.append(np.append(ids, np.uint32(end_id)))
+                        held += len(ids) + 1
+                        if held >= block_ids:
+                            yield close()
+                            block, start, docs, parts, held = block + 1, start + held, [], [], 0
+            if parts:
+                yield close()
+        finally:
+            encode.forget()
 
     return run
 
