@@ -78,15 +78,39 @@ def contaminated(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 3 << 10])
-def test_decontaminate(docs, items, empty, block_bytes):
-    got = Counter(map(tuple, decontaminate.contamination(widened(docs), items, block_bytes=block_bytes).collect()))
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 3 << 10, 0])
+def test_decontaminate(docs, items, empty, broadcast_bytes):
+    got = Counter(map(tuple, decontaminate.contamination(widened(docs), items, broadcast_bytes=broadcast_bytes).collect()))
     listed = [tuple(r) for r in items.collect()]
     assert got == Counter((r[0], *contaminated(r[1], listed)) for r in ROWS)
     assert decontaminate.contamination(empty, items).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 0])
+def test_decontaminate_many_windows_and_long_words(spark, broadcast_bytes):
+    """A benchmark of 100,000 windows, and items without spaces, whose words are of any length."""
+    rng = np.random.default_rng(9)
+    body = [f"w{k}" for k in rng.integers(0, 3000, 100_000)]
+    long = ["日本語の長い文" * n for n in rng.integers(1, 400, 25)]
+    listed = [(k, " ".join(body[k * 1000 : k * 1000 + 1009])) for k in range(100)] + [(1000, "、 ".join(long)), (1001, long[0] * 50)]
+    docs = [(1, " ".join(["x", *body[500:530], "y"])), (2, " ".join(body[700:709])), (3, "- ".join(["a", *long[3:20]])), (4, f"{long[0] * 50} end"), (5, " ".join([*body[40_000:40_010], "z", *body[40_995:41_012]])), (6, " ".join(long[3:12]))]
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(listed, "item_id long, text string"), broadcast_bytes=broadcast_bytes).collect()}
+    inside = {}
+    for item, text in listed:
+        w = words(text)
+        for s in range(max(1, len(w) - 9)):
+            inside.setdefault(tuple(w[s : s + 10]), set()).add(str(item))
+    for doc_id, text in docs:
+        w, hit, found = words(text), set(), set()
+        for s in range(len(w)):
+            for n in (1, 10):
+                if s + n <= len(w) and (items := inside.get(tuple(w[s : s + n]))):
+                    hit.update(range(s, s + n))
+                    found |= items
+        assert got[doc_id] == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+
+
 def test_decontaminate_keeps_clean_rows(docs, items):
     kept = decontaminate.keep_clean(widened(docs), items)
     assert kept.columns == [*docs.columns, *CLASHES]

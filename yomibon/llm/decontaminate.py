@@ -8,27 +8,31 @@ joined is the single rarest word. Its offset in the window gives the only possib
 document, so candidates are bounded by position and length, then by the second rarest word at
 its own offset, and what is left is verified word for word.
 
-One pass over the documents: their words are exploded beside the array they came from, probed
-against the broadcast prefix words and verified in the same stage, so neither texts nor words
-are shuffled. The windows are broadcast in blocks of a bounded size; a benchmark beyond one
-block costs one more pass a block.
+The documents are read twice: to count the words of the windows in all of them, and to probe. Either
+time words are exploded beside the array they came from and met with a broadcast table in the same
+stage, so neither texts nor words are shuffled. What is broadcast is measured in bytes. A benchmark
+whose prefixes are too many bytes is probed by 8-byte hashes of its prefix words first, still in one
+pass; only the few words around those that pass are then shuffled to the prefixes.
 
 Defined results. A null or wordless text has 0 words and no hits. Rows that repeat doc_id and
 text get the same result, once a row. An empty benchmark hits nothing. Wordless items have no
 windows. Repeated items with one item_id count once; null item_ids are left out of n_items and
-the digest, though their windows still hit.
+the digest, though their windows still hit. Of words that are equally rare the first by code point is
+the prefix, which changes no result. Text without separators is one word, of any length. A very long
+text is one array of words, in memory by itself. Extra columns, whatever their names, are ignored by
+contamination() and kept by keep_clean().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, bounded, spare_name, words, written
 
 WIDTH = 10
-#: Bytes that a window takes at most in a broadcast table, for words of usual length.
-WINDOW_BYTES = 1 << 10
+#: Bytes of a row of a broadcast table besides its strings, and of a row of one number.
+ROW_BYTES, HASH_BYTES = 64, 16
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -38,60 +42,79 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return listed.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("words")).distinct()
 
 
-def rarity(docs_words: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """(word, n): how often each word of the windows occurs in all documents. small: their words may be broadcast."""
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    side = F.broadcast(vocabulary) if small else vocabulary
-    seen = docs_words.select(F.explode("w").alias("word")).join(side, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return vocabulary.join(seen, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+def total_bytes(df: DataFrame, *strings: str) -> int:
+    """The bytes that df takes in a broadcast, by its strings."""
+    return df.agg(F.sum(sum((F.octet_length(c) for c in strings), F.lit(ROW_BYTES)))).first()[0] or 0
 
 
-def prefixed(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each distinct window with its rarest word and the second rarest, and their offsets."""
+def rarity(docs_words: DataFrame, windows: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, bool]:
+    """(word, n): how often each word of the windows occurs in all documents, written; and whether that is few bytes."""
+    vocabulary = written(windows.select(F.explode("words").alias("word")).distinct(), "vocabulary")
+    small = total_bytes(vocabulary, "word") <= broadcast_bytes
+    # explode_outer, as for explode the words would be made once more to see if there are any.
+    each = docs_words.select(F.explode_outer("w").alias("word"))
+    if small:
+        met = each.join(F.broadcast(vocabulary), "word")
+    else:
+        hashes = written(vocabulary.select(F.xxhash64("word").alias("h")).distinct(), "hashes")
+        met = each.join(bounded(hashes, hashes.count(), HASH_BYTES), F.xxhash64("word") == F.col("h"), "left_semi")
+    seen = met.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return written(vocabulary.join(seen, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")), "rarity"), small
+
+
+def prefixed(windows: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
+    """Each distinct window by its hash, with its rarest word and the second rarest, and their offsets."""
     distinct = windows.select("words").distinct()
-    at = distinct.select("words", F.posexplode("words").alias("pos", "word")).join(counts, "word")
+    at = distinct.select("words", F.posexplode("words").alias("pos", "word")).join(F.broadcast(counts) if small else counts, "word")
     ranked = at.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word", "pos"))).alias("by"))
     first, second = F.col("by")[0], F.get("by", F.lit(1))
     return ranked.select(
-        "words", F.size("words").alias("len"), first["word"].alias("prefix"), first["pos"].alias("at"),
+        F.xxhash64("words").alias("window"), F.size("words").alias("len"), first["word"].alias("prefix"), first["pos"].alias("at"),
         F.coalesce(second["word"], first["word"]).alias("next"), F.coalesce(second["pos"], first["pos"]).alias("next_at"),
-    )
+    ).distinct()
 
 
-def hits(docs_words: DataFrame, windows: DataFrame) -> DataFrame:
-    """docs_words: (key columns..., w). A row for each document and occurrence, and one with null words a document."""
-    keys = [c for c in docs_words.columns if c != "w"]
-    # The empty string is no word, so it stands for the document itself and keeps those without hits.
-    ends = docs_words.select(*keys, "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
-    itself = windows.sparkSession.range(1).select(
-        F.lit(None).cast("array<string>").alias("words"), F.lit(0).alias("len"), F.lit("").alias("prefix"), F.lit(0).alias("at"), F.lit("").alias("next"), F.lit(0).alias("next_at")
-    )
+def fits(around: Column, before: Column, n_words: Column) -> Column:
+    """Whether the prefix word at `pos` of n_words begins a window that lies in the document and has its words; `around` are the words behind place `before`."""
     start = F.col("pos") - F.col("at")  # 1-based, as the document itself is at 0
-    probe = ends.join(F.broadcast(windows.unionByName(itself)), F.col("word") == F.col("prefix"))
-    fits = (start >= 1) & (start + F.col("len") - 1 <= F.size("w"))
-    same = (F.try_element_at("w", F.greatest(start + F.col("next_at"), F.lit(1))) == F.col("next")) & (F.slice("w", F.greatest(start, F.lit(1)), F.col("len")) == F.col("words"))
-    return probe.where((F.col("len") == 0) | (fits & same)).select(*keys, F.size("w").alias("n_words"), start.alias("start"), "len", "words")
+    inside = (start >= 1) & (start + F.col("len") - 1 <= n_words)
+    first = F.greatest(start - before, F.lit(1))
+    return inside & (F.try_element_at(around, first + F.col("next_at")) == F.col("next")) & (F.xxhash64(F.slice(around, first, F.col("len"))) == F.col("window"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def hits(docs_words: DataFrame, entries: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
+    """docs_words: (key columns..., w). A row for each document and occurrence of a window's hash, and one with null words a document."""
+    keys = [c for c in docs_words.columns if c != "w"]
+    # The empty string is no word, so it stands for the document itself and keeps those without hits.
+    ends = docs_words.select(*keys, "w", F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
+    nothing = F.lit(None).cast("array<string>")
+    if total_bytes(entries, "prefix", "next") <= broadcast_bytes:
+        itself = entries.sparkSession.range(1).select(F.lit(0).cast("long").alias("window"), F.lit(0).alias("len"), F.lit("").alias("prefix"), F.lit(0).alias("at"), F.lit("").alias("next"), F.lit(0).alias("next_at"))
+        probe = ends.join(F.broadcast(entries.unionByName(itself)), F.col("word") == F.col("prefix"))
+        found = probe.where((F.col("len") == 0) | fits(F.col("w"), F.lit(0), F.size("w")))
+        start = F.col("pos") - F.col("at")
+        return found.select(*keys, F.size("w").alias("n_words"), start.alias("start"), "len", F.when(F.col("len") > 0, F.slice("w", F.greatest(start, F.lit(1)), F.col("len"))).otherwise(nothing).alias("words"))
+    hashes = written(entries.select(F.xxhash64("prefix").alias("h")).union(entries.sparkSession.range(1).select(F.xxhash64(F.lit("")))).distinct(), "hashes")
+    before = F.greatest(F.col("pos") - width, F.lit(0))
+    met = ends.join(bounded(hashes, hashes.count(), HASH_BYTES), F.xxhash64("word") == F.col("h"), "left_semi")
+    met = written(met.select(*keys, F.size("w").alias("n_words"), "pos", "word", before.alias("before"), F.when(F.col("pos") > 0, F.slice("w", before + 1, 2 * width)).alias("around")), "met")
+    itself = met.where("pos = 0").select(*keys, "n_words", F.lit(0).alias("start"), F.lit(0).alias("len"), nothing.alias("words"))
+    probe = met.where("pos > 0").join(entries, F.col("word") == F.col("prefix")).where(fits(F.col("around"), F.col("before"), F.col("n_words")))
+    start = F.col("pos") - F.col("at")
+    return itself.unionByName(probe.select(*keys, "n_words", start.alias("start"), "len", F.slice("around", F.greatest(start - F.col("before"), F.lit(1)), F.col("len")).alias("words")))
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     listed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    windows = item_windows(items, width).cache()
-    n = windows.count()
-    blocks = -(-n * WINDOW_BYTES // block_bytes) or 1
-    table = prefixed(windows, rarity(listed, windows, small=blocks == 1))
-    found = None
-    if blocks == 1:
-        found = hits(listed, table)
-    else:
-        table = table.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))).cache()
-        for k in range(blocks):
-            part = hits(listed, table.where(F.col("block") == k).drop("block"))
-            found = part if found is None else found.unionByName(part)
+    windows = written(item_windows(items, width), "windows")
+    counts, small = rarity(listed, windows, broadcast_bytes)
+    entries = written(prefixed(windows, counts, small), "prefixes")
+    found = hits(listed, entries, width, broadcast_bytes)
     keys = ["doc_id", "text_key"]
-    found = found.groupBy(*keys, "start", "len", "words").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
-    # Items of a window: a window is in few items as a rule, but a row each keeps that unbounded.
-    owned = found.join(windows, "words", "left")
+    found = written(found.groupBy(*keys, "start", "len", "words").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n")), "hits")
+    # The words decide, not the hash. A window is in few items as a rule, but a row each keeps that unbounded.
+    owned = found.where("len = 0").withColumn("item", F.lit(None).cast("string")).unionByName(found.where("len > 0").join(windows, "words"))
     spans = owned.groupBy(*keys).agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.max(F.when(F.col("len") == 0, F.col("n"))).alias("copies"),
@@ -108,7 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_b
         "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "copies", "text_key",
     )
-    each = F.explode(F.sequence(F.lit(1), (F.col("copies") / blocks).cast("int")))
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return result.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_key", each.alias("copy")).drop("copy", "text_key")
 
 
