@@ -191,6 +191,35 @@ def test_media_shares_chunks(docs):
     assert sorted(sizes.values())[0] == 0  # one of two copies owns the bytes
 
 
+def measured_right(got, rows):
+    by = {}
+    for doc_id, text in rows:
+        by.setdefault(doc_id, []).append(hashlib.sha256(media.payload(text)).hexdigest())
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc_id, []).append(r.payload_sha256)
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in by.items()}
+
+
+def test_media_of_a_chunk_with_many_references(spark):
+    """5,000 documents refer to the chunks of one passage, in ten copies, made in two steps."""
+    passage = "".join(chr(97 + k) for k in np.random.default_rng(5).integers(0, 26, 9000))
+    rows = [(k, passage + f" {k}") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, references = media.stored(docs)
+    assert references.agg(F.max("salts")).first()[0] >= 10
+    measured_right(media.measured(docs).collect(), rows)
+
+
+def test_media_of_documents_with_one_key(spark, monkeypatch):
+    """Documents that share their key by chance are rebuilt all the same."""
+    rng = np.random.default_rng(6)
+    parts = ["".join(chr(97 + k) for k in rng.integers(0, 26, 4000)) for _ in range(6)]
+    rows = [(k, "".join(parts[j] for j in rng.permutation(6)[:3])) for k in range(40)]
+    monkeypatch.setattr(media, "document_key", lambda: F.pmod(F.col("doc_id"), F.lit(7)).cast("long"))
+    measured_right(media.measured(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect(), rows)
+
+
 def test_language(spark, sf_dir, docs, empty):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language.identified(table).collect()

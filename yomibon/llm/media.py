@@ -12,15 +12,21 @@ Storage is two Parquet tables in the shared folder, committed by Spark's writer:
 Chunk digests are deduplicated by Spark joins: of all documents with a digest the least key owns
 it. First only digests are moved; a digest of one document needs no join at all. Bytes are written
 where they are read, and read back where they lie: only chunks that other documents refer to are
-moved to these. So unique bytes are never shuffled.
+moved to these. So unique bytes are never shuffled. A chunk that many refer to is fetched once and
+copied in two steps, so that no task makes more copies than about the root of their number; each copy
+serves REFERENCES documents.
+
+Documents are told apart by a 64-bit hash of id and text. Two that share one by chance both keep the
+chunks that only they have, and what is fetched for one is offered to both: nothing is lost by it.
 
 The stored form of a document is its media file: a header, the chunk list, and the chunks as 8-bit
 samples. It is rebuilt from the packs, every chunk checked against its digest and the payload
 against its length; a mismatch raises an error.
 
 Defined results. A null text is empty: 64 zero bytes. Equal texts give equal values. Rows that
-repeat a doc_id are documents of their own, rows equal in id and text share their chunks. Extra
-columns are ignored.
+repeat a doc_id are documents of their own, rows equal in id and text share their chunks. An empty
+table gives an empty result. A very long text is one payload of many chunks, in memory by itself.
+Extra columns are ignored and may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -154,17 +160,17 @@ def owned(digests: bytes, sizes: list[int], own: list[bool], samples: bytes) ->
 
 
 def fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs with the digests wanted of them -> (digest, salt, bytes)."""
+    """Packs with the digests wanted of them -> (digest, salts, bytes), once each."""
     for batch in batches:
         digests, salts, found = [], [], []
         for row in batch.to_pylist():
             _, held = owned(row["digests"], row["sizes"], row["own"], row["samples"])
             for want in row["wanted"]:
-                for salt in range(want["salts"]):
+                if want["digest"] in held:  # else another document of this key has it
                     digests.append(want["digest"])
-                    salts.append(salt)
+                    salts.append(want["salts"])
                     found.append(held[want["digest"]])
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(salts, pa.int64()), pa.array(found, pa.binary())], ["digest", "salt", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(salts, pa.int64()), pa.array(found, pa.binary())], ["digest", "salts", "bytes"])
 
 
 def rebuilder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +202,17 @@ REFERENCES = 512
 REFERENCE_BYTES = 64
 
 
+def document_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> the written packs, and the references (key, digest, owner, salts) to foreign chunks."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(document_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     listed = written(keyed.mapInArrow(lister, LISTED), "digests")
     shared = listed.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("owner <> last")
-    shared = shared.select("digest", "owner", F.ceil(F.col("n") / REFERENCES).alias("salts"))
-    references = written(listed.join(shared, "digest").where("key <> owner").distinct(), "references")
+    shared = written(shared.select("digest", "owner", F.ceil(F.col("n") / REFERENCES).alias("salts")), "shared")
+    references = written(listed.join(bounded(shared, shared.count(), REFERENCE_BYTES), "digest").where("key <> owner").distinct(), "references")
     foreign = references.groupBy("key").agg(F.collect_list("digest").alias("foreign"))
     packs = keyed.join(bounded(foreign, references.count(), REFERENCE_BYTES), "key", "left").select("key", "doc_id", "text", "foreign").mapInArrow(packer, PACKED)
     return written(packs, "packs", codec="zstd"), references
@@ -213,8 +223,12 @@ def measured(docs: DataFrame) -> DataFrame:
     packs, references = stored(docs)
     n = references.count()
     wanted = references.select("digest", "owner", "salts").distinct().groupBy(F.col("owner").alias("key")).agg(F.collect_list(F.struct("digest", "salts")).alias("wanted"))
+    fetched = packs.join(bounded(wanted, n, REFERENCE_BYTES), "key").select("digests", "sizes", "own", "samples", "wanted").mapInArrow(fetcher, "digest binary, salts long, bytes binary")
     # Rows equal in id and text have one key: any of their packs has the chunk.
-    fetched = packs.join(bounded(wanted, n, REFERENCE_BYTES), "key").select("digests", "sizes", "own", "samples", "wanted").mapInArrow(fetcher, "digest binary, salt long, bytes binary").dropDuplicates(["digest", "salt"])
+    fetched = fetched.dropDuplicates(["digest"])
+    root = F.ceil(F.sqrt("salts"))
+    stems = fetched.withColumn("stem", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("salts") / root) - 1))).repartition("digest", "stem")
+    fetched = stems.select("digest", "bytes", F.explode(F.sequence(F.col("stem") * root, F.least((F.col("stem") + 1) * root, "salts") - 1)).alias("salt"))
     asked = references.select("key", "digest", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"))
     given = asked.join(fetched, ["digest", "salt"]).groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     whole = packs.where(F.forall("own", lambda x: x)).withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>"))
