@@ -1,7 +1,9 @@
 """Each operator against brute force on small tables, with the awkward rows."""
 
 import hashlib
+import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -313,6 +315,186 @@ def test_url_filter(spark):
     assert (r.host, r.path) == ("Ä.example.org", "")
 
 
+def test_url_filter_of_a_table_of_terms(spark):
+    assert len(url_filter.vocabulary()) > 300
+    terms = spark.createDataFrame([("Büro", True, None), ("alt", None, 1.0), ("neu", False, 1.0), ("neu", False, 0.2), ("", True, 1.0), (None, True, 1.0)], "term string, strict boolean, weight double")
+    long = "http://x.net/" + "a/" * 50_000
+    urls = ["http://x.net/b%C3%BCro", "http://x.net/BÜRO-1", "http://x.net/büros", "http://x.net/alt/neu", "http://x.net/alt%2Dalt", "http://x.net/casino", f"{long}büro", long]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] * 2, "page_id long, url string")
+    got = url_filter.judged(pages, terms=terms).collect()
+    assert len(got) == 16 and {r.page_id for r in got if r.verdict == "block"} == {0, 1, 3, 6}
+    assert url_filter.judged(pages.limit(0)).count() == 0
+
+
+def brute_language(rows, text):
+    """(language, probability) by counting the hashed n-grams one at a time."""
+    bits = language.BUCKET_BITS
+
+    def grams(text):
+        last, out = [32, 32], []
+        for x in [*text.encode(), 32]:
+            now = x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32
+            if now != 32 or last[1] != 32:
+                two = now | last[1] << 8
+                three = two | (32 if last[1] == 32 else last[0]) << 16 | 1 << 24
+                out += [two * 0x9E3779B1 % (1 << 32) >> 32 - bits, three * 0x85EBCA6B % (1 << 32) >> 32 - bits]
+            last = [last[1], now]
+        return out
+
+    counts, docs = {}, Counter()
+    for lang, body in rows:
+        counts.setdefault(lang, Counter()).update(grams(body))
+        docs[lang] += 1
+    total = {x: math.log(docs[x] / sum(docs.values()) + 1e-9) + sum(math.log((c[g] + language.ALPHA) / (sum(c.values()) + language.ALPHA * 2**bits)) for g in grams(text)) for x, c in counts.items()}
+    best = min(total, key=lambda x: (-total[x], x))
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_language_equals_brute_force(spark):
+    rng = np.random.default_rng(10)
+    letters = {"aa": "abcde ", "bb": "cdefgé ", "cc": "xyzñ "}
+    rows = [(k, "".join(rng.choice(list(letters[x]), 60)), x) for k, x in enumerate(rng.choice(["aa", "bb", "cc"], 80))]
+    rows += [(100, "", "dd"), (101, "123", "aa"), (102, "abc", None), (103, None, "aa")]
+    known = [(r[2], r[1]) for r in rows if r[1] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 5]
+    got = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for doc_id, text, _ in rows:
+        if not any(x.isalpha() for x in text or ""):
+            assert (got[doc_id].lang_pred, got[doc_id].score) == ("und", 0.0)
+        else:
+            lang, score = brute_language([x for x in known if x[0] != "dd"] if not any(x[0] == "dd" and x[1] for x in known) else known, text)
+            assert got[doc_id].lang_pred == lang and got[doc_id].score == pytest.approx(score, abs=2e-3)
+
+
+def test_language_learns_rare_languages(spark):
+    rows = [(k, f"the words of this text and number {k} of them", "en") for k in range(3000)] + [(5000 + k, f"tämä on suomenkielinen teksti ja sen sanat yö {k}", "fi") for k in range(6)]
+    rows += [(6000 + k, f"lang{k} " + chr(0x400 + k) * 30, f"x{k}") for k in range(300)]
+    rows += [(9000, "tämä on suomenkielinen teksti", None), (9001, "zzz qqq xxx vvv", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(docs, sample_rows=100).collect()}
+    assert got[9000][0] == "fi" and {got[5000 + k][0] for k in range(6)} == {"fi"}
+    learned = {r[2] for r in rows if r[2] and r[2][0] == "x" and zlib.crc32(str(r[0]).encode()) % 5}
+    assert len(learned) > 200 and all(got[r[0]][0] == r[2] for r in rows if r[2] in learned)
+
+
+def brute_clause(words_of, insults):
+    """The grammar's score of one clause, by its rules."""
+    target = any(w in toxicity.TARGETS for w in words_of)
+    score, reach, share = 0.0, 0, 1.0
+    for w in words_of:
+        if w in toxicity.NEGATIONS:
+            reach = toxicity.NEGATION_REACH + 1
+            continue
+        if w in toxicity.REPORTS:
+            share = toxicity.REPORTED
+        elif w in toxicity.THREATS:
+            score += toxicity.THREAT * share if target else 0.0
+        elif w in insults:
+            score += insults[w] * share * (toxicity.NEGATED if reach else 1.0) * (toxicity.TARGETED if target else 1.0)
+        reach = max(0, reach - 1)
+    return score
+
+
+def test_toxicity_transducers_equal_rules():
+    rng = np.random.default_rng(11)
+    insults = {"oaf": 2.0, "lump": 3.5}
+    found = toxicity.Grammar({f"{w} ": v for w, v in insults.items()}).automaton()
+    for _ in range(3000):
+        clause = rng.choice(["oaf", "lump", "kill", "you", "not", "said", "a", "so", "the", "day"], rng.integers(1, 14)).tolist()
+        text = " ".join(clause)
+        stood = toxicity.terminals(found[0], text)
+        want = brute_clause(clause, insults)
+        assert not stood or toxicity.clause_score(found[1], stood, text)[0] == pytest.approx(want)
+        row = toxicity.features(found, f"{text}. Fine day\n{text}! {text}")
+        assert row[0] == pytest.approx(np.log1p(3 * want)) and row[1] == pytest.approx(want / 4)
+
+
+def test_toxicity_learns_by_counts(spark):
+    """The terminals and their weights, against counts of all documents; a prefix of one insult is no stem."""
+    rng = np.random.default_rng(12)
+    plain = [f"p{k}a" for k in range(40)]
+    insult = ["pathetic", "worthless", "grobian", "grobianin", "grobiane", "grobianisch"]
+    rows, marks = [], []
+    for k in range(400):
+        toxic = int(k % 4 == 0)
+        body = [*rng.choice(plain, 20), *(rng.choice(insult, 3) if toxic else ["path"] * (k % 3 == 0))]
+        rows.append((k, " ".join(rng.permutation(body))))
+        marks.append((k, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    grammar = toxicity.learn(docs, labels)
+    known = [(set(words(t)), y) for (k, t), (_, y) in zip(rows, marks, strict=True) if zlib.crc32(str(k).encode()) % 5]
+    n = Counter(y for _, y in known)
+    for term, weight in grammar.insults.items():
+        held = Counter(y for w, y in known if (term[:-1] in w if term.endswith(" ") else any(x.startswith(term) and x != term for x in w)))
+        odds = math.log((held[1] + 0.5) / (n[1] + 1)) - math.log((held[0] + 0.5) / (n[0] + 1))
+        assert weight == pytest.approx(odds - toxicity.Z * math.sqrt(1 / (held[1] + 0.5) + 1 / (held[0] + 0.5)))
+    stems = {t for t in grammar.insults if not t.endswith(" ")}
+    assert {f"{w} " for w in insult} <= set(grammar.insults) and "grob" in stems and not any(s.startswith(("path", "wort")) for s in stems)
+    score = lambda text: float(toxicity.probability(np.array([toxicity.features(grammar.automaton(), text)]), np.array(grammar.coefficients))[0])
+    assert score("The garden path is worth the walk.") < 0.5 < score("What a grobianer, pathetic")
+    twice = docs.unionByName(docs.where("doc_id = 4")).unionByName(docs.where("doc_id = 4").withColumn("text", F.lit("zz other")))
+    assert toxicity.scored(twice, labels).count() == 402
+
+
+def test_licences_of_wrapped_notices(spark):
+    """Where lines break makes no difference, nor how rows are dealt."""
+    rows, want = [], {}
+    for family, templates in licences.TEMPLATES.items():
+        for template in templates:
+            for text in (template, f"Some words\n\n{textwrap.fill(template, 40)}\n\nOther words", "# " + textwrap.fill(template, 60).replace("\n", "\n# "), f"It is so: {template} And more words follow it."):
+                want[len(rows)] = family
+                rows.append((len(rows), text))
+    want |= {len(rows): "", len(rows) + 1: ""}
+    rows += [(len(rows), "Free software and the general public: this work is of the author."), (len(rows) + 1, "Released under the. MIT\n\nLicense")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, seven = ({r.doc_id: tuple(r) for r in licences.scanned(docs.coalesce(1) if n == 1 else docs.repartition(n)).collect()} for n in (1, 7))
+    assert {k: r[3] for k, r in one.items()} == want and one == seven
+
+
+def brute_licences(model, text):
+    """The scan of one text with a trained model, sentence by sentence, word by word."""
+    weights = {int(h): model.weights[k] for k, h in enumerate(model.vocabulary)}
+    known = {int(x) for x in model.known}
+    n_paragraphs, found = 0, []
+    for paragraph in re.split(r"(?<=\n)(?:[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)", text or ""):
+        n_paragraphs += bool(words(paragraph))
+        for sentence in re.split(r"(?<=[.!?])(?=[\x09-\x0D ])", paragraph):
+            w = words(sentence)
+            if not w:
+                continue
+            read = licences.of_texts([" ".join(w)])
+            hits = [k for k, x in enumerate(read.two.tolist()) if x in known]
+            run = []
+            for k in [*hits, None]:
+                if run and (k is None or k - run[-1] > licences.REACH):
+                    if len(run) > 1:
+                        one, two = read.one[run[0] : run[-1] + 2], read.two[run[0] : run[-1] + 1]
+                        total = sum(weights[x] for x in {*one.tolist(), *two.tolist()} if x in weights)
+                        total = total + np.mean([x not in weights for x in one.tolist()]) * model.weights[-2] + model.weights[-1]
+                        p = np.exp(total - total.max())
+                        p /= p.sum()
+                        best = int(p[:-1].argmax())
+                        share = max(np.mean([x in set(two.tolist()) for x in t.tolist()]) for t in model.pairs[best])
+                        if p[best] >= model.least and best == p.argmax() and share >= licences.CONTAINED:
+                            found.append((model.families[best], p[best]))
+                    run = []
+                if k is not None:
+                    run.append(k)
+    return n_paragraphs, len(found), ",".join(sorted({f for f, _ in found})), max((p for _, p in found), default=0.0)
+
+
+def test_licences_equal_brute_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(13)
+    parts = [t for x in licences.TEMPLATES.values() for t in x] + ["Some words. And others", "the license of this work", "\n\n", "\n", ". ", "\n # \n", "This program is free"]
+    rows = [(10_000 + k, " ".join(rng.choice(parts, rng.integers(1, 9)))) for k in range(150)] + [(20_000, None), (20_001, "")]
+    docs = table.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    model = licences.train(docs)
+    shared = spark.sparkContext.broadcast(model)
+    for r in docs.mapInArrow(licences.scanner(shared), licences.SCANNED).join(docs, "doc_id").collect():
+        want = brute_licences(model, r.text)
+        assert (r.n_paragraphs, r.n_notices, r.licences) == want[:3] and r.score == pytest.approx(want[3]), r.text
+
+
 def test_licences(docs, empty, spark):
     texts = ["Fine words.\nReleased under the MIT License.\nMore words", "the license of a released work under version", "x This work is licensed under the GNU General Public License, version 3. y", "", None, "Licensed under CC BY-NC 4.0.\nAll rights reserved."]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")

@@ -1,14 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Features are the 2-grams and 3-grams of bytes, within a word and its edges, of lower-cased letters,
-hashed into 2**BUCKET_BITS buckets. Training counts them by language over a bounded sample of
-labelled rows, summed by Spark; the model is one log-probability matrix [buckets, languages] of
-fixed size, broadcast to the tasks. A batch of texts is scored as a sparse product: gather the
-matrix rows of all n-grams, sum them by document. Whole texts are read, in pieces of bounded size.
+hashed into 2**BUCKET_BITS buckets. Training counts them by language over a bounded sample of labelled rows,
+summed by Spark. The sample is drawn by language, in equal shares, so a rare language has all its rows
+in it. The model is one log-probability matrix [buckets, languages], 128 KB a language, broadcast to
+the tasks. A batch of texts is scored as a sparse product: gather the matrix rows of all n-grams, sum
+them by document. Whole texts are read, in pieces of bounded size.
 
 Defined results. A null text, or one without a letter, is `und` with score 0. The score is the
-posterior probability of the predicted language. Ties go to the language first by code point. With
-no labelled rows everything is `und`. Extra columns are ignored; each row gets its own result.
+posterior probability of the predicted language. Ties go to the language first by code point. A
+language whose rows have no letter is not learned; with no labelled rows everything is `und`. Rows with
+a null lang or doc_id don't train. Rows that repeat a doc_id each get their own result. A very long text
+is one piece, in memory by itself. Extra columns are ignored, by keep_identified() kept, and may have
+any names.
 """
 
 from __future__ import annotations
@@ -18,19 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
 
 BUCKET_BITS = 15
-#: At most about this many labelled rows are read for training.
-SAMPLE_ROWS = 20_000
+#: At most about this many labelled rows are read for training, and of each language so many at least.
+SAMPLE_ROWS, LEAST_ROWS = 20_000, 50
 #: Smoothing count added to every bucket.
 ALPHA = 0.5
 UNDETERMINED = "und"
-#: Languages that a model tells apart at most; further labels are the rarest and are left out.
-MAX_LANGUAGES = 256
 FOLDS = 5
 
 
@@ -92,26 +94,37 @@ class Model:
         self.prior = np.log(documents / max(1, documents.sum()) + 1e-9)
 
 
+def hash_share(part: Column | float) -> Column:
+    """Whether a doc_id is in the given part of all, by its hash."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < part * float(1 << 40)
+
+
 def sample(rows: DataFrame, n: int, *, bound: int) -> DataFrame:
     """About `bound` of n rows, chosen by a hash of doc_id."""
-    part = int(min(1.0, bound / max(1, n)) * 1_000_000)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
+    return rows.where(hash_share(F.lit(min(1.0, bound / max(1, n)))))
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """docs (doc_id, text, lang): a model of the labelled rows outside fold 0."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold(F.col("doc_id")) != 0, F.lit(False)))
-    by = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not by:
+    # A row a language; their number is that of the labels in use, not of documents.
+    numbers = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not numbers:
         return None
-    numbers = dict(sorted((r.lang, r.n) for r in by))
-    languages = list(numbers)
-    chosen = sample(labelled, sum(numbers.values()), bound=sample_rows).select("lang", "text")
-    # The result has a fixed number of cells, whatever the input.
+    languages = sorted(numbers)
+    # Each language has the same share of the sample, and all its rows if these are fewer.
+    bound = max(LEAST_ROWS, sample_rows // len(languages))
+    parts = docs.sparkSession.createDataFrame([(lang, min(1.0, bound / n)) for lang, n in numbers.items()], "of string, part double")
+    chosen = labelled.select("doc_id", "lang", "text").join(F.broadcast(parts), F.col("lang") == F.col("of")).where(hash_share(F.col("part"))).select("lang", "text")
+    # The result has a fixed number of cells a language, whatever the input.
     cells = chosen.mapInArrow(counter(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) << BUCKET_BITS, np.float64)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
-    return Model(languages, counts, np.array(list(numbers.values()), np.float64))
+    known = counts.reshape(len(languages), -1).sum(axis=1) > 0
+    if not known.any():
+        return None
+    kept = [lang for lang, has in zip(languages, known, strict=True) if has]
+    return Model(kept, counts.reshape(len(languages), -1)[known].ravel(), np.array([numbers[x] for x in kept], np.float64))
 
 
 def scorer(model):

@@ -2,12 +2,15 @@
 
 A rule is (verdict, host, path): it fits its host and all subdomains if the URL's path starts with
 the rule's; of several the longest wins. Without a rule, one automaton finds all vocabulary terms of
-the lower-cased URL in one pass; a hit counts only between boundaries (no letter or digit beside it).
-One strict term blocks, and so do `SOFT_LIMIT` or more distinct soft terms, weighted.
+the lower-cased URL, its %-escapes decoded, in one pass; a hit counts only between boundaries (no letter
+or digit beside it). One strict term blocks, and so do `SOFT_LIMIT` or more distinct soft terms of
+`SOFT_WEIGHT` together. The vocabulary is a parameter: a table of weighted terms, or the built-in one,
+made of roots in four languages and their endings.
 
 Defined results. A URL that is null or has no `://` has an empty host and path; null has no hits and
 is allowed. Terms may overlap; each distinct soft term counts once. Repeated rows each get their
-result. Extra columns are ignored.
+result; an empty table gives an empty result. A very long URL is read as a whole. Extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +25,32 @@ from .common import ascii_lower
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-# Terms that block by themselves, and terms that block together with others, with their weights.
-STRICT = ("casino", "casinos", "malware", "phishing", "poker", "porn", "porno", "spam", "viagra", "warez", "xxx")
-SOFT = {
-    "ads": 1.0, "adult": 1.0, "bet": 1.0, "bets": 1.0, "bonus": 1.0, "cheap": 1.0, "click": 0.5, "crack": 1.0, "deals": 0.5, "discount": 0.5,
-    "escort": 1.5, "farm": 0.5, "free": 0.5, "jackpot": 1.5, "keygen": 1.5, "loan": 1.0, "loans": 1.0, "lottery": 1.0, "lucky": 0.5, "pills": 1.5,
-    "sex": 1.5, "slots": 1.5, "torrent": 1.0, "track": 1.0, "tracker": 1.0, "win": 1.0, "winner": 1.0,
-}
+# Roots of terms that block by themselves, and of terms that block together with others, by weight; in English, German, French and Spanish.
+STRICT_ROOTS = (
+    "casino poker porn porno pornografie pornographie pornografía xxx xvideo camgirl malware phishing spyware ransomware botnet viagra cialis warez spam "
+    "glücksspiel spielcasino sportwette sexkontakt hurenführer raubkopie "
+    "paristurf jeuxdargent sexeamateur logicielpirate "
+    "casinoenlínea apuestasdeportivas putita pirateado"
+).split()
+SOFT_ROOTS = {
+    1.5: "sex sexy escort jackpot keygen pill slot nude erotik erotic érotique erótico roulette blackjack betting wette pari apuesta steroid potenzmittel pilule pastilla",
+    1.0: "ad adult bet bonus cheap crack crypto loan kredit crédit préstamo lottery lotterie loterie lotería gamble torrent track tracker win winner gewinn gagnant ganador prize preis prix premio replica rolex weightloss abnehmen maigrir adelgazar dating hookup singles rencontre citas forex payday clickbait giveaway gratuit gratis kostenlos billig barato solde rabatt",
+    0.5: "click deal discount farm free lucky offer angebot offre oferta promo coupon gutschein popup banner download télécharger descargar herunterladen",
+}
+#: What a root may end in; a term is a root with one of them.
+ENDINGS = ("", "s", "es", "en", "er")
+
+
+def vocabulary() -> list[tuple[str, bool, float]]:
+    """(term, strict, weight): every root with every ending; of two weights of a term the greater counts, strict ones first."""
+    found: dict[str, tuple[bool, float]] = {}
+    listed = [(root, True, 0.0) for root in STRICT_ROOTS] + [(root, False, weight) for weight, roots in SOFT_ROOTS.items() for root in roots.split()]
+    for root, strict, weight in listed:
+        for ending in ENDINGS:
+            found[root + ending] = max(found.get(root + ending, (False, 0.0)), (strict, weight))
+    return [(term, *found[term]) for term in sorted(found)]
+
+
 #: The least number of distinct soft terms, and the least sum of their weights.
 SOFT_LIMIT, SOFT_WEIGHT = 2, 1.5
 
@@ -52,28 +74,28 @@ def matched_rule(at_host: Column, at_path: Column, rules=RULES) -> Column:
     return result
 
 
-def term_scorer(strict: tuple[str, ...], soft: dict[str, float]) -> Callable:
+def term_scorer(terms: list[tuple[str, bool, float]]) -> Callable:
     """A function of URL batches: strict hits, distinct soft hits and their weight."""
 
     @F.pandas_udf("n_strict int, n_soft int, soft_weight double")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
+        from urllib.parse import unquote
 
         automaton = ahocorasick.Automaton()
-        for term in {*strict, *soft}:
-            automaton.add_word(term, term)
+        for term, strict, weight in terms:
+            automaton.add_word(term, (term, strict, weight))
         automaton.make_automaton()
-        hard = set(strict)
 
         def one(url: str | None) -> tuple[int, int, float]:
-            text = (url or "").lower()
+            text = unquote(url or "").lower()
             found = set()
-            for end, term in automaton.iter(text):
-                start = end - len(term)
+            for end, entry in automaton.iter(text):
+                start = end - len(entry[0])
                 if (start < 0 or not text[start].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-                    found.add(term)
-            light = [t for t in found if t not in hard]
-            return len(found) - len(light), len(light), sum(soft[t] for t in light)
+                    found.add(entry)
+            light = [weight for _, strict, weight in sorted(found) if not strict]
+            return len(found) - len(light), len(light), sum(light)
 
         for urls in batches:
             yield pd.DataFrame([one(u) for u in urls], columns=["n_strict", "n_soft", "soft_weight"])
@@ -81,9 +103,25 @@ def term_scorer(strict: tuple[str, ...], soft: dict[str, float]) -> Callable:
     return hits
 
 
-def judged(pages: DataFrame, rules=RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] = SOFT) -> DataFrame:
-    """pages (page_id, url) -> page_id, host, path, rule, verdict, n_strict, n_soft."""
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), term_scorer(strict, soft)(F.col("url")).alias("hits"))
+#: Terms of a vocabulary table at most, as it is sent to every task.
+MOST_TERMS = 1_000_000
+
+
+def terms_of(table: DataFrame) -> list[tuple[str, bool, float]]:
+    """A vocabulary table (term, strict, weight): a list of block terms, not of documents. One beyond MOST_TERMS is refused, not cut."""
+    rows = table.select(F.lower("term").alias("term"), F.coalesce("strict", F.lit(False)), F.coalesce("weight", F.lit(0.0)).cast("double")).where("term <> ''").distinct()
+    if rows.count() > MOST_TERMS:
+        raise ValueError(f"the vocabulary has more than {MOST_TERMS} terms")
+    best: dict[str, tuple[bool, float]] = {}
+    for term, strict, weight in rows.collect():
+        best[term] = max(best.get(term, (False, 0.0)), (strict, weight))
+    return [(term, *best[term]) for term in sorted(best)]
+
+
+def judged(pages: DataFrame, rules=RULES, terms: DataFrame | None = None) -> DataFrame:
+    """pages (page_id, url) -> page_id, host, path, rule, verdict, n_strict, n_soft. terms: a vocabulary table, or vocabulary()."""
+    known = vocabulary() if terms is None else terms_of(terms)
+    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), term_scorer(known)(F.col("url")).alias("hits"))
     rows = rows.withColumn("ruled", matched_rule(F.col("host"), F.col("path"), rules))
     bad = (F.col("hits.n_strict") > 0) | ((F.col("hits.n_soft") >= SOFT_LIMIT) & (F.col("hits.soft_weight") >= SOFT_WEIGHT))
     verdict = F.coalesce(F.col("ruled.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict")
@@ -92,14 +130,14 @@ def judged(pages: DataFrame, rules=RULES, strict: tuple[str, ...] = STRICT, soft
 
 def _sql() -> str:
     """The same in DuckDB's SQL; the vocabulary becomes a table."""
-    terms = ", ".join(f"('{t}', {t in STRICT}, CAST({SOFT.get(t, 0.0)} AS DOUBLE))" for t in [*STRICT, *SOFT])
+    terms = ", ".join(f"('{t}', {strict}, CAST({weight} AS DOUBLE))" for t, strict, weight in vocabulary())
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in ordered]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True)) + " END"
     said = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True)) + " END"
     return rf"""
 WITH terms(term, strict, weight) AS (VALUES {terms}),
-p AS (SELECT row_number() OVER () AS k, page_id, lower(coalesce(url, '')) AS low,
+p AS (SELECT row_number() OVER () AS k, page_id, lower(url_decode(coalesce(url, ''))) AS low,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 h AS (SELECT k, CAST(sum(CASE WHEN strict THEN 1 ELSE 0 END) AS INTEGER) AS n_strict, CAST(sum(CASE WHEN strict THEN 0 ELSE 1 END) AS INTEGER) AS n_soft, sum(weight) AS weight
