@@ -69,14 +69,64 @@ def test_metadata_rules_bookmarks(spark):
 
 def test_writers(spark, tmp_path):
     chapters = spark.createDataFrame([("b", 2, "f2", "Two"), ("b", 1, "f1", "One!"), ("b", None, "f0", "End"), ("b", 2, "f3", "Two")], "book string, index int, file string, title string")
-    tracks = json.loads(books.manifest(chapters, "A", "B").first().json)["tracks"]
-    assert [t["file"] for t in tracks] == ["f1", "f2", "f3", "f0"]
-    assert sorted(r.name for r in books.basenames(chapters.where("index is not null")).collect()) == ["001_One", "002_Two", "002_Two_2"]
+    named = spark.createDataFrame([("b", "A", "B")], "book string, title string, author string")
+    listed = json.loads(books.manifest(chapters, named).first().json)
+    assert [t["file"] for t in listed["tracks"]] == ["f1", "f2", "f3", "f0"] and (listed["album"], listed["artist"]) == ("A", "B")
+    sourced = chapters.where("index is not null").withColumn("source", F.concat(F.lit("x/"), "file", F.lit(".xhtml")))
+    assert sorted(r.name for r in books.basenames(sourced).collect()) == ["001_One", "002", "002_Two"]
     books.write_package(chapters, str(tmp_path / "p"))
     books.write_package(chapters.where("book = 'none'").unionByName(chapters.limit(0)), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
 
 
+def test_shelf_and_text_files(spark, tmp_path):
+    with pytest.raises(ValueError):
+        epub.shelf(spark, str(tmp_path))
+    for name in ("b.EPUB", "a.epub", "c.txt", "c.original.txt", "c.partial.txt"):
+        (tmp_path / name).write_bytes("\n 題 \nx".encode() + b"\xff" + "\ufffd".encode())
+    assert [r.path.rpartition("/")[2] for r in epub.shelf(spark, str(tmp_path)).collect()] == ["a.epub", "b.EPUB"]
+    assert [(r.path.rpartition("/")[2], r.text) for r in books.text_files(spark, str(tmp_path)).collect()] == [("c.txt", "\n 題 \nx\ufffd")]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(str(tmp_path)).select("path", books.utf8_text("content").alias("text"))
+    none = books.metadata(spark.createDataFrame([], "book string, json string"))
+    assert [(r.file, r.chapter_title) for r in books.listed(files, none).collect()] == [("c.txt", "題")]
+    assert books.json_files(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_streams_of_files_and_timeouts(spark, tmp_path):
+    import pandas as pd
+
+    from yomibon.streaming import progress
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mp3").write_bytes(b"123")
+    (tmp_path / "in" / "b.txt").write_bytes(b"1")
+    rows = progress.run_to_end(progress.mirrored(spark, str(tmp_path / "in")), "mirror", mode="append").collect()
+    assert [(r.path.rpartition("/")[2], r.length) for r in rows] == [("a.mp3", 3)]
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, millis):
+            self.millis = millis
+
+    state = State()
+    batch = lambda *kinds: iter([pd.DataFrame({"ts": range(len(kinds)), "event_id": range(len(kinds)), "event_type": kinds})])
+    step = lambda *kinds: next(progress.job_step((7,), batch(*kinds), state))["status"].iloc[0]
+    assert step("signup", "click") == "running" and state.millis == 600_000
+    state.hasTimedOut = True
+    assert step() == "timeout"
+    state.hasTimedOut = False
+    assert step("purchase") == "timeout" and state.get == ("timeout", 3)  # what timed out stays so
+    other = State()
+    state = other
+    assert step("purchase") == "done"
+    state.hasTimedOut = True
+    assert step() == "done"
+
+
 def test_upsert_and_bookmarks(spark):
     current = spark.createDataFrame([("speed", 1.0), ("pitch", 0.0)], "key string, value double")
     changes = spark.createDataFrame([("speed", None), ("volume", 2.0)], "key string, value double")

@@ -9,21 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import schema
 from .intervals import overlap_join
+from .tokens import found_words
 
 LIMIT = 360
 # Marks that end a sentence, and marks that end a clause.
-SENTENCE, CLAUSE = "。！？!?.", "、，,;；:："
+SENTENCE, CLAUSE = "\n。！？!?…‼⁉⁈｡", "、，､,;；:：・—─"
 BLOCK = re.compile(r"\S(?:[^\n]|\n(?!\s*(?:\n|\Z)))*")
 
 
 def cut_at(text: str, limit: int) -> int:
     """Where to cut a text that is too long: after the last sentence mark, else clause mark, else at the limit."""
     for marks in (SENTENCE, CLAUSE):
-        at = max(text.rfind(m, 0, limit) for m in marks) + 1
+        at = max(text.rfind(m, 1, limit) for m in marks) + 1  # a mark that begins the text ends nothing
         if at:
             return at
-    return limit
+    return max(1, limit)
 
 
 def split_text(text: str, limit: int = LIMIT) -> list[tuple[str, int, int]]:
@@ -42,6 +44,42 @@ def split_text(text: str, limit: int = LIMIT) -> list[tuple[str, int, int]]:
     return found
 
 
+def line_blocks(text: str) -> list[dict]:
+    """Runs of lines that aren't blank: the first line's number, the lines, and their characters without line ends."""
+    found, last = [], -2
+    for i, line in enumerate(text.split("\n")):
+        if line.strip(" "):
+            if last != i - 1:
+                found.append({"first_line": i, "n_lines": 0, "n_chars": 0})
+            found[-1]["n_lines"] += 1
+            found[-1]["n_chars"] += len(line)
+            last = i
+    return found
+
+
+@F.pandas_udf(schema.rows("first_line long, n_lines long, n_chars long"))
+def blocks_of_lines(texts: pd.Series) -> pd.Series:
+    return texts.map(line_blocks, na_action="ignore")
+
+
+def chunk_spans(text: str) -> list[dict]:
+    """The words of each chunk, cut to it; both come in order, so one pass over each does."""
+    words, found, first = found_words(text), [], 0
+    for k, (_, start, end) in enumerate(split_text(text)):
+        while first < len(words) and words[first]["end"] <= start:
+            first += 1
+        for i in range(first, len(words)):
+            if words[i]["start"] >= end:
+                break
+            found.append({"chunk_idx": k, "token_idx": i, "c_start": max(words[i]["start"], start) - start, "c_end": min(words[i]["end"], end) - start})
+    return found
+
+
+@F.pandas_udf(schema.rows("chunk_idx long, token_idx long, c_start long, c_end long"))
+def words_of_chunks(texts: pd.Series) -> pd.Series:
+    return texts.map(chunk_spans, na_action="ignore")
+
+
 @F.pandas_udf(T.ArrayType(T.StructType().add("text", "string").add("start", "long").add("end", "long")))
 def speech_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: [{"text": t, "start": a, "end": b} for t, a, b in split_text(x)], na_action="ignore")
@@ -67,8 +105,8 @@ def pitch_signature(parts: Column) -> Column:
 
 
 def accent_index(accent: Column, moras: Column) -> Column:
-    """A flat accent (0 or less) falls on the last mora; others stay within 1 and the number of moras."""
-    return F.when(accent <= 0, moras).otherwise(F.greatest(F.lit(1), F.least(accent, moras)))
+    """A flat accent (0 or less) falls on the last mora; others stay within 1 and the number of moras. Null stays null."""
+    return F.when(accent <= 0, moras).when(accent.isNotNull(), F.greatest(F.lit(1), F.least(accent, moras)))
 
 
 def phrase_accents(phrases: DataFrame, tokens: DataFrame, *keys: str) -> DataFrame:

@@ -2,154 +2,283 @@
 
 Each rule sees the edits of those before it and moves every later offset, so a chapter is one group;
 chapters run in parallel. Rules are a small list, sent with the function.
+
+Columns of a chapter's tokens: `start` and `end` in the text as it is now, `o_start` and `o_end` in the
+text it was made from, `surface`, `reading`, `fallback_reading`, `accent`, `pos`, `source`. Those that
+the input lacks are null, `o_start` and `o_end` then `start` and `end`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .alignment import offset_mapper
 
-TOKEN_COLUMNS = ["surface", "reading", "accent", "start", "end", "source"]
-SCHEMA = "text string, surface string, reading string, accent long, start long, end long, source string"
+TOKEN_COLUMNS = ["surface", "reading", "fallback_reading", "accent", "pos", "start", "end", "o_start", "o_end", "source"]
+NUMBERS = ["accent", "start", "end", "o_start", "o_end"]
 
 
 class Chapter:
-    """A text and its tokens, by offsets in the text."""
+    """A text and its tokens, by offsets in the text; `original` is the text it was made from, if that is known."""
 
-    def __init__(self, text: str, tokens: list[dict]):
-        self.text = text
-        self.tokens = sorted(tokens, key=lambda t: (t["start"], t["end"]))
+    def __init__(self, text: str, tokens: list[dict], original: str | None = None):
+        self.text, self.original = text, original
+        self.tokens = sorted(({**dict.fromkeys(TOKEN_COLUMNS), **t} for t in tokens), key=place)
+        for t in self.tokens:
+            t["o_start"] = t["start"] if t["o_start"] is None else t["o_start"]
+            t["o_end"] = t["end"] if t["o_end"] is None else t["o_end"]
 
-    def replace(self, start: int, end: int, new: str) -> None:
-        """Puts `new` in place and moves every offset from the end on."""
+    def replace(self, start: int, end: int, new: str, leave: dict | None = None) -> None:
+        """Puts `new` in place and moves every offset from the end on, but those of one token."""
         self.text = self.text[:start] + new + self.text[end:]
         delta = len(new) - (end - start)
         for t in self.tokens:
-            for side in ("start", "end"):
-                if t[side] >= end:
-                    t[side] += delta
+            for side in ("start", "end") if t is not leave else ():
+                t[side] += delta if t[side] >= end else 0
 
-    def override(self, rule: dict) -> None:
-        pattern = re.compile(rule["pattern"] if rule.get("regex") else re.escape(rule["pattern"]))
-        seen = self.update(rule, pattern)
-        self.insert(rule, pattern, seen)
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        """Where a span of the text comes from."""
+        if self.original is None:
+            return start, end
+        mapped = offset_mapper(self.original, self.text)
+        a = min(mapped(start), len(self.original))
+        return a, max(a, min(mapped(end), len(self.original)))
 
-    def update(self, rule: dict, pattern: re.Pattern) -> set[int]:
-        """First pass: tokens whose reading matches take the rule's reading, accent and text."""
-        done = set()
-        for t in self.tokens:
-            wanted = rule.get("match_surface") or rule.get("surface")
-            if wanted and t["surface"] != wanted:
-                continue
-            if not (pattern.search(t["reading"] or "") if rule.get("regex") else t["reading"] == rule["pattern"]):
+    def override(self, rule: dict, source: str | None = None) -> None:
+        """One rule; with a source only tokens of that source take part, as with the rule's own."""
+        wanted = {x.strip().lower() for x in (rule.get("source"), source) if x and x.strip()}
+        concerned = lambda t: all((t["source"] or "").lower() == x for x in wanted)
+        self.update(rule, concerned)
+        self.insert(rule, concerned, bool(wanted), source is not None)
+
+    def update(self, rule: dict, concerned) -> None:
+        """First pass: tokens whose reading matches take what the rule gives, and its text."""
+        new = replacement(rule)
+        for t in sorted((t for t in self.tokens if t["end"] > t["start"]), key=place):
+            if not concerned(t) or not fits(t, self.text[t["start"] : t["end"]], rule):
                 continue
-            new = rule.get("replacement") or rule.get("reading")
-            if new and new != self.text[t["start"] : t["end"]]:
-                start, end = t["start"], t["end"]
-                self.replace(start, end, new)
-                t["start"], t["end"] = start, start + len(new)
-            t["reading"] = rule.get("reading") or rule.get("replacement") or t["reading"]
-            t["accent"] = t["accent"] if rule.get("accent") is None else rule["accent"]
-            done.add(id(t))
-        return done
-
-    def insert(self, rule: dict, pattern: re.Pattern, done: set[int]) -> None:
+            if new is not None and new != self.text[t["start"] : t["end"]]:
+                start = t["start"]
+                self.replace(start, t["end"], new, leave=t)
+                t["end"] = start + len(new)
+            given = {"reading": rule.get("reading") if rule.get("reading") is not None else new, "surface": rule.get("surface") or None, "pos": rule.get("pos") or None, "accent": rule.get("accent")}
+            t.update({k: v for k, v in given.items() if v is not None}, source="override")
+
+    def insert(self, rule: dict, concerned, limited: bool, keep_others: bool) -> None:
         """Second pass: matches in the text replace the tokens they cover; one that cuts a token is left out."""
-        at = 0
-        while m := pattern.search(self.text, at):
+        pattern = re.compile(rule["pattern"] if rule.get("regex") else re.escape(rule["pattern"]))
+        new, at = replacement(rule), 0
+        while at <= len(self.text) and (m := pattern.search(self.text, at)):
             start, end = m.span()
             at = max(end, start + 1)
-            over = [t for t in self.tokens if t["start"] < end and t["end"] > start]
-            new = m.expand(rule["replacement"]) if rule.get("replacement") and rule.get("regex") else rule.get("replacement") or m[0]
-            applied = any(id(t) in done for t in over) or any(t["start"] == start and t["reading"] == rule.get("reading") and t["accent"] == rule.get("accent") for t in over)
-            cut = any(t["start"] < start or t["end"] > end for t in over)
-            wanted = rule.get("match_surface") or rule.get("surface")
-            covered = "".join(t["surface"] for t in over)
-            if start == end or applied or cut or (wanted and over and covered != wanted):
+            if start == end:
+                continue
+            over = sorted((t for t in self.tokens if t["start"] < end and t["end"] > start), key=place)
+            aimed = [t for t in over if concerned(t)]
+            if (limited and not aimed) or any(t["start"] < start or t["end"] > end for t in over):
+                continue
+            expected, covered = rule.get("match_surface") or rule.get("surface"), "".join(t["surface"] or "" for t in over)
+            origin = (min(t["o_start"] for t in over), max(t["o_end"] for t in over)) if over else self.origin(start, end)
+            if expected and (covered if over else expected if self.original is None else self.original[slice(*origin)]) != expected:
+                continue
+            if any(t["start"] == start and t["end"] == end and concerned(t) and applied(t, m[0], rule) for t in over):
+                continue
+            gone = aimed if keep_others else over
+            self.tokens = [t for t in self.tokens if not any(t is x for x in gone)]
+            put = m[0] if new is None else new
+            if put != m[0]:
+                self.replace(start, end, put)
+            reading = rule.get("reading") or put
+            token = {"surface": rule.get("surface") or put, "reading": reading, "fallback_reading": reading, "accent": rule.get("accent"), "pos": rule.get("pos"), "start": start, "end": start + len(put), "o_start": origin[0], "o_end": origin[1], "source": "override"}
+            self.tokens.append(token)
+            self.tokens.sort(key=place)
+            at = max(start + len(put), start + 1)
+
+    def remove(self, rules: list[dict], source: str | None = None, only: dict | None = None) -> None:
+        """Tokens that match all fields of a rule go; the text gets their surface back, if they have one."""
+        for t in list(self.tokens):
+            if only is not None and t is not only or source is not None and (t["source"] or "").lower() != source.strip().lower():
                 continue
-            self.tokens = [t for t in self.tokens if t not in over]
+            reading = t["reading"] or t["fallback_reading"]
+            if only is None and not any((not r.get("surface") or t["surface"] == r["surface"]) and (not r.get("reading") or reading == r["reading"]) for r in rules):
+                continue
+            written = (t["surface"] or "").strip()
+            if written and t["end"] > t["start"] and self.text[t["start"] : t["end"]] != written:
+                self.replace(t["start"], t["end"], written, leave=t)
+            self.tokens = [x for x in self.tokens if x is not t]
+
+    def select(self, start: int, end: int, given: dict) -> None:
+        """A token for a selected span: it takes the place of all that overlap it, in this text or in the one before."""
+        if start < 0 or end <= start or end > len(self.text):
+            raise ValueError(f"no such selection: {start} to {end}")
+        segment = self.text[start:end]
+        new = segment if given.get("replacement") is None else given["replacement"]
+        if new != segment:
             self.replace(start, end, new)
-            self.tokens.append({"surface": rule.get("surface") or covered or m[0], "reading": rule.get("reading") or new, "accent": rule.get("accent"), "start": start, "end": start + len(new), "source": "override"})
-            self.tokens.sort(key=lambda t: (t["start"], t["end"]))
-            at = start + len(new)
+            end = start + len(new)
+        a, b = self.origin(start, end)
+        if self.original is not None and b <= a:
+            raise ValueError("the selection has no place in the original text")
+        apart = lambda t: (end <= t["start"] or t["end"] <= start) and (b <= t["o_start"] or t["o_end"] <= a)
+        reading = given.get("reading") or new
+        surface = given.get("surface") or (segment if self.original is None else self.original[a:b])
+        token = {"surface": surface, "reading": reading, "fallback_reading": reading, "accent": given.get("accent"), "pos": given.get("pos"), "start": start, "end": end, "o_start": a, "o_end": b, "source": "override"}
+        self.tokens = sorted([*(t for t in self.tokens if apart(t)), token], key=place)
+
+
+def place(t: dict) -> tuple[int, int]:
+    return t["start"], t["end"]
+
+
+def replacement(rule: dict) -> str | None:
+    return rule.get("replacement") if rule.get("replacement") is not None else rule.get("reading")
+
+
+def fits(t: dict, segment: str, rule: dict) -> bool:
+    """Whether a token is what a rule is for: surface, part of speech, and reading."""
+    expected = rule.get("match_surface") or rule.get("surface")
+    if (expected and t["surface"] != expected) or (rule.get("pos") and t["pos"] != rule["pos"]):
+        return False
+    reading = t["reading"] or t["fallback_reading"] or segment
+    return bool(re.search(rule["pattern"], reading)) if rule.get("regex") else reading == rule["pattern"]
+
+
+def applied(t: dict, segment: str, rule: dict) -> bool:
+    """Whether a token at a match already is what the rule would make."""
+    new = replacement(rule)
+    reading = rule.get("reading") or new or segment
+    same = all(rule.get(k) is None or t[k] == rule[k] for k in ("surface", "pos", "accent")) and (rule.get("match_surface") is None or t["surface"] == rule["match_surface"])
+    return same and reading in (t["reading"], t["fallback_reading"]) and new in (None, segment)
+
+
+def tokens_of(group: pd.DataFrame) -> list[dict]:
+    plain = lambda k, v: None if pd.isna(v) else int(v) if k in NUMBERS else v
+    return [{k: plain(k, v) for k, v in row.items() if k in TOKEN_COLUMNS} for row in group.to_dict("records") if not pd.isna(row["start"])]
+
 
-    def remove(self, rule: dict, only: dict | None = None) -> None:
-        """Tokens that match all given fields go; the text gets their surface back."""
-        for t in [t for t in self.tokens if (only is None or t is only) and all(t[k] == rule[k] for k in ("reading", "surface") if rule.get(k) is not None)]:
-            start, end = t["start"], t["end"]
-            self.tokens.remove(t)
-            self.replace(start, end, (t["surface"] or "").strip())
+def table_of(chapter: Chapter, group: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(chapter.tokens or [dict.fromkeys(TOKEN_COLUMNS)], columns=TOKEN_COLUMNS)
+    for name in names:
+        if name not in TOKEN_COLUMNS:
+            out[name] = chapter.text if name == "text" else group[name].iloc[0]
+    return out[names].astype({k: "Int64" for k in NUMBERS if k in names})
+
+
+def chapter_of(group: pd.DataFrame) -> Chapter:
+    original = group["original"].iloc[0] if "original" in group else None
+    return Chapter(group["text"].iloc[0] or "", tokens_of(group), original)
+
+
+def by_chapter(chapters: DataFrame, keys: tuple[str, ...], change) -> DataFrame:
+    """change(chapter) for each chapter; columns that are neither keys, texts nor of tokens are dropped."""
+    rows = chapters.select(*[c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)])
+    names = rows.columns
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        chapter = chapter_of(group)
+        change(chapter)
+        return table_of(chapter, group, names)
+
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
+def refined(chapters: DataFrame, overrides: list[dict], removals: list[dict], *keys: str, source: str | None = None) -> DataFrame:
+    """chapters: a row a token (keys..., text, surface, reading, accent, start, end, source, ...), null token columns
+    for a chapter without tokens -> the same after the rules, in order. With a source only tokens of it are changed."""
+
+    def change(chapter: Chapter) -> None:
+        for rule in overrides:
+            if rule.get("pattern"):
+                chapter.override(rule, source)
+        wanted = [r for r in removals if r.get("reading") or r.get("surface")]
+        if wanted:
+            chapter.remove(wanted, source)
+
+    return by_chapter(chapters, keys, change)
 
 
 def edited(chapters: DataFrame, edits: DataFrame, *keys: str) -> DataFrame:
     """chapters as in refined(), edits (keys..., token_idx, reading, accent): the tokens of these places, by order in
     the chapter, get the reading, its text and the accent, and count as set by hand. A null reading removes the token."""
-    names = [*keys, "text", *TOKEN_COLUMNS]
-    rows = chapters.select(*names)
+    rows = chapters.select(*[c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)])
+    names = rows.columns
 
     def run(key, group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if group.empty:
             return group[names]
-        chapter = Chapter(group["text"].iloc[0] or "", tokens_of(group))
+        chapter = chapter_of(group)
         for edit in wanted.sort_values("token_idx", ascending=False).itertuples():  # from the end, so places hold
             if edit.token_idx < len(chapter.tokens):
                 t = chapter.tokens[edit.token_idx]
                 if edit.reading is None:
-                    chapter.remove({"surface": t["surface"], "reading": t["reading"]}, only=t)
+                    chapter.remove([], only=t)
                     continue
                 start = t["start"]
-                chapter.replace(start, t["end"], edit.reading)
-                t.update(start=start, end=start + len(edit.reading), reading=edit.reading, source="manual", accent=t["accent"] if pd.isna(edit.accent) else int(edit.accent))
-        return table_of(chapter, group, keys, names)
+                chapter.replace(start, t["end"], edit.reading, leave=t)
+                t.update(end=start + len(edit.reading), reading=edit.reading, source="manual", accent=t["accent"] if pd.isna(edit.accent) else int(edit.accent))
+        return table_of(chapter, group, names)
 
     return rows.groupBy(*keys).cogroup(edits.groupBy(*keys)).applyInPandas(run, rows.schema)
 
 
-def tokens_of(group: pd.DataFrame) -> list[dict]:
-    return [
-        {"surface": r.surface, "reading": r.reading, "accent": None if pd.isna(r.accent) else int(r.accent), "start": int(r.start), "end": int(r.end), "source": r.source}
-        for r in group.itertuples()
-        if not pd.isna(r.start)
-    ]
+def selected(chapters: DataFrame, selections: DataFrame, *keys: str) -> DataFrame:
+    """chapters as in refined(), selections (keys..., start, end, replacement, reading, surface, pos, accent): a token
+    for each selected span, in order of their starts from the end."""
+    rows = chapters.select(*[c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)])
+    names = rows.columns
 
+    def run(key, group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return group[names]
+        chapter = chapter_of(group)
+        for row in wanted.sort_values("start", ascending=False).to_dict("records"):
+            chapter.select(int(row["start"]), int(row["end"]), {k: None if pd.isna(v) else v for k, v in row.items() if k in ("replacement", "reading", "surface", "pos", "accent")})
+        return table_of(chapter, group, names)
 
-def table_of(chapter: Chapter, group: pd.DataFrame, keys: tuple[str, ...], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(sorted(chapter.tokens, key=lambda t: (t["start"], t["end"])) or [dict.fromkeys(TOKEN_COLUMNS)], columns=TOKEN_COLUMNS)
-    out["text"] = chapter.text
-    for k in keys:
-        out[k] = group[k].iloc[0]
-    return out[names].astype({"accent": "Int64", "start": "Int64", "end": "Int64"})
+    return rows.groupBy(*keys).cogroup(selections.groupBy(*keys)).applyInPandas(run, rows.schema)
 
 
-def refined(chapters: DataFrame, overrides: list[dict], removals: list[dict], *keys: str) -> DataFrame:
-    """chapters: a row a token (keys..., text, surface, reading, accent, start, end, source), null token columns
-    for a chapter without tokens -> the same after the rules, in order."""
-    names = [*keys, "text", *TOKEN_COLUMNS]
-    rows = chapters.select(*names)
+def changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """keys..., changed, text_sha1: whether a chapter's text or tokens differ, and the hash of its stripped text."""
+    own = [c for c in before.columns if c in after.columns and c not in keys]
+    token = F.sum(F.xxhash64(*own).cast("decimal(38,0)"))
+    old, new = (df.groupBy(*keys).agg(token.alias(name), *extra) for df, name, extra in ((before, "old", []), (after, "new", [F.first("text").alias("text")])))
+    from ..functions.kana import trimmed
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        chapter = Chapter(group["text"].iloc[0] or "", tokens_of(group))
-        for rule in overrides:
-            if rule.get("pattern"):
-                chapter.override(rule)
-        for rule in removals:
-            if rule.get("reading") is not None or rule.get("surface") is not None:
-                chapter.remove(rule)
-        return table_of(chapter, group, keys, names)
+    return old.join(new, list(keys)).select(*keys, (F.col("old") != F.col("new")).alias("changed"), F.sha1(trimmed(F.coalesce("text", F.lit(""))).cast("binary")).alias("text_sha1"))
+
+
+def text_hash(text: str) -> str:
+    return hashlib.sha1(text.strip().encode()).hexdigest()
+
+
+def appended(rules: DataFrame, entry: DataFrame, *keys: str) -> DataFrame:
+    """Rules (keys..., rule_idx, ...) with new ones (keys..., ...) behind them, in the order of their patterns."""
+    last = rules.groupBy(*keys).agg(F.max("rule_idx").alias("last"))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("pattern"))
+    new = entry.join(last, list(keys), "left").withColumn("rule_idx", (F.coalesce("last", F.lit(-1)) + turn).cast("long")).drop("last")
+    return rules.unionByName(new, allowMissingColumns=True)
+
+
+def merged(book: DataFrame, template: DataFrame, key: list, *by: str) -> DataFrame:
+    """Keyed union of (by..., pos, ...): of one key the book's last value, at the place where the key first stands; `place` counts from 1."""
+    both = template.withColumn("prio", F.lit(0)).unionByName(book.withColumn("prio", F.lit(1)), allowMissingColumns=True)
+    rows = both.withColumn("rank", F.row_number().over(Window.partitionBy(*by, *key).orderBy(F.desc("prio"), F.desc("pos"))))
+    rows = rows.withColumn("first", F.min(F.struct("prio", "pos")).over(Window.partitionBy(*by, *key))).where("rank = 1")
+    # Rules of a book are a small list: by book they are ordered in parallel.
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("first"))).drop("rank", "first", "prio", "pos")
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
 
+def merged_rules(book: DataFrame, template: DataFrame, *by: str) -> DataFrame:
+    """Rules (by..., pos, regex, pattern, match_surface, surface, source, ...) of a book over those of a template."""
+    return merged(book, template, ["regex", "pattern", F.coalesce("match_surface", "surface"), "source"], *by)
 
-def merged_rules(book: DataFrame, template: DataFrame) -> DataFrame:
-    """Keyed union of rules (pos, regex, pattern, match_surface, surface, source, ...): the book's value, at the first place."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
-    both = template.withColumn("prio", F.lit(0)).unionByName(book.withColumn("prio", F.lit(1)))
-    key = ["regex", "pattern", F.coalesce("match_surface", "surface"), "source"]
-    rows = both.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("prio"), F.desc("pos"))))
-    first = F.struct("prio", "pos")
-    rows = rows.withColumn("first", F.min(first).over(Window.partitionBy(*key))).where("rank = 1")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("first"))).drop("rank", "first", "prio", "pos")
+def merged_removals(book: DataFrame, template: DataFrame, *by: str) -> DataFrame:
+    """Removals (by..., pos, reading, surface, ...) of a book over those of a template."""
+    return merged(book, template, ["reading", "surface"], *by)

@@ -8,28 +8,29 @@ finding the candidates and everything after the selection are plans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ideographs and marks for single-character matches.
-CJK = re.compile("[㐀-䶿一-鿿豈-﫿々〆ヵヶ]")
+from ..functions.kana import WIDE_CJK, canonical_katakana, ellipsis, engine_kana, has_kanji, is_cjk_narrow
+
+#: The wide class of ideographs, as Python has it.
+CJK = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), WIDE_CJK))
 
 
 def match_allowed(text: str, start: int, end: int) -> bool:
-    """A match may not cut a run of digits, and a lone ideograph or ASCII character not a word of its kind."""
-    before, after = text[start - 1 : start], text[end : end + 1]
+    """A match may not cut a run of digits; one character may not stand beside an ideograph, nor a lone ASCII one in a word."""
+    before, after = text[start - 1 : start] if start else "", text[end : end + 1]
     key = text[start:end]
     if (key[0].isdigit() and before.isdigit()) or (key[-1].isdigit() and after.isdigit()):
         return False
-    if key.isdigit() and (after == "年" or before == "第"):
-        return False
     if len(key) == 1:
-        if CJK.match(key) and (CJK.match(before) or CJK.match(after)):
+        if CJK.match(before) or CJK.match(after):
             return False
-        if key.isascii() and key.isalnum() and any(x.isascii() and x.isalnum() for x in (before, after) if x):
+        if key.isascii() and key.isalnum() and any(x.isascii() and x.isalnum() for x in (before, after)):
             return False
     return True
 
@@ -85,17 +86,24 @@ def select_free(rows: DataFrame, *keys: str) -> DataFrame:
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(order=-(group["end"] - group["start"])).sort_values(["tier", "start", "order", "surface"], kind="stable").drop(columns="order")
-        taken, keep = [], []
-        for start, end in zip(group["start"], group["end"], strict=True):
-            free = all(end <= a or start >= b for a, b in taken)
-            keep.append(free)
-            if free:
-                taken.append((start, end))
-        return group[keep]
+        return group[free_spans(zip(group["start"], group["end"], strict=True))]
 
     return rows.groupBy(*keys).applyInPandas(pick, rows.schema)
 
 
+def free_spans(spans: Iterable[tuple[int, int]]) -> list[bool]:
+    """Whether each span overlaps none of those accepted before it; the accepted ones are kept sorted."""
+    starts, ends, keep = [], [], []
+    for start, end in spans:
+        at = bisect_right(starts, start)
+        free = (at == 0 or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end)
+        if free:
+            starts.insert(at, start)
+            ends.insert(at, end)
+        keep.append(free)
+    return keep
+
+
 def render(docs: DataFrame, tokens: DataFrame, *keys: str, partial: bool = False) -> DataFrame:
     """docs (keys..., text), tokens (keys..., start, end, surface, reading, keep) -> keys..., rendered.
 
@@ -122,6 +130,75 @@ def harmonized(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def lexicon_tokens(docs: DataFrame, lexicon: dict[str, str], *keys: str) -> DataFrame:
-    """A dictionary tokenizer: leftmost-longest lexicon words, and the text between them as tokens without reading."""
-    found = candidates(docs, lexicon, 3, "lexicon", *keys)
-    return found.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("start")).cast("long"))
+    """A dictionary tokenizer: leftmost-longest lexicon words, and the runs of text between them as tokens without a reading."""
+    found = docs.select(*keys, F.posexplode(word_finder(lexicon)("text")).alias("idx", "t"))
+    return found.select(*keys, F.col("idx").cast("long").alias("idx"), "t.start", "t.end", "t.surface", "t.reading")
+
+
+def lexicon_words(text: str, lexicon: dict[str, str], pattern: re.Pattern) -> list[tuple[int, int, str, str | None]]:
+    found, at = [], 0
+    for m in [*pattern.finditer(text), None]:
+        start = m.start() if m else len(text)
+        if start > at:
+            found.append((at, start, text[at:start], None))
+        if m:
+            found.append((start, m.end(), m[0], lexicon[m[0]]))
+            at = m.end()
+    return found
+
+
+def word_finder(lexicon: dict[str, str]):
+    @F.pandas_udf("array<struct<start:long,end:long,surface:string,reading:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        pattern = compiled(lexicon)
+        return texts.map(lambda x: [{"start": a, "end": b, "surface": w, "reading": r} for a, b, w, r in lexicon_words(x, lexicon, pattern)], na_action="ignore")
+
+    return found
+
+
+def reading_text(words: Column) -> Column:
+    """lexicon words in order -> the text as it is read: words with ideographs by their reading, all else as it is written."""
+    return F.array_join(F.transform(words, spoken), "")
+
+
+def spoken(word: Column) -> Column:
+    return canonical_katakana(F.when(is_cjk_narrow(word["surface"]), F.coalesce(word["reading"], word["surface"])).otherwise(word["surface"]))
+
+
+def pitch_tokens(docs: DataFrame, lexicon: dict[str, str], *keys: str) -> DataFrame:
+    """keys..., idx, surface, reading, start, end: words with ideographs and a reading, by where they are in reading_text()."""
+    words = docs.select(*keys, word_finder(lexicon)("text").alias("words"))
+    # Lengths are summed by text, over the words of one row: explode keeps their order, and the window their text.
+    rows = words.select(*keys, F.posexplode("words").alias("idx", "w")).withColumn("said", spoken(F.col("w")))
+    upto = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.char_length("said")).over(upto).cast("long"))
+    return rows.where(is_cjk_narrow(F.col("w.surface")) & F.col("w.reading").isNotNull()).select(*keys, F.col("idx").cast("long").alias("idx"), "w.surface", F.col("said").alias("reading"), (F.col("end") - F.char_length("said")).alias("start"), "end")
+
+
+def plain_reading(normalised: Column) -> Column:
+    """A text's reading without a dictionary, after NFKC: katakana for kana, and ellipses made one."""
+    return ellipsis(canonical_katakana(normalised))
+
+
+def with_accents(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """tokens (surface, reading, fallback_reading, reading_source, accent, pos, ...) with accents and parts of speech of the
+    lexicon (surface, reading, accent, pos) where it has one word with that reading; `validated` says if it has, and is
+    true of tokens that came from the dictionary. Surfaces and readings are compared after NFKC."""
+    sure = F.countDistinct("reading") == 1
+    known = lexicon.where("accent is not null").groupBy("surface").agg(F.min(F.struct("reading", "accent", "pos")).alias("lex"), sure.alias("sure")).where("sure").select("surface", "lex")
+    rows = tokens.join(known, "surface", "left")
+    reading = canonical_katakana(F.coalesce(F.nullif("reading", F.lit("")), F.col("fallback_reading")))
+    own = F.lower(F.coalesce("reading_source", F.lit(""))) == "unidic"
+    same = F.coalesce(canonical_katakana(F.col("lex.reading")) == reading, F.lit(False)) & ~own
+    rows = rows.withColumn("validated", same | (own & reading.isNotNull()))
+    filled = same & F.col("accent").isNull()
+    return rows.withColumn("pos", F.when(filled, F.coalesce("pos", "lex.pos")).otherwise(F.col("pos"))).withColumn("accent", F.when(filled, F.col("lex.accent")).otherwise(F.col("accent"))).drop("lex")
+
+
+def with_engine_accents(tokens: DataFrame, engine: DataFrame) -> DataFrame:
+    """tokens (surface, reading, reading_source, accent, ...) whose accents an engine's table (surface, kana, accent) fills:
+    only dictionary words with kanji that have none, by surface and kana; readings are compared as the engine spells them."""
+    known = engine.groupBy("surface", F.col("kana").alias("engine_kana")).agg(F.min("accent").alias("engine_accent"))
+    asked = (F.lower("reading_source") == "unidic") & has_kanji(F.col("surface")) & F.col("accent").isNull()
+    rows = tokens.withColumn("engine_kana", F.when(asked, F.nullif(engine_kana(F.col("reading")), F.lit(""))))
+    return rows.join(known, ["surface", "engine_kana"], "left").withColumn("accent", F.coalesce("accent", "engine_accent")).drop("engine_kana", "engine_accent")

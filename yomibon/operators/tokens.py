@@ -1,33 +1,96 @@
-"""Word tokens with offsets, and what is computed over them: gaps, rendered offsets, contexts, search."""
+"""Word tokens with offsets, and what is computed over them: gaps, rendered offsets, contexts, search.
+
+A text is one row, so its words, their offsets and neighbours are made inside the row, as arrays, and
+exploded last: no shuffle. The functions over token tables are for tokens that come as rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import schema
+from ..functions.kana import canonical_katakana, fold_small
 
-def tokenize(docs: DataFrame, *keys: str) -> DataFrame:
-    """docs (keys..., text) -> keys..., token_idx, word, surface, reading, start, end: words between single spaces.
+#: White space that splits words.
+SPACE = r" \t\n\x0B\f\r"
+WORD = re.compile("[^ \t\n\x0b\f\r]+")
+WORDS = schema.rows("word string, start long, end long")
 
-    The surface is the lower-cased word without marks, the reading the word without marks.
-    """
-    place = Window.partitionBy(*keys).orderBy("token_idx")
-    words = docs.select(*keys, F.posexplode(F.split("text", " ")).alias("token_idx", "word"))
-    start = F.sum(F.char_length("word") + 1).over(place) - F.char_length("word") - 1
-    reading = F.regexp_replace("word", r"[^\p{L}\p{N}]", "")
-    rows = words.select(*keys, F.col("token_idx").cast("long").alias("token_idx"), "word", F.lower(reading).alias("surface"), reading.alias("reading"), start.cast("long").alias("start"))
-    return rows.withColumn("end", F.col("start") + F.char_length("word")).where("word <> ''")
+
+def found_words(text: str) -> list[dict]:
+    return [{"word": m[0], "start": m.start(), "end": m.end()} for m in WORD.finditer(text)]
+
+
+@F.pandas_udf(WORDS)
+def words(texts: pd.Series) -> pd.Series:
+    """The runs without white space, with their offsets."""
+    return texts.map(found_words, na_action="ignore")
+
+
+def plain_words(text: Column) -> Column:
+    """The same without offsets, in the JVM."""
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x != "")
+
+
+def reading_of(word: Column) -> Column:
+    """A word without marks; lower-cased it is the surface."""
+    return F.regexp_replace(word, r"[^\p{L}\p{N}]", "")
+
+
+def tokenize(docs: DataFrame, *keys: str) -> DataFrame:
+    """docs (keys..., text) -> keys..., token_idx, word, surface, reading, start, end."""
+    rows = docs.select(*keys, F.posexplode(words("text")).alias("token_idx", "w"))
+    rows = rows.select(*keys, F.col("token_idx").cast("long").alias("token_idx"), F.col("w.word").alias("word"), reading_of(F.col("w.word")).alias("reading"), "w.start", "w.end")
+    return rows.withColumn("surface", F.lower("reading"))
 
 
 def bare_tokens(docs: DataFrame, *keys: str) -> DataFrame:
-    """The same without offsets, so without a shuffle."""
-    reading = F.regexp_replace("word", r"[^\p{L}\p{N}]", "")
-    words = docs.select(*keys, F.posexplode(F.split("text", " ")).alias("token_idx", "word")).where("word <> ''")
-    return words.select(*keys, F.col("token_idx").cast("long").alias("token_idx"), F.lower(reading).alias("surface"), reading.alias("reading"))
+    """The same without offsets."""
+    rows = docs.select(*keys, F.posexplode(plain_words(F.col("text"))).alias("token_idx", "word"))
+    return rows.select(*keys, F.col("token_idx").cast("long").alias("token_idx"), F.lower(reading_of(F.col("word"))).alias("surface"), reading_of(F.col("word")).alias("reading"))
+
+
+def gaps_between(found: Column) -> Column:
+    """words in order, none over another -> array<struct<token_idx,gap_start,gap_len>> of the text before each that no word covers."""
+    before = lambda i: F.when(i > 0, F.get(found, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+    each = F.transform(found, lambda w, i: F.struct(i.cast("long").alias("token_idx"), before(i).alias("gap_start"), (w["start"] - before(i)).alias("gap_len")))
+    return F.filter(each, lambda x: x["gap_len"] > 0)
+
+
+@F.pandas_udf(schema.rows("t_start long, t_end long"))
+def rendered_offsets(found: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Where words stand in the text that has segments of the given sizes in their places."""
+
+    def one(listed, new):
+        if listed is None:
+            return None
+        start, end = (np.array([w[k] for w in listed], np.int64) for k in ("start", "end"))
+        size = np.array(list(new), np.int64)
+        moved = np.concatenate([[0], np.cumsum(size - (end - start))])[:-1]
+        return [{"t_start": int(a), "t_end": int(b)} for a, b in zip(start + moved, start + moved + size, strict=True)]
+
+    return pd.Series([one(*row) for row in zip(found, sizes, strict=True)])
+
+
+@F.pandas_udf(schema.LONGS)
+def occurrence_numbers(surfaces: pd.Series) -> pd.Series:
+    """For each surface of a list how often it has stood so far, itself included."""
+
+    def one(listed):
+        seen: Counter[str] = Counter()
+        return [seen.update([x]) or seen[x] for x in listed]
+
+    return surfaces.map(one, na_action="ignore")
 
 
 def gaps(tokens: DataFrame, *keys: str) -> DataFrame:
-    """Text between a token and all before it: keys..., token_idx, gap_start, gap_len, where there is some."""
+    """Text between a token and all before it: keys..., token_idx, gap_start, gap_len, where there is some. Tokens may overlap."""
     before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max("end").over(before), F.lit(0).cast("long"))
     rows = tokens.select(*keys, "token_idx", covered.alias("gap_start"), (F.col("start") - covered).alias("gap_len"))
@@ -50,22 +113,42 @@ def occurrences(tokens: DataFrame, *keys: str) -> DataFrame:
     return tokens.where("surface <> ''").select(*keys, "surface", "token_idx", nth.cast("long").alias("nth"))
 
 
-def neighbours(tokens: DataFrame, *keys: str) -> DataFrame:
-    """keys..., token_idx, surface with the surfaces before and after."""
-    place = Window.partitionBy(*keys).orderBy("token_idx")
-    return tokens.select(*keys, "token_idx", "surface", F.lag("surface").over(place).alias("previous"), F.lead("surface").over(place).alias("following"))
+def neighbours_in(surfaces: Column) -> Column:
+    """array<struct<token_idx,surface,previous,following>> of a list of surfaces."""
+    return F.transform(surfaces, lambda x, i: F.struct(i.cast("long").alias("token_idx"), x.alias("surface"), F.when(i > 0, F.get(surfaces, i - 1)).alias("previous"), F.get(surfaces, i + 1).alias("following")))
+
+
+def neighbours(docs: DataFrame, *keys: str) -> DataFrame:
+    """docs (keys..., text) -> keys..., token_idx, surface with the surfaces before and after."""
+    surfaces = F.transform(plain_words(F.col("text")), lambda w: F.lower(reading_of(w)))
+    return docs.select(*keys, surfaces.alias("surfaces")).select(*keys, F.inline(neighbours_in(F.col("surfaces"))))
 
 
 def search(tokens: DataFrame, surface: str) -> DataFrame:
-    """Tokens of one exact surface; the filter reaches the scan's projection before any shuffle."""
+    """Tokens of one exact surface."""
     return tokens.where(F.col("surface") == F.lit(surface.strip()))
 
 
+def searched(docs: DataFrame, surface: str, *keys: str, around: int = 3) -> DataFrame:
+    """docs (keys..., text) -> keys..., token_idx, prefix, suffix: where a surface stands, with the characters around it.
+    A row without the surface is dropped before anything is exploded."""
+    wanted = F.lit(surface.strip())
+    rows = docs.where(F.contains(F.lower("text"), wanted)).select(*keys, "text", words("text").alias("w"))
+    hits = F.filter(F.transform("w", lambda w, i: F.struct(i.cast("long").alias("token_idx"), w["word"].alias("word"), w["start"].cast("int").alias("start"), w["end"].cast("int").alias("end"))), lambda x: F.lower(reading_of(x["word"])) == wanted)
+    rows = rows.select(*keys, "text", F.explode(hits).alias("h"))
+    prefix = F.expr(f"substring(text, greatest(1, h.start - {around - 1}), least({around}, h.start))")
+    return rows.select(*keys, "h.token_idx", prefix.alias("prefix"), F.expr(f"substring(text, h.end + 1, {around})").alias("suffix"))
+
+
 def flag_ambiguous(tokens: DataFrame, *keys: str, source: str | None = None) -> DataFrame:
-    """tokens (keys..., surface, reading, reading_source) with `block`: surfaces with several readings.
+    """tokens (keys..., surface, reading[, fallback_reading], reading_source) with `block`: surfaces with several readings.
 
-    With a source only its tokens count and are flagged; without one all do.
+    Readings that differ in the size or script of kana only are one. With a source only tokens whose source begins with it
+    count and are flagged; without one all do.
     """
-    counted = F.when(F.lit(source is None) | (F.col("reading_source") == F.lit(source)), F.col("reading"))
+    said = F.coalesce(F.nullif("reading", F.lit("")), F.col("fallback_reading")) if "fallback_reading" in tokens.columns else F.nullif("reading", F.lit(""))
+    concerned = F.lit(True) if source is None else F.coalesce(F.startswith(F.lower("reading_source"), F.lit(source.lower())), F.lit(False))
+    counted = F.when(concerned, fold_small(canonical_katakana(said)))
     several = F.size(F.collect_set(counted).over(Window.partitionBy(*keys, "surface"))) > 1
-    return tokens.withColumn("block", F.coalesce(F.col("block"), F.lit(False)) | (several & counted.isNotNull()) if "block" in tokens.columns else several & counted.isNotNull())
+    flagged = several & concerned
+    return tokens.withColumn("block", F.coalesce(F.col("block"), F.lit(False)) | flagged if "block" in tokens.columns else flagged)

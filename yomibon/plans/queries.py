@@ -1,47 +1,26 @@
 """The catalogue of queries of the reading-corpus operators, each with the same in DuckDB's SQL where SQL can say it.
 
-Queries run over whole tables. Where the tables have no Japanese, they give the operators volume and
-small inline relations give them Japanese.
+Queries run over whole tables. The tables have no Japanese, so where operators need it their letters
+are put into kana and ideographs by one translation table, in Spark and in SQL alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kana
-from ..operators import chunks, context, evidence, library, refine, tiers, tokens
+from ..operators import chunks, evidence, library, tiers, tokens
 from ..session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def long(c):
-    return F.col(c).cast("long").alias(c) if isinstance(c, str) else c.cast("long")
-
+from ..storage import new_folder
+from .catalogue import ORACLE_SQL, QUERIES, guarded_sql, long, query
 
 # --- tokens over documents -------------------------------------------------------------------------
 
-TOK = r"""tok AS (SELECT doc_id, source, CAST(i - 1 AS BIGINT) AS token_idx, w, regexp_replace(w, '[^\p{L}\p{N}]', '', 'g') AS reading,
-    CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
-    FROM (SELECT doc_id, source, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)),
-t AS (SELECT doc_id, source, token_idx, w AS word, lower(reading) AS surface, reading, s AS start, s + length(w) AS "end" FROM tok WHERE w <> '')"""
+SPACED = r"regexp_extract_all(text, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+')"
+TOK = rf"""tok AS (SELECT doc_id, source, i, piece, regexp_replace(piece, '^[ \t\n\x0B\f\r]+', '') AS w FROM (SELECT doc_id, source, unnest({SPACED}) AS piece, generate_subscripts({SPACED}, 1) AS i FROM documents)),
+t AS (SELECT doc_id, source, CAST(i - 1 AS BIGINT) AS token_idx, w AS word, regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g') AS reading, lower(regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')) AS surface,
+    CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(w) AS BIGINT) AS start, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM tok)"""
 COUNTS = f"""{TOK},
 c AS (SELECT surface AS base, reading, count(*) AS n FROM t WHERE surface <> '' GROUP BY ALL),
 r AS (SELECT base, reading, n, row_number() OVER (PARTITION BY base ORDER BY n DESC, reading) AS rank, CAST(sum(n) OVER (PARTITION BY base) AS BIGINT) AS total,
@@ -85,20 +64,25 @@ def token_search_surface(spark, d):
     return tokens.search(rows, " worthless ").select("source", "doc_id", "token_idx")
 
 
-@query(f"WITH {TOK} SELECT surface, source, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE surface <> '' GROUP BY ALL")
+@query(
+    f"WITH {TOK}, k AS (SELECT *, row_number() OVER (PARTITION BY surface, source ORDER BY doc_id, token_idx) AS rank FROM t WHERE surface <> '') "
+    "SELECT surface, source, count(*) AS n, min(doc_id) AS first_doc, string_agg(doc_id || ':' || token_idx, ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS samples FROM k GROUP BY ALL"
+)
 def token_source_histogram(spark, d):
+    """How often each source has a surface, and the first three places; the places are limited before they are collected."""
     rows = tokens.bare_tokens(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id").where("surface <> ''")
-    return rows.groupBy("surface", "source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return evidence.histogram(rows, ["surface", "source"], ["doc_id", "token_idx"])
 
 
-@query(f"WITH {TOK} SELECT doc_id, token_idx, start, \"end\" FROM t")
+@query(f'WITH {TOK} SELECT doc_id, token_idx, start, "end" FROM t')
 def word_offsets(spark, d):
     return doc_tokens(spark, d).select("doc_id", "token_idx", "start", "end")
 
 
 @query(f'WITH {TOK}, g AS (SELECT doc_id, token_idx, start, coalesce(max("end") OVER (PARTITION BY doc_id, source ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start FROM t) SELECT doc_id, token_idx, gap_start, start - gap_start AS gap_len FROM g WHERE start > gap_start')
 def token_gaps(spark, d):
-    return tokens.gaps(doc_tokens(spark, d), "doc_id", "source").drop("source")
+    rows = table(spark, d, "documents").select("doc_id", tokens.words("text").alias("w"))
+    return rows.select("doc_id", F.inline(tokens.gaps_between(F.col("w"))))
 
 
 @query(
@@ -106,17 +90,22 @@ def token_gaps(spark, d):
     'SELECT doc_id, token_idx, CAST(sum(gap + size) OVER w AS BIGINT) - size AS t_start, CAST(sum(gap + size) OVER w AS BIGINT) AS t_end FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING)'
 )
 def rendered_offsets(spark, d):
-    return tokens.rendered(doc_tokens(spark, d), "doc_id", "source").drop("source")
+    rows = table(spark, d, "documents").select("doc_id", tokens.words("text").alias("w"))
+    rows = rows.withColumn("sizes", F.transform("w", lambda x: F.char_length(tokens.reading_of(x["word"])).cast("long")))
+    rows = rows.select("doc_id", F.posexplode(tokens.rendered_offsets("w", "sizes")).alias("token_idx", "x"))
+    return rows.select("doc_id", long("token_idx"), "x.t_start", "x.t_end")
 
 
 @query(f"WITH {TOK} SELECT doc_id, surface, token_idx, row_number() OVER (PARTITION BY doc_id, surface ORDER BY token_idx) AS nth FROM t WHERE surface <> ''")
 def nth_occurrence_align(spark, d):
-    rows = tokens.bare_tokens(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return tokens.occurrences(rows, "doc_id")
+    surfaces = F.transform(tokens.plain_words(F.col("text")), lambda w: F.lower(tokens.reading_of(w)))
+    rows = table(spark, d, "documents").select("doc_id", surfaces.alias("s"))
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("s").alias("surface"), tokens.occurrence_numbers("s").alias("nth"))).alias("token_idx", "x"))
+    return rows.select("doc_id", "x.surface", long("token_idx"), "x.nth").where("surface <> ''")
 
 
 CONV = r"""cv AS (SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS token_idx, lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')) AS surface
-    FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) WHERE w <> '')"""
+    FROM (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM conversations)))"""
 
 
 def conv_tokens(spark, d):
@@ -125,14 +114,12 @@ def conv_tokens(spark, d):
 
 @query(f"WITH {CONV} SELECT conv_id, turn, token_idx, surface, lag(surface) OVER w AS previous, lead(surface) OVER w AS following FROM cv WINDOW w AS (PARTITION BY conv_id, turn ORDER BY token_idx)")
 def neighbour_context(spark, d):
-    return tokens.neighbours(conv_tokens(spark, d), "conv_id", "turn")
+    return tokens.neighbours(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
 
 
 @query(f"WITH {TOK} SELECT t.doc_id, token_idx, substr(text, greatest(1, start - 2), least(3, start)) AS prefix, substr(text, \"end\" + 1, 3) AS suffix FROM t JOIN documents USING (doc_id) WHERE surface = 'worthless'")
 def context_prefix_suffix3(spark, d):
-    docs = table(spark, d, "documents")
-    found = tokens.search(tokens.tokenize(docs.select("doc_id", "text"), "doc_id"), "worthless").join(docs.select("doc_id", "text"), "doc_id")
-    return found.select("doc_id", "token_idx", F.expr("substring(text, greatest(1, cast(start as int) - 2), least(3, cast(start as int)))").alias("prefix"), F.expr("substring(text, cast(`end` as int) + 1, 3)").alias("suffix"))
+    return tokens.searched(table(spark, d, "documents").select("doc_id", "text"), "worthless", "doc_id")
 
 
 @query(
@@ -154,12 +141,12 @@ def corpus_dominance_filter(spark, d):
     "SELECT base, value, n, row_number() OVER (PARTITION BY base ORDER BY n DESC, value) AS rank FROM n QUALIFY rank <= 8"
 )
 def suffix_topk(spark, d):
-    rows = tokens.neighbours(conv_tokens(spark, d), "conv_id", "turn").select(F.col("surface").alias("base"), "following")
+    rows = tokens.neighbours(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select(F.col("surface").alias("base"), "following")
     return evidence.top_contexts(rows, "following")
 
 
 @query(
-    f"WITH {COUNTS}, bt AS (SELECT lower(reading) AS base, reading FROM (SELECT regexp_replace(unnest(string_split(text, ' ')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS reading FROM benchmark) WHERE reading <> ''), "
+    f"WITH {COUNTS}, bt AS (SELECT lower(reading) AS base, reading FROM (SELECT regexp_replace(unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS reading FROM benchmark) WHERE reading <> ''), "
     "bc AS (SELECT base, reading, count(*) AS n FROM bt GROUP BY ALL), b AS (SELECT base, reading FROM bc QUALIFY row_number() OVER (PARTITION BY base ORDER BY n DESC, reading) = 1) "
     "SELECT base, reading, 'book' AS origin FROM b UNION ALL SELECT base, reading, 'corpus' FROM sh WHERE total >= 3 AND share >= 0.9 AND base NOT IN (SELECT base FROM b)"
 )
@@ -210,12 +197,22 @@ def page_text_regex(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(plain, r"[ \t\r\n]+", " ")).alias("text"))
 
 
-@query()
+#: Blocks of the test pages that stand in no other block, and those that break always; all else breaks nothing.
+PAGE_BREAKS = "(?i)<(?:nav|div|article|footer|h1|h2|h3|h4|h5|h6|li|p|dt|dd|tr)(?:\\s[^>]*)?>"
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(rp|script|style|title)(?:\s[^>]*)?>.*?</(?:rp|script|style|title)>', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '(?is)<!--.*?-->', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '{PAGE_BREAKS}', chr(10), 'g') AS x FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[!/a-zA-Z][^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM b),
+e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+\n', chr(10), 'g'), '\.{{3,}}', '…', 'g'), '…{{2,}}', '…', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM c)
+SELECT page_id, md5(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS text FROM e"""
+)
 def page_text_udf(spark, d):
-    """Text with ruby resolved, from the event parser."""
+    """Text with ruby resolved, from the event parser. (The SQL knows how blocks nest in the test pages.)"""
     from ..sources import markup
 
-    return markup.texts(table(spark, d, "pages").select("page_id", "html"), "page_id")
+    return markup.texts(table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 URL_PATH = r"regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '')"
@@ -265,10 +262,7 @@ SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS first_line, count(*) AS n_lines, CA
 )
 def line_blocks(spark, d):
     """Blocks of lines between blank lines."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    block = F.sum(F.when(F.trim("line") == "", 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("i"))
-    rows = lines.withColumn("block", block).where(F.trim("line") != "")
-    return rows.groupBy("doc_id", "block").agg(F.min("i").cast("long").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).alias("n_chars")).drop("block")
+    return table(spark, d, "documents").select("doc_id", F.inline(chunks.blocks_of_lines("text")))
 
 
 @query(r"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1] AS line FROM documents")
@@ -281,15 +275,31 @@ def paragraph_spacing(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(kana.paragraph_spacing(F.col("text")).cast("binary")).alias("spaced"))
 
 
-@query()
+def cut_sql(marks: str) -> str:
+    return f"length(regexp_extract(left(rest, 360), '(?s)^(.+[{marks}])', 1))"
+
+
+#: Blocks between blank lines, then cut by cut until no rest is above the limit.
+CHUNKS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot, regexp_matches(line, '[^\s]') AS filled FROM l),
+bl AS (SELECT *, sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM o),
+raw AS (SELECT doc_id, block, string_agg(line, chr(10) ORDER BY i) AS body, min(spot) AS spot FROM bl WHERE filled GROUP BY doc_id, block),
+r(doc_id, block, k, rest, spot, piece, piece_at) AS (
+    SELECT doc_id, block, 0, regexp_replace(body, '^\s+|\s+$', '', 'g'), CAST(spot + length(body) - length(regexp_replace(body, '^\s+', '')) AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM raw
+    UNION ALL
+    SELECT doc_id, block, k + 1, regexp_replace(substr(rest, cut + 1), '^\s+', ''), CAST(spot + length(rest) - length(regexp_replace(substr(rest, cut + 1), '^\s+', '')) AS BIGINT), regexp_replace(left(rest, cut), '\s+$', ''), spot
+    FROM (SELECT *, CAST(CASE WHEN length(rest) <= 360 THEN length(rest) WHEN {cut_sql(chr(92) + "n。！？!?…‼⁉⁈｡")} > 0 THEN {cut_sql(chr(92) + "n。！？!?…‼⁉⁈｡")} WHEN {cut_sql("、，､,;；:：・—─")} > 0 THEN {cut_sql("、，､,;；:：・—─")} ELSE 360 END AS BIGINT) AS cut FROM r WHERE rest <> '')),
+ch AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY piece_at) - 1 AS BIGINT) AS chunk_idx, piece AS chunk, piece_at AS start, piece_at + length(piece) AS "end" FROM r WHERE piece <> '')"""
+
+
+@query(f'WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_idx, chunk, start, "end" FROM ch')
 def speech_chunks(spark, d):
     return chunks.chunked(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-@query()
+@query(f'WITH RECURSIVE {CHUNKS}, {TOK} SELECT ch.doc_id, chunk_idx, token_idx, greatest(t.start, ch.start) - ch.start AS c_start, least(t."end", ch."end") - ch.start AS c_end FROM ch JOIN t ON ch.doc_id = t.doc_id AND t.start < ch."end" AND ch.start < t."end"')
 def chunk_token_overlap(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return chunks.chunk_tokens(chunks.chunked(docs, "doc_id"), tokens.tokenize(docs, "doc_id"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", F.inline(chunks.words_of_chunks("text")))
 
 
 @query("SELECT conv_id, turn, substr(sha1(text || '||' || role), 1, 10) AS key FROM conversations")
@@ -308,10 +318,13 @@ def pitch_signature(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(chunks.pitch_signature(F.collect_list(part)).alias("signature"))
 
 
-@query()
+GUARDED = {"the": "ザ", "of": "オブ", "20": "ハタチ", "a": "ア"}
+
+
+@query(guarded_sql("documents", "doc_id", "text", GUARDED))
 def dictionary_replace_guarded(spark, d):
-    replaced = tiers.replacer({"the": "ザ", "of": "オブ", "20": "ハタチ", "a": "ア"})("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(replaced.cast("binary")).alias("replaced"))
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.md5(tiers.replacer(GUARDED)("text").cast("binary")).alias("replaced"))
 
 
 # --- joins, library, progress ----------------------------------------------------------------------
@@ -367,8 +380,7 @@ def recent_users(spark, d):
 def played_sort(spark, d):
     played = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
     rows = table(spark, d, "customer").select("c_custkey", F.lower("c_name").alias("name")).join(played, "c_custkey", "left")
-    place = F.row_number().over(Window.orderBy(F.col("last").isNull(), F.desc("last"), "name", "c_custkey"))
-    return rows.select("c_custkey", F.col("last").isNotNull().alias("played"), long(place).alias("place"))
+    return library.placed(rows, F.col("last").isNull(), F.desc("last"), F.asc("name"), F.asc("c_custkey")).select("c_custkey", F.col("last").isNotNull().alias("played"), "place")
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -385,7 +397,7 @@ def settings_precedence(spark, d):
 @query("SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment = 'BUILDING', lower(CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END) NULLS FIRST, lower(c_name)) AS place FROM customer")
 def listing_author_sort(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("author"), F.col("c_name").alias("title"))
-    return rows.select("c_custkey", long(F.dense_rank().over(Window.orderBy(*library.author_order("author", "title", "title")))).alias("place"))
+    return library.placed(rows, *library.author_order("author", "title", "title"), dense=True).select("c_custkey", "place")
 
 
 @query("WITH l AS (SELECT user_id AS book, CAST(event_id % 10 AS VARCHAR) AS id, arg_max({'op': CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END, 'chapter': event_type, 'time': value}, (ts, event_id)) AS x FROM events GROUP BY ALL) SELECT book, id, x.chapter AS chapter, x.time AS time FROM l WHERE x.op <> 'delete'")
@@ -422,161 +434,7 @@ def next_playable(spark, d):
 @query("SELECT conv_id, turn FROM conversations ORDER BY conv_id, turn OFFSET 99")
 def start_index_slice(spark, d):
     """Everything from the hundredth turn on."""
-    return table(spark, d, "conversations").select("conv_id", "turn").orderBy("conv_id", "turn").offset(99)
-
-
-# --- Japanese, on inline relations -----------------------------------------------------------------
-
-JA_TEXTS = ("ひらがなとカタカナ", "ゝゞゟ", "シンチヨウ", "ヂヅヮヵヶ", "マッテ...まだ...", "……ああ…。", "雨", "")
-JA_VALUES = ", ".join(f"({k}, '{x}')" for k, x in enumerate(JA_TEXTS))
-
-
-def ja_texts(spark):
-    return spark.createDataFrame([*enumerate(JA_TEXTS)], "k long, x string")
-
-
-@query(f"SELECT CAST(k AS BIGINT) AS k, translate(x, '{kana.HIRAGANA}', '{kana.KATAKANA}') AS katakana FROM (VALUES {JA_VALUES}) v(k, x)")
-def ja_hira_to_kata(spark, d):
-    return ja_texts(spark).select("k", kana.to_katakana(F.col("x")).alias("katakana"))
-
-
-@query(f"SELECT CAST(k AS BIGINT) AS k, translate(x, '{kana.SMALL}', '{kana.FULL}') AS folded FROM (VALUES {JA_VALUES}) v(k, x)")
-def ja_small_kana_fold(spark, d):
-    return ja_texts(spark).select("k", kana.fold_small(F.col("x")).alias("folded"))
-
-
-@query(f"SELECT CAST(k AS BIGINT) AS k, regexp_replace(regexp_replace(x, '\\.{{3,}}', '…', 'g'), '…{{2,}}', '…', 'g') AS text FROM (VALUES {JA_VALUES}) v(k, x)")
-def ja_ellipsis(spark, d):
-    return ja_texts(spark).select("k", kana.ellipsis(F.col("x")).alias("text"))
-
-
-def golden(columns: str, *rows: tuple) -> str:
-    quoted = lambda x: "CAST(NULL AS INTEGER)" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) v({columns})"
-
-
-@query(golden("k, replaced", (0, "2025年"), (1, "ハタチ歳"), (2, "17日")))
-def ja_numeric_guard(spark, d):
-    rows = spark.createDataFrame([(0, "2025年"), (1, "20歳"), (2, "17日")], "k int, text string")
-    return rows.select("k", tiers.replacer({"20": "ハタチ", "7日": "ナノカ"})("text").alias("replaced"))
-
-
-@query(golden("base, reading, n", ("温水", "ヌクミズ", 3)))
-def ja_ruby_compound(spark, d):
-    from ..sources import markup
-
-    page = "".join(f"<p>{x}<ruby>温<rt>ぬく</rt></ruby><ruby>水<rt>みず</rt></ruby>の</p>" for x in "あいう")
-    pages = spark.createDataFrame([(0, page)], "page_id long, html string")
-    ruby = markup.ruby(pages, "page_id")
-    # Neighbouring spans are compounds if nothing stands between them.
-    place = Window.partitionBy("page_id").orderBy("start")
-    run = F.sum(F.when(F.col("start") == F.lag("end").over(place), 0).otherwise(1)).over(place)
-    rows = ruby.withColumn("pos", F.col("pos") + run * 1000)
-    found = evidence.compounds(rows.select("page_id", "pos", "base", "reading"), "page_id")
-    return evidence.reading_counts(found).select("base", "reading", F.col("n").cast("int").alias("n"))
-
-
-@query(golden("base, reading, decision", ("明日", "アシタ", "accept_sure"), ("東", "アズマ", "skip_single"), ("慎重", "シンチョウ", "accept_variant"), ("生", "イキ", "skip_single"), ("蛙池", "カエルイケ", "skip_contested")))
-def ja_arbitration(spark, d):
-    counts = spark.createDataFrame([("明日", "アシタ", 4), ("東", "アズマ", 2), ("慎重", "シンチョウ", 1), ("生", "イキ", 2), ("蛙池", "カエルイケ", 2), ("蛙池", "カワズイケ", 1)], "base string, reading string, n long")
-    variants = spark.createDataFrame([("慎重", ["シンチョウ"])], "base string, variants array<string>")
-    return evidence.arbitrated(counts, variants, is_single=kana.is_single_kanji(F.col("base"))).select("base", "reading", "decision")
-
-
-@query(golden("surface, reading, block", ("守衛", "モリエ", True), ("守衛", "シュエイ", True), ("雨", "アメ", False)))
-def ja_ambiguity_flags(spark, d):
-    rows = spark.createDataFrame([("守衛", "モリエ", "unidic"), ("守衛", "シュエイ", "unidic"), ("雨", "アメ", "unidic")], "surface string, reading string, reading_source string").withColumn("chapter", F.lit(1))
-    return tokens.flag_ambiguous(rows, "chapter", source="unidic").select("surface", "reading", "block")
-
-
-def ja_chapter(spark):
-    return spark.createDataFrame([(1, "馬締光也の顔")], "chapter long, text string")
-
-
-def ja_tokens(spark):
-    docs = ja_chapter(spark)
-    found = tiers.candidates(docs, {"馬締光也": "マジメミツヤ", "馬締": "マジメ"}, 1, "propagation", "chapter").unionByName(tiers.candidates(docs, {"馬": "ウマ", "締": "シメ", "光也": "ミツナリ", "顔": "カオ"}, 3, "unidic", "chapter"))
-    return tiers.select_free(found, "chapter")
-
-
-@query(golden("surface, reading, reading_source", ("馬締光也", "マジメミツヤ", "propagation"), ("顔", "カオ", "unidic")))
-def ja_tier_precedence(spark, d):
-    return ja_tokens(spark).select("surface", "reading", "reading_source")
-
-
-@query(golden("chapter, rendered", (1, "マジメミツヤの顔")))
-def ja_render_partial(spark, d):
-    return tiers.render(ja_chapter(spark), ja_tokens(spark).withColumn("keep", F.col("reading_source") == "unidic"), "chapter", partial=True).select(F.col("chapter").cast("int").alias("chapter"), "rendered")
-
-
-@query(golden("chapter, rendered", (1, "マジメミツヤのカオ")))
-def ja_render_full(spark, d):
-    return tiers.render(ja_chapter(spark), ja_tokens(spark).withColumn("keep", F.lit(False)), "chapter").select(F.col("chapter").cast("int").alias("chapter"), "rendered")
-
-
-REFINED = "chapter long, text string, surface string, reading string, accent long, start long, end long, source string"
-
-
-def refined(spark, rows, overrides=(), removals=()):
-    out = refine.refined(spark.createDataFrame(rows, REFINED), list(overrides), list(removals), "chapter")
-    return out.select("text", "surface", "reading", F.col("accent").cast("int").alias("accent"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-
-
-@query(golden('text, surface, reading, accent, start, "end"', ("ティアラが来た。", "天愛星", "ティアラ", 2, 0, 4)))
-def ja_refine_replace(spark, d):
-    rule = {"pattern": "テイアラ", "replacement": "ティアラ", "reading": "ティアラ", "accent": 2, "surface": "天愛星"}
-    return refined(spark, [(1, "テイアラが来た。", "天愛星", "テイアラ", None, 0, 4, "unidic")], [rule])
-
-
-@query(golden('text, surface, reading, accent, start, "end"', ("カーナカナ", "仮名一", "カーナ", None, 0, 3), ("カーナカナ", "仮名二", "カナ", None, 3, 5)))
-def ja_refine_shift(spark, d):
-    rule = {"pattern": "カナ", "replacement": "カーナ", "reading": "カーナ", "match_surface": "仮名一"}
-    return refined(spark, [(1, "カナカナ", "仮名一", "カナ", None, 0, 2, "unidic"), (1, "カナカナ", "仮名二", "カナ", None, 2, 4, "unidic")], [rule])
-
-
-@query(golden('text, surface, reading, accent, start, "end"', ("セイザキが来た", "正崎", "セイザキ", 0, 0, 4), ("セイザキが来た", "が", "ガ", None, 4, 5)))
-def ja_refine_covered(spark, d):
-    rule = {"pattern": "正崎", "replacement": "セイザキ", "reading": "セイザキ", "accent": 0}
-    return refined(spark, [(1, "正崎が来た", "正", "セイ", None, 0, 1, "unidic"), (1, "正崎が来た", "崎", "サキ", None, 1, 2, "unidic"), (1, "正崎が来た", "が", "ガ", None, 2, 3, "unidic")], [rule])
-
-
-@query(golden('text, surface, reading, accent, start, "end"', ("自分", "分", "ブン", None, 1, 2)))
-def ja_remove_rule(spark, d):
-    return refined(spark, [(1, "ヽ分", "自", "ヽ", None, 0, 1, "unidic"), (1, "ヽ分", "分", "ブン", None, 1, 2, "unidic")], removals=[{"reading": "ヽ"}])
-
-
-JA_MORPHEMES = (
-    (0, (("他", "タ", "名詞"), ("は", "ハ", "助詞"))), (1, (("その", "ソノ", "連体詞"), ("他", "タ", "名詞"))), (2, (("他", "タ", "名詞"), ("人", "ジン", "名詞"))),
-    (3, (("父", "チチ", "名詞"), ("上", "ウエ", "名詞"))), (4, (("1", "1", "名詞"), ("7", "7", "名詞"), ("日", "カ", "名詞"))), (5, (("7", "7", "名詞"), ("日", "カ", "名詞"))),
-)
-
-
-@query(golden("k, readings", (0, "ホカ|ハ"), (1, "ソノ|ホカ"), (2, "タ|ジン"), (3, "チチ|ウエ"), (4, "1|7|ニチ"), (5, "7|カ")))
-def ja_context_readings(spark, d):
-    rows = [(k, i, *m) for k, ms in JA_MORPHEMES for i, m in enumerate(ms)]
-    found = context.readings(spark.createDataFrame(rows, "k int, token_idx long, surface string, reading string, pos string"), "k")
-    return found.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "reading"))), lambda x: x["reading"]), "|").alias("readings"))
-
-
-@query(golden('text, surface, reading, accent, start, "end"', ("アマが降る。", "雨", "アマ", 2, 0, 2)))
-def ja_edit_token(spark, d):
-    rows = spark.createDataFrame([(1, "アメが降る。", "雨", "アメ", 1, 0, 2, "unidic")], REFINED)
-    edits = spark.createDataFrame([(1, 0, "アマ", 2)], "chapter long, token_idx long, reading string, accent long")
-    out = refine.edited(rows, edits, "chapter")
-    return out.select("text", "surface", "reading", F.col("accent").cast("int").alias("accent"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-
-
-@query(golden('chapter, text', (1, "題名\n\n著者\n\n本文です。"), (2, "これは文章です。\nつづき。")))
-def ja_title_break(spark, d):
-    rows = spark.createDataFrame([(1, "題名\n著者\n\n本文です。"), (2, "これは文章です。\nつづき。")], "chapter int, text string")
-    return rows.select("chapter", context.title_break(F.col("text")).alias("text"))
-
-
-@query(golden("phrase_idx, new_accent", (0, 1), (1, 3)))
-def ja_accent_phrases(spark, d):
-    phrases = spark.createDataFrame([(1, 0, ["ア", "メ"], 2), (1, 1, ["ト", "ア", "メ"], 1)], "chapter long, phrase_idx int, moras array<string>, accent int")
-    found = spark.createDataFrame([(1, 0, 2, 1, "名詞"), (1, 3, 5, 0, "名詞")], "chapter long, start long, end long, accent int, pos string")
-    return chunks.phrase_accents(phrases, found, "chapter").select("phrase_idx", "new_accent")
+    return library.from_place(table(spark, d, "conversations").select("conv_id", "turn"), 100, F.asc("conv_id"), F.asc("turn"))
 
 
 # --- streams and further aggregations --------------------------------------------------------------
@@ -589,25 +447,21 @@ def event_stream(spark, d):
 
 
 def checkpoint(spark) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_status_latest(spark, d):
     from ..streaming import progress
 
-    return progress.run_to_end(progress.latest_status(event_stream(spark, d)), "status_latest_out", checkpoint(spark)).select("user_id", "event_id", "event_type")
+    return progress.run_to_end(progress.latest_status(event_stream(spark, d)), "status-latest").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_window(spark, d):
     from ..streaming import progress
 
-    return progress.run_to_end(progress.by_window(event_stream(spark, d)), "event_window_out", checkpoint(spark))
+    return progress.run_to_end(progress.by_window(event_stream(spark, d)), "event-window")
 
 
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
@@ -625,3 +479,7 @@ def setops_users(spark, d):
     rows = table(spark, d, "events")
     of = lambda kind: rows.where(F.col("event_type") == kind).select("user_id")
     return of("purchase").intersect(of("click")).subtract(of("error"))
+
+
+# The other themes register theirs.
+from . import chapter_queries, file_queries, library_queries, text_queries  # noqa: E402, F401

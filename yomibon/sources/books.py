@@ -6,21 +6,49 @@ becomes null.
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.kana import is_single_kanji, slug
+from ..operators.labels import sample_parts
 
 HIDDEN = (".original.txt", ".partial.txt")
 TOKEN = "struct<surface:string,start:string,end:string,reading:string,reading_source:string,accent:string,pos:string,transformed_start:string,transformed_end:string>"
 RULE = "struct<pattern:string,regex:boolean,replacement:string,reading:string,accent:string,pos:string,surface:string,match_surface:string,source:string>"
 
 
+@F.pandas_udf(T.StringType())
+def utf8_text(raw: pd.Series) -> pd.Series:
+    """UTF-8 text; bytes that aren't are dropped."""
+    return raw.map(lambda x: bytes(x).decode("utf-8", errors="ignore"), na_action="ignore")
+
+
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, text of the chapters below a folder; originals and partial texts are left out. Broken UTF-8 is dropped."""
+    """path, text of the chapters below a folder, or of one file; originals and partial texts are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
+    return chapter_files(files).select("path", utf8_text("content").alias("text"))
+
+
+def chapter_files(files: DataFrame) -> DataFrame:
+    """files (path, ...) that are chapters: no originals, no partial texts."""
     for suffix in HIDDEN:
-        files = files.where(~F.col("path").endswith(suffix))
-    text = F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "�", "")
-    return files.select("path", text.alias("text"))
+        files = files.where(~F.endswith("path", F.lit(suffix)))
+    return files
+
+
+def listed(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """files (path, text) and metadata() -> book, file, text, title, author, chapter_title, index, in order of the path: the
+    book is the folder of the file; without an entry the title is the first line of its original, else the file's stem."""
+    from ..functions.kana import first_line
+
+    parts = files.select("path", "text", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("book"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
+    originals = parts.where(F.endswith("path", F.lit(HIDDEN[0]))).select(F.concat(F.regexp_replace("path", r"\.original\.txt$", ""), F.lit(".txt")).alias("path"), first_line(F.col("text")).alias("own_title"))
+    rows = chapter_files(parts).join(originals, "path", "left").join(metadata.select("book", "file", "title", "author", "index", F.col("chapter_title").alias("listed")), ["book", "file"], "left")
+    stem = F.regexp_replace("file", r"(?<=.)\.[^.]*$", "")
+    return rows.select("path", "book", "file", "text", "title", "author", F.coalesce("own_title", "listed", stem).alias("chapter_title"), "index").orderBy("path")
 
 
 def whole(text, kind: str = "long"):
@@ -92,24 +120,129 @@ def bookmark_state(files: DataFrame) -> DataFrame:
     return first.select("book", "m.id", "m.chapter", "m.time", "m.label")
 
 
-def manifest(chapters: DataFrame, album: str, artist: str) -> DataFrame:
-    """chapters (book, index, file, title) -> book, json: tracks in order, without an index last."""
+def played_state(files: DataFrame) -> DataFrame:
+    """files (book, json) -> book, last_chapter, last_time, played: each chapter once, in its first place; empty ones are dropped."""
+    schema = "struct<last_played:struct<chapter:string,time:double>,played:array<string>>"
+    rows = files.select("book", F.from_json("json", schema).alias("j"))
+    last = F.when(F.col("j.last_played.chapter").isNotNull() & F.col("j.last_played.time").isNotNull(), F.col("j.last_played"))
+    played = F.array_distinct(F.filter(F.coalesce("j.played", F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
+    return rows.select("book", last["chapter"].alias("last_chapter"), last["time"].alias("last_time"), played.alias("played"))
+
+
+def json_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, json of files; none where there is nothing."""
+    try:
+        return spark.read.format("binaryFile").load(path).select("path", utf8_text("content").alias("json"))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], "path string, json string")
+        raise
+
+
+ENTRY = "struct<base:string,reading:string,count:string,suffix:string,suffixes:array<struct<value:string,count:string>>,prefixes:array<struct<value:string,count:string>>>"
+
+
+def corpus_dictionary(files: DataFrame) -> DataFrame:
+    """files (json): arrays of entries -> base, reading, total, single, suffixes, prefixes array<struct<value,count>>: entries
+    with a base, a reading and a count above 0, the last of a base; a list of suffixes goes before a single one."""
+    from ..functions.kana import canonical_katakana
+    from ..functions.unicode_udf import nfkc
+
+    rows = files.select(F.posexplode(F.from_json("json", f"array<{ENTRY}>")).alias("pos", "e"))
+    count = lambda c: F.coalesce(whole(c), F.lit(0).cast("long"))
+    listed_ = lambda name: F.filter(F.transform(f"e.{name}", lambda x: F.struct(x["value"].alias("value"), count(x["count"]).alias("count"))), lambda x: x["value"].isNotNull() & (x["count"] > 0))
+    total = count(F.col("e.count"))
+    single = F.when(F.coalesce(F.col("e.suffix"), F.lit("")) != "", F.array(F.struct(F.col("e.suffix").alias("value"), total.alias("count")))).otherwise(F.array().cast("array<struct<value:string,count:bigint>>"))
+    rows = rows.where((F.coalesce(F.col("e.base"), F.lit("")) != "") & (F.coalesce(F.col("e.reading"), F.lit("")) != "") & (total > 0))
+    rows = rows.select(nfkc("e.base").alias("base"), canonical_katakana(nfkc("e.reading")).alias("reading"), total.alias("total"), F.coalesce(listed_("suffixes"), single).alias("suffixes"), F.coalesce(listed_("prefixes"), F.array().cast("array<struct<value:string,count:bigint>>")).alias("prefixes"), "pos")
+    last = rows.groupBy("base").agg(F.max_by(F.struct("reading", "total", "suffixes", "prefixes"), "pos").alias("x"))
+    return last.select("base", "x.*").withColumn("single", is_single_kanji(F.col("base")))
+
+
+def sample_index(files: DataFrame) -> DataFrame:
+    """files (path, json) of voice samples -> path, character, sample: an entry each, as JSON; a blank character is null."""
+    rows = files.select("path", F.from_json("json", "struct<character:string,samples:array<string>>").alias("j"))
+    return rows.select("path", F.nullif(F.trim("j.character"), F.lit("")).alias("character"), F.explode("j.samples").alias("sample")).where(F.startswith("sample", F.lit("{")))
+
+
+def roster_cache(files: DataFrame, engine: str | None = None) -> DataFrame:
+    """files (path, json) of voice rosters -> path, character: an entry each, as JSON; those of another engine are left out."""
+    rows = files.select("path", F.from_json("json", "struct<engine_url:string,characters:array<string>>").alias("j"))
+    own = rows if not engine else rows.where(F.coalesce("j.engine_url", F.lit(engine)) == engine)
+    return own.select("path", F.explode("j.characters").alias("character"))
+
+
+def voice_samples(files: DataFrame) -> DataFrame:
+    """files (path) -> id, name, filename of the MP3 samples, by id, those without one last, then by name."""
+    from ..functions.kana import folded
+
+    names = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename")).where(F.endswith(F.lower("filename"), F.lit(".mp3")))
+    rows = names.select(sample_parts(F.col("filename")).alias("p"), "filename").select("p.id", "p.name", "filename")
+    return rows.orderBy(F.col("id").asc_nulls_last(), folded(F.col("name")))
+
+
+def manifest(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """chapters (book, index, file, title), books (book, title, author) -> book, json: tracks in order, without an index last."""
     track = F.struct(F.coalesce("index", F.lit(10**6)).alias("order"), F.col("file"), F.col("title").alias("chapter"), F.col("index"))
     rows = chapters.groupBy("book").agg(F.array_sort(F.collect_list(track)).alias("t"))
     tracks = F.transform("t", lambda x: F.struct(x["file"].alias("file"), x["chapter"].alias("chapter"), x["index"].alias("index")))
-    return rows.select("book", F.to_json(F.struct(F.lit(1).alias("version"), F.lit(album).alias("album"), F.lit(artist).alias("artist"), tracks.alias("tracks"))).alias("json"))
+    rows = rows.join(books.select("book", F.col("title").alias("album"), F.col("author").alias("artist")), "book", "left")
+    return rows.select("book", F.to_json(F.struct(F.lit(1).alias("version"), "album", "artist", tracks.alias("tracks"))).alias("json"))
 
 
 def basenames(chapters: DataFrame) -> DataFrame:
-    """chapters (book, index, title) -> with name `NNN_slug`; a name that repeats in a book gets a number."""
-    from ..functions.kana import slug
-
-    plain = F.concat(F.lpad(F.col("index").cast("string"), 3, "0"), F.lit("_"), slug(F.coalesce("title", F.lit("chapter"))))
-    rows = chapters.withColumn("plain", plain)
-    turn = F.row_number().over(Window.partitionBy("book", "plain").orderBy("index"))
-    return rows.withColumn("turn", turn).withColumn("name", F.when(F.col("turn") > 1, F.concat("plain", F.lit("_"), "turn")).otherwise(F.col("plain"))).drop("plain", "turn")
+    """chapters (book, index, title, source) -> with name: `NNN_` and the slug of the title, else of the source's stem; one
+    that repeats in a book is the number alone, with a count if that repeats too."""
+    stem = F.regexp_replace(F.regexp_extract("source", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    number = F.lpad(F.col("index").cast("string"), 3, "0")
+    chosen = F.coalesce(F.nullif(slug(F.coalesce("title", F.lit(""))), F.lit("")), F.nullif(slug(stem), F.lit("")))
+    rows = chapters.withColumn("plain", F.coalesce(F.concat(number, F.lit("_"), chosen), number))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("book", "plain").orderBy("index", "source")))
+    rows = rows.withColumn("bare", F.when((F.col("turn") > 1) | (F.col("plain") == number), number))
+    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("book", "bare").orderBy("turn", "source")))
+    name = F.when(F.col("bare").isNull(), F.col("plain")).when(F.col("again") > 1, F.concat("bare", F.lit("_"), F.col("again").cast("string"))).otherwise(F.col("bare"))
+    return rows.withColumn("name", name).drop("plain", "turn", "bare", "again")
+
+
+def metadata_json(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """chapters (book, index, file, title, original_title, source), books (book, title, author, cover, epub, defaults) ->
+    book, json: what is null is left out, chapters stand by index."""
+    one = F.struct("index", "file", "title", "original_title", "source")
+    rows = chapters.groupBy("book").agg(F.array_sort(F.collect_list(one)).alias("chapters"))
+    payload = F.struct(F.lit(1).alias("version"), "title", "chapters", "author", "cover", "epub", F.col("defaults").alias("tts_defaults"))
+    return books.join(rows, "book", "left").withColumn("chapters", F.coalesce("chapters", F.array())).select("book", F.to_json(payload).alias("json"))
+
+
+def evidence_json(evidence: DataFrame, *keys: str) -> DataFrame:
+    """evidence (keys..., base, reading, count, suffix, suffixes, prefixes) -> keys..., json: by count, the highest first, then base."""
+    one = F.struct((-F.col("count")).alias("order"), "base", "reading", "count", "suffix", "suffixes", "prefixes")
+    listed_ = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(*[x[c].alias(c) for c in ("base", "reading", "count", "suffix", "suffixes", "prefixes")]))
+    return evidence.groupBy(*keys).agg(F.to_json(listed_).alias("json"))
 
 
 def write_package(chapters: DataFrame, path: str) -> None:
-    """Chapters as a Parquet table by book; rewriting a book replaces its partition only."""
+    """Chapters as a Parquet table by book; rewriting a book replaces its partition only, so nothing stale stays."""
     chapters.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(path)
+
+
+def write_book(chapters: DataFrame, tokens: DataFrame, evidence: DataFrame, books: DataFrame, path: str) -> None:
+    """A package at `path`, a table of each kind by book: chapters (book, index, title, original_title, source, text, original),
+    tokens (book, index, and those of a chapter), evidence (book, ...), books (book, title, author, cover, epub). Voice
+    defaults of books that were written before are carried over."""
+    spark = chapters.sparkSession
+    named = basenames(chapters).withColumn("file", F.concat("name", F.lit(".txt")))
+    old = spark.createDataFrame([], "book string, defaults map<string,string>")
+    if not json_files(spark, f"{path}/metadata/book=*").isEmpty():
+        kept = spark.read.parquet(f"{path}/metadata").select("book", F.from_json("json", "struct<tts_defaults:map<string,string>>").alias("j"))
+        old = old.unionByName(kept.where("j.tts_defaults is not null").select(F.col("book").cast("string").alias("book"), F.col("j.tts_defaults").alias("defaults")))
+    whole_books = books.join(old, "book", "left")
+    as_text = token_json(tokens.withColumn("chapter", F.concat_ws("/", "book", F.col("index").cast("string"))), named.select(F.concat_ws("/", "book", F.col("index").cast("string")).alias("chapter"), "text"))
+    keys = named.select(F.concat_ws("/", "book", F.col("index").cast("string")).alias("chapter"), "book", "index", "name")
+    metadata_ = metadata_json(named, whole_books)
+    from ..storage import written
+
+    write_package(written(metadata_, "metadata"), f"{path}/metadata")  # written first, as it is read from where it goes
+    write_package(named.select("book", "index", "name", "title", "source", "text", "original"), f"{path}/chapters")
+    write_package(as_text.join(keys, "chapter").select("book", "index", F.concat("name", F.lit(".txt.token.json")).alias("file"), "json"), f"{path}/tokens")
+    write_package(evidence_json(evidence, "book"), f"{path}/evidence")
+    write_package(manifest(named.select("book", "index", "file", "title"), books), f"{path}/manifest")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.kana import is_ascii_word
+
 # Encodings that are tried in turn.
 ENCODINGS = ("utf-8", "utf-16", "cp932", "shift_jis", "euc_jp")
 HTML = r"(?i)\.(xhtml|html|htm)$"
@@ -48,9 +51,12 @@ def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["book", "entry", "entry_order", "bytes"])
 
 
-def shelf(spark: SparkSession, folder: str) -> DataFrame:
-    """The containers of a folder, whatever the case of their suffix."""
-    return spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".epub")).select("path", "content")
+def shelf(spark: SparkSession, path: str) -> DataFrame:
+    """The containers of a folder (not of folders in it) or one container, by path, whatever the case of their suffix; none is an error."""
+    found = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".epub")).select("path", "content").orderBy("path")
+    if found.select("path").isEmpty():
+        raise ValueError(f"no EPUB at {path}")
+    return found
 
 
 def entries(books: DataFrame) -> DataFrame:
@@ -130,13 +136,13 @@ def package_of(opf: pd.Series) -> pd.DataFrame:
             rows.append(found)
             continue
         for node in root.iter():
-            name, own = _local(node.tag), (node.text or "").strip()
+            name, own = _local(node.tag), "".join(node.itertext()).strip() if _local(node.tag) in ("title", "creator") else ""
             if name == "title" and own and not found["title"]:
-                found["title"] = own
+                found["title"] = unicodedata.normalize("NFKC", own)
             elif name == "creator" and own:
                 role = next((v for k, v in node.attrib.items() if _local(k) == "role"), "")
-                if role in ("", "aut", "author"):
-                    found["authors"].append(own)
+                if role.lower() in ("", "aut", "author"):
+                    found["authors"].append(unicodedata.normalize("NFKC", own).strip())
             elif name == "item" and node.get("href"):
                 found["items"].append({"id": node.get("id"), "href": unquote(node.get("href")), "type": node.get("media-type"), "properties": node.get("properties")})
             elif name == "itemref" and node.get("idref"):
@@ -175,7 +181,7 @@ def spine(files: DataFrame, packs: DataFrame) -> DataFrame:
 def authors(packs: DataFrame) -> DataFrame:
     """book, title, author: distinct authors in order, joined by a comma if all are ASCII words, else by a middle dot."""
     names = F.array_distinct("package.authors")
-    ascii_only = F.forall(names, lambda x: F.rlike(x, F.lit(r"^[\x00-\x7F]+$")))
+    ascii_only = F.forall(names, is_ascii_word)
     return packs.select("book", F.col("package.title").alias("title"), F.when(F.size(names) > 0, F.when(ascii_only, F.array_join(names, ", ")).otherwise(F.array_join(names, "・"))).alias("author"))
 
 

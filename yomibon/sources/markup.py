@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kana import CANONICAL, HIRAGANA, KATAKANA
-
-# Elements without text, elements that begin a line, and kana that can follow a base.
-SILENT = frozenset("rp script style title head".split())
-BLOCK = frozenset("address article aside blockquote body dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-OKURIGANA = re.compile("[ぁ-ゖー]*")
+from ..functions.kana import CANONICAL, HIRAGANA, KATAKANA, NUMERIC
+
+# Elements without text, elements that begin a line, and those that do so inside others too.
+SILENT = frozenset("rp script style title".split())
+BLOCK = frozenset("address article aside blockquote dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section table ul tr".split())
+ALWAYS = frozenset("h1 h2 h3 h4 h5 h6 li p dt dd tr".split())
+#: Elements that have no end.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+OKURIGANA = re.compile("\\s*([ぁ-ゟ゠-ヿ]*)")
+PREFIX_LENGTH = 4
+NUMBER_BEFORE = re.compile(f"([{NUMERIC}]{{1,{PREFIX_LENGTH}}})\\s*$")
 TO_KATAKANA = str.maketrans(HIRAGANA, KATAKANA) | str.maketrans(*CANONICAL)
 
 
@@ -25,92 +30,165 @@ def katakana(text: str) -> str:
     return unicodedata.normalize("NFKC", text).translate(TO_KATAKANA)
 
 
+def is_xml(page: str) -> bool:
+    """Whether a page is XML rather than HTML: `<x/>` then ends its element."""
+    head = page.lstrip()[:200].lower()
+    return head.startswith("<?xml") or ("<html" in head and "xmlns" in head)
+
+
 class Reader(HTMLParser):
-    """Text and ruby spans of a page."""
+    """Text and ruby spans of a page. spoken: ruby gives its reading, and text outside goes through `outside`."""
 
-    def __init__(self):
+    def __init__(self, xml: bool = False, spoken: bool = False, outside=None):
         super().__init__(convert_charrefs=True)
         self.text, self.spans = "", []
+        self.xml, self.spoken, self.outside = xml, spoken, outside or (lambda x: x)
         self.silent, self.ruby, self.part = 0, None, "base"
+        self.blocks: list[str] = []
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self.xml or tag in VOID:
+            self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
             self.silent += 1
         elif tag == "ruby":
-            self.ruby, self.part = {"base": "", "rb": "", "reading": "", "start": len(self.text)}, "base"
+            self.ruby, self.part = {"base": "", "rb": "", "reading": "", "all": "", "start": len(self.text)}, "base"
         elif tag in ("rt", "rtc"):
             self.part = "reading"
         elif tag == "rb":
             self.part = "rb"
-        elif tag == "br" or tag in BLOCK:
+        elif tag == "br":
             self.text += "\n" if self.ruby is None else ""
+        elif tag in BLOCK:
+            if not self.xml and self.blocks[-1:] in (["p"], [tag] if tag in ("li", "dt", "dd") else ["p"]):
+                self.blocks.pop()  # a block ends a paragraph, an item the one before it
+            if self.ruby is None and (tag in ALWAYS or not self.blocks):
+                self.text += "\n"
+            self.blocks += [tag] if tag not in VOID else []
 
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag in ("rt", "rb", "rtc"):
             self.part = "base"
+        elif tag in self.blocks:
+            while self.blocks.pop() != tag:
+                pass
         elif tag == "ruby" and self.ruby is not None:
             own, self.ruby = self.ruby, None
             base = re.sub(r"\s+", "", unicodedata.normalize("NFKC", own["rb"] or own["base"]))
-            reading = katakana(re.sub(r"\s+", "", own["reading"]))
-            self.text += base
+            reading = katakana(re.sub(r"\s+", "", own["reading"] or own["all"]))
+            self.text += reading if self.spoken else base
             if base and reading:
-                self.spans.append((base, reading, own["start"], own["start"] + len(base)))
+                self.spans.append((base, reading, own["start"], own["start"] + len(base), re.sub(r"\s+", "", own["reading"] or own["all"])))
 
     def handle_data(self, data):
         if self.silent:
             return
         if self.ruby is not None:
             self.ruby[self.part] += data
+            self.ruby["all"] += data
         else:
-            self.text += unicodedata.normalize("NFKC", data)
-
-
-def page_text(page: str) -> tuple[str, list[tuple[str, str, int, int]]]:
-    """(text, spans): lines without space at their ends, at most one blank line, spans by offset in the text."""
-    reader = Reader()
+            self.text += self.outside(unicodedata.normalize("NFKC", data))
+
+
+def edited(text: str, marks: list[int], pattern: re.Pattern, new: str) -> tuple[str, list[int]]:
+    """The text with `new` for each match, and where the marks (ascending) are in it; a mark inside a match is at its start."""
+    out, moved, at, size, k = [], [], 0, 0, 0
+    for m in [*pattern.finditer(text), None]:
+        start, end = m.span() if m else (len(text), len(text))
+        while k < len(marks) and (marks[k] <= start or not m):
+            moved.append(size + marks[k] - at)
+            k += 1
+        out.append(text[at:start])
+        size += start - at
+        while m and k < len(marks) and marks[k] < end:
+            moved.append(size)
+            k += 1
+        if m:
+            out.append(m.expand(new))
+            size += len(out[-1])
+        at = end
+    return "".join(out), moved
+
+
+#: What is tidied in a text, in turn.
+TIDY = ((r"[ \t]+\n", r"\n"), ("[〝〟]", '"'), (r"\.{3,}", "…"), ("…{2,}", "…"), (r"\n{3,}", r"\n\n"), (r"\A\s+|\s+\Z", ""))
+TIDY = tuple((re.compile(pattern), new) for pattern, new in TIDY)
+
+
+def page_text(page: str, spoken: bool = False, outside=None) -> tuple[str, list[tuple[str, str, int, int]]]:
+    """(text, spans (base, reading, start, end) by offset in the text)."""
+    return read_page(page, spoken, outside)[:2]
+
+
+def read_page(page: str, spoken: bool = False, outside=None) -> tuple[str, list[tuple[str, str, int, int]], list[str]]:
+    """(text, spans, the spans' readings as they are written)."""
+    reader = Reader(is_xml(page), spoken, outside)
     reader.feed(page)
     reader.close()
-    keep, last = [], "\n\n"
-    for line in re.finditer(r"[^\n]*\n?", reader.text):
-        body = line[0].rstrip("\n").rstrip()
-        end = "\n" if line[0].endswith("\n") and (body or not last.endswith("\n\n")) else ""
-        if last.endswith("\n\n") and not body:
-            continue
-        keep.append((line.start(), body + end))
-        last = (last + body + end)[-2:]
-    moved, at, spans = "", 0, []
-    places = []
-    for start, body in keep:
-        places.append((start, start + len(body), len(moved)))
-        moved += body
-    moved = moved.rstrip("\n")
-    for base, reading, start, end in reader.spans:
-        for low, high, to in places[at:]:
-            if low <= start and end <= high:
-                spans.append((base, reading, start - low + to, end - low + to))
-                break
-    return moved, spans
-
-
-SPAN = T.StructType().add("base", "string").add("reading", "string").add("start", "long").add("end", "long").add("suffix", "string")
+    text, marks = reader.text, [x for span in reader.spans for x in span[2:4]]
+    for pattern, new in TIDY:
+        text, marks = edited(text, marks, pattern, new)
+    spans = [(b, r, marks[2 * k], marks[2 * k + 1]) for k, (b, r, *_) in enumerate(reader.spans)]
+    return text, spans, [x[4] for x in reader.spans]
+
+
+SPAN = T.StructType().add("base", "string").add("reading", "string").add("start", "long").add("end", "long").add("raw", "string").add("prefix", "string").add("suffix", "string")
 MARKUP = T.StructType().add("text", "string").add("spans", T.ArrayType(SPAN))
 
 
+def evidence(page: str) -> tuple[str, list[dict]]:
+    """The text and its spans, with the number before each and the kana behind it, up to the next span."""
+    text, spans, raws = read_page(page)
+    found = []
+    for k, ((base, reading, start, end), raw) in enumerate(zip(spans, raws, strict=True)):
+        limit = spans[k + 1][2] if k + 1 < len(spans) else len(text)
+        number = NUMBER_BEFORE.search(text, spans[k - 1][3] if k else 0, start)
+        found.append({"base": base, "reading": reading, "start": start, "end": end, "raw": raw, "prefix": unicodedata.normalize("NFKC", number[1]) if number else "", "suffix": OKURIGANA.match(text, end, limit)[1]})
+    return text, found
+
+
 @F.pandas_udf(MARKUP)
 def parse_markup(pages: pd.Series) -> pd.DataFrame:
-    rows = []
-    for page in pages:
-        text, spans = page_text(page or "")
-        rows.append((text, [{"base": b, "reading": r, "start": s, "end": e, "suffix": OKURIGANA.match(text, e)[0]} for b, r, s, e in spans]))
-    return pd.DataFrame(rows, columns=["text", "spans"])
+    return pd.DataFrame([evidence(page or "") for page in pages], columns=["text", "spans"])
+
+
+def spoken_text(mapping: dict[str, str]):
+    """An Arrow-batched function: pages with ruby as its reading, and the dictionary's words outside it as theirs."""
+    from ..operators.tiers import compiled, matches
+
+    @F.pandas_udf(T.StringType())
+    def said(pages: pd.Series) -> pd.Series:
+        pattern = compiled(mapping)
+
+        def outside(text: str) -> str:
+            parts, at = [], 0
+            for start, end, reading in matches(text, mapping, pattern):
+                parts += [text[at:start], reading]
+                at = end
+            return "".join([*parts, text[at:]])
+
+        return pages.map(lambda page: page_text(page, True, outside)[0], na_action="ignore")
+
+    return said
 
 
 def ruby(pages: DataFrame, *keys: str) -> DataFrame:
-    """pages (keys..., html) -> keys..., pos, base, reading, start, end, suffix: the evidence in page order."""
+    """pages (keys..., html) -> keys..., pos, base, reading, start, end, raw, prefix, suffix: the evidence in page order."""
     rows = pages.select(*keys, parse_markup("html").alias("m")).select(*keys, F.posexplode("m.spans").alias("pos", "s"))
-    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), "s.base", "s.reading", "s.start", "s.end", "s.suffix")
+    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), "s.base", "s.reading", "s.start", "s.end", "s.raw", "s.prefix", "s.suffix")
+
+
+def corpus_ruby(entries: DataFrame, folder: str = "text") -> DataFrame:
+    """entries of containers (book, entry, bytes) -> the evidence of their text pages: XHTML below a folder of that name."""
+    from .epub import decode_text
+
+    own = entries.where(F.lower("entry").endswith(".xhtml") & F.contains(F.concat(F.lit("/"), F.lower("entry")), F.lit(f"/{folder}/")))
+    return ruby(own.select("book", "entry", decode_text("bytes").alias("html")), "book", "entry")
 
 
 def texts(pages: DataFrame, *keys: str) -> DataFrame:
