@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import worker_cache
+
 #: Bytes of text at a time; the arrays of words and shingles take about fifty times as much.
 PIECE = 1 << 19
 
@@ -25,9 +27,13 @@ RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tidy(run: Callable) -> Callable:
-    """The task function, and after its last batch Arrow's and the C library's free memory go back to the system."""
+    """The task function; before it the memos that other stages left in the worker go, and after its last batch Arrow's
+    and the C library's free memory goes back to the system."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept in list(worker_cache().values()):
+            if hasattr(kept, "forget"):
+                kept.forget()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         try:

@@ -68,6 +68,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def counter(languages: list[str]):
     """Batches of (lang, text) -> (counts), one array of all languages' buckets a task."""
 
+    @kernels.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {lang: k for k, lang in enumerate(languages)}
         total = np.zeros(len(languages) << BUCKET_BITS, np.int64)
@@ -130,6 +131,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 def scorer(model):
     """model: a broadcast Model. Batches of (doc_id, text, ...) -> the same with lang_pred and score."""
 
+    @kernels.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         letter = re.compile(r"[^\W\d_]")

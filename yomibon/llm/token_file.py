@@ -17,9 +17,10 @@ a document is the sum of its shards', block's and own places; only one row a sha
 
 Encoding. The ids are those of the tokenizer's plain encode without added special tokens; a special
 token that stands in a text is that token's id, as the plain encode has it. The byte-level tokenizer
-cuts a text before each single space, so pieces between spaces are encoded once a task and their ids
-kept in a memo bounded in bytes; texts where a space is the middle or end of a run of white space,
-texts that hold a special token, and other tokenizers, are encoded as a whole.
+cuts a text before each single space, so pieces between spaces are encoded once and their ids kept in a
+memo of the Python worker, bounded in bytes, that serves all tasks of the stage; the first task of another
+stage releases it. Texts where a space is the middle or end of a run of white space, texts that hold a
+special token, and other tokenizers, are encoded as a whole.
 
 Defined results. A null text is empty: only the end id. Rows that repeat a doc_id are documents of
 their own, in the order of a hash of their texts; which of equal rows comes first makes no difference.
@@ -34,7 +35,6 @@ import json
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -44,12 +44,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, shared_dir, worker_cache
+from ..storage import new_folder
+from .common import BROADCAST_BYTES, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Bytes that a task's memo takes at most; beyond it the memo starts anew. An entry takes its text, its ids and ENTRY.
-MEMO_BYTES, ENTRY = 48 << 20, 200
+#: Bytes that a worker's memo takes at most; beyond it the memo starts anew. An entry takes its text, its ids and ENTRY.
+MEMO_BYTES, ENTRY = 128 << 20, 200
 SCHEMA = "shard int, block int, shard_start long, bits int, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
 #: A single space that isn't the last of a run of white space.
 UNSAFE = r"\s (?:\s|\Z)"
@@ -172,7 +173,7 @@ def encoder(path: str, end_id: int, block_ids: int):
     """Sorted batches of (doc_id, text) -> blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache()  # the tokenizer serves all tasks of a worker, its memo one
+        kept = worker_cache()  # the tokenizer serves all tasks of a worker
         encode = kept[path] = kept.get(path) or Encoder(path)
         bits = max(encode.bits, width(end_id + 1))
         context = TaskContext.get()
@@ -188,22 +189,19 @@ def encoder(path: str, end_id: int, block_ids: int):
             names = ["shard", "block", "shard_start", "bits", "n_ids", "doc_ids", "n_tokens", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names)
 
-        try:
-            for batch in batches:
-                for low in range(0, batch.num_rows, 256):
-                    some = batch.slice(low, 256)
-                    texts = [x or "" for x in some.column(1).to_pylist()]
-                    for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
-                        docs.append(doc_id)
-                        parts.append(np.append(ids, np.uint32(end_id)))
-                        held += len(ids) + 1
-                        if held >= block_ids:
-                            yield close()
-                            block, start, docs, parts, held = block + 1, start + held, [], [], 0
-            if parts:
-                yield close()
-        finally:
-            encode.forget()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                texts = [x or "" for x in some.column(1).to_pylist()]
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                    docs.append(doc_id)
+                    parts.append(np.append(ids, np.uint32(end_id)))
+                    held += len(ids) + 1
+                    if held >= block_ids:
+                        yield close()
+                        block, start, docs, parts, held = block + 1, start + held, [], [], 0
+        if parts:
+            yield close()
 
     return run
 
@@ -245,4 +243,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes docs to a token file in the shared folder and reads it back."""
     spark = docs.sparkSession
-    return read(spark, write(docs, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", tokenizer, end_id))
+    return read(spark, write(docs, new_folder(spark, "tokens"), tokenizer, end_id))
