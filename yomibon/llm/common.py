@@ -31,6 +31,11 @@ def written(df: DataFrame, name: str, codec: str = "snappy", paths: list[str] |
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """written(), whose tables are deleted at the end of the block: what leaves it must not read them."""
@@ -39,8 +44,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
         yield lambda df, name, **options: written(df, name, paths=paths, **options)
     finally:
         for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            deleted(spark, path)
 
 
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
