@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def sent(spark: SparkSession, model: object) -> Broadcast:
+    """A model of bounded size, sent once to each executor, by value with its classes: executors lack this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(model: Broadcast) -> object:
+    """In a task: what sent() sent."""
+    return pickle.loads(model.value)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import received, sent
 
 BUCKET_BITS = 15
 #: At most about this many labelled rows are read for training, and of each language so many at least.
@@ -129,11 +130,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
 
 def scorer(model):
-    """model: a broadcast Model. Batches of (doc_id, text, ...) -> the same with lang_pred and score."""
+    """model: a Model as sent() sends it. Batches of (doc_id, text, ...) -> the same with lang_pred and score."""
 
     @kernels.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = received(model)
         letter = re.compile(r"[^\W\d_]")
         for batch in batches:
             n = batch.num_rows
@@ -164,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     if model is None:
         return cols.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in cols.schema)}, lang_pred string, score double"
-    return cols.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return cols.mapInArrow(scorer(sent(docs.sparkSession, model)), schema)
 
 
 def identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import received, sent
 from .language import sample
 
 # Notices as they stand in documents, by family.
@@ -294,11 +295,11 @@ SCANNED = "doc_id long, n_paragraphs long, n_notices long, licences string, scor
 
 
 def scanner(model):
-    """model: a broadcast Model. Batches of (doc_id, text) -> a row a document."""
+    """model: a Model as sent() sends it. Batches of (doc_id, text) -> a row a document."""
 
     @kernels.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = received(model)
         for batch in batches:
             n = batch.num_rows
             n_paragraphs, n_found, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
@@ -329,5 +330,5 @@ def scanner(model):
 
 def scanned(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_paragraphs, n_notices, licences, score."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), sample_rows))
+    model = sent(docs.sparkSession, train(docs.select("doc_id", "text"), sample_rows))
     return docs.select("doc_id", "text").mapInArrow(scanner(model), SCANNED)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import received, sent, words, written
 from .language import fold, sample
 
 #: Rows that train at most, about a quarter of them toxic.
@@ -193,10 +193,10 @@ def features(found, text: str) -> list[float]:
 
 
 def scorer(model, with_features: bool):
-    """model: a broadcast Grammar. Batches of (doc_id, text) -> (doc_id, values)."""
+    """model: a Grammar as sent() sends it. Batches of (doc_id, text) -> (doc_id, values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = model.value
+        grammar = received(model)
         automaton = grammar.automaton()
         for batch in batches:
             rows = np.array([features(automaton, x or "") for x in batch.column(1).to_pylist()]).reshape(-1, N_FEATURES)
@@ -276,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     kept = table.where((F.col("weight") >= LEAST_ODDS) & (F.col("n_toxic") >= LEAST_DOCS) | F.col("term").isin(cues)).collect()
     grammar = Grammar({r.term: float(r.weight) for r in kept if r.term not in cues})
     grammar.threats = {r.term.strip(): THREAT * min(1.0, max(0.0, r.weight)) for r in kept if r.term in cues and r.n_toxic + r.n_clean >= LEAST_DOCS}
-    shared = spark.sparkContext.broadcast(grammar)
+    shared = sent(spark, grammar)
     measured = rows.select("doc_id", "text").mapInArrow(scorer(shared, True), "doc_id long, score array<double>").join(F.broadcast(rows.select("doc_id", "toxic")), "doc_id").select("score", "toxic").collect()
     marks = np.array([r.toxic for r in measured])
     stands_for = np.where(marks == 1, n[1.0] / sizes[1.0], n[0.0] / sizes[0.0])  # labelled rows that a row of the sample stands for
@@ -291,6 +291,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     if grammar is None:
         rows = rows.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        rows = rows.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(grammar), False), "doc_id long, score double")
+        rows = rows.mapInArrow(scorer(sent(docs.sparkSession, grammar), False), "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return rows.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
