@@ -121,9 +121,9 @@ def test_katz_stores_its_model(spark, tmp_path):
     _, tables = katz.modelled(docs, f"file://{tmp_path}/model")
     model = Katz([tokens(t) for k, t in TEXTS if not held(k)], 2)
     for n in (1, 2):
-        counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in tables.grams.where(f"n = {n}").collect()])
+        counts = np.concatenate([katz.unpacked(r.counts) for r in tables.grams.where(f"n = {n}").collect()])
         assert sorted(counts.tolist()) == sorted(model.grams[n - 1].values())
-    totals = np.concatenate([np.frombuffer(r.total, np.int64) for r in tables.backoffs.collect()])
+    totals = np.concatenate([katz.unpacked(r.total) for r in tables.backoffs.collect()])
     assert sorted(totals.tolist()) == sorted(model.weights(h)[0] for h, n in model.after if n == 2)
 
 
@@ -144,7 +144,7 @@ def kept_vectors(rows, valid):
 def embedding_rows(width, n=70):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(0, 0.2, width).round(3).tolist(), int(k % 3)) for k in range(n, 0, -1)]
-    rows += [(500, rows[0][1], None), (501, rows[0][1], None), (3, rows[5][1], 1), (502, None, 1), (503, [], 1), (504, [None] + [0.5] * (width - 1), 1)]
+    rows += [(500, rows[0][1], None), (501, rows[0][1], None), (3, rows[2][1], 1), (502, None, 1), (503, [], 1), (504, [None] + [0.5] * (width - 1), 1)]
     rows += [(505, [math.nan] * width, 1), (506, [math.inf] + [0.0] * (width - 1), 1), (507, [0.1] * (width + 3), 1), (508, [0.0] * width, 9), (509, [3e30] + [0.0] * (width - 1), 9), (None, [0.01] * width, 2)]
     return rows
 

@@ -46,7 +46,7 @@ from . import common, kernels
 LARGE = 5
 ORDER = 2
 #: Text of a block, and text whose n-grams one bucket counts; both bound what a task holds.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Blocks' text in a bucket of their table, and buckets at least.
 FILE_BYTES, FILES = 128 << 20, 32
 FOLDS, HELD = 7, 2
@@ -61,6 +61,30 @@ WEIGHED = "kind string, n int, bucket int, block long, keys binary, total binary
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by byte plane, compressed: most are small, or differ little."""
+    import zstandard
+
+    return values.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    kind = np.dtype(chr(data[0]))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
 def rows(schema: str, found: list[tuple]) -> pa.RecordBatch:
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "boolean": pa.bool_(), "double": pa.float64()}
     fields = [x.split() for x in schema.split(", ")]
@@ -89,16 +113,18 @@ def blocker(order: int, block_bytes: int) -> Callable:
 
         def block() -> pa.RecordBatch:
             keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-            return rows(BLOCKS, [(partition << 24 | made, ids, held, np.array(sizes, np.int64).tobytes(), np.concatenate(parts).tobytes(), keys.tobytes())])
+            return rows(BLOCKS, [(partition << 24 | made, ids, held, packed(np.array(sizes, np.int64)), packed(np.concatenate(parts)), keys.tobytes())])
 
         for batch in batches:
-            for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [BEGIN] * (order - 1) + (text or "").encode("utf-8", "surrogatepass").lower().split() + [END]
+            texts = batch.column(1).cast(pa.large_binary())
+            for k, (doc_id, out) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                text = texts[k].as_py() or b""
+                found = [BEGIN] * (order - 1) + text.lower().split() + [END]
                 parts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id)
                 held.append(out)
                 sizes.append(len(found))
-                size += len(text or "")
+                size += len(text)
                 if size >= block_bytes:
                     yield block()
                     made += 1
@@ -122,8 +148,8 @@ class Block(NamedTuple):
 
 
 def opened(block: int, ids, held, sizes: bytes, seq: bytes, words: bytes, order: int) -> Block:
-    lengths = np.frombuffer(sizes, np.int64)
-    tokens = np.frombuffer(seq, np.int32).astype(np.int64)
+    lengths = unpacked(sizes)
+    tokens = unpacked(seq).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     event = np.ones(len(tokens), bool)
     for k in range(order - 1):
@@ -175,12 +201,12 @@ def grams(block: Block, order: int, numbered: bool) -> list[Grams]:
     return found
 
 
-def dealt(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by bucket, and the bounds of the buckets."""
-    bucket = (keys >> np.uint64(24)) % np.uint64(n_buckets)
-    bucket = bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)
-    place = np.argsort(bucket, kind="stable")
-    return place, np.searchsorted(bucket[place], np.arange(n_buckets + 1))
+def dealt(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The ascending order of keys, and (bucket, start, end) in it of the buckets in use: equal ranges of keys."""
+    place = np.argsort(keys)
+    bucket = ((keys[place] >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return place, [*zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)]
 
 
 def asker(order: int, n_buckets: int) -> Callable:
@@ -192,17 +218,17 @@ def asker(order: int, n_buckets: int) -> Callable:
             for k in range(batch.num_rows):
                 values = [c[k].as_py() for c in batch.columns]
                 for n, level in enumerate(grams(opened(*values, order), order, False), 1):
-                    place, bounds = dealt(level.keys, n_buckets)
+                    place, parts = dealt(level.keys, n_buckets)
                     keys, count = level.keys[place], level.count[place]
-                    yield rows(ASKED, [(n, b, values[0], keys[s:e].tobytes(), count[s:e].tobytes()) for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if e > s])
+                    yield rows(ASKED, [(n, b, values[0], packed_keys(keys[s:e]), packed(count[s:e])) for b, s, e in parts])
 
     return run
 
 
-def gathered(table: pa.Table, *columns: tuple[str, type]) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
-    """(blocks, bounds of their entries, the columns' entries), blocks in order."""
+def gathered(table: pa.Table, *columns: str) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+    """(blocks, bounds of their entries, keys and the columns' entries), blocks in order."""
     table = table.sort_by([("block", "ascending")])
-    values = [[np.frombuffer(x.as_buffer(), kind) for x in table[name]] for name, kind in columns]
+    values = [[unpacked_keys(x.as_py()) for x in table["keys"]], *([unpacked(x.as_py()) for x in table[name]] for name in columns)]
     return table["block"].to_pylist(), np.cumsum([0, *map(len, values[0])]), [np.concatenate(x) for x in values]
 
 
@@ -218,15 +244,15 @@ def merged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_bucket(table: pa.Table) -> pa.Table:
     """A bucket's questions -> its n-grams of training with counts, and answers: twice the count, plus 1 for the owner."""
     n, bucket = table["n"][0].as_py(), table["bucket"][0].as_py()
-    blocks, bounds, (keys, counts) = gathered(table, ("keys", np.uint64), ("counts", np.int64))
+    blocks, bounds, (keys, counts) = gathered(table, "counts")
     place, starts, number = merged(keys)
     total = np.add.reduceat(counts[place], starts)
     answer = 2 * total[number]
     answer[place[starts]] += 1
     seen = np.flatnonzero(total)
     stats = [int(total.sum()), len(seen), *np.bincount(np.minimum(total, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2].tolist()]
-    found = [("gram", n, bucket, None, keys[place[starts[seen]]].tobytes(), total[seen].tobytes(), stats)]
-    found += [("answer", n, bucket, b, None, answer[s:e].tobytes(), None) for b, s, e in zip(blocks, bounds[:-1], bounds[1:], strict=True)]
+    found = [("gram", n, bucket, None, packed_keys(keys[place[starts[seen]]]), packed(total[seen]), stats)]
+    found += [("answer", n, bucket, b, None, packed(answer[s:e]), None) for b, s, e in zip(blocks, bounds[:-1], bounds[1:], strict=True)]
     return pa.Table.from_batches([rows(COUNTED, found)])
 
 
@@ -260,9 +286,9 @@ def discounts(numbers: list[int]) -> tuple[float, ...]:
 
 
 def answered(table: pa.Table, n: int, column: str, kind: type) -> np.ndarray:
-    """The answers of one order, in the order of the questions: by bucket."""
+    """The answers of one order, in the order of the questions: by bucket, thus by key."""
     part = table.filter(compute.and_(compute.equal(table["n"], n), compute.is_valid(table[column]))).sort_by([("bucket", "ascending")])
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part[column]] or [np.zeros(0, kind)])
+    return np.concatenate([unpacked(x.as_py()) for x in part[column]] or [np.zeros(0, kind)])
 
 
 class Evaluated(NamedTuple):
@@ -311,10 +337,10 @@ def summer(law: Law, left: float, order: int, n_buckets: int, n: int) -> Callabl
         use = np.flatnonzero(owned[-1] & (count > 0))
         sums = [np.bincount(level.head[use], w, len(levels[-2].keys)) for w in (count[use], ((1 - law.discount(n, count)) * count)[use], p[n - 2][level.tail[use]])]
         mine = heads(levels, n)
-        place, bounds = dealt(levels[-2].keys[mine], n_buckets)
+        place, parts = dealt(levels[-2].keys[mine], n_buckets)
         mine = mine[place]
-        columns = [levels[-2].keys[mine], sums[0][mine].astype(np.int64), sums[1][mine], sums[2][mine]]
-        return pa.Table.from_batches([rows(SUMS, [(n, b, state["block"][0].as_py(), *(c[s:e].tobytes() for c in columns)) for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if e > s])])
+        columns = [sums[0][mine].astype(np.int64), sums[1][mine], sums[2][mine]]
+        return pa.Table.from_batches([rows(SUMS, [(n, b, state["block"][0].as_py(), packed_keys(levels[-2].keys[mine[s:e]]), *(packed(c[s:e]) for c in columns)) for b, s, e in parts])])
 
     return run
 
@@ -322,7 +348,7 @@ def summer(law: Law, left: float, order: int, n_buckets: int, n: int) -> Callabl
 def weigh_bucket(table: pa.Table) -> pa.Table:
     """A bucket's sums by history -> total and backoff of each, and the answers; a history not seen backs off with 1."""
     n, bucket = table["n"][0].as_py(), table["bucket"][0].as_py()
-    blocks, bounds, (keys, *sums) = gathered(table, ("keys", np.uint64), ("total", np.int64), ("saved", np.float64), ("lower", np.float64))
+    blocks, bounds, (keys, *sums) = gathered(table, "total", "saved", "lower")
     place, starts, number = merged(keys)
     total, saved, lower = (np.add.reduceat(x[place], starts) for x in sums)
     seen = total > 0
@@ -331,8 +357,8 @@ def weigh_bucket(table: pa.Table) -> pa.Table:
     backoff = np.where(seen, free / np.maximum(total, 1) / np.maximum(1 - lower, np.finfo(float).eps), 1.0)
     total = np.maximum(total, 1)
     kept = place[starts[seen]]
-    found = [("backoff", n, bucket, None, keys[kept].tobytes(), total[seen].tobytes(), backoff[seen].tobytes())]
-    found += [("answer", n, bucket, b, None, total[number[s:e]].tobytes(), backoff[number[s:e]].tobytes()) for b, s, e in zip(blocks, bounds[:-1], bounds[1:], strict=True)]
+    found = [("backoff", n, bucket, None, packed_keys(keys[kept]), packed(total[seen]), packed(backoff[seen]))]
+    found += [("answer", n, bucket, b, None, packed(total[number[s:e]]), packed(backoff[number[s:e]])) for b, s, e in zip(blocks, bounds[:-1], bounds[1:], strict=True)]
     return pa.Table.from_batches([rows(WEIGHED, found)])
 
 
