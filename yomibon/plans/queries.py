@@ -482,4 +482,4 @@ def setops_users(spark, d):
 
 
 # The other themes register theirs.
-from . import chapter_queries, file_queries, library_queries, text_queries  # noqa: E402, F401
+from . import chapter_queries, file_queries, lattice_queries, library_queries, text_queries  # noqa: E402, F401
