@@ -324,6 +324,23 @@ def test_url_filter_of_a_table_of_terms(spark):
     got = url_filter.judged(pages, terms=terms).collect()
     assert len(got) == 16 and {r.page_id for r in got if r.verdict == "block"} == {0, 1, 3, 6}
     assert url_filter.judged(pages.limit(0)).count() == 0
+    # A vocabulary that is too large for an automaton is joined.
+    joined = url_filter.judged(pages, terms=terms, automaton_bytes=0)
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert url_filter.judged(pages, terms=terms.limit(0)).where("verdict = 'block'").count() == 0
+
+
+def test_url_filter_counts_roots(spark):
+    urls = {"http://x.net/loan/loans": (1, "allow"), "http://x.net/deal/click": (2, "block"), "http://x.net/deals/click?deal": (2, "block"), "http://x.net/dealer/clicking": (0, "allow")}
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    assert {r.page_id: (r.n_soft, r.verdict) for r in url_filter.judged(pages).collect()} == dict(enumerate(urls.values()))
+
+
+def test_numbers_are_no_letters(spark, docs):
+    texts = ["½", "²", "①", "٣", "_", "½ a"]
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(1000 + k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    found = {r.doc_id: r.lang_pred for r in language.identified(table).where("doc_id >= 1000").collect()}
+    assert [found[1000 + k] == "und" for k in range(len(texts))] == [True] * 5 + [False]
 
 
 def brute_language(rows, text):

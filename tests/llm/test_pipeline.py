@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_operators_are_all_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark, sf_dir):

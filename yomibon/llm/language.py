@@ -140,7 +140,7 @@ def scorer(model):
             n = batch.num_rows
             logs, known = np.zeros((n, len(own.languages))), np.zeros(n, bool)
             for first, end, data, offsets in kernels.pieces(batch.column(1)):
-                known[first:end] = [bool(x and letter.search(x)) for x in batch.column(1).slice(first, end - first).to_pylist()]
+                known[first:end] = [bool(x) and any(m[0].isalpha() for m in letter.finditer(x)) for x in batch.column(1).slice(first, end - first).to_pylist()]
                 keys, rows = grams(data, offsets)
                 half = len(rows) // 2
                 for part in (slice(0, half), slice(half, None)):  # each half is ordered by row
