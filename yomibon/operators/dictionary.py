@@ -75,48 +75,63 @@ def key_filter(keys: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def finder(shared, lengths: list[int], schema: list[str]) -> Callable:
-    """Batches of (text, keys...) -> a row a candidate: keys..., hash, start, end, surface, lead, before, after, prefix, suffix."""
+#: What can go with a match: (text, start, end, where the text before it ends without white space) -> text.
+CONTEXT: dict[str, Callable[[str, int, int, int], str]] = {
+    "lead": lambda text, start, end, last: text[max(0, last - LEAD) : last],
+    "before": lambda text, start, end, last: text[start - 1 : start] if start else "",
+    "after": lambda text, start, end, last: text[end : end + 1],
+    "prefix": lambda text, start, end, last: text[max(0, start - AROUND) : start],
+    "suffix": lambda text, start, end, last: text[end : end + AROUND],
+}
+
+
+def finder(shared, lengths: list[int], schema: list[str], context: tuple[str, ...]) -> Callable:
+    """Batches of (text, keys...) -> a row a candidate: keys..., hash, start, end, surface, context..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint32)
+        bits, parts = np.frombuffer(shared.value, np.uint32), [CONTEXT[c] for c in context]
         up, down = powers(BASE, 0), powers(INVERSE, 0)
         for batch in batches:
-            rows, values = [], [[] for _ in range(9)]
+            rows, starts, ends, hashes, texts = [], [], [], [], [[] for _ in range(1 + len(context))]
             for row, text in enumerate(batch.column(0).to_pylist()):
                 if not text:
                     continue
                 if len(text) > len(up):
                     up, down = powers(BASE, 2 * len(text)), powers(INVERSE, 2 * len(text))
-                last = None
+                last = np.zeros(len(text) + 1, np.int64)
+                if "lead" in context:
+                    last[1:] = np.maximum.accumulate([0 if c.isspace() else k for k, c in enumerate(text, 1)])
                 for n, h in rolled(text, lengths, up, down):
                     place = h >> np.uint64(64 - FILTER_BITS)
-                    for at in np.flatnonzero(bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32) & 1).tolist():
-                        if last is None:  # where the text before a place ends, white space left out
-                            last = np.maximum.accumulate([0, *(k + 1 if not c.isspace() else 0 for k, c in enumerate(text))])
-                        end, lead = at + n, int(last[at])
-                        rows.append(row)
-                        found = (int(h[at].astype(np.int64)), at, end, text[at:end], text[max(0, lead - LEAD) : lead], text[at - 1 : at] if at else "", text[end : end + 1], text[max(0, at - AROUND) : at], text[end : end + AROUND])
-                        for column, x in zip(values, found, strict=True):
-                            column.append(x)
+                    at = np.flatnonzero(bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32) & 1)
+                    if not len(at):
+                        continue
+                    rows.append(np.full(len(at), row))
+                    starts.append(at)
+                    ends.append(at + n)
+                    hashes.append(h[at].view(np.int64))
+                    own = at.tolist()
+                    texts[0] += [text[k : k + n] for k in own]
+                    for column, part in zip(texts[1:], parts, strict=True):
+                        column += [part(text, k, k + n, e) for k, e in zip(own, last[at].tolist(), strict=True)]
             if rows:
-                kept = pa.array(rows, pa.int64())
-                types = [pa.int64()] * 3 + [pa.string()] * 6
-                yield pa.RecordBatch.from_arrays([*(c.take(kept) for c in batch.columns[1:]), *(pa.array(v, t) for v, t in zip(values, types, strict=True))], schema)
+                kept = pa.array(np.concatenate(rows))
+                numbers = [pa.array(np.concatenate(x)) for x in (hashes, starts, ends)]
+                yield pa.RecordBatch.from_arrays([*(c.take(kept) for c in batch.columns[1:]), *numbers, *(pa.array(x, pa.string()) for x in texts)], schema)
 
     return run
 
 
-def occurrences(docs: DataFrame, mapping: DataFrame, *keys: str, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def occurrences(docs: DataFrame, mapping: DataFrame, *keys: str, text: str = "text", context: tuple[str, ...] = tuple(CONTEXT), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs (keys..., text), mapping (key, ...) with one row a key -> a row a place where a key stands: keys..., start, end,
-    surface, lead, before, after, prefix, suffix, and the mapping's other columns. Places may overlap."""
+    surface, what of CONTEXT is asked for, and the mapping's other columns. Places may overlap."""
     known = hashed(mapping)
     lengths = sorted(r.length for r in known.select("length").distinct().collect())  # as many as lengths, not as keys
     shared = docs.sparkSession.sparkContext.broadcast(key_filter(known))
     rows = docs.select(F.col(text).alias("text"), *keys)
-    fields = ["hash long", "start long", "end long", *[f"{c} string" for c in ("surface", "lead", "before", "after", "prefix", "suffix")]]
+    fields = ["hash long", "start long", "end long", *[f"{c} string" for c in ("surface", *context)]]
     schema = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys], *fields]
-    found = rows.mapInArrow(finder(shared, lengths, [*keys, *[f.split()[0] for f in fields]]), ", ".join(schema))
+    found = rows.mapInArrow(finder(shared, lengths, [*keys, *[f.split()[0] for f in fields]], context), ", ".join(schema))
     width = [F.octet_length(F.col(f.name).cast("string")) for f in mapping.schema if f.dataType.simpleString() == "string"]
     size = known.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in width), F.lit(48)))).head()[0] or 0
     known = known.withColumnsRenamed({"hash": "hash_", "key": "key_"}).drop("length")
@@ -179,7 +194,7 @@ def spliced(texts: pd.Series, starts: pd.Series, ends: pd.Series, readings: pd.S
 
 def replaced(docs: DataFrame, mapping: DataFrame, *keys: str, text: str = "text", **options) -> DataFrame:
     """docs (keys..., text) with distinct keys, mapping (key, reading) -> keys..., replaced: the dictionary's words by their readings, where they cut no number and no word."""
-    rows = occurrences(docs, mapping.select("key", "reading"), *keys, text=text, **options)
+    rows = occurrences(docs, mapping.select("key", "reading"), *keys, text=text, context=("before", "after"), **options)
     rows = rows.select(*keys, "start", "end", "reading", allowed(F.col("surface"), F.col("before"), F.col("after")).alias("ok"))
     taken = leftmost(rows, *keys).withColumn("found", F.filter("found", lambda x: x["ok"]))
     part = lambda name: F.transform("found", lambda x: x[name])

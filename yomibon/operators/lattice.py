@@ -115,7 +115,7 @@ def pathfinder(connections: dict[tuple[str, str], int]):
 
 def paths(docs: DataFrame, words: DataFrame, connections: dict[tuple[str, str], int], *keys: str, **options) -> DataFrame:
     """docs (keys..., text) with distinct keys, words of word_costs() -> keys..., text, path: struct(cost, tokens). A null text has none, an empty one an empty path."""
-    met = occurrences(docs, words, *keys, **options).groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "words")).alias("met"))
+    met = occurrences(docs, words, *keys, context=(), **options).groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "words")).alias("met"))
     classes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), class_of)
     rows = docs.select(*keys, "text").join(met, list(keys), "left")
     return rows.select(*keys, "text", pathfinder(connections)("text", classes, "met").alias("path"))

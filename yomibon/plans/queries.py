@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kana
-from ..operators import chunks, evidence, library, tiers, tokens
+from ..operators import chunks, dictionary, evidence, library, tokens
 from ..session import table
 from ..storage import new_folder
 from .catalogue import ORACLE_SQL, QUERIES, guarded_sql, long, query
@@ -324,7 +324,8 @@ GUARDED = {"the": "ザ", "of": "オブ", "20": "ハタチ", "a": "ア"}
 @query(guarded_sql("documents", "doc_id", "text", GUARDED))
 def dictionary_replace_guarded(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.md5(tiers.replacer(GUARDED)("text").cast("binary")).alias("replaced"))
+    words = spark.createDataFrame([*GUARDED.items()], "key string, reading string")
+    return dictionary.replaced(docs, words, "doc_id").select("doc_id", F.md5(F.col("replaced").cast("binary")).alias("replaced"))
 
 
 # --- joins, library, progress ----------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kana
 from ..functions.unicode_udf import all_digits, nfkc
-from ..operators import alignment, assembly, context, evidence, labels, tiers, tokens
+from ..operators import alignment, assembly, context, dictionary, evidence, labels, tiers, tokens
 from ..session import table
 from .catalogue import guarded_sql, long, md5, query, quoted
 
@@ -366,7 +366,8 @@ NUMBERED = "nj AS (SELECT conv_id, turn, translate(lower(text), 'abcdefghijklmno
 def ja_numeric_guard(spark, d):
     """Dictionary words put into kana where they cut no number and no word."""
     text = F.translate(F.lower("text"), LETTERS + " .,", JAPANESE + "127")
-    return conversations(spark, d).select(*KEYS, md5(tiers.replacer(JA_GUARDED)(text)).alias("replaced"))
+    words = spark.createDataFrame([*JA_GUARDED.items()], "key string, reading string")
+    return dictionary.replaced(conversations(spark, d).where("text is not null").withColumn("text", text), words, *KEYS).select(*KEYS, md5(F.col("replaced")).alias("replaced"))
 
 
 ANNOTATED = f"""{WORDS}, tk AS (SELECT conv_id, turn, token_idx, left(j, 1) AS surface, {canonical_sql("substr(j, 2, 1)")} AS reading, CASE token_idx % 3 WHEN 0 THEN 'UniDic' WHEN 1 THEN 'unidic-gap' ELSE 'ruby' END AS reading_source FROM jw WHERE length(j) >= 2)"""
