@@ -14,8 +14,8 @@ def latest(events: DataFrame, key: list[str], order: list[str], columns: list[st
     return events.groupBy(*key).agg(F.max(F.struct(*order, *columns)).alias("last")).select(*key, *[F.col(f"last.{c}").alias(c) for c in dict.fromkeys([*order, *columns])])
 
 
-def status_label(queued: Column, building: Column, chunk: Column, chunks: Column, error: Column, played: Column, ready: Column) -> Column:
-    """The label of a chapter's state, the first that holds."""
+def status_label(queued: Column, building: Column, chunk: Column, chunks: Column, error: Column, played: Column, ready: Column, cached: Column | None = None) -> Column:
+    """The label of a chapter's state, the first that holds; cached: chunks of it are kept, but not the whole."""
     return (
         F.when(error, F.lit("error"))
         .when(building & (chunks > 0), F.concat(F.lit("building "), chunk.cast("string"), F.lit("/"), chunks.cast("string")))
@@ -23,6 +23,7 @@ def status_label(queued: Column, building: Column, chunk: Column, chunks: Column
         .when(queued, F.lit("queued"))
         .when(ready & played, F.lit("played"))
         .when(ready, F.lit("ready"))
+        .when(F.lit(False) if cached is None else F.coalesce(cached, F.lit(False)), F.lit("cached"))
         .otherwise(F.lit("pending"))
     )
 
@@ -91,13 +92,6 @@ def stalled(events: DataFrame, key: str, seconds: int = 600) -> DataFrame:
     return events.withColumn("since", before).where("since is not null").select(key, "event_id", gap.alias("gap")).where(F.col("gap") >= seconds)
 
 
-def throttled(events: DataFrame, key: str, value: str, least: float = 1.0, floor: float = 5.0) -> DataFrame:
-    """Positions worth saving: not below `floor`, and moved by `least` since the one before."""
-    place = Window.partitionBy(key).orderBy("ts", "event_id")
-    moved = F.abs(F.col(value) - F.lag(value).over(place))
-    return events.withColumn("moved", moved).where((F.col(value) >= floor) & (F.col("moved").isNull() | (F.col("moved") >= least))).drop("moved")
-
-
 def deduped(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("turn = 1").drop("turn")
@@ -160,10 +154,10 @@ def with_metadata(chapters: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def with_status(chapters: DataFrame, status: DataFrame) -> DataFrame:
-    """chapters (book, file, ready) with the live status (book, file, state, chunk, chunks): what is being built, else what is there."""
+    """chapters (book, file, ready[, cached]) with the live status (book, file, state, chunk, chunks): what is being built, else what is there."""
     rows = chapters.join(status, ["book", "file"], "left")
     state = F.coalesce("state", F.lit(""))
-    label = status_label(state == "queued", state == "building", F.col("chunk"), F.coalesce("chunks", F.lit(0)), state == "error", F.lit(False), F.col("ready"))
+    label = status_label(state == "queued", state == "building", F.col("chunk"), F.coalesce("chunks", F.lit(0)), state == "error", F.lit(False), F.col("ready"), F.col("cached") if "cached" in chapters.columns else None)
     return rows.select("book", "file", label.alias("label"))
 
 

@@ -254,14 +254,14 @@ def missing_chunks(spark, d):
 
 # --- streams ---------------------------------------------------------------------------------------
 
-@query("WITH l AS (SELECT user_id AS book, event_id % 3 AS chapter, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id DESC) = 1) SELECT book, chapter, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN CASE WHEN event_id % 4 > 0 THEN 'building ' || event_id % 4 || '/' || event_id % 4 ELSE 'building' END WHEN 'error' THEN 'error' WHEN 'view' THEN 'aborting' ELSE 'ready' END AS label FROM l")
+@query("WITH l AS (SELECT user_id AS book, event_id % 3 AS chapter, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id DESC) = 1) SELECT book, chapter, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN CASE WHEN event_id % 4 > 0 THEN 'building ' || event_id % 4 || '/' || event_id % 4 ELSE 'building' END WHEN 'error' THEN 'error' WHEN 'view' THEN 'aborting' ELSE CASE WHEN event_id % 2 = 1 THEN 'cached' ELSE 'ready' END END AS label FROM l")
 def stream_chapter_status(spark, d):
     """The label of each chapter's last event, from a stream."""
     from ..streaming import progress
     from .queries import event_stream
 
     kind = F.col("event_type")
-    state = F.when(kind == "signup", "queued").when(kind == "click", "building").when(kind == "error", "error").when(kind == "view", "aborting").otherwise("cleared")
+    state = F.when(kind == "signup", "queued").when(kind == "click", "building").when(kind == "error", "error").when(kind == "view", "aborting").when(F.col("event_id") % 2 == 1, "cached").otherwise("cleared")
     rows = event_stream(spark, d).select(F.col("user_id").alias("book"), (F.col("event_id") % 3).alias("chapter"), "ts", F.col("event_id").alias("seq"), state.alias("state"), (F.col("event_id") % 4).alias("chunk"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4).alias("chunks"))
     return progress.run_to_end(progress.chapter_status(rows), "chapter-status")
 

@@ -348,12 +348,12 @@ def status_latest(spark, d):
 
 @query(
     "WITH l AS (SELECT user_id, event_type, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) "
-    "SELECT user_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'click' AND event_id % 7 > 0 THEN 'building ' || (event_id % 5) || '/' || (event_id % 7) WHEN event_type = 'click' THEN 'building' WHEN event_type = 'signup' THEN 'queued' WHEN event_type = 'purchase' AND value > 50 THEN 'played' WHEN event_type = 'purchase' THEN 'ready' ELSE 'pending' END AS label FROM l"
+    "SELECT user_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'click' AND event_id % 7 > 0 THEN 'building ' || (event_id % 5) || '/' || (event_id % 7) WHEN event_type = 'click' THEN 'building' WHEN event_type = 'signup' THEN 'queued' WHEN event_type = 'purchase' AND value > 50 THEN 'played' WHEN event_type = 'purchase' THEN 'ready' WHEN value > 20 THEN 'cached' ELSE 'pending' END AS label FROM l"
 )
 def status_label_case(spark, d):
     last = library.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"])
     kind, n = F.col("event_type"), F.col("event_id")
-    return last.select("user_id", library.status_label(kind == "signup", kind == "click", n % 5, n % 7, kind == "error", F.col("value") > 50, kind == "purchase").alias("label"))
+    return last.select("user_id", library.status_label(kind == "signup", kind == "click", n % 5, n % 7, kind == "error", F.col("value") > 50, kind == "purchase", F.col("value") > 20).alias("label"))
 
 
 @query("WITH g AS (SELECT user_id, event_id, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS gap FROM events) SELECT user_id, event_id, CAST(gap AS BIGINT) AS gap FROM g WHERE gap >= 600")
@@ -361,11 +361,6 @@ def stalled_jobs(spark, d):
     return library.stalled(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id")
 
 
-@query("WITH g AS (SELECT user_id, event_id, value, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS moved FROM events) SELECT user_id, event_id, value FROM g WHERE value >= 5 AND (moved IS NULL OR moved >= 1)")
-def playback_throttle(spark, d):
-    return library.throttled(table(spark, d, "events").select("user_id", "event_id", "ts", "value"), "user_id", "value").drop("ts")
-
-
 @query("SELECT o_custkey, count(*) AS total, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS completed, CAST(count_if(o_orderstatus <> 'F') AS BIGINT) AS pending FROM orders GROUP BY o_custkey")
 def completion_summary(spark, d):
     return library.completion(table(spark, d, "orders"), F.col("o_orderstatus") == "F", "o_custkey")
@@ -483,4 +478,4 @@ def setops_users(spark, d):
 
 
 # The other themes register theirs.
-from . import chapter_queries, file_queries, lattice_queries, library_queries, text_queries  # noqa: E402, F401
+from . import chapter_queries, file_queries, lattice_queries, library_queries, machine_queries, text_queries  # noqa: E402, F401

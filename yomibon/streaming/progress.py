@@ -27,10 +27,10 @@ def latest_status(stream: DataFrame) -> DataFrame:
 
 def chapter_status(stream: DataFrame) -> DataFrame:
     """(book, chapter, ts, seq, state, chunk, chunks) events -> book, chapter, label of the last one: queued, building with
-    its place, error; aborting is building until it is aborted; cleared is what is ready."""
+    its place, error; aborting is building until it is aborted; cleared is what is ready, cached what has kept chunks only."""
     last = stream.groupBy("book", "chapter").agg(F.max(F.struct("ts", "seq", "state", "chunk", "chunks")).alias("x"))
     state = F.col("x.state")
-    label = status_label(state == "queued", state == "building", F.col("x.chunk"), F.coalesce("x.chunks", F.lit(0)), state == "error", F.lit(False), state == "cleared")
+    label = status_label(state == "queued", state == "building", F.col("x.chunk"), F.coalesce("x.chunks", F.lit(0)), state == "error", F.lit(False), state == "cleared", state == "cached")
     return last.select("book", "chapter", F.when(state.isin("aborting", "aborted"), state).otherwise(label).alias("label"))
 
 
