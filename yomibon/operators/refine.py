@@ -3,6 +3,11 @@
 Each rule sees the edits of those before it and moves every later offset, so a chapter is one group;
 chapters run in parallel. Rules are a small list, sent with the function.
 
+A rule is an edit script: its edits are gathered in the places that hold before it, found by binary
+search among the tokens, and applied at once; an offset then moves by the sum of the edits that end
+at it or before, so a rule costs n log n. Where the order of edits can be seen (tokens that overlap, patterns
+that look at what is before a match), they are applied one by one.
+
 Columns of a chapter's tokens: `start` and `end` in the text as it is now, `o_start` and `o_end` in the
 text it was made from, `surface`, `reading`, `fallback_reading`, `accent`, `pos`, `source`. Those that
 the input lacks are null, `o_start` and `o_end` then `start` and `end`.
@@ -12,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,6 +28,8 @@ from .alignment import offset_mapper
 
 TOKEN_COLUMNS = ["surface", "reading", "fallback_reading", "accent", "pos", "start", "end", "o_start", "o_end", "source"]
 NUMBERS = ["accent", "start", "end", "o_start", "o_end"]
+#: What in a pattern may look at the text before a match.
+LOOKS_BACK = re.compile(r"\(\?<|\\[bBA]|\^")
 
 
 class Chapter:
@@ -41,6 +50,23 @@ class Chapter:
             for side in ("start", "end") if t is not leave else ():
                 t[side] += delta if t[side] >= end else 0
 
+    def apart(self) -> bool:
+        """Whether no two tokens overlap; empty ones stand alone."""
+        return all(t["start"] < t["end"] <= u["start"] for t, u in zip(self.tokens, self.tokens[1:], strict=False)) and all(t["start"] < t["end"] for t in self.tokens[-1:])
+
+    def apply(self, edits: list[tuple[int, int, str]]) -> list[int]:
+        """Puts texts in place of disjoint spans, given in order; the sums by which offsets move. Tokens move by `moved`."""
+        parts, at = [], 0
+        for start, end, new in edits:
+            parts += [self.text[at:start], new]
+            at = end
+        self.text = "".join([*parts, self.text[at:]])
+        ends, sums = [e for _, e, _ in edits], [0, *accumulate(len(new) - (end - start) for start, end, new in edits)]
+        for t in self.tokens:
+            t["start"] += sums[bisect_right(ends, t["start"])]
+            t["end"] += sums[bisect_right(ends, t["end"])]
+        return sums
+
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """Where a span of the text comes from."""
         if self.original is None:
@@ -58,59 +84,142 @@ class Chapter:
 
     def update(self, rule: dict, concerned) -> None:
         """First pass: tokens whose reading matches take what the rule gives, and its text."""
-        new = replacement(rule)
+        new, at_once, edits = replacement(rule), self.apart(), []
         for t in sorted((t for t in self.tokens if t["end"] > t["start"]), key=place):
             if not concerned(t) or not fits(t, self.text[t["start"] : t["end"]], rule):
                 continue
             if new is not None and new != self.text[t["start"] : t["end"]]:
-                start = t["start"]
-                self.replace(start, t["end"], new, leave=t)
-                t["end"] = start + len(new)
+                if at_once:
+                    edits.append((t["start"], t["end"], new))
+                else:
+                    start = t["start"]
+                    self.replace(start, t["end"], new, leave=t)
+                    t["end"] = start + len(new)
             given = {"reading": rule.get("reading") if rule.get("reading") is not None else new, "surface": rule.get("surface") or None, "pos": rule.get("pos") or None, "accent": rule.get("accent")}
             t.update({k: v for k, v in given.items() if v is not None}, source="override")
+        if edits:
+            self.apply(edits)
 
     def insert(self, rule: dict, concerned, limited: bool, keep_others: bool) -> None:
         """Second pass: matches in the text replace the tokens they cover; one that cuts a token is left out."""
         pattern = re.compile(rule["pattern"] if rule.get("regex") else re.escape(rule["pattern"]))
-        new, at = replacement(rule), 0
+        if self.apart() and not (rule.get("regex") and LOOKS_BACK.search(rule["pattern"])) and self.inserted(rule, pattern, concerned, limited, keep_others):
+            return
+        at = 0
         while at <= len(self.text) and (m := pattern.search(self.text, at)):
             start, end = m.span()
             at = max(end, start + 1)
-            if start == end:
-                continue
             over = sorted((t for t in self.tokens if t["start"] < end and t["end"] > start), key=place)
-            aimed = [t for t in over if concerned(t)]
-            if (limited and not aimed) or any(t["start"] < start or t["end"] > end for t in over):
-                continue
-            expected, covered = rule.get("match_surface") or rule.get("surface"), "".join(t["surface"] or "" for t in over)
-            origin = (min(t["o_start"] for t in over), max(t["o_end"] for t in over)) if over else self.origin(start, end)
-            if expected and (covered if over else expected if self.original is None else self.original[slice(*origin)]) != expected:
+            put = self.met(rule, m, over, concerned, limited, lambda: self.origin(start, end))  # noqa: B023
+            if put is None:
                 continue
-            if any(t["start"] == start and t["end"] == end and concerned(t) and applied(t, m[0], rule) for t in over):
-                continue
-            gone = aimed if keep_others else over
+            new, token = put
+            gone = [t for t in over if concerned(t)] if keep_others else over
             self.tokens = [t for t in self.tokens if not any(t is x for x in gone)]
-            put = m[0] if new is None else new
-            if put != m[0]:
-                self.replace(start, end, put)
-            reading = rule.get("reading") or put
-            token = {"surface": rule.get("surface") or put, "reading": reading, "fallback_reading": reading, "accent": rule.get("accent"), "pos": rule.get("pos"), "start": start, "end": start + len(put), "o_start": origin[0], "o_end": origin[1], "source": "override"}
-            self.tokens.append(token)
+            if new != m[0]:
+                self.replace(start, end, new)
+            self.tokens.append({**token, "start": start, "end": start + len(new)})
             self.tokens.sort(key=place)
-            at = max(start + len(put), start + 1)
+            at = max(start + len(new), start + 1)
+
+    def inserted(self, rule: dict, pattern: re.Pattern, concerned, limited: bool, keep_others: bool) -> bool:
+        """The second pass at once, for tokens that don't overlap; False, with nothing done, if they would then."""
+        starts, ends = [t["start"] for t in self.tokens], [t["end"] for t in self.tokens]
+        edits, gone, made, at, moved = [], set(), [], 0, 0
+        while at <= len(self.text) and (m := pattern.search(self.text, at)):
+            start, end = m.span()
+            at = max(end, start + 1)
+            first = bisect_right(ends, start)
+            over = self.tokens[first : bisect_left(starts, end, first)]
+            here = start + moved
+
+            def origin() -> tuple[int, int]:
+                if self.original is None:
+                    return here, here + end - start  # noqa: B023
+                parts, last = [], 0
+                for a, b, put in edits:
+                    parts += [self.text[last:a], put]
+                    last = b
+                return Chapter("".join([*parts, self.text[last:]]), [], self.original).origin(here, here + end - start)  # noqa: B023
+
+            put = self.met(rule, m, over, concerned, limited, origin)
+            if put is None:
+                continue
+            if keep_others and not all(map(concerned, over)):
+                return False
+            new, token = put
+            gone.update(map(id, over))
+            if new != m[0]:
+                edits.append((start, end, new))
+                moved += len(new) - (end - start)
+            made.append({**token, "start": here, "end": here + len(new)})
+            at = end + (not new)
+        self.tokens = [t for t in self.tokens if id(t) not in gone]
+        self.apply(edits)
+        self.tokens = sorted([*self.tokens, *made], key=place)
+        return True
+
+    def met(self, rule: dict, m: re.Match, over: list[dict], concerned, limited: bool, origin) -> tuple[str, dict] | None:
+        """What a match over these tokens becomes: its text and, but for its place, its token; None if the rule is not for it."""
+        start, end = m.span()
+        if start == end or (limited and not any(map(concerned, over))) or any(t["start"] < start or t["end"] > end for t in over):
+            return None
+        expected, covered = rule.get("match_surface") or rule.get("surface"), "".join(t["surface"] or "" for t in over)
+        source = (min(t["o_start"] for t in over), max(t["o_end"] for t in over)) if over else origin()
+        if expected and (covered if over else expected if self.original is None else self.original[slice(*source)]) != expected:
+            return None
+        if any(t["start"] == start and t["end"] == end and concerned(t) and applied(t, m[0], rule) for t in over):
+            return None
+        new = replacement(rule)
+        put = m[0] if new is None else new
+        reading = rule.get("reading") or put
+        return put, {"surface": rule.get("surface") or put, "reading": reading, "fallback_reading": reading, "accent": rule.get("accent"), "pos": rule.get("pos"), "o_start": source[0], "o_end": source[1], "source": "override"}
 
     def remove(self, rules: list[dict], source: str | None = None, only: dict | None = None) -> None:
         """Tokens that match all fields of a rule go; the text gets their surface back, if they have one."""
-        for t in list(self.tokens):
-            if only is not None and t is not only or source is not None and (t["source"] or "").lower() != source.strip().lower():
+        gone, edits, at_once = set(), [], only is None and self.apart()
+        for t in [only] if only is not None else list(self.tokens):
+            if source is not None and (t["source"] or "").lower() != source.strip().lower():
                 continue
             reading = t["reading"] or t["fallback_reading"]
             if only is None and not any((not r.get("surface") or t["surface"] == r["surface"]) and (not r.get("reading") or reading == r["reading"]) for r in rules):
                 continue
             written = (t["surface"] or "").strip()
             if written and t["end"] > t["start"] and self.text[t["start"] : t["end"]] != written:
-                self.replace(t["start"], t["end"], written, leave=t)
-            self.tokens = [x for x in self.tokens if x is not t]
+                if at_once:
+                    edits.append((t["start"], t["end"], written))
+                else:
+                    self.replace(t["start"], t["end"], written, leave=t)
+            gone.add(id(t))
+        self.tokens = [t for t in self.tokens if id(t) not in gone]
+        if edits:
+            self.apply(edits)
+
+    def edit(self, wanted: list[tuple[int, str | None, int | None]]) -> None:
+        """(place in order, reading, accent) by hand, from the last place on: the reading is the token's new text; without one the token goes."""
+        if len({w[0] for w in wanted}) == len(wanted) and self.apart():
+            edits, gone = [], set()
+            for at, reading, accent in reversed([w for w in wanted if w[0] < len(self.tokens)]):
+                t = self.tokens[at]
+                written = (t["surface"] or "").strip() or self.text[t["start"] : t["end"]] if reading is None else reading
+                edits.append((t["start"], t["end"], written))
+                if reading is None:
+                    gone.add(id(t))
+                else:
+                    t.update(reading=reading, source="manual", accent=t["accent"] if accent is None else accent)
+            self.tokens = [t for t in self.tokens if id(t) not in gone]
+            self.apply(edits)
+            return
+        for at, reading, accent in wanted:
+            if at >= len(self.tokens):
+                continue
+            t = self.tokens[at]
+            if reading is None:
+                self.remove([], only=t)
+                continue
+            start = t["start"]
+            self.replace(start, t["end"], reading, leave=t)
+            t.update(end=start + len(reading), reading=reading, source="manual", accent=t["accent"] if accent is None else accent)
 
     def select(self, start: int, end: int, given: dict) -> None:
         """A token for a selected span: it takes the place of all that overlap it, in this text or in the one before."""
@@ -157,8 +266,13 @@ def applied(t: dict, segment: str, rule: dict) -> bool:
 
 
 def tokens_of(group: pd.DataFrame) -> list[dict]:
-    plain = lambda k, v: None if pd.isna(v) else int(v) if k in NUMBERS else v
-    return [{k: plain(k, v) for k, v in row.items() if k in TOKEN_COLUMNS} for row in group.to_dict("records") if not pd.isna(row["start"])]
+    names = [k for k in TOKEN_COLUMNS if k in group]
+    group = group[group["start"].notna()]
+    columns = []
+    for name in names:
+        column = group[name].astype(object).where(group[name].notna(), None).tolist()
+        columns.append([None if v is None else int(v) for v in column] if name in NUMBERS else column)
+    return [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)]
 
 
 def table_of(chapter: Chapter, group: pd.DataFrame, names: list[str]) -> pd.DataFrame:
@@ -212,15 +326,8 @@ def edited(chapters: DataFrame, edits: DataFrame, *keys: str) -> DataFrame:
         if group.empty:
             return group[names]
         chapter = chapter_of(group)
-        for edit in wanted.sort_values("token_idx", ascending=False).itertuples():  # from the end, so places hold
-            if edit.token_idx < len(chapter.tokens):
-                t = chapter.tokens[edit.token_idx]
-                if edit.reading is None:
-                    chapter.remove([], only=t)
-                    continue
-                start = t["start"]
-                chapter.replace(start, t["end"], edit.reading, leave=t)
-                t.update(end=start + len(edit.reading), reading=edit.reading, source="manual", accent=t["accent"] if pd.isna(edit.accent) else int(edit.accent))
+        listed = wanted.sort_values("token_idx", ascending=False, kind="stable")  # from the end, so places hold
+        chapter.edit([(int(k), r, None if pd.isna(a) else int(a)) for k, r, a in zip(listed["token_idx"], listed["reading"], listed["accent"], strict=True)])
         return table_of(chapter, group, names)
 
     return rows.groupBy(*keys).cogroup(edits.groupBy(*keys)).applyInPandas(run, rows.schema)
