@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from ..functions import kana
 from ..operators import evidence
 from ..session import table
-from ..sources import books, epub, markup
+from ..sources import books, epub, epub_source, markup
 from ..storage import new_folder
+from ..streaming import progress
 from .catalogue import long, md5, query
 from .text_queries import KEYS, RUNS, SIGHTINGS, conversations, runs, sightings, top_sql
 
@@ -61,9 +62,61 @@ def shelf(spark, d):
     return epub.entries(turns.select(F.concat(F.col("conv_id").cast("string"), F.lit(".epub")).alias("path"), container("conv_id", "texts").alias("content")))
 
 
+def saved_shelf(spark, d):
+    """A folder with a container file for each conversation."""
+    turns = conversations(spark, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    folder = new_folder(spark, "shelf")
+    epub_source.save(turns.select(F.concat(F.col("conv_id").cast("string"), F.lit(".epub")).alias("name"), container("conv_id", "texts").alias("content")), folder)
+    return folder
+
+
 BOOKS = "b AS (SELECT conv_id, conv_id || '.epub' AS book, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, book, n, unnest(range(n)) AS k FROM b)"
 
 
+def book_name():
+    return F.regexp_extract("book", "([^/]*)$", 1).alias("book")
+
+
+LISTED = "SELECT book, unnest(list_concat(['META-INF/container.xml', 'other.opf', 'OPS/book.opf', CASE WHEN conv_id % 3 = 0 THEN 'OPS/toc.ncx' ELSE 'OPS/nav.xhtml' END], list_transform(range(n), lambda i: 'OPS/text/p' || i || '.xhtml'), ['OPS/img/plain.png', 'OPS/img/second.png', 'OPS/img/my-Cover.png'])) AS entry FROM b"
+
+
+@query(f"WITH {BOOKS} {LISTED}")
+def epub_listing(spark, d):
+    """The names of all entries of container files, from their directories alone."""
+    return epub_source.entries(spark, saved_shelf(spark, d), payload=False).select(book_name(), "entry")
+
+
+@query(f"WITH {BOOKS}, l AS ({LISTED}) SELECT book, entry, CASE WHEN entry LIKE '%plain.png' THEN 'plain' WHEN entry LIKE '%second.png' THEN 'second' ELSE 'my-Cover' END AS content FROM l WHERE entry LIKE '%.png'")
+def epub_images(spark, d):
+    """The images of container files; no other entry is read."""
+    rows = epub_source.entries(spark, saved_shelf(spark, d), r"\.png$")
+    return rows.select(book_name(), "entry", F.col("bytes").cast("string").alias("content"))
+
+
+@query(f"WITH {BOOKS} SELECT book, 'Book ' || conv_id AS title, CASE WHEN conv_id % 2 = 1 THEN 'Ann, Bob' ELSE 'Ann・夏目' END AS author FROM b")
+def epub_file_titles(spark, d):
+    """Titles and authors of container files, from their package documents alone."""
+    rows = epub_source.entries(spark, saved_shelf(spark, d), r"(\.opf|^META-INF/container\.xml)$")
+    return epub.authors(epub.packages(rows.select(book_name(), "entry", "entry_order", "bytes")))
+
+
+@query(f"WITH {BOOKS}, l AS ({LISTED}) SELECT book, count(*) AS n_entries FROM l GROUP BY book")
+def stream_epub_entries(spark, d):
+    """How many entries each container has that came in on a stream."""
+    rows = epub_source.arriving(spark, saved_shelf(spark, d)).select(book_name())
+    return progress.run_to_end(rows.groupBy("book").agg(F.count(F.lit(1)).alias("n_entries")), "arrived")
+
+
+@query("SELECT conv_id || '.txt' AS file, md5(string_agg(text, chr(10) ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
+def chapter_text_files(spark, d):
+    """Chapters read from text files; originals and partial texts beside them are left out."""
+    texts = conversations(spark, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    folder = new_folder(spark, "texts")
+    names = F.explode(F.array(*[F.concat(F.col("conv_id").cast("string"), F.lit(end)) for end in (".txt", ".original.txt", ".partial.txt")]))
+    epub_source.save(texts.select(names.alias("name"), F.col("text").cast("binary").alias("content")), folder)
+    return books.text_files(spark, folder).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), md5(F.col("text")).alias("text"))
+
+
 @query(f"WITH {BOOKS} SELECT book, 'Book ' || conv_id AS title, CASE WHEN conv_id % 2 = 1 THEN 'Ann, Bob' ELSE 'Ann・夏目' END AS author FROM b")
 def epub_titles(spark, d):
     """Titles and authors of containers."""
