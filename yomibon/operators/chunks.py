@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import schema
 from .intervals import overlap_join
-from .tokens import found_words
+from .tokens import word_arrays
 
 LIMIT = 360
 # Marks that end a sentence, and marks that end a clause.
@@ -62,22 +64,24 @@ def blocks_of_lines(texts: pd.Series) -> pd.Series:
     return texts.map(line_blocks, na_action="ignore")
 
 
-def chunk_spans(text: str) -> list[dict]:
-    """The words of each chunk, cut to it; both come in order, so one pass over each does."""
-    words, found, first = found_words(text), [], 0
-    for k, (_, start, end) in enumerate(split_text(text)):
-        while first < len(words) and words[first]["end"] <= start:
-            first += 1
-        for i in range(first, len(words)):
-            if words[i]["start"] >= end:
-                break
-            found.append({"chunk_idx": k, "token_idx": i, "c_start": max(words[i]["start"], start) - start, "c_end": min(words[i]["end"], end) - start})
-    return found
-
-
-@F.pandas_udf(schema.rows("chunk_idx long, token_idx long, c_start long, c_end long"))
-def words_of_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(chunk_spans, na_action="ignore")
+@F.arrow_udf(schema.rows("chunk_idx long, token_idx long, c_start long, c_end long"))
+def words_of_chunks(texts: pa.Array) -> pa.Array:
+    """The words of each chunk, cut to it: both come in order, so each chunk's words are a range of the text's."""
+    _, starts, ends, bounds = word_arrays(texts)
+    parts, sizes = [[], [], [], []], []
+    for text, a, b in zip(texts.to_pylist(), bounds[:-1], bounds[1:], strict=True):
+        spans = np.array([x[1:] for x in split_text(text)], np.int64).reshape(-1, 2) if text else np.zeros((0, 2), np.int64)
+        start, end = starts[a:b], ends[a:b]
+        first, last = np.searchsorted(end, spans[:, 0], "right"), np.searchsorted(start, spans[:, 1], "left")
+        n = np.maximum(0, last - first)
+        chunk = np.repeat(np.arange(len(spans)), n)
+        token = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        at = spans[chunk, 0]
+        for part, x in zip(parts, (chunk, token, np.maximum(start[token], at) - at, np.minimum(end[token], spans[chunk, 1]) - at), strict=True):
+            part.append(x)
+        sizes.append(len(token))
+    rows = pa.StructArray.from_arrays([pa.array(np.concatenate([*p, np.zeros(0, np.int64)]), pa.int64()) for p in parts], ["chunk_idx", "token_idx", "c_start", "c_end"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), rows, mask=texts.is_null() if texts.null_count else None)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("text", "string").add("start", "long").add("end", "long")))

@@ -68,10 +68,10 @@ def spelled_out(tokens: DataFrame, characters: DataFrame) -> DataFrame:
     """tokens (surface, reading, ...) without a reading take it from the characters' readings (surface, reading), one by one;
     a character without one stays as it is."""
     known = characters.groupBy(F.col("surface").alias("char")).agg(F.min("reading").alias("char_reading"))
-    rows = tokens.withColumn("row_", F.monotonically_increasing_id())
-    each = rows.where("reading is null").select("row_", F.posexplode(F.split("surface", "")).alias("at", "char")).where("char <> ''").join(F.broadcast(known), "char", "left")
-    said = each.groupBy("row_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("char_reading", "char").alias("r")))), lambda x: x["r"]), "").alias("said"))
-    return rows.join(said, "row_", "left").withColumn("reading", F.coalesce("reading", "said")).drop("row_", "said")
+    # By surface, which is data: numbers of rows may differ when a stage is run again.
+    each = tokens.where("reading is null and surface is not null").select("surface").distinct().select("surface", F.posexplode(F.split("surface", "")).alias("at", "char")).where("char <> ''").join(known, "char", "left")
+    said = each.groupBy("surface").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("char_reading", "char").alias("r")))), lambda x: x["r"]), "").alias("said"))
+    return tokens.join(said, "surface", "left").withColumn("reading", F.coalesce("reading", "said")).select(*tokens.columns)
 
 
 def looks_like_title(line: Column) -> Column:

@@ -6,11 +6,11 @@ exploded last: no shuffle. The functions over token tables are for tokens that c
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +19,41 @@ from ..functions.kana import canonical_katakana, fold_small
 
 #: White space that splits words.
 SPACE = r" \t\n\x0B\f\r"
-WORD = re.compile("[^ \t\n\x0b\f\r]+")
 WORDS = schema.rows("word string, start long, end long")
 
 
-def found_words(text: str) -> list[dict]:
-    return [{"word": m[0], "start": m.start(), "end": m.end()} for m in WORD.finditer(text)]
-
-
-@F.pandas_udf(WORDS)
-def words(texts: pd.Series) -> pd.Series:
+_bytes = np.arange(256)
+IS_SPACE = np.isin(_bytes, [9, 10, 11, 12, 13, 32])
+
+
+def word_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts: (words, starts, ends, bounds of each text's words); white space decides, and it is ASCII, so bytes do."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = texts.buffers()[2] if n else None
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = ~IS_SPACE[data]
+    before, after = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    first, last = offsets[:-1][offsets[:-1] < len(data)], offsets[1:][offsets[1:] > 0] - 1
+    before[first], after[last] = False, False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    bounds = np.searchsorted(starts, offsets)
+    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # before each byte
+    base = np.repeat(characters[offsets[:-1]], np.diff(bounds))
+    lengths = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(lengths), pa.py_buffer(data[inside].tobytes())).cast(pa.string())
+    return words, characters[starts] - base, characters[ends] - base, bounds
+
+
+@F.arrow_udf(WORDS)
+def words(texts: pa.Array) -> pa.Array:
     """The runs without white space, with their offsets."""
-    return texts.map(found_words, na_action="ignore")
+    found, starts, ends, bounds = word_arrays(texts)
+    rows = pa.StructArray.from_arrays([found, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["word", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows, mask=texts.is_null() if texts.null_count else None)
 
 
 def plain_words(text: Column) -> Column:
