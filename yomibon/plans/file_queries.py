@@ -324,9 +324,9 @@ def book_packages(spark, d):
     proof = evidence.serialized(sightings(spark, d)).withColumn("book", F.lit(0).cast("long"))
     whole = turns.select("book").distinct().select("book", F.concat(F.lit("B"), F.col("book").cast("string")).alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("author", "cover", "epub")])
     voiced = whole.withColumn("defaults", F.when(F.col("book") % 2 == 0, F.create_map(F.lit("voice"), F.lit("fast"))))
-    books.write_package(books.metadata_json(turns.withColumn("file", F.lit("x")), voiced), f"{path}/metadata")
+    books.commit(spark, path, {"metadata": books.metadata_json(turns.withColumn("file", F.lit("x")), voiced)})
     books.write_book(turns, found, proof, whole, path)
-    meta = spark.read.parquet(f"{path}/metadata").select(F.col("book").cast("long").alias("book"), F.from_json("json", "struct<title:string,tts_defaults:struct<voice:string>>").alias("j"))
-    listed = books.tokens(spark.read.parquet(f"{path}/tokens").select(F.concat_ws("/", F.col("book").cast("string"), F.col("index").cast("string")).alias("chapter"), "json")).groupBy("chapter").agg(F.count(F.lit(1)).alias("n_tokens"))
-    out = spark.read.parquet(f"{path}/chapters").withColumn("book", F.col("book").cast("long")).withColumn("chapter", F.concat_ws("/", F.col("book").cast("string"), F.col("index").cast("string")))
+    meta = books.read_package(spark, path, "metadata").select(F.col("book").cast("long").alias("book"), F.from_json("json", "struct<title:string,tts_defaults:struct<voice:string>>").alias("j"))
+    listed = books.tokens(books.read_package(spark, path, "tokens").select(F.concat_ws("/", F.col("book").cast("string"), F.col("index").cast("string")).alias("chapter"), "json")).groupBy("chapter").agg(F.count(F.lit(1)).alias("n_tokens"))
+    out = books.read_package(spark, path, "chapters").withColumn("book", F.col("book").cast("long")).withColumn("chapter", F.concat_ws("/", F.col("book").cast("string"), F.col("index").cast("string")))
     return out.join(listed, "chapter").join(meta, "book").select("book", long("index"), "title", md5(F.col("text")).alias("text"), "n_tokens", F.col("j.tts_defaults.voice").alias("voice"))

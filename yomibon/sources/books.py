@@ -6,6 +6,8 @@ becomes null.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -220,29 +222,80 @@ def evidence_json(evidence: DataFrame, *keys: str) -> DataFrame:
     return evidence.groupBy(*keys).agg(F.to_json(listed_).alias("json"))
 
 
+# --- packages --------------------------------------------------------------------------------------
+
 def write_package(chapters: DataFrame, path: str) -> None:
     """Chapters as a Parquet table by book; rewriting a book replaces its partition only, so nothing stale stays."""
     chapters.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(path)
 
 
-def write_book(chapters: DataFrame, tokens: DataFrame, evidence: DataFrame, books: DataFrame, path: str) -> None:
-    """A package at `path`, a table of each kind by book: chapters (book, index, title, original_title, source, text, original),
+#: The tables of a package.
+KINDS = ("metadata", "chapters", "tokens", "evidence", "manifest")
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def generations(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The generations of a package, the oldest first: the number of a commit file, and the name in it; one that is empty isn't committed."""
+    at, files = _files(spark, f"{path}/commits")
+    found = []
+    for status in files.listStatus(at) if files.exists(at) else []:
+        stream = files.open(status.getPath())
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        found.append((int(status.getPath().getName()), name))
+    return sorted(found)
+
+
+def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
+    """Writes tables (book, ...) by kind as one generation of a package; the generation's name. It counts once its one commit
+    file is there, which is made last and must not exist: of two writers at a time one fails, and what a failed one
+    has left is never read. A generation replaces the books that are in its metadata, wholly."""
+    number = max((n for n, _ in generations(spark, path)), default=0) + 1
+    name = f"{number:012d}-{uuid.uuid4().hex}"
+    for kind, rows in tables.items():
+        rows.write.parquet(f"{path}/{kind}/generation={name}")
+    at, files = _files(spark, f"{path}/commits/{number:012d}")
+    stream = files.create(at, False)  # an error if another writer has this number
+    stream.write(name.encode())
+    stream.close()
+    return name
+
+
+def read_package(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A table of a package: each book as its last committed generation has it."""
+    names = [name for _, name in generations(spark, path) if name]
+    if not names:
+        raise ValueError(f"no package at {path}")
+
+    def whole(of: str) -> DataFrame:
+        folders = [_files(spark, f"{path}/{of}/generation={n}") for n in names]
+        return spark.read.option("basePath", f"{path}/{of}").parquet(*[at.toString() for at, files in folders if files.exists(at)])
+
+    last = whole("metadata").groupBy("book").agg(F.max("generation").alias("generation"))
+    return whole(kind).join(last, ["book", "generation"], "left_semi").drop("generation")
+
+
+def write_book(chapters: DataFrame, tokens: DataFrame, evidence: DataFrame, books: DataFrame, path: str) -> str:
+    """A generation of the package at `path`: chapters (book, index, title, original_title, source, text, original),
     tokens (book, index, and those of a chapter), evidence (book, ...), books (book, title, author, cover, epub). Voice
     defaults of books that were written before are carried over."""
     spark = chapters.sparkSession
     named = basenames(chapters).withColumn("file", F.concat("name", F.lit(".txt")))
     old = spark.createDataFrame([], "book string, defaults map<string,string>")
-    if not json_files(spark, f"{path}/metadata/book=*").isEmpty():
-        kept = spark.read.parquet(f"{path}/metadata").select("book", F.from_json("json", "struct<tts_defaults:map<string,string>>").alias("j"))
+    if any(name for _, name in generations(spark, path)):
+        kept = read_package(spark, path, "metadata").select("book", F.from_json("json", "struct<tts_defaults:map<string,string>>").alias("j"))
         old = old.unionByName(kept.where("j.tts_defaults is not null").select(F.col("book").cast("string").alias("book"), F.col("j.tts_defaults").alias("defaults")))
-    whole_books = books.join(old, "book", "left")
     as_text = token_json(tokens.withColumn("chapter", F.concat_ws("/", "book", F.col("index").cast("string"))), named.select(F.concat_ws("/", "book", F.col("index").cast("string")).alias("chapter"), "text"))
     keys = named.select(F.concat_ws("/", "book", F.col("index").cast("string")).alias("chapter"), "book", "index", "name")
-    metadata_ = metadata_json(named, whole_books)
-    from ..storage import written
-
-    write_package(written(metadata_, "metadata"), f"{path}/metadata")  # written first, as it is read from where it goes
-    write_package(named.select("book", "index", "name", "title", "source", "text", "original"), f"{path}/chapters")
-    write_package(as_text.join(keys, "chapter").select("book", "index", F.concat("name", F.lit(".txt.token.json")).alias("file"), "json"), f"{path}/tokens")
-    write_package(evidence_json(evidence, "book"), f"{path}/evidence")
-    write_package(manifest(named.select("book", "index", "file", "title"), books), f"{path}/manifest")
+    tables = {
+        "metadata": metadata_json(named, books.join(old, "book", "left")),
+        "chapters": named.select("book", "index", "name", "title", "source", "text", "original"),
+        "tokens": as_text.join(keys, "chapter").select("book", "index", F.concat("name", F.lit(".txt.token.json")).alias("file"), "json"),
+        "evidence": evidence_json(evidence, "book"),
+        "manifest": manifest(named.select("book", "index", "file", "title"), books),
+    }
+    return commit(spark, path, tables)
