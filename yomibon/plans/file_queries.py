@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import kana
 from ..operators import evidence
 from ..session import table
-from ..sources import books, epub, epub_source, markup
+from ..sources import books, epub, epub_source, markup, tolerant
 from ..storage import new_folder
 from ..streaming import progress
 from .catalogue import long, md5, query
@@ -330,3 +330,28 @@ def book_packages(spark, d):
     listed = books.tokens(books.read_package(spark, path, "tokens").select(F.concat_ws("/", F.col("book").cast("string"), F.col("index").cast("string")).alias("chapter"), "json")).groupBy("chapter").agg(F.count(F.lit(1)).alias("n_tokens"))
     out = books.read_package(spark, path, "chapters").withColumn("book", F.col("book").cast("long")).withColumn("chapter", F.concat_ws("/", F.col("book").cast("string"), F.col("index").cast("string")))
     return out.join(listed, "chapter").join(meta, "book").select("book", long("index"), "title", md5(F.col("text")).alias("text"), "n_tokens", F.col("j.tts_defaults.voice").alias("voice"))
+
+
+# --- JSON that may be broken -----------------------------------------------------------------------
+
+#: Every seventh text of the events' properties is cut, every eleventh holds its number as text, every thirteenth none.
+PROPS = "SELECT event_id, event_type, CASE WHEN event_id % 7 = 3 THEN left(props, length(props) - 1) WHEN event_id % 11 = 5 THEN '{\"k\": \"' || (event_id % 90) || '\"}' WHEN event_id % 13 = 1 THEN '{\"k\": {\"deep\": 1}}' WHEN event_id % 17 = 2 THEN NULL ELSE props END AS props FROM events"
+
+
+def broken_props(spark, d):
+    n, props = F.col("event_id"), F.col("props")
+    broken = F.when(n % 7 == 3, F.expr("left(props, length(props) - 1)")).when(n % 11 == 5, F.concat(F.lit('{"k": "'), (n % 90).cast("string"), F.lit('"}')))
+    broken = broken.when(n % 13 == 1, F.lit('{"k": {"deep": 1}}')).when(n % 17 == 2, F.lit(None)).otherwise(props)
+    return table(spark, d, "events").select("event_id", "event_type", broken.alias("props"))
+
+
+@query(f"WITH p AS ({PROPS}) SELECT event_id, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, coalesce(NOT json_valid(props), false) AS malformed FROM p")
+def json_fields(spark, d):
+    """A number out of JSON of which some is cut, holds text for it, or an object."""
+    return tolerant.parsed(broken_props(spark, d), "props", {"k": ("$.k", "long")}).select("event_id", "k", "malformed")
+
+
+@query(f"WITH p AS ({PROPS}) SELECT event_type, count(*) AS n, CAST(count_if(NOT json_valid(props)) AS BIGINT) AS n_malformed, min(CASE WHEN NOT json_valid(props) THEN props END) AS example FROM p GROUP BY event_type")
+def json_quarantine(spark, d):
+    """How much JSON is broken, by type of event."""
+    return tolerant.quarantined(broken_props(spark, d), "props", "event_type")
