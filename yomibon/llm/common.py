@@ -60,8 +60,8 @@ def sent(spark: SparkSession, model: object) -> Broadcast:
 
 
 def received(model: Broadcast) -> object:
-    """In a task: what sent() sent."""
-    return pickle.loads(model.value)
+    """In a task: what sent() sent; a model that was broadcast as it is, as in local tests, is taken so."""
+    return pickle.loads(model.value) if isinstance(model.value, bytes) else model.value
 
 
 def ascii_lower(text: Column) -> Column:
