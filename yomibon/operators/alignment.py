@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.schema import LONGS
+from .offset_maps import aligned
 
 #: Characters around a hint that are searched at least.
 AROUND = 16
@@ -18,19 +18,8 @@ BACK = 8
 
 def offset_mapper(source: str, target: str) -> Callable[[int], int]:
     """Offsets in target -> offsets in source: equal parts one to one, changed parts in proportion."""
-    blocks = SequenceMatcher(None, source, target, autojunk=False).get_opcodes()
-
-    def mapped(at: int) -> int:
-        if at <= 0:
-            return 0
-        for tag, a, b, low, high in blocks:
-            if at <= high:
-                if at < low or low == high:
-                    return a
-                return a + at - low if tag == "equal" else min(b, max(a, round(a + (at - low) / (high - low) * (b - a))))
-        return len(source)
-
-    return mapped
+    found = aligned(source, target)
+    return lambda at: int(found.mapped(at))
 
 
 def by_occurrence(text: str, surfaces: list[str]) -> list[int | None]:
@@ -81,7 +70,6 @@ def mapped_offsets(sources: pd.Series, targets: pd.Series, offsets: pd.Series) -
     def one(source, target, wanted):
         if source is None or target is None or wanted is None:
             return None
-        mapped = offset_mapper(source, target)
-        return [mapped(int(x)) for x in wanted]
+        return aligned(source, target).mapped(wanted).tolist()
 
     return pd.Series([one(*row) for row in zip(sources, targets, offsets, strict=True)])
