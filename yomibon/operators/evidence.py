@@ -59,9 +59,10 @@ def corpus_filter(counts: DataFrame) -> DataFrame:
     return shares(counts).where((F.col("total") >= CORPUS_TOTAL) & (F.col("share") >= DOMINANCE)).select("base", "reading", "total")
 
 
-def top_contexts(observations: DataFrame, context: str, k: int = TOP_CONTEXTS) -> DataFrame:
-    """(base, context) -> the k most frequent contexts of each base, with rank; ties by value."""
-    counted = observations.where(F.col(context).isNotNull() & (F.col(context) != "")).groupBy("base", F.col(context).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def top_contexts(observations: DataFrame, context: str, k: int = TOP_CONTEXTS, weight: str | None = None) -> DataFrame:
+    """(base, context[, weight]) -> the k most frequent contexts of each base, with rank; ties by value."""
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = observations.where(F.col(context).isNotNull() & (F.col(context) != "")).groupBy("base", F.col(context).alias("value")).agg(number.alias("n"))
     rank = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("n"), "value"))
     return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 

@@ -478,4 +478,4 @@ def setops_users(spark, d):
 
 
 # The other themes register theirs.
-from . import chapter_queries, file_queries, lattice_queries, library_queries, machine_queries, text_queries  # noqa: E402, F401
+from . import chapter_queries, file_queries, lattice_queries, library_queries, machine_queries, text_queries, upkeep_queries  # noqa: E402, F401
