@@ -21,6 +21,10 @@ the outermost `article` or `main` that holds CONTENT_SHARE of the host's slot te
 element that holds NEARLY all of it: element names are only a prior, the text in the slots decides.
 
 From each page the slots under the content token are taken, whole, with the template text among them.
+Where no `article` or `main` bounds the content, its core is the deepest element that holds CONTENT_SHARE
+of the slot text: elements beside the core that no page fills with text of its own (a site's name, its
+lines of links and of copyright, whatever they are called) go; template text in elements that pages do
+fill, and directly in the content token, stays.
 On a page without the content token (or on a host without one) all slots are taken, but no template
 text unless the page has no other. Furniture is left out by element, role and `hidden`, or by a class
 or id that names nothing else ("comments", "ad-box", but not "share-price"); an element whose name
@@ -263,9 +267,9 @@ def related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, tokens: token, path, is_text, chars, valid) of a host -> host, content, texts: its template."""
+    """(host, tokens: token, path, is_text, chars, valid) of a host -> host, content, texts, still: its template."""
     for batch in batches:
-        contents, listed = [], []
+        contents, listed, still = [], [], []
         for tokens in batch.column(1).to_pylist():
             own = [t for t in tokens if t["token"] != PAGE and (t["valid"] or not t["is_text"])]
             held: Counter[str] = Counter({t["path"]: t["chars"] for t in own if not t["is_text"]})
@@ -277,13 +281,24 @@ def deduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             most = max((held[p] for p, _, _ in elements), default=0)
             named = [(depth, p) for p, depth, tag in elements if tag in CONTENT_TAGS and held[p] >= CONTENT_SHARE * most]
             nearly = [(-depth, p) for p, depth, _ in elements if held[p] >= NEARLY * most]
-            contents.append(min(named or nearly, default=(0, None))[1])
+            content = min(named or nearly, default=(0, None))[1]
+            core = None if named or not nearly else min((-depth, p) for p, depth, _ in elements if held[p] >= CONTENT_SHARE * most)[1]
+            contents.append(content)
             listed.append(sorted(t["token"] for t in own if t["is_text"]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.string()), pa.array(listed, pa.list_(pa.int64()))], ["host", "content", "texts"])
+            still.append(beside([t["path"] for t in own if not t["is_text"] and held[t["path"]] <= 0], content, core))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.string()), pa.array(listed, pa.list_(pa.int64())), pa.array(still, pa.list_(pa.string()))], ["host", "content", "texts", "still"])
+
+
+def beside(unfilled: list[str], content: str | None, core: str | None) -> list[str]:
+    """The outermost of the unfilled elements under the content token that are neither in its core nor around it."""
+    if core is None:
+        return []
+    found = {p for p in unfilled if p.startswith(f"{content}/") and not core.startswith(f"{p}/") and not f"{p}/".startswith(f"{core}/")}
+    return sorted(p for p in found if found.isdisjoint(list(above(p))[1:]))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, html) -> host, content string, texts array<long>: each host's template, written."""
+    """pages (host, html) -> host, content string, texts array<long>, still array<string>: each host's template, written."""
     rows = pages.select("host", "html").mapInArrow(tokenized, TOKENS)
     # Pages of equal text are one page.
     each = rows.groupBy("host", "page", "token").agg(F.max("is_text").alias("is_text"), F.max("path").alias("path"), F.min("places").alias("places"), F.max("chars").alias("chars"))
@@ -303,10 +318,10 @@ def templates(pages: DataFrame) -> DataFrame:
     ordered = (F.col("least_sequence") == F.col("most_sequence")) & (F.col("least_sequence") != 0) & (F.col("least_gap") == F.col("most_gap")) & (F.col("least_gap") >= 0) & (F.col("least_parent") == F.col("most_parent"))
     by = by.join(classes.select("host", "vector", ordered.alias("valid")), ["host", "vector"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     hosts = by.groupBy("host").agg(F.collect_list(F.struct("token", "path", "is_text", "chars", "valid")).alias("tokens"))
-    return written(hosts.mapInArrow(deduced, "host string, content string, texts array<long>"), "templates")
+    return written(hosts.mapInArrow(deduced, "host string, content string, texts array<long>, still array<string>"), "templates")
 
 
-def taken(page: str, content: str | None, texts: set[int]) -> list[str]:
+def taken(page: str, content: str | None, texts: set[int], still: set[str]) -> list[str]:
     """The blocks of a page that fill its host's slots."""
     found = [(value, *place) for kind, value, place in parsed(page) if kind == "text" and not place[1]]
     standing = [key("text", path, value) in texts for value, path, *_ in found] if texts else [False] * len(found)
@@ -321,14 +336,16 @@ def taken(page: str, content: str | None, texts: set[int]) -> list[str]:
                 held[p] += len(value)
         shown = [b for b in blocks if all(held[p] >= least for p in b[3])]
     inside = [b for b in shown if content and (b[1] == content or b[1].startswith(f"{content}/"))]
-    kept = inside or [b for b in shown if not b[2]] or shown
+    # Of elements beside the core that no page fills the template text goes.
+    filled = [b for b in inside if not (b[2] and any(p in still for p in above(b[1])))] if still else inside
+    kept = filled or inside or [b for b in shown if not b[2]] or shown
     return [b[0] for b in kept]
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, content, texts) -> (page_id, url, text): the blocks in kept slots."""
+    """(page_id, url, html, content, texts, still) -> (page_id, url, text): the blocks in kept slots."""
     for batch in batches:
-        result = ["\n".join(taken(page or "", content, set(texts or ()))) for page, content, texts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+        result = ["\n".join(taken(page or "", content, set(texts or ()), set(still or ()))) for page, content, texts, still in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(result, pa.string())], ["page_id", "url", "text"])
 
 
@@ -336,7 +353,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     known = templates(rows.select("host", "html")).withColumnRenamed("host", "of")
-    taken_bytes = known.agg(F.sum(F.octet_length("of") + F.coalesce(F.octet_length("content"), F.lit(0)) + 8 * F.size("texts") + 64)).first()[0] or 0
+    taken_bytes = known.agg(F.sum(F.octet_length("of") + F.coalesce(F.octet_length("content"), F.lit(0)) + 8 * F.size("texts") + F.octet_length(F.array_join("still", " ")) + 64)).first()[0] or 0
     if taken_bytes <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(known), F.col("host") == F.col("of"), "left")
     else:  # a hot host's pages are dealt to SALTS tasks
@@ -344,5 +361,5 @@ def extracted(pages: DataFrame) -> DataFrame:
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         rows = rows.join(salted, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("part")), "left")
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
-    found = rows.select("page_id", "url", "html", "content", "texts").mapInArrow(extractor, f"page_id {types['page_id']}, url string, text string")
+    found = rows.select("page_id", "url", "html", "content", "texts", "still").mapInArrow(extractor, f"page_id {types['page_id']}, url string, text string")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
