@@ -36,6 +36,8 @@ def test_replaced_books_equal_a_recount(spark):
     for made in (increments.corpus, lambda t: increments.contexts(t, "suffix", 2)):
         before = made(increments.counted(old))
         assert rows_of(increments.refreshed(before, totals, change, made)) == rows_of(made(totals).select(before.columns))
+        loose = increments.together(increments.counted(old), change)  # not summed yet
+        assert rows_of(increments.refreshed(before, loose, change, made)) == rows_of(made(totals).select(before.columns))
 
 
 def test_change_undoes_itself(spark):

@@ -63,6 +63,7 @@ def top_contexts(observations: DataFrame, context: str, k: int = TOP_CONTEXTS, w
     """(base, context[, weight]) -> the k most frequent contexts of each base, with rank; ties by value."""
     number = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = observations.where(F.col(context).isNotNull() & (F.col(context) != "")).groupBy("base", F.col(context).alias("value")).agg(number.alias("n"))
+    counted = counted if weight is None else counted.where("n > 0")  # weights may cancel out
     rank = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("n"), "value"))
     return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 

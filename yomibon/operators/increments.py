@@ -22,12 +22,17 @@ def counted(sightings: DataFrame, *by: str) -> DataFrame:
     return rows.where("base is not null and reading is not null").groupBy(*by, *COUNTED).agg(F.count(F.lit(1)).alias("n"))
 
 
-def summed(*changes: DataFrame) -> DataFrame:
-    """Changes (base, reading, prefix, suffix, n) as one; what cancels out is gone."""
+def together(*changes: DataFrame) -> DataFrame:
+    """Changes (base, reading, prefix, suffix, n) one behind the other: totals for what sums them anyway."""
     rows = changes[0].select(*COUNTED, "n")
     for other in changes[1:]:
         rows = rows.unionByName(other.select(*COUNTED, "n"))
-    return rows.groupBy(*COUNTED).agg(F.sum("n").alias("n")).where("n <> 0")
+    return rows
+
+
+def summed(*changes: DataFrame) -> DataFrame:
+    """Changes as one; what cancels out is gone."""
+    return together(*changes).groupBy(*COUNTED).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def change(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -46,12 +51,12 @@ def replaced(kept: DataFrame, new: DataFrame, books: DataFrame, book: str) -> tu
 
 
 def readings(totals: DataFrame) -> DataFrame:
-    """base, reading, n of totals: what evidence.shares and its likes take."""
-    return totals.groupBy("base", "reading").agg(F.sum("n").alias("n"))
+    """base, reading, n of totals, summed or not: what evidence.shares and its likes take."""
+    return totals.groupBy("base", "reading").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def contexts(totals: DataFrame, column: str, most: int = evidence.TOP_CONTEXTS) -> DataFrame:
-    """The most frequent prefixes or suffixes of each base, with rank."""
+    """The most frequent prefixes or suffixes of each base in totals, summed or not, with rank."""
     return evidence.top_contexts(totals, column, most, weight="n")
 
 

@@ -35,7 +35,7 @@ def replacement(spark, d):
     books = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality in (0, 1)")
     new = docs.join(books.where("quality = 1"), "doc_id", "left_semi").withColumn("text", F.replace("text", F.lit("e"), F.lit("E")))
     changed = written(increments.replaced(kept, sightings(new), books, "doc_id")[1], "change")
-    return increments.summed(kept), increments.summed(kept, changed), changed
+    return increments.together(kept), increments.together(kept, changed), changed
 
 
 @query(
