@@ -111,3 +111,30 @@ def test_gaps_are_tokenized_by_themselves(spark):
     none = spark.createDataFrame([], "key string, reading string, scope string, source string")
     rows = tiered.built(docs, none, lexicon, "k").orderBy("start").collect()
     assert [(r.surface, r.reading, r.reading_source, r.prefix, r.suffix) for r in rows] == [("山", "ヤマ", "ruby", "", "川上"), ("川", "カワ", "unidic-gap", "山", "上"), ("上", "ウエ", "unidic", "山川", "")]
+
+
+@pytest.mark.parametrize("bound", [1 << 30, 0])
+def test_a_scan_takes_the_same_in_tasks_and_by_joins(spark, bound):
+    rng = random.Random(11)
+    texts = [None, "", "川上" * 200, *texts_of(rng, 80)]
+    docs = spark.createDataFrame([*enumerate(texts)], "k long, text string")
+    words = ["山", "川上", "川", "上町", "川上町a", "12", "a", "かか", "町12"]
+    mapping = spark.createDataFrame([(w, i) for i, w in enumerate(words)] + [("", 90), (None, 91)], "key string, number int")
+    got = {}
+    for r in dictionary.taken(docs, mapping, "k", context=("lead", "before", "after"), held_bytes=bound).orderBy("start").collect():
+        text = texts[r.k]
+        assert words[r.number] == r.surface and (r.before, r.after) == (text[r.start - 1 : r.start] if r.start else "", text[r.end : r.end + 1]) and r.lead == text[: r.start].rstrip()[-8:]
+        got.setdefault(r.k, []).append((r.start, r.end))
+    pattern = re.compile("|".join(sorted(words, key=len, reverse=True)))
+    assert got == {k: [m.span() for m in pattern.finditer(t)] for k, t in enumerate(texts) if t and pattern.search(t)}
+
+
+@pytest.mark.parametrize("bound", [1 << 30, 0])
+def test_words_that_can_be_on_no_path_do_not_go_to_the_texts(spark, bound):
+    """A surface of a thousand readings is one word to the texts, the cheapest, and of equal ones that of the lesser reading."""
+    rows = [("山川", f"ヤ{i:03}") for i in range(1000)] + [("山川", "ヤ500")] * 3 + [("川上", "カ2"), ("川上", "カ1")]
+    words = lattice.word_costs(spark.createDataFrame(rows, "surface string, reading string"))
+    assert {r.key: [(w.cost > 0, w.reading) for w in r.words] for r in lattice.cheapest(words).collect()} == {"山川": [(True, "ヤ500")], "川上": [(True, "カ1")]}
+    docs = spark.createDataFrame([(1, "山川 川上"), (2, None), (3, "")], "k long, text string")
+    found = lattice.tokens(docs, words, {}, "k", held_bytes=bound).orderBy("k", "idx").collect()
+    assert [(r.k, r.surface, r.reading) for r in found] == [(1, "山川", "ヤ500"), (1, " ", None), (1, "川上", "カ1")]

@@ -8,21 +8,22 @@ from every place one unknown word runs to the end of its run of one class, and o
 character, so a path always exists.
 
 Of paths of equal cost the one with fewer words wins; then, at each word, the one whose last word begins
-first, then the lesser class before it, then the lesser reading. The best path of a text is found by one pass over its
-words in order of their ends' predecessors; the words of one text are all that a task holds at once.
+first, then the lesser class before it, then the lesser reading. So of a surface's words of one class only the cheapest
+can be on a path, and no other goes to the texts. The best path of a text is found by one pass over its words in order of
+their ends' predecessors. Tasks hold a dictionary of few bytes and find its words by themselves; of a larger one its
+matches are joined by text.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kana import NARROW_CJK
-from .dictionary import occurrences
+from ..functions.slices import by_row
+from ..storage import written
+from .dictionary import HELD_BYTES, held, lengths_by_first, occurrences
 
 #: Character classes of unknown words, in the order in which they are tried; all else is "other".
 CLASSES = (("space", r"\s"), ("digit", r"\p{Nd}"), ("kanji", NARROW_CJK), ("kana", r"[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]"), ("latin", "[A-Za-zＡ-Ｚａ-ｚ]"))
@@ -72,18 +73,27 @@ def best_path(classes: list[str], words: list[tuple], text: str, connections: di
     # For each place and class of the word that ends there: (cost, words, start, class before, reading, end, class).
     best: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
     best[0][BOUND] = (0, 0, -1, "", "", None)
+    first, most = 0, len(words)
     for at in range(n):
-        if not best[at]:
+        own, after = classes[at], []
+        while first < most and words[first][0] <= at:
+            if words[first][0] == at:
+                after.append(words[first][1:])
+            first += 1
+        states = best[at]
+        if not states:
             continue
-        first = bisect_left(words, (at,))
-        after = [(end, c, cost, r) for _, end, c, cost, r in words[first : bisect_left(words, (at + 1,), first)]]
-        after += [(end, classes[at], UNKNOWN + UNKNOWN_EACH * (end - at), None) for end in sorted({at + 1, ends[at]})]
+        after.append((at + 1, own, UNKNOWN + UNKNOWN_EACH, None))
+        if ends[at] > at + 1:
+            after.append((ends[at], own, UNKNOWN + UNKNOWN_EACH * (ends[at] - at), None))
         for end, c, cost, reading in after:
             # Of equal readings the cheaper word; an unknown word's reading sorts first.
-            for before, state in best[at].items():
-                found = (state[0] + connections.get((before, c), UNSEEN) + cost, state[1] + 1, at, before, reading or "", reading)
-                if c not in best[end] or found[:5] < best[end][c][:5]:
-                    best[end][c] = found
+            ending, said = best[end], reading or ""
+            old = ending.get(c)
+            for before, state in states.items():
+                total = state[0] + connections.get((before, c), UNSEEN) + cost
+                if old is None or total < old[0] or (total == old[0] and (state[1] + 1, at, before, said) < old[1:5]):
+                    old = ending[c] = (total, state[1] + 1, at, before, said, reading)
     if not n:
         return 0, []
     last = min(best[n], key=lambda c: (best[n][c][:2], c))
@@ -95,28 +105,59 @@ def best_path(classes: list[str], words: list[tuple], text: str, connections: di
     return cost, path[::-1]
 
 
+def path_of(text: str | None, classes: list[str] | None, words: list[tuple], connections: dict[tuple[str, str], int]) -> dict | None:
+    if text is None:
+        return {"cost": None, "tokens": None}
+    cost, path = best_path(classes, words, text, connections)
+    return {"cost": cost, "tokens": [dict(zip(TOKEN.names, t, strict=True)) for t in path]}
+
+
 def pathfinder(connections: dict[tuple[str, str], int]):
     """An Arrow-batched function of (text, classes, words)."""
 
-    @F.pandas_udf(PATH)
-    def found(texts: pd.Series, classes: pd.Series, words: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, own, listed in zip(texts, classes, words, strict=True):
-            if text is None:
-                rows.append((None, None))
-                continue
-            listed = [] if listed is None else sorted((x["start"], x["end"], w["class"], w["cost"], w["reading"]) for x in listed for w in x["words"])
-            cost, path = best_path(list(own), listed, text, connections)
-            rows.append((cost, [dict(zip(TOKEN.names, t, strict=True)) for t in path]))
-        return pd.DataFrame(rows, columns=PATH.names)
+    @by_row(PATH)
+    def found(text, classes, words):
+        return path_of(text, classes, sorted((x["start"], x["end"], w["class"], w["cost"], w["reading"]) for x in words or () for w in x["words"]), connections)
+
+    return found
+
+
+def holding_pathfinder(shared, connections: dict[tuple[str, str], int]):
+    """The same of (text, classes), with the dictionary at hand: surface -> its words' (class, cost, reading)."""
+    lengths: dict[str, list[int]] = {}
+
+    @by_row(PATH)
+    def found(text, classes):
+        known = shared.value
+        if not lengths:
+            lengths.update({c: x[::-1] for c, x in lengths_by_first(known).items()})
+        words = []
+        for at, c in enumerate(text or ""):
+            for size in lengths.get(c, ()):
+                word = text[at : at + size]
+                if len(word) == size and word in known:
+                    words += [(at, at + size, *w) for w in known[word]]
+        return path_of(text, classes, words, connections)
 
     return found
 
 
-def paths(docs: DataFrame, words: DataFrame, connections: dict[tuple[str, str], int], *keys: str, **options) -> DataFrame:
+def cheapest(words: DataFrame) -> DataFrame:
+    """words of word_costs() with one word for each class of a key: the cheapest, of those the lesser reading."""
+    rows = words.where("key <> ''").select("key", F.explode("words").alias("w")).groupBy("key", F.col("w.class").alias("class"))
+    best = rows.agg(F.min(F.struct("w.cost", F.coalesce("w.reading", F.lit("")).alias("said"), "w.reading")).alias("best"))
+    return best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("class", "best.cost", "best.reading"))).alias("words"))
+
+
+def paths(docs: DataFrame, words: DataFrame, connections: dict[tuple[str, str], int], *keys: str, held_bytes: int = HELD_BYTES, **options) -> DataFrame:
     """docs (keys..., text) with distinct keys, words of word_costs() -> keys..., text, path: struct(cost, tokens). A null text has none, an empty one an empty path."""
-    met = occurrences(docs, words, *keys, context=(), **options).groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "words")).alias("met"))
+    known = written(cheapest(words), "words")
     classes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), class_of)
+    rows = held(known, held_bytes)
+    if rows is not None:
+        shared = docs.sparkSession.sparkContext.broadcast({r.key: [tuple(w) for w in r.words] for r in rows})
+        return docs.select(*keys, "text", holding_pathfinder(shared, connections)("text", classes).alias("path"))
+    met = occurrences(docs, known, *keys, context=(), **options).groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "words")).alias("met"))
     rows = docs.select(*keys, "text").join(met, list(keys), "left")
     return rows.select(*keys, "text", pathfinder(connections)("text", classes, "met").alias("path"))
 
