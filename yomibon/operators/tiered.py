@@ -7,23 +7,27 @@ has used up its characters. A context rule of a one-ideograph key lists the numb
 it. The tokenizer is a function of (docs, keys...), a lattice or a scan of a lexicon; what is left between
 all tokens is tokenized by itself once more.
 
-Candidates of all tiers meet once, by chapter, where a small function settles them; everything else is
+A tier's matches are scanned before they are shuffled. Candidates of all tiers meet once, by chapter, where a small function settles them; everything else is
 joins and expressions. Keys of chapters are distinct; a null text has no tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kana import canonical_katakana, is_cjk_narrow, may_keep_surface
+from ..functions.slices import by_row, slices
 from ..storage import written
 from . import lattice, tiers, tokens
-from .dictionary import AROUND, allowed, leftmost, occurrences, scan, spliced
+from .dictionary import AROUND, allowed, scan, spliced, taken
 from .evidence import rule_allows
 
 RUBY, BOOK, COMMON, WORDS = 0, 1, 2, 3
@@ -35,48 +39,66 @@ GAP = T.StructType().add("start", "long").add("text", "string").add("before", "s
 SETTLED = T.StructType().add("tokens", T.ArrayType(TOKEN)).add("gaps", T.ArrayType(GAP))
 
 
-@F.pandas_udf(T.ArrayType(SPAN))
-def touching_runs(spans: pd.Series, longest: pd.Series) -> pd.Series:
+@by_row(T.ArrayType(SPAN))
+def touching_runs(spans: list | None, longest: int) -> list[dict]:
     """Runs of two or more spans with nothing between them, of at most so many characters."""
-
-    def one(own: list, most: int) -> list[dict]:
-        found = []
-        for k, first in enumerate(own):
-            base, end = first["base"], first["end"]
-            for span in own[k + 1 :]:
-                if span["start"] != end or len(base) + len(span["base"]) > most:
-                    break
-                base, end = base + span["base"], span["end"]
-                found.append({"start": first["start"], "end": end, "base": base})
-        return found
-
-    return pd.Series([one(list(s), int(n)) if s is not None else [] for s, n in zip(spans, longest, strict=True)])
-
-
-def settle(text: str, found: list[dict]) -> tuple[list[dict], list[dict]]:
-    """The tokens that a text's candidates leave, tier by tier, and the gaps between them."""
-    taken = []
-    for tier in sorted({x["tier"] for x in found}):
-        own = sorted((x for x in found if x["tier"] == tier), key=lambda x: (x["start"], -x["end"], x["reading"] or ""))
-        own = [own[k] for k in scan([x["start"] for x in own], [x["end"] for x in own])]
-        own = [x for x in own if x["ok"]]
-        free = tiers.free_spans([(x["start"], x["end"]) for x in [*taken, *own]])[len(taken) :]
-        taken += [x for x, is_free in zip(own, free, strict=True) if is_free]
-    taken.sort(key=lambda x: x["start"])
-    made = [
-        {"start": a, "end": b, "surface": text[a:b], "reading": x["reading"], "fallback_reading": x["fallback"], "reading_source": x["source"], "prefix": text[max(0, a - AROUND) : a], "suffix": text[b : b + AROUND]}
-        for x in taken
-        for a, b in [(x["start"], x["end"])]
-    ]
-    edges = [(0, 0), *((x["start"], x["end"]) for x in taken), (len(text), len(text))]
-    gaps = [{"start": a, "text": text[a:b], "before": text[max(0, a - AROUND) : a], "after": text[b : b + AROUND]} for (_, a), (b, _) in zip(edges, edges[1:], strict=False) if b > a]
-    return made, gaps
-
-
-@F.pandas_udf(SETTLED)
-def settled(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-    rows = [settle(t, list(f) if f is not None else []) for t, f in zip(texts, found, strict=True)]
-    return pd.DataFrame({"tokens": [r[0] for r in rows], "gaps": [r[1] for r in rows]})
+    found = []
+    for k, first in enumerate(spans or ()):
+        base, end = first["base"], first["end"]
+        for span in spans[k + 1 :]:
+            if span["start"] != end or len(base) + len(span["base"]) > longest:
+                break
+            base, end = base + span["base"], span["end"]
+            found.append({"start": first["start"], "end": end, "base": base})
+    return found
+
+
+def settle(tiers: list[int], starts: list[int], ends: list[int], readings: list[str | None], ok: list[bool]) -> list[int]:
+    """The numbers of the candidates that a text keeps, tier by tier, in order of start."""
+    kept: list[int] = []
+    order = sorted(range(len(starts)), key=lambda k: (tiers[k], starts[k], -ends[k], readings[k] or ""))
+    for _, group in groupby(order, key=tiers.__getitem__):
+        own = list(group)
+        own = [own[k] for k in scan([starts[k] for k in own], [ends[k] for k in own])]
+        first, last = [starts[k] for k in kept], [ends[k] for k in kept]
+        for k in own:
+            at = bisect_left(first, ends[k])
+            if ok[k] and (at == 0 or last[at - 1] <= starts[k]):
+                kept.append(k)
+        kept.sort(key=starts.__getitem__)
+    return kept
+
+
+@F.arrow_udf(SETTLED)
+def settled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(text, its candidates as structs) -> the tokens that they leave, and the gaps between them."""
+    for batch in batches:
+        for texts, found in slices(list(batch)):
+            listed = found.flatten()
+            tier, start, end, reading, fallback, source, ok = (listed.field(k).to_pylist() for k in range(7))
+            kept, bounds, gaps, gap_bounds, at = [], [0], [], [0], 0
+            parts: list[list[str]] = [[], [], []]
+            for text, n in zip(texts.to_pylist(), pc.fill_null(pc.list_value_length(found), 0).to_pylist(), strict=True):
+                until = at + n
+                own = [at + k for k in settle(tier[at:until], start[at:until], end[at:until], reading[at:until], ok[at:until])]
+                before = 0
+                for k in [*own, None]:
+                    a, b = (len(text), len(text)) if k is None else (start[k], end[k])
+                    if a > before:
+                        gaps.append((before, text[before:a], text[max(0, before - AROUND) : before], text[a : a + AROUND]))
+                    if k is not None:
+                        for part, value in zip(parts, (text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]), strict=True):
+                            part.append(value)
+                    before = b
+                kept += own
+                bounds.append(len(kept))
+                gap_bounds.append(len(gaps))
+                at = until
+            of = lambda x: [x[k] for k in kept]
+            surface, prefix, suffix = parts
+            made = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip((of(start), of(end), surface, of(reading), of(fallback), of(source), prefix, suffix), [pa.int64()] * 2 + [pa.string()] * 6, strict=True)], TOKEN.names)
+            left = pa.StructArray.from_arrays([pa.array([g[k] for g in gaps], pa.string() if k else pa.int64()) for k in range(4)], GAP.names)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), made), pa.ListArray.from_arrays(pa.array(gap_bounds, pa.int32()), left)], SETTLED.names)
 
 
 def scan_tokenizer(lexicon: DataFrame) -> Callable[..., DataFrame]:
@@ -84,8 +106,7 @@ def scan_tokenizer(lexicon: DataFrame) -> Callable[..., DataFrame]:
     known = lexicon.groupBy(F.col("surface").alias("key")).agg(F.min("reading").alias("reading"))
 
     def run(docs: DataFrame, *keys: str) -> DataFrame:
-        rows = occurrences(docs, known, *keys, context=()).select(*keys, "start", "end", "surface", "reading")
-        return leftmost(rows, *keys).select(*keys, F.inline("found"))
+        return taken(docs, known, *keys).select(*keys, "start", "end", "surface", "reading")
 
     return run
 
@@ -120,24 +141,26 @@ def candidates(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, tokenize
     said = F.get("entries", F.lit(0))["reading"]
     compounds = runs.select(*keys, F.lit(RUBY).alias("tier"), "start", "end", said.alias("reading"), said.alias("fallback"), F.lit("ruby").alias("source"), F.lit(True).alias("ok"))
 
-    met = occurrences(docs, known, *keys, context=("lead", "before", "after"))
-    ok = allowed(F.col("surface"), F.col("before"), F.col("after"))
-    if rules is not None:
-        met = met.join(rules.select(F.col("base").alias("surface"), "prefixes"), "surface", "left")
-        ok = ok & (F.col("prefixes").isNull() | rule_allows(F.col("lead"), F.col("prefixes")))
-    met = met.select(*keys, "start", "end", ok.alias("ok"), F.explode(F.array_distinct(F.transform("entries", lambda e: e["tier"]))).alias("tier"), "entries")
-    best = F.get(F.filter("entries", lambda e: e["tier"] == F.col("tier")), F.lit(0))
-    terms = met.select(*keys, "tier", "start", "end", best["reading"].alias("reading"), best["reading"].alias("fallback"), best["source"].alias("source"), "ok")
+    terms = []
+    for tier in (BOOK, COMMON):
+        own = known.select("key", F.filter("entries", lambda e: e["tier"] == tier).alias("own")).where(F.size("own") > 0)  # noqa: B023
+        met = taken(docs, own.select("key", F.get("own", F.lit(0)).alias("best")), *keys, context=("lead", "before", "after"))
+        ok = allowed(F.col("surface"), F.col("before"), F.col("after"))
+        if rules is not None:
+            met = met.join(rules.select(F.col("base").alias("surface"), "prefixes"), "surface", "left")
+            ok = ok & (F.col("prefixes").isNull() | rule_allows(F.col("lead"), F.col("prefixes")))
+        terms.append(met.select(*keys, F.lit(tier).alias("tier"), "start", "end", F.col("best.reading").alias("reading"), F.col("best.reading").alias("fallback"), F.col("best.source").alias("source"), ok.alias("ok")))
 
     words = worded(tokenizer, docs, *keys)
     words = words.select(*keys, F.lit(WORDS).alias("tier"), "start", "end", "reading", F.col("reading").alias("fallback"), F.lit("unidic").alias("source"), F.lit(True).alias("ok"))
-    return ruby.unionByName(compounds).unionByName(terms).unionByName(words)
+    return ruby.unionByName(compounds).unionByName(terms[0]).unionByName(terms[1]).unionByName(words)
 
 
 def built(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, *keys: str, tokenizer: Callable[..., DataFrame] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """docs (keys..., text, spans), mapping (key, reading, scope: book or common, source), lexicon (surface, reading, accent,
     pos), rules (base, prefixes) -> a row a token: keys..., token_idx, start, end, surface, reading, fallback_reading,
     reading_source, prefix, suffix, accent, pos, block, validated. A source that isn't given is "propagation"."""
+    mapping, lexicon = written(mapping, "mapping"), written(lexicon, "lexicon")
     tokenizer = tokenizer or scan_tokenizer(lexicon)
     found = candidates(docs, mapping, lexicon, tokenizer, rules, *keys)
     found = found.groupBy(*keys).agg(F.collect_list(F.struct("tier", "start", "end", "reading", "fallback", "source", "ok")).alias("found"))
@@ -145,8 +168,9 @@ def built(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, *keys: str, t
     rows = written(rows.select(*keys, settled("text", "found").alias("s")).select(*keys, "s.tokens", "s.gaps"), "chapters")
     first = rows.select(*keys, F.inline("tokens"))
     gaps = rows.select(*keys, F.explode("gaps").alias("g")).select(*keys, F.col("g.start").alias("gap"), "g.text", "g.before", "g.after").where(is_cjk_narrow(F.col("text")))
-    more = worded(tokenizer, gaps.select(*keys, "gap", "text"), *keys, "gap").join(gaps, [*keys, "gap"])
-    around, lead = F.concat("before", "text", "after"), F.char_length("before")
+    # What stands around goes with each gap, so that its words need not be joined with it.
+    more = worded(tokenizer, gaps.withColumn("whole", F.col("text")), *keys, "gap", "before", "whole", "after")
+    around, lead = F.concat("before", "whole", "after"), F.char_length("before")
     at, end = lead + F.col("start").cast("int"), lead + F.col("end").cast("int")
     more = more.select(
         *keys, (F.col("gap") + F.col("start")).alias("start"), (F.col("gap") + F.col("end")).alias("end"), "surface", "reading", F.col("reading").alias("fallback_reading"), F.lit("unidic-gap").alias("reading_source"),
