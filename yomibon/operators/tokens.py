@@ -7,15 +7,18 @@ exploded last: no shuffle. The functions over token tables are for tokens that c
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema
 from ..functions.kana import canonical_katakana, fold_small
+from ..functions.slices import slices
 
 #: White space that splits words.
 SPACE = r" \t\n\x0B\f\r"
@@ -49,8 +52,14 @@ def word_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.n
 
 
 @F.arrow_udf(WORDS)
-def words(texts: pa.Array) -> pa.Array:
+def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The runs without white space, with their offsets."""
+    for batch in batches:
+        for (texts,) in slices([batch]):
+            yield words_of(texts)
+
+
+def words_of(texts: pa.Array) -> pa.Array:
     found, starts, ends, bounds = word_arrays(texts)
     rows = pa.StructArray.from_arrays([found, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["word", "start", "end"])
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows, mask=texts.is_null() if texts.null_count else None)
@@ -86,19 +95,23 @@ def gaps_between(found: Column) -> Column:
     return F.filter(each, lambda x: x["gap_len"] > 0)
 
 
-@F.pandas_udf(schema.rows("t_start long, t_end long"))
-def rendered_offsets(found: pd.Series, sizes: pd.Series) -> pd.Series:
+@F.arrow_udf(schema.rows("t_start long, t_end long"))
+def rendered_offsets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Where words stand in the text that has segments of the given sizes in their places."""
-
-    def one(listed, new):
-        if listed is None:
-            return None
-        start, end = (np.array([w[k] for w in listed], np.int64) for k in ("start", "end"))
-        size = np.array(list(new), np.int64)
-        moved = np.concatenate([[0], np.cumsum(size - (end - start))])[:-1]
-        return [{"t_start": int(a), "t_end": int(b)} for a, b in zip(start + moved, start + moved + size, strict=True)]
-
-    return pd.Series([one(*row) for row in zip(found, sizes, strict=True)])
+    for batch in batches:
+        for found, sizes in slices(list(batch)):
+            yield moved_places(found, sizes)
+
+
+def moved_places(found: pa.Array, sizes: pa.Array) -> pa.Array:
+    counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    listed = found.flatten()
+    start, end, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (listed.field("start"), listed.field("end"), sizes.flatten()))
+    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    grown = np.concatenate([[0], np.cumsum(size - (end - start))])
+    moved = start + grown[:-1] - np.repeat(grown[bounds[:-1]], counts)
+    rows = pa.StructArray.from_arrays([pa.array(moved), pa.array(moved + size)], ["t_start", "t_end"])
+    return pa.ListArray.from_arrays(pa.array(bounds), rows, mask=found.is_null() if found.null_count else None)
 
 
 @F.pandas_udf(schema.LONGS)
