@@ -197,6 +197,16 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+#: Characters whose capital is several characters in full, and their single ones.
+SEVERAL = "".join(c for c in map(chr, range(0x80, 0x1FFFF)) if len(c.upper()) > 1)
+SINGLE = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in SEVERAL)
+
+
+def upper_by_character(text: Column) -> Column:
+    """Upper case of as many characters as the text has."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.char_length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, SEVERAL, SINGLE))), "")
+
+
 def track_number(name: Column) -> Column:
     """The digits that a file name begins with."""
     found = F.regexp_extract(name, r"^(\d+)", 1)
