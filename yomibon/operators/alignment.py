@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.schema import LONGS
+from ..functions.slices import by_row
 from .offset_maps import aligned
 
 #: Characters around a hint that are searched at least.
@@ -53,14 +54,14 @@ def by_hint(text: str, readings: list[str], hints: list[int]) -> list[int | None
     return found
 
 
-@F.pandas_udf(LONGS)
-def occurrence_offsets(texts: pd.Series, surfaces: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or x is None else by_occurrence(t, list(x)) for t, x in zip(texts, surfaces, strict=True)])
+@by_row(LONGS)
+def occurrence_offsets(text: str | None, surfaces: list[str] | None) -> list | None:
+    return None if text is None or surfaces is None else by_occurrence(text, surfaces)
 
 
-@F.pandas_udf(LONGS)
-def hint_offsets(texts: pd.Series, readings: pd.Series, hints: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or x is None else by_hint(t, list(x), list(h)) for t, x, h in zip(texts, readings, hints, strict=True)])
+@by_row(LONGS)
+def hint_offsets(text: str | None, readings: list[str] | None, hints: list[int] | None) -> list | None:
+    return None if text is None or readings is None else by_hint(text, readings, hints)
 
 
 @F.pandas_udf(LONGS)

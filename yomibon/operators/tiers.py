@@ -15,8 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import schema
 from ..functions.kana import WIDE_CJK, canonical_katakana, ellipsis, engine_kana, has_kanji, is_cjk_narrow
+from ..functions.slices import by_row
 
+FOUND = schema.rows("start long, end long, surface string, reading string")
 #: The wide class of ideographs, as Python has it.
 CJK = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), WIDE_CJK))
 
@@ -68,10 +71,11 @@ def replacer(mapping: dict[str, str]):
 def candidate_finder(mapping: dict[str, str]):
     """An Arrow-batched function: the dictionary's candidates in a text."""
 
-    @F.pandas_udf("array<struct<start:long,end:long,surface:string,reading:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        pattern = compiled(mapping)
-        return texts.map(lambda x: [{"start": a, "end": b, "surface": x[a:b], "reading": r} for a, b, r in matches(x, mapping, pattern)], na_action="ignore")
+    pattern = compiled(mapping)
+
+    @by_row(FOUND)
+    def found(text):
+        return None if text is None else [{"start": a, "end": b, "surface": text[a:b], "reading": r} for a, b, r in matches(text, mapping, pattern)]
 
     return found
 
@@ -148,10 +152,11 @@ def lexicon_words(text: str, lexicon: dict[str, str], pattern: re.Pattern) -> li
 
 
 def word_finder(lexicon: dict[str, str]):
-    @F.pandas_udf("array<struct<start:long,end:long,surface:string,reading:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        pattern = compiled(lexicon)
-        return texts.map(lambda x: [{"start": a, "end": b, "surface": w, "reading": r} for a, b, w, r in lexicon_words(x, lexicon, pattern)], na_action="ignore")
+    pattern = compiled(lexicon)
+
+    @by_row(FOUND)
+    def found(text):
+        return None if text is None else [{"start": a, "end": b, "surface": w, "reading": r} for a, b, w, r in lexicon_words(text, lexicon, pattern)]
 
     return found
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import kana
+from ..functions.slices import by_row
 from ..functions.unicode_udf import all_digits, nfkc
 from ..operators import alignment, assembly, context, dictionary, evidence, labels, tiers, tokens
 from ..session import table
@@ -470,9 +470,9 @@ def letter_runs():
     """The runs of ASCII letters of a text, with their offsets."""
     pattern = re.compile("[A-Za-z]+")
 
-    @F.pandas_udf(tokens.WORDS)
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [{"word": m[0], "start": m.start(), "end": m.end()} for m in pattern.finditer(x)], na_action="ignore")
+    @by_row(tokens.WORDS)
+    def found(text):
+        return None if text is None else [{"word": m[0], "start": m.start(), "end": m.end()} for m in pattern.finditer(text)]
 
     return found
 

@@ -16,11 +16,13 @@ from html.parser import HTMLParser
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kana import is_ascii_word
+from ..functions.slices import by_row, slices
 
 # Encodings that are tried in turn.
 ENCODINGS = ("utf-8", "utf-16", "cp932", "shift_jis", "euc_jp")
@@ -37,18 +39,21 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", errors="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def decode_text(raw: pd.Series) -> pd.Series:
-    return raw.map(decoded, na_action="ignore")
+@by_row(T.StringType())
+def decode_text(raw: bytes | None) -> str | None:
+    return None if raw is None else decoded(raw)
 
 
-def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of containers (path, content); a few containers are open at a time."""
     for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as book:
-                rows += [(path, x.filename, k, book.read(x)) for k, x in enumerate(book.infolist()) if not x.is_dir()]
-        yield pd.DataFrame(rows, columns=["book", "entry", "entry_order", "bytes"])
+        for paths, contents in slices(batch.columns, 16):
+            rows = []
+            for path, content in zip(paths.to_pylist(), contents.to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    rows += [(path, x.filename, k, book.read(x)) for k, x in enumerate(book.infolist()) if not x.is_dir()]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["book", "entry", "entry_order", "bytes"])
 
 
 def shelf(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +66,7 @@ def shelf(spark: SparkSession, path: str) -> DataFrame:
 
 def entries(books: DataFrame) -> DataFrame:
     """(path, content) -> book, entry, entry_order, bytes."""
-    return books.mapInPandas(unzip, ENTRIES)
+    return books.select("path", "content").mapInArrow(unzip, ENTRIES)
 
 
 def _local(tag: str) -> str:
@@ -125,32 +130,28 @@ ITEM = T.StructType().add("id", "string").add("href", "string").add("type", "str
 PACKAGE = T.StructType().add("title", "string").add("authors", T.ArrayType(T.StringType())).add("items", T.ArrayType(ITEM)).add("spine", T.ArrayType(T.StringType())).add("cover_id", "string")
 
 
-@F.pandas_udf(PACKAGE)
-def package_of(opf: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in opf:
-        found = {"title": None, "authors": [], "items": [], "spine": [], "cover_id": None}
-        try:
-            root = ET.fromstring(text)
-        except (ET.ParseError, TypeError):
-            rows.append(found)
-            continue
-        for node in root.iter():
-            name, own = _local(node.tag), "".join(node.itertext()).strip() if _local(node.tag) in ("title", "creator") else ""
-            if name == "title" and own and not found["title"]:
-                found["title"] = unicodedata.normalize("NFKC", own)
-            elif name == "creator" and own:
-                role = next((v for k, v in node.attrib.items() if _local(k) == "role"), "")
-                if role.lower() in ("", "aut", "author"):
-                    found["authors"].append(unicodedata.normalize("NFKC", own).strip())
-            elif name == "item" and node.get("href"):
-                found["items"].append({"id": node.get("id"), "href": unquote(node.get("href")), "type": node.get("media-type"), "properties": node.get("properties")})
-            elif name == "itemref" and node.get("idref"):
-                found["spine"].append(node.get("idref"))
-            elif name == "meta" and node.get("name") == "cover":
-                found["cover_id"] = node.get("content")
-        rows.append(found)
-    return pd.DataFrame(rows, columns=["title", "authors", "items", "spine", "cover_id"])
+@by_row(PACKAGE)
+def package_of(text: str | None) -> dict:
+    found = {"title": None, "authors": [], "items": [], "spine": [], "cover_id": None}
+    try:
+        root = ET.fromstring(text)
+    except (ET.ParseError, TypeError):
+        return found
+    for node in root.iter():
+        name, own = _local(node.tag), "".join(node.itertext()).strip() if _local(node.tag) in ("title", "creator") else ""
+        if name == "title" and own and not found["title"]:
+            found["title"] = unicodedata.normalize("NFKC", own)
+        elif name == "creator" and own:
+            role = next((v for k, v in node.attrib.items() if _local(k) == "role"), "")
+            if role.lower() in ("", "aut", "author"):
+                found["authors"].append(unicodedata.normalize("NFKC", own).strip())
+        elif name == "item" and node.get("href"):
+            found["items"].append({"id": node.get("id"), "href": unquote(node.get("href")), "type": node.get("media-type"), "properties": node.get("properties")})
+        elif name == "itemref" and node.get("idref"):
+            found["spine"].append(node.get("idref"))
+        elif name == "meta" and node.get("name") == "cover":
+            found["cover_id"] = node.get("content")
+    return found
 
 
 def packages(files: DataFrame) -> DataFrame:
@@ -199,9 +200,9 @@ def covers(files: DataFrame, packs: DataFrame) -> DataFrame:
     return there.groupBy("book").agg(F.min(F.struct("rank", "pos", "entry", "bytes")).alias("best")).select("book", F.col("best.entry").alias("path"), "best.bytes")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("href", "string").add("title", "string")))
-def contents_of(page: pd.Series, ncx: pd.Series) -> pd.Series:
-    return pd.Series([[{"href": h, "title": t} for h, t in (ncx_points(p) if n else nav_points(p))] for p, n in zip(page, ncx, strict=True)])
+@by_row(T.ArrayType(T.StructType().add("href", "string").add("title", "string")))
+def contents_of(page: str, ncx: bool) -> list[dict]:
+    return [{"href": h, "title": t} for h, t in (ncx_points(page) if ncx else nav_points(page))]
 
 
 def contents(files: DataFrame, packs: DataFrame, order: DataFrame) -> DataFrame:
