@@ -154,3 +154,30 @@ def test_pending_books(spark):
 def test_sightings_have_neighbours(spark):
     docs = spark.createDataFrame([(1, "Aa, bb … Cc"), (2, None), (3, " ")], "doc_id long, text string")
     assert rows_of(upkeep_queries.sightings(docs).select("base", "reading", F.col("prefix"), "suffix")) == [("aa", "Aa", None, "bb"), ("bb", "bb", "aa", ""), ("cc", "Cc", "", None)]
+
+
+def replaced_books(folder, spark, n=40):
+    """Tables of n documents with the same words; the second is changed, the third is gone."""
+    spark.createDataFrame([(i, "Ene ene - mene, Mu ") for i in range(n)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 2)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_evidence_is_not_kept_by_book(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(upkeep_queries, "written", lambda df, name: kept.append(df) or df)
+    found = upkeep_queries.evidence_after_replacement(spark, replaced_books(tmp_path, spark))
+    assert rows_of(found) == [("mene", "mene", 39), ("mu", "Mu", 39)]
+    assert sum(x.count() for x in kept) == 11  # four words and readings of books that stay and of old versions, three of new ones
+
+
+def test_contexts_are_counted_once(spark, tmp_path):
+    found = upkeep_queries.contexts_after_replacement(spark, replaced_books(tmp_path, spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 2  # books that stay and new versions
+    assert rows_of(found) == [("ene", "ene", 39, 1), ("mene", "mu", 39, 1)]
+
+
+def test_sightings_of_words_of_marks(spark):
+    docs = spark.createDataFrame([(1, "\n Aa\u3000b -- \tÉ’x\x0b"), (2, None), (3, " ")], "doc_id long, text string")
+    assert rows_of(upkeep_queries.sightings(docs, "base", "reading", "suffix")) == [("aab", "Aab", ""), ("éx", "Éx", None)]

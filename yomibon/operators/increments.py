@@ -22,23 +22,33 @@ def counted(sightings: DataFrame, *by: str) -> DataFrame:
     return rows.where("base is not null and reading is not null").groupBy(*by, *COUNTED).agg(F.count(F.lit(1)).alias("n"))
 
 
-def together(*changes: DataFrame) -> DataFrame:
-    """Changes (base, reading, prefix, suffix, n) one behind the other: totals for what sums them anyway."""
-    rows = changes[0].select(*COUNTED, "n")
+def tallied(sightings: DataFrame, *by: str) -> DataFrame:
+    """sightings -> by..., n: counted by less than all columns, where what is made of the totals takes no more."""
+    return sightings.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def undone(counts: DataFrame) -> DataFrame:
+    """Counts (..., n) as the change that takes them away."""
+    return counts.withColumn("n", -F.col("n"))
+
+
+def together(*changes: DataFrame, by: tuple[str, ...] = COUNTED) -> DataFrame:
+    """Changes (by..., n) one behind the other: totals for what sums them anyway."""
+    rows = changes[0].select(*by, "n")
     for other in changes[1:]:
-        rows = rows.unionByName(other.select(*COUNTED, "n"))
+        rows = rows.unionByName(other.select(*by, "n"))
     return rows
 
 
-def summed(*changes: DataFrame) -> DataFrame:
+def summed(*changes: DataFrame, by: tuple[str, ...] = COUNTED) -> DataFrame:
     """Changes as one; what cancels out is gone."""
-    return together(*changes).groupBy(*COUNTED).agg(F.sum("n").alias("n")).where("n <> 0")
+    return together(*changes, by=by).groupBy(*by).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def change(old: DataFrame, new: DataFrame) -> DataFrame:
     """The change from the old versions' sightings of some books to the new ones': a book without new ones goes, one without
     old ones comes."""
-    return summed(counted(new), counted(old).withColumn("n", -F.col("n")))
+    return summed(counted(new), undone(counted(old)))
 
 
 def replaced(kept: DataFrame, new: DataFrame, books: DataFrame, book: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +57,7 @@ def replaced(kept: DataFrame, new: DataFrame, books: DataFrame, book: str) -> tu
     ids = books.select(book).distinct()
     old, fresh = kept.join(ids, book, "left_semi"), counted(new.join(ids, book, "left_semi"), book)
     after = kept.join(ids, book, "left_anti").unionByName(fresh.select(kept.columns))
-    return after, summed(fresh, old.withColumn("n", -F.col("n")))
+    return after, summed(fresh, undone(old))
 
 
 def readings(totals: DataFrame) -> DataFrame:
