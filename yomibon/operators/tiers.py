@@ -1,7 +1,7 @@
 """Tokens of a chapter from tiers of candidates, and the text rendered from them.
 
 Candidates come from ruby spans, dictionaries and a lexicon; a tier takes what earlier tiers leave
-free. Selection depends on what was taken before, so it runs by chapter, in grouped Arrow batches;
+free. Selection depends on what was taken before, so it runs by chapter, in slices of Arrow batches;
 finding the candidates and everything after the selection are plans.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import schema
 from ..functions.kana import WIDE_CJK, canonical_katakana, ellipsis, engine_kana, has_kanji, is_cjk_narrow
@@ -88,11 +89,18 @@ def candidates(docs: DataFrame, mapping: dict[str, str], tier: int, source: str,
 def select_free(rows: DataFrame, *keys: str) -> DataFrame:
     """candidates (keys..., tier, start, end, ...) -> those that overlap no accepted one, by tier, start, longest first."""
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(order=-(group["end"] - group["start"])).sort_values(["tier", "start", "order", "surface"], kind="stable").drop(columns="order")
-        return group[free_spans(zip(group["start"], group["end"], strict=True))]
+    listed = F.collect_list(F.struct(*[c for c in rows.columns if c not in keys]))
+    part = lambda name: F.transform("found", lambda x: x[name])
+    picked = free_places(part("tier"), part("start"), part("end"), part("surface"))
+    found = rows.groupBy(*keys).agg(listed.alias("found")).withColumn("picked", picked)
+    return found.select(*keys, F.inline(F.transform("picked", lambda k: F.get("found", k)))).select(*rows.columns)
 
-    return rows.groupBy(*keys).applyInPandas(pick, rows.schema)
+
+@by_row(T.ArrayType(T.IntegerType()))
+def free_places(tier: list[int], start: list[int], end: list[int], surface: list[str]) -> list[int]:
+    """Which of a text's candidates are taken."""
+    order = sorted(range(len(start)), key=lambda k: (tier[k], start[k], start[k] - end[k], surface[k] is None, surface[k] or ""))
+    return [k for k, free in zip(order, free_spans((start[k], end[k]) for k in order), strict=True) if free]
 
 
 def free_spans(spans: Iterable[tuple[int, int]]) -> list[bool]:
