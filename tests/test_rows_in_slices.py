@@ -32,3 +32,11 @@ def test_replacements_scan_whatever_the_dictionary_is_held_by(spark, held):
     words = spark.createDataFrame([("12", "ジュウニ"), ("12日", "a"), ("東京", "b"), ("雨", "c"), ("", "never")], "key string, reading string")
     got = {r.k: r.replaced for r in dictionary.replaced(docs, words, "k", held_bytes=held).collect()}
     assert got == {1: "aはc、ba", 2: "112 雨天 お日", 3: None, 4: ""}
+
+
+def test_letter_runs_equal_a_pattern(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS * 90)), "k int, text string").coalesce(1)
+    got = {r.k: r.w and [(w.word, w.start, w.end) for w in r.w] for r in docs.select("k", tokens.letter_runs("text").alias("w")).collect()}
+    for k, text in enumerate(TEXTS * 90):
+        assert (got[k] or []) == [(m[0], m.start(), m.end()) for m in re.finditer("[A-Za-z]+", text or "")]
+        assert (got[k] is None) == (text is None)

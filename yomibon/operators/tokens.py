@@ -27,17 +27,18 @@ WORDS = schema.rows("word string, start long, end long")
 
 _bytes = np.arange(256)
 IS_SPACE = np.isin(_bytes, [9, 10, 11, 12, 13, 32])
+IS_LETTER = np.isin(_bytes | 32, range(ord("a"), ord("z") + 1)) & (_bytes < 128)
 
 
-def word_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts: (words, starts, ends, bounds of each text's words); white space decides, and it is ASCII, so bytes do."""
+def word_arrays(texts: pa.Array, member: np.ndarray = ~IS_SPACE) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts: (words, starts, ends, bounds of each text's words); bytes decide: ASCII ones alone, or all others too."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
     raw = texts.buffers()[2] if n else None
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    inside = ~IS_SPACE[data]
+    inside = member[data]
     before, after = np.zeros_like(inside), np.zeros_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     first, last = offsets[:-1][offsets[:-1] < len(data)], offsets[1:][offsets[1:] > 0] - 1
@@ -59,8 +60,16 @@ def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield words_of(texts)
 
 
-def words_of(texts: pa.Array) -> pa.Array:
-    found, starts, ends, bounds = word_arrays(texts)
+@F.arrow_udf(WORDS)
+def letter_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The runs of ASCII letters, with their offsets."""
+    for batch in batches:
+        for (texts,) in slices([batch]):
+            yield words_of(texts, IS_LETTER)
+
+
+def words_of(texts: pa.Array, member: np.ndarray = ~IS_SPACE) -> pa.Array:
+    found, starts, ends, bounds = word_arrays(texts, member)
     rows = pa.StructArray.from_arrays([found, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["word", "start", "end"])
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows, mask=texts.is_null() if texts.null_count else None)
 

@@ -468,13 +468,7 @@ cw AS (SELECT conv_id, turn, text, CAST(i - 1 AS BIGINT) AS token_idx, w, CAST(e
 
 def letter_runs():
     """The runs of ASCII letters of a text, with their offsets."""
-    pattern = re.compile("[A-Za-z]+")
-
-    @by_row(tokens.WORDS)
-    def found(text):
-        return None if text is None else [{"word": m[0], "start": m.start(), "end": m.end()} for m in pattern.finditer(text)]
-
-    return found
+    return tokens.letter_runs
 
 
 def runs(spark, d):
