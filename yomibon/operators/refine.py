@@ -23,7 +23,9 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.slices import by_row
 from .alignment import offset_mapper
 
 TOKEN_COLUMNS = ["surface", "reading", "fallback_reading", "accent", "pos", "start", "end", "o_start", "o_end", "source"]
@@ -289,21 +291,33 @@ def chapter_of(group: pd.DataFrame) -> Chapter:
 
 
 def by_chapter(chapters: DataFrame, keys: tuple[str, ...], change) -> DataFrame:
-    """change(chapter) for each chapter; columns that are neither keys, texts nor of tokens are dropped."""
-    rows = chapters.select(*[c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)])
-    names = rows.columns
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        chapter = chapter_of(group)
+    """change(chapter) for each chapter; columns that are neither keys, texts nor of tokens are dropped. A row is a token, or a
+    chapter with an array of its tokens: then nothing is shuffled. Batches are read by slices, so few chapters are objects at a time."""
+    names = [c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)]
+    rows = chapters
+    if "tokens" in chapters.columns:
+        names += [c for c in chapters.schema["tokens"].dataType.elementType.names if c in TOKEN_COLUMNS]
+    else:
+        listed = F.collect_list(F.struct(*[c for c in names if c in TOKEN_COLUMNS]))
+        rows = chapters.groupBy(*keys).agg(*[F.first(c).alias(c) for c in names if c in ("text", "original")], F.filter(listed, lambda t: t["start"].isNotNull()).alias("tokens"))
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", rows.schema["tokens"].dataType)])
+
+    @by_row(kind)
+    def changed(text: str | None, original: str | None, tokens: list[dict] | None) -> dict:
+        chapter = Chapter(text or "", tokens or [], original)
         change(chapter)
-        return table_of(chapter, group, names)
+        return {"text": chapter.text, "tokens": chapter.tokens}
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    before = F.col("original") if "original" in names else F.lit(None).cast("string")
+    kept = [F.col(c) for c in (*keys, "original") if c in names]
+    made = rows.select(*kept, changed(F.col("text"), before, F.col("tokens")).alias("made"))
+    return made.select(*kept, F.col("made.text").alias("text"), F.inline_outer("made.tokens")).select(*names)
 
 
 def refined(chapters: DataFrame, overrides: list[dict], removals: list[dict], *keys: str, source: str | None = None) -> DataFrame:
     """chapters: a row a token (keys..., text, surface, reading, accent, start, end, source, ...), null token columns
-    for a chapter without tokens -> the same after the rules, in order. With a source only tokens of it are changed."""
+    for a chapter without tokens -> the same after the rules, in order. With a source only tokens of it are changed.
+    Chapters may come as a row each (keys..., text, tokens array<struct<surface,...>>), too."""
 
     def change(chapter: Chapter) -> None:
         for rule in overrides:
