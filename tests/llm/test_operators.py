@@ -147,6 +147,45 @@ def test_pieces_equal_whole_texts():
     assert [x.tolist() for x in encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_pieces_are_encoded_together():
+    """Thousands of new pieces, of letters or not, are few texts for the tokenizer."""
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.n = tokenizer, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.n += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    plain = Tokenizer.from_file(token_file.default_tokenizer())
+    encode = token_file.Encoder(token_file.default_tokenizer())
+    encode.tokenizer = counted = Counted(encode.tokenizer)
+    words = [f"{a}{k}.\n{b}" for k, (a, b) in enumerate([("the", "Of"), ("\u0120", "日本"), ("ß", "'s"), ("<|", "|>")] * 1024)]
+    texts = [" ".join(words[k : k + 64]) for k in range(0, len(words), 64)]
+    assert [x.tolist() for x in encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counted.n <= len(words) // token_file.TOGETHER + 1 + len(texts)
+
+
+def test_pieces_that_would_make_an_added_token(tmp_path):
+    """New pieces of two texts that, side by side, are an added token stay what they are in their texts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(token_file.default_tokenizer(), encoding="utf-8").read())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "foo bar"})
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec))
+    plain, encode = Tokenizer.from_file(str(path)), token_file.Encoder(str(path))
+    texts = ["one foo", "two bar", "a foo bar", None, ""]
+    assert [x.tolist() for x in encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_file(docs, empty):
     from tokenizers import Tokenizer
 

@@ -17,9 +17,9 @@ a document is the sum of its shards', block's and own places; only one row a sha
 
 Encoding. The ids are those of the tokenizer's plain encode without added special tokens; a special
 token that stands in a text is that token's id, as the plain encode has it. The byte-level tokenizer
-cuts a text before each single space, so pieces between spaces are encoded once and their ids kept in a
-memo of the Python worker, bounded in bytes, that serves all tasks of the stage; the first task of another
-stage releases it. Texts where a space is the middle or end of a run of white space, texts that hold a
+cuts a text before each single space, so pieces between spaces are encoded once, many at a time, and their ids
+kept in a memo of the Python worker, bounded in bytes, that serves all tasks of the stage; the first task of
+another stage releases it. A slice's pieces are told apart and put in place as Arrow columns. Texts where a space is the middle or end of a run of white space, texts that hold a
 special token, and other tokenizers, are encoded as a whole.
 
 Defined results. A null text is empty: only the end id. Rows that repeat a doc_id are documents of
@@ -34,16 +34,17 @@ import itertools
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.slices import slices
 from ..storage import new_folder
 from .common import BROADCAST_BYTES, worker_cache
 
@@ -53,13 +54,12 @@ BLOCK_IDS = 1 << 16
 MEMO_BYTES, ENTRY = 128 << 20, 200
 SCHEMA = "shard int, block int, shard_start long, bits int, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
 #: A single space that isn't the last of a run of white space.
-UNSAFE = r"\s (?:\s|\Z)"
+UNSAFE = r" (?<=\s )(?:\s|\Z)"
 
-#: Letters of Latin-1 and marks: what the byte-level pattern cuts between, and nowhere else.
-SIMPLE = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)"
-#: Byte-level vocabularies write printable bytes as themselves, the others as characters from 256 on.
-PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+#: The space as byte-level vocabularies write it, and new pieces that are encoded as one text.
+SPACE, TOGETHER = "\u0120", 256
+#: A slice of a batch has at most so many texts, and so many bytes if it has more than one.
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -122,51 +122,67 @@ class Encoder:
         self.bits = width(max(self.tokenizer.get_vocab_size(), 1))
         # Added tokens are cut out of a text before anything else, so they may hold spaces or stand beside letters.
         added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
-        self.unsafe = re.compile("|".join([UNSAFE, *sorted(added, key=len, reverse=True)]))
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
+        self.spaced = re.compile(UNSAFE).search
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.leads[[k for token, k in vocabulary.items() if token.startswith(SPACE)]] = True
         self.forget()
-        self.simple = re.compile(SIMPLE).fullmatch
 
     def forget(self) -> None:
         self.memo: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
         self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def unit(self, text: str) -> bytes:
-        """The ids of one pre-token, by the tokenizer's own model."""
-        found = self.units.get(text)
-        if found is None:
-            mapped = text.encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-            found = self.units[text] = struct.pack(f"<{len(ids)}I", *ids)
-            self.held += ENTRY + len(mapped) + len(found)
-        return found
-
     def pieces(self, pieces: list[str]) -> None:
-        """Remembers the ids of new pieces, each behind a space: Latin letters and marks after them are two
-        pre-tokens for the byte-level pattern; all else goes through the whole tokenizer."""
-        memo, simple, odd = self.memo, self.simple, []
-        for p in pieces:
-            m = simple(p)
-            if m:
-                letters, marks = m.groups()
-                memo[p] = self.unit(" " + letters) + self.unit(marks) if marks else self.unit(" " + letters)
-            else:
-                odd.append(p)
+        """Remembers the ids of new pieces, each behind a space. Many are one text for the tokenizer; a piece's ids begin
+        where a token begins with the space. Pieces that begin or end with white space are encoded by themselves,
+        and so are those whose text holds an added token or has another number of such tokens."""
+        memo, joined, odd = self.memo, [], []
+        for low in range(0, len(pieces), TOGETHER):
+            some = pieces[low : low + TOGETHER]
+            odd += [p for p in some if not p or p != p.strip()]
+            if plain := [p for p in some if p and p == p.strip()]:
+                joined.append((plain, " " + " ".join(plain)))
+        for (plain, text), found in zip(joined, self.tokenizer.encode_batch_fast([x for _, x in joined], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(plain) or starts[0] or self.added(text):
+                odd += plain
+                continue
+            data, at = ids.tobytes(), (4 * starts).tolist()
+            memo.update(zip(plain, [data[a:b] for a, b in itertools.pairwise([*at, len(data)])], strict=True))
+            self.held += len(data)
         memo.update(zip(odd, self.whole([" " + p for p in odd]), strict=True))
-        self.held += sum(ENTRY + 2 * len(p) for p in pieces)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.split(" ") if self.by_piece and not self.unsafe.search(x) else None for x in texts]
+        self.held += sum(ENTRY + 2 * len(p) for p in pieces) + sum(len(memo[p]) for p in odd)
+
+    def __call__(self, column: pa.Array | list[str | None]) -> list[np.ndarray]:
+        column = (column if isinstance(column, pa.Array) else pa.array(column, pa.string())).fill_null("")
+        texts = column.to_pylist()
+        if not texts:
+            return []
+        safe = [self.by_piece and not self.spaced(x) and not self.added(x) for x in texts]
+        split = pc.split_pattern(pc.if_else(pa.array(safe), column, ""), " ")
+        bounds, parts = split.offsets.to_numpy(), split.values
+        later = np.ones(len(parts), bool)
+        later[bounds[:-1]] = False
+        heads = [head if by_piece else text for head, by_piece, text in zip(parts.take(pa.array(bounds[:-1])).to_pylist(), safe, texts, strict=True)]
+        coded = parts.filter(pa.array(later)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > MEMO_BYTES:
             self.forget()
         memo = self.memo
-        self.pieces(list({p for parts in split if parts for p in itertools.islice(parts, 1, None) if p not in memo}))
-        heads = self.whole([parts[0] if parts else text for text, parts in zip(texts, split, strict=True)])
-        ids = (head + b"".join([memo[p] for p in itertools.islice(parts, 1, None)]) if parts else head for head, parts in zip(heads, split, strict=True))
-        return [np.frombuffer(x, "<u4") for x in ids]
+        self.pieces([p for p in distinct if p not in memo])
+        # The ids of a slice's distinct pieces, then of its heads, are put in the order of the texts at once.
+        rows = np.empty(len(parts), np.int64)
+        rows[later], rows[bounds[:-1]] = coded.indices.to_numpy(), np.arange(len(distinct), len(distinct) + len(texts))
+        placed = pa.array([memo[p] for p in distinct] + self.whole(heads), pa.large_binary()).take(pa.array(rows))
+        _, ends, data = placed.buffers()
+        ids = np.frombuffer(data or b"", "<u4")
+        at = np.frombuffer(ends, np.int64)[bounds] // 4
+        return [ids[a:b] for a, b in itertools.pairwise(at.tolist())]
 
 
 def encoder(path: str, end_id: int, block_ids: int):
@@ -190,10 +206,8 @@ def encoder(path: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
-                texts = [x or "" for x in some.column(1).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+            for doc_ids, texts in slices(batch.columns, SLICE_ROWS, SLICE_BYTES) if batch.num_rows else ():
+                for doc_id, ids in zip(doc_ids.to_pylist(), encode(texts), strict=True):
                     docs.append(doc_id)
                     parts.append(np.append(ids, np.uint32(end_id)))
                     held += len(ids) + 1
