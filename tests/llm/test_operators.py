@@ -261,6 +261,54 @@ def test_media_of_documents_with_one_key(spark, monkeypatch):
     measured_right(media.measured(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect(), rows)
 
 
+def shuffled(df, metric):
+    """A metric of the exchanges of df's plan, once it has run; an exchange that is used again counts once."""
+    found, left = {}, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            left.append(node.plan())
+        elif name == "Exchange":
+            found[node.id()] = node.metrics().apply(metric).value()
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return sum(found.values())
+
+
+def test_media_moves_shared_bytes_twice(spark):
+    """A foreign chunk goes to its digest and from there to its document, deflated both times."""
+    rng = np.random.default_rng(7)
+    syllables = [a + b for a in "bdfklmnrst" for b in ("a", "en", "i", "or", "u")]
+    texts = [" ".join("".join(rng.choice(syllables, 3)) for _ in range(3000)) for _ in range(30)]
+    rows = [(k, texts[k % 30] + f" {k}") for k in range(60)]
+    got = media.measured(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    measured_right(got.collect(), rows)
+    assert 0 < shuffled(got, "shuffleBytesWritten") < 1.3 * sum(map(len, texts))
+
+
+def test_media_of_many_references(spark, monkeypatch):
+    """References too many for a broadcast don't move the documents that have none."""
+    monkeypatch.setattr(media, "REFERENCE_BYTES", 1 << 40)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        side = spark.range(0, 3000, 100).select(F.xxhash64("id").alias("key"), F.col("id").alias("found"))
+        rows = spark.range(3000).select(F.xxhash64("id").alias("key"), "id", F.lit("x" * 100).alias("text"))
+        for how, n in (("left", 3000), ("inner", 30)):
+            got = media.joined(rows, side, 30, how)
+            met = got.collect()
+            assert len(met) == n and {(r.id, r.found) for r in met if r.found is not None} == {(k, k) for k in range(0, 3000, 100)}
+            assert got.columns == ["key", "id", "text", "found"] and 0 < shuffled(got, "shuffleRecordsWritten") < 150
+        rng = np.random.default_rng(8)
+        passages = ["".join(chr(97 + k) for k in rng.integers(0, 26, 9000)) for _ in range(8)]
+        texts = [(k, passages[k % 8] + f" {k}" if k % 3 else f"alone {k} " * 400) for k in range(60)] + [(60, None), (61, "")]
+        measured_right(media.measured(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect(), texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_language(spark, sf_dir, docs, empty):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language.identified(table).collect()

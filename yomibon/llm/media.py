@@ -12,9 +12,10 @@ Storage is two Parquet tables in the shared folder, committed by Spark's writer:
 Chunk digests are deduplicated by Spark joins: of all documents with a digest the least key owns
 it. First only digests are moved; a digest of one document needs no join at all. Bytes are written
 where they are read, and read back where they lie: only chunks that other documents refer to are
-moved to these. So unique bytes are never shuffled. A chunk that many refer to is fetched once and
-copied in two steps, so that no task makes more copies than about the root of their number; each copy
-serves REFERENCES documents.
+moved to these, deflated, and with them the packs of documents that lack some. So documents that share nothing are
+not shuffled: references that are too many for a broadcast meet those documents only that a bitmap of fixed size
+lets through. A chunk is moved by its digest once; one that more than REFERENCES refer to is copied in two
+steps, so that no task makes more copies than about the root of their number; each copy serves REFERENCES documents.
 
 Documents are told apart by a 64-bit hash of id and text. Two that share one by chance both keep the
 chunks that only they have, and what is fetched for one is offered to both: nothing is lost by it.
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded, written
+from .common import BROADCAST_BYTES, bounded, scratch, written
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 512, 11, 8192
 DIGEST = 16
@@ -160,7 +161,7 @@ def owned(digests: bytes, sizes: list[int], own: list[bool], samples: bytes) ->
 
 
 def fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs with the digests wanted of them -> (digest, salts, bytes), once each."""
+    """Packs with the digests wanted of them -> (digest, salts, bytes deflated), once each."""
     for batch in batches:
         digests, salts, found = [], [], []
         for row in batch.to_pylist():
@@ -169,20 +170,30 @@ def fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if want["digest"] in held:  # else another document of this key has it
                     digests.append(want["digest"])
                     salts.append(want["salts"])
-                    found.append(held[want["digest"]])
+                    found.append(zlib.compress(held[want["digest"]]))
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(salts, pa.int64()), pa.array(found, pa.binary())], ["digest", "salts", "bytes"])
 
 
+def deflater(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs -> packs whose samples are deflated, to be moved."""
+    at = PACKED.split(", ").index("samples binary")
+    for batch in batches:
+        samples = pa.array([zlib.compress(x.as_py()) for x in batch.column(at)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], samples], batch.schema.names)
+
+
 def rebuilder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs with the foreign chunks -> what is measured on the rebuilt media."""
+    """Packs, moved with their foreign chunks or not -> what is measured on the rebuilt media."""
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            listed, held = owned(row["digests"], row["sizes"], row["own"], row["samples"])
+            samples = zlib.decompress(row["samples"]) if row["moved"] else row["samples"]
+            listed, held = owned(row["digests"], row["sizes"], row["own"], samples)
             for other in row["fetched"] or ():
-                if digest(other["bytes"]) != other["digest"]:
+                chunk = zlib.decompress(other["bytes"])
+                if digest(chunk) != other["digest"]:
                     raise ValueError("a fetched chunk doesn't match its digest")
-                held[other["digest"]] = other["bytes"]
+                held[other["digest"]] = chunk
             parts = [held[d] for d in listed]
             data, stored = b"".join(parts), media(parts)
             if len(data) != sum(row["sizes"]) or len(data) % PAD:
@@ -200,21 +211,42 @@ def rebuilder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 REFERENCES = 512
 #: Bytes that a reference takes in a broadcast table at most.
 REFERENCE_BYTES = 64
+#: Bitmaps of keys, of 4 KB each; at most 32 MB in all.
+BITMAPS, BITMAP_BITS = 1 << 13, 1 << 15
 
 
 def document_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def slot(key: Column) -> list[Column]:
+    """A key's bitmap and its place there."""
+    return [F.pmod(key, F.lit(BITMAPS)).alias("bitmap"), F.pmod(F.shiftright(key, 13), F.lit(BITMAP_BITS)).alias("place")]
+
+
+def joined(df: DataFrame, side: DataFrame, rows: int, how: str) -> DataFrame:
+    """df with the rows of side by key, inner or left. A side of many rows is met by those rows of df only that may have one; the others stay where they are."""
+    if rows * REFERENCE_BYTES <= BROADCAST_BYTES:
+        return df.join(F.broadcast(side), "key", how)
+    bits = side.select(*slot(F.col("key"))).groupBy("bitmap").agg(F.bitmap_construct_agg("place").alias("bits"))
+    there = F.expr("coalesce(shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1, 0) = 1")
+    marked = df.select("*", *slot(F.col("key"))).join(F.broadcast(bits), "bitmap", "left")
+    met = marked.where(there).select(*df.columns).join(side, "key", how)
+    if how == "inner":
+        return met
+    return marked.where(~there).select(*df.columns).unionByName(met, allowMissingColumns=True)
+
+
 def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> the written packs, and the references (key, digest, owner, salts) to foreign chunks."""
     keyed = docs.select(document_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    listed = written(keyed.mapInArrow(lister, LISTED), "digests")
-    shared = listed.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("owner <> last")
-    shared = written(shared.select("digest", "owner", F.ceil(F.col("n") / REFERENCES).alias("salts")), "shared")
-    references = written(listed.join(bounded(shared, shared.count(), REFERENCE_BYTES), "digest").where("key <> owner").distinct(), "references")
+    with scratch(docs.sparkSession) as short:
+        listed = short(keyed.mapInArrow(lister, LISTED), "digests")
+        shared = listed.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("owner <> last")
+        shared = short(shared.select("digest", "owner", F.ceil(F.col("n") / REFERENCES).alias("salts")), "shared")
+        references = written(listed.join(bounded(shared, shared.count(), REFERENCE_BYTES), "digest").where("key <> owner").distinct(), "references")
     foreign = references.groupBy("key").agg(F.collect_list("digest").alias("foreign"))
-    packs = keyed.join(bounded(foreign, references.count(), REFERENCE_BYTES), "key", "left").select("key", "doc_id", "text", "foreign").mapInArrow(packer, PACKED)
+    packs = joined(keyed, foreign, references.count(), "left").select("key", "doc_id", "text", "foreign").mapInArrow(packer, PACKED)
     return written(packs, "packs", codec="zstd"), references
 
 
@@ -223,14 +255,17 @@ def measured(docs: DataFrame) -> DataFrame:
     packs, references = stored(docs)
     n = references.count()
     wanted = references.select("digest", "owner", "salts").distinct().groupBy(F.col("owner").alias("key")).agg(F.collect_list(F.struct("digest", "salts")).alias("wanted"))
-    fetched = packs.join(bounded(wanted, n, REFERENCE_BYTES), "key").select("digests", "sizes", "own", "samples", "wanted").mapInArrow(fetcher, "digest binary, salts long, bytes binary")
+    fetched = joined(packs, wanted, n, "inner").select("digests", "sizes", "own", "samples", "wanted").mapInArrow(fetcher, "digest binary, salts long, bytes binary")
     # Rows equal in id and text have one key: any of their packs has the chunk.
     fetched = fetched.dropDuplicates(["digest"])
+    # Most chunks serve few documents: they are joined where they lie by their digests. Only the others are copied.
+    asked = references.select("key", "digest", "salts")
+    few = asked.where("salts = 1").select("key", "digest").join(fetched.where("salts = 1").select("digest", "bytes"), "digest")
     root = F.ceil(F.sqrt("salts"))
-    stems = fetched.withColumn("stem", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("salts") / root) - 1))).repartition("digest", "stem")
-    fetched = stems.select("digest", "bytes", F.explode(F.sequence(F.col("stem") * root, F.least((F.col("stem") + 1) * root, "salts") - 1)).alias("salt"))
-    asked = references.select("key", "digest", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"))
-    given = asked.join(fetched, ["digest", "salt"]).groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
-    whole = packs.where(F.forall("own", lambda x: x)).withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>"))
-    parts = packs.where(~F.forall("own", lambda x: x)).join(given, "key", "left").select(*whole.columns)
+    stems = fetched.where("salts > 1").withColumn("stem", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("salts") / root) - 1))).repartition("digest", "stem")
+    copies = stems.select("digest", "bytes", F.explode(F.sequence(F.col("stem") * root, F.least((F.col("stem") + 1) * root, "salts") - 1)).alias("salt"))
+    many = asked.where("salts > 1").select("key", "digest", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt")).join(copies, ["digest", "salt"])
+    given = few.select("key", "digest", "bytes").unionByName(many.select("key", "digest", "bytes")).groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    whole = packs.where(F.forall("own", lambda x: x)).select("*", F.lit(False).alias("moved"), F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("fetched"))
+    parts = packs.where(~F.forall("own", lambda x: x)).mapInArrow(deflater, PACKED).withColumn("moved", F.lit(True)).join(given, "key", "left")
     return whole.unionByName(parts).mapInArrow(rebuilder, MEASURED)
