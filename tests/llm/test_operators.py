@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yomibon.llm import decontaminate, html_extract, kernels, language, licences, media, mixing, near_dedup, token_file, toxicity, url_filter
+from yomibon.llm import common, decontaminate, html_extract, kernels, language, licences, media, mixing, near_dedup, token_file, toxicity, url_filter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("source", "string").add("n_chars", "long")
@@ -186,6 +186,55 @@ def test_pieces_that_would_make_an_added_token(tmp_path):
     assert [x.tolist() for x in encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_a_worker_holds_little():
+    """The memo of 400,000 pieces takes half of what a dictionary of strings takes, and the tokenizer gets few texts at once."""
+    import tracemalloc
+
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.most = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.most = max(self.most, sum(map(len, texts)) if len(texts) > 1 else 0)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encode = token_file.Encoder(token_file.default_tokenizer())
+    encode.tokenizer = watched = Watched(encode.tokenizer)
+    tracemalloc.start()
+    try:
+        for low in range(0, 400_000, 50_000):
+            encode([" ".join(f"{k:x}" for k in range(at, at + 100)) for at in range(low, low + 50_000, 100)])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 48 << 20
+    encode(["  ".join(["word"] * 5000)] * 20)
+    assert watched.most <= 1 << 16
+
+
+def test_pieces_of_one_hash_and_a_full_memo(monkeypatch):
+    """Ids are right if all pieces have one hash, and when the memo starts anew again and again."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_file.default_tokenizer())
+    texts = [" ".join(f"w{k % 700}\u00e9" for k in range(low, low + 40)) + " " + "x" * 200 for low in range(0, 2000, 20)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(token_file, "MEMO_PIECES", 100)
+    encode = token_file.Encoder(token_file.default_tokenizer())
+    assert [x.tolist() for low in range(0, len(texts), 2) for x in encode(texts[low : low + 2])] == want
+    monkeypatch.setattr(token_file, "piece_hashes", lambda pieces: np.ones(len(pieces), np.uint64))
+    encode = token_file.Encoder(token_file.default_tokenizer())
+    assert [x.tolist() for _ in range(2) for low in range(0, len(texts), 10) for x in encode(texts[low : low + 10])] == want * 2
+
+
+def test_settings_go_back(spark):
+    names = list(token_file.BATCH)
+    before = [spark.conf.get(x) for x in names]
+    with common.configured(spark, token_file.BATCH):
+        assert [spark.conf.get(x) for x in names] == list(token_file.BATCH.values())
+    assert [spark.conf.get(x) for x in names] == before
+
+
 def test_token_file(docs, empty):
     from tokenizers import Tokenizer
 

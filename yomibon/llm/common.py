@@ -49,6 +49,19 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
             deleted(spark, path)
 
 
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """In the block the session has these settings, afterwards its own again."""
+    own = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in own.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df, marked for broadcast if its `rows` rows of at most row_bytes are proven to be few; else Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -26,20 +26,25 @@ IN_WORD = ((_bytes >= 48) & (_bytes <= 57)) | ((_bytes >= 65) & (_bytes <= 90))
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Gives Arrow's and the C library's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def tidy(run: Callable) -> Callable:
-    """The task function; before it the memos that other stages left in the worker go, and after its last batch Arrow's
-    and the C library's free memory goes back to the system."""
+    """The task function; before it the memos that other stages left in the worker go, and after its last batch free
+    memory goes back to the system."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kept in list(worker_cache().values()):
             if hasattr(kept, "forget"):
                 kept.forget()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not the GNU library
-            pass
+        release()
 
     return tidied
 

@@ -18,9 +18,10 @@ a document is the sum of its shards', block's and own places; only one row a sha
 Encoding. The ids are those of the tokenizer's plain encode without added special tokens; a special
 token that stands in a text is that token's id, as the plain encode has it. The byte-level tokenizer
 cuts a text before each single space, so pieces between spaces are encoded once, many at a time, and their ids
-kept in a memo of the Python worker, bounded in bytes, that serves all tasks of the stage; the first task of
-another stage releases it. A slice's pieces are told apart and put in place as Arrow columns. Texts where a space is the middle or end of a run of white space, texts that hold a
-special token, and other tokenizers, are encoded as a whole.
+kept in a memo of the Python worker, flat arrays of bounded size, that serves all tasks of the stage; the first task of
+another stage releases it. A slice's pieces are told apart, looked up and put in place as Arrow columns. Texts where a space is the middle or end of a run of white space, texts that hold a
+special token, and other tokenizers, are encoded as a whole. Batches, slices and what the tokenizer gets at once are
+bounded in bytes, so that a worker holds little besides its memo.
 
 Defined results. A null text is empty: only the end id. Rows that repeat a doc_id are documents of
 their own, in the order of a hash of their texts; which of equal rows comes first makes no difference.
@@ -46,20 +47,23 @@ from pyspark.sql import functions as F
 
 from ..functions.slices import slices
 from ..storage import new_folder
-from .common import BROADCAST_BYTES, worker_cache
+from . import kernels
+from .common import BROADCAST_BYTES, configured, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Bytes that a worker's memo takes at most; beyond it the memo starts anew. An entry takes its text, its ids and ENTRY.
-MEMO_BYTES, ENTRY = 128 << 20, 200
+#: A worker's memo holds at most so many pieces, so many bytes of them (each at most LONGEST) and so many bytes of their ids; beyond it the memo starts anew.
+MEMO_PIECES, PIECE_BYTES, ID_BYTES, LONGEST = 1 << 19, 8 << 20, 16 << 20, 64
 SCHEMA = "shard int, block int, shard_start long, bits int, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
 #: A single space that isn't the last of a run of white space.
 UNSAFE = r" (?<=\s )(?:\s|\Z)"
 
 #: The space as byte-level vocabularies write it, and new pieces that are encoded as one text.
 SPACE, TOGETHER = "\u0120", 256
-#: A slice of a batch has at most so many texts, and so many bytes if it has more than one.
-SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
+#: A slice of a batch has at most so many texts, and so many bytes if it has more than one; so does what the tokenizer, whose results are large, gets at once.
+SLICE_ROWS, SLICE_BYTES, CODED_BYTES = 1024, 1 << 19, 1 << 16
+#: Rows, and bytes, that Spark sends to a worker at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": f"{4 << 20}"}
 
 
 def default_tokenizer() -> str:
@@ -107,6 +111,69 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
     return (ids & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+def flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets and bytes of binary values."""
+    _, ends, data = values.buffers()
+    if not len(values):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    at = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1]
+    return at - at[0], np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+
+
+def piece_hashes(pieces: pa.Array) -> np.ndarray:
+    """A hash of each piece; 0 for what isn't remembered: empty and long ones."""
+    at, data = flat(pieces)
+    lengths = np.diff(at)
+    kept = (lengths > 0) & (lengths <= LONGEST)
+    hashes = np.zeros(len(pieces), np.uint64)
+    hashes[kept] = kernels.word_hashes(data, at[:-1][kept].astype(np.int64), at[1:][kept].astype(np.int64))
+    return hashes
+
+
+class Memo:
+    """Pieces and their ids in flat arrays, which take memory as they fill; found by a hash in sorted order, then
+    compared. Of two pieces of one hash the first is kept."""
+
+    def __init__(self):
+        self.n = 0
+        self.sorted, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.stores = [(np.zeros(MEMO_PIECES + 1, np.int32), np.empty(size, np.uint8)) for size in (PIECE_BYTES, ID_BYTES)]
+
+    def column(self, k: int) -> pa.Array:
+        ends, data = self.stores[k]
+        return pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+    def find(self, pieces: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Which pieces are known, and the ids of these."""
+        found = np.zeros(len(pieces), bool)
+        if not self.n:
+            return found, pa.array([], pa.binary())
+        at = np.minimum(np.searchsorted(self.sorted, hashes), self.n - 1)
+        found = (self.sorted[at] == hashes) & (hashes != 0)
+        entries = self.entry[at]
+        same = pc.equal(self.column(0).take(pa.array(entries[found])), pieces.filter(pa.array(found)))
+        found[found] = same.to_numpy(zero_copy_only=False)
+        return found, self.column(1).take(pa.array(entries[found]))
+
+    def keep(self, pieces: pa.Array, hashes: np.ndarray, ids: pa.Array) -> None:
+        hashes, first = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.sorted, hashes)
+        new = hashes != 0
+        new[new] = np.append(self.sorted, np.uint64(0))[at[new]] != hashes[new]
+        hashes, first, at = hashes[new], first[new], at[new]
+        added = [flat(x.take(pa.array(first))) for x in (pieces, ids)]
+        if self.n + len(hashes) > MEMO_PIECES or any(ends[self.n] + len(more) > len(data) for (ends, data), (_, more) in zip(self.stores, added, strict=True)):
+            self.__init__()
+            return
+        for (ends, data), (more_ends, more) in zip(self.stores, added, strict=True):
+            low = ends[self.n]
+            data[low : low + len(more)] = more
+            ends[self.n + 1 : self.n + 1 + len(hashes)] = low + more_ends[1:]
+        self.sorted = np.insert(self.sorted, at, hashes)
+        self.entry = np.insert(self.entry, at, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
+        self.n += len(hashes)
+
+
 class Encoder:
     """Texts to ids with one tokenizer."""
 
@@ -130,33 +197,42 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
+        self.memo = Memo()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, pieces: list[str]) -> None:
-        """Remembers the ids of new pieces, each behind a space. Many are one text for the tokenizer; a piece's ids begin
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            some, held = [], 0
+            for text in texts[len(out) :]:
+                if some and held + len(text) > CODED_BYTES:
+                    break
+                some.append(text)
+                held += len(text)
+            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, each behind a space. Many are one text for the tokenizer; a piece's ids begin
         where a token begins with the space. Pieces that begin or end with white space are encoded by themselves,
         and so are those whose text holds an added token or has another number of such tokens."""
-        memo, joined, odd = self.memo, [], []
-        for low in range(0, len(pieces), TOGETHER):
-            some = pieces[low : low + TOGETHER]
-            odd += [p for p in some if not p or p != p.strip()]
-            if plain := [p for p in some if p and p == p.strip()]:
-                joined.append((plain, " " + " ".join(plain)))
-        for (plain, text), found in zip(joined, self.tokenizer.encode_batch_fast([x for _, x in joined], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
+        out: list[bytes] = [b""] * len(pieces)
+        odd = [k for k, p in enumerate(pieces) if not p or len(p) > LONGEST or p != p.strip()]
+        single = set(odd)
+        plain = [k for k in range(len(pieces)) if k not in single]
+        for low in range(0, len(plain), TOGETHER):
+            some = plain[low : low + TOGETHER]
+            text = " " + " ".join([pieces[k] for k in some])
+            ids = np.frombuffer(self.whole([text])[0], "<u4")
             starts = np.flatnonzero(self.leads[ids])
-            if len(starts) != len(plain) or starts[0] or self.added(text):
-                odd += plain
+            if len(starts) != len(some) or starts[0] or self.added(text):
+                odd += some
                 continue
             data, at = ids.tobytes(), (4 * starts).tolist()
-            memo.update(zip(plain, [data[a:b] for a, b in itertools.pairwise([*at, len(data)])], strict=True))
-            self.held += len(data)
-        memo.update(zip(odd, self.whole([" " + p for p in odd]), strict=True))
-        self.held += sum(ENTRY + 2 * len(p) for p in pieces) + sum(len(memo[p]) for p in odd)
+            for k, (first, end) in zip(some, itertools.pairwise([*at, len(data)]), strict=True):
+                out[k] = data[first:end]
+        for k, ids in zip(odd, self.whole([" " + pieces[k] for k in odd]), strict=True):
+            out[k] = ids
+        return out
 
     def __call__(self, column: pa.Array | list[str | None]) -> list[np.ndarray]:
         column = (column if isinstance(column, pa.Array) else pa.array(column, pa.string())).fill_null("")
@@ -170,15 +246,18 @@ class Encoder:
         later[bounds[:-1]] = False
         heads = [head if by_piece else text for head, by_piece, text in zip(parts.take(pa.array(bounds[:-1])).to_pylist(), safe, texts, strict=True)]
         coded = parts.filter(pa.array(later)).dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if self.held > MEMO_BYTES:
-            self.forget()
-        memo = self.memo
-        self.pieces([p for p in distinct if p not in memo])
+        distinct = coded.dictionary.cast(pa.binary())
+        hashes = piece_hashes(distinct)
+        found, known = self.memo.find(distinct, hashes)
+        fresh = coded.dictionary.filter(pa.array(~found))
+        new = pa.array(self.pieces(fresh.to_pylist()), pa.binary())
+        self.memo.keep(distinct.filter(pa.array(~found)), hashes[~found], new)
         # The ids of a slice's distinct pieces, then of its heads, are put in the order of the texts at once.
+        place = np.empty(len(distinct), np.int64)
+        place[found], place[~found] = np.arange(len(known)), np.arange(len(known), len(distinct))
         rows = np.empty(len(parts), np.int64)
-        rows[later], rows[bounds[:-1]] = coded.indices.to_numpy(), np.arange(len(distinct), len(distinct) + len(texts))
-        placed = pa.array([memo[p] for p in distinct] + self.whole(heads), pa.large_binary()).take(pa.array(rows))
+        rows[later], rows[bounds[:-1]] = place[coded.indices.to_numpy()], np.arange(len(distinct), len(distinct) + len(texts))
+        placed = pa.concat_arrays([x.cast(pa.large_binary()) for x in (known, new, pa.array(self.whole(heads), pa.large_binary()))]).take(pa.array(rows))
         _, ends, data = placed.buffers()
         ids = np.frombuffer(data or b"", "<u4")
         at = np.frombuffer(ends, np.int64)[bounds] // 4
@@ -216,6 +295,7 @@ def encoder(path: str, end_id: int, block_ids: int):
                         block, start, docs, parts, held = block + 1, start + held, [], [], 0
         if parts:
             yield close()
+        kernels.release()
 
     return run
 
@@ -224,14 +304,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """docs (doc_id, text) as a token file at `path`, in ascending doc_id order."""
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.mapInArrow(encoder(tokenizer or default_tokenizer(), end_id, block_ids), SCHEMA).write.option("compression", "zstd").parquet(path)
+    with configured(docs.sparkSession, BATCH):
+        ranged.mapInArrow(encoder(tokenizer or default_tokenizer(), end_id, block_ids), SCHEMA).write.option("compression", "zstd").parquet(path)
     return path
 
 
 def decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks -> a row a document, from the unpacked ids."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
             lengths = np.array(row["n_tokens"], np.int64)
             ends = np.cumsum(lengths)
             ids = unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4")
