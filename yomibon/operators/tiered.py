@@ -7,8 +7,9 @@ has used up its characters. A context rule of a one-ideograph key lists the numb
 it. The tokenizer is a function of (docs, keys...), a lattice or a scan of a lexicon; what is left between
 all tokens is tokenized by itself once more.
 
-A tier's matches are scanned before they are shuffled. Candidates of all tiers meet once, by chapter, where a small function settles them; everything else is
-joins and expressions. Keys of chapters are distinct; a null text has no tokens.
+Where tasks can hold the dictionaries, a chapter's tokens are found in one pass over its text (blocks). Of larger ones a
+tier's matches are scanned before they are shuffled; candidates of all tiers meet once, by chapter, where a small function settles them, and
+everything else is joins and expressions. Keys of chapters are distinct; a null text has no tokens.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from ..functions.kana import canonical_katakana, is_cjk_narrow, may_keep_surface
 from ..functions.slices import by_row, slices
 from ..storage import written
 from . import lattice, tiers, tokens
-from .dictionary import AROUND, allowed, scan, spliced, taken
+from .blocks import FIELDS, NARROW, Chapters, Path, Scan, rendered_rows, token_rows
+from .dictionary import AROUND, HELD_BYTES, allowed, held, scan, spliced, taken
 from .evidence import rule_allows
 
 RUBY, BOOK, COMMON, WORDS = 0, 1, 2, 3
@@ -101,19 +103,46 @@ def settled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), made), pa.ListArray.from_arrays(pa.array(gap_bounds, pa.int32()), left)], SETTLED.names)
 
 
-def scan_tokenizer(lexicon: DataFrame) -> Callable[..., DataFrame]:
+class ScanTokenizer:
     """lexicon (surface, reading): the words that a scan takes, leftmost and longest first."""
-    known = lexicon.groupBy(F.col("surface").alias("key")).agg(F.min("reading").alias("reading"))
 
-    def run(docs: DataFrame, *keys: str) -> DataFrame:
-        return taken(docs, known, *keys).select(*keys, "start", "end", "surface", "reading")
+    made = Scan
 
-    return run
+    def __init__(self, lexicon: DataFrame):
+        self.known = lexicon.groupBy(F.col("surface").alias("key")).agg(F.min("reading").alias("reading"))
 
+    def __call__(self, docs: DataFrame, *keys: str) -> DataFrame:
+        return taken(docs, self.known, *keys).select(*keys, "start", "end", "surface", "reading")
 
-def lattice_tokenizer(words: DataFrame, connections: dict[tuple[str, str], int]) -> Callable[..., DataFrame]:
+    def held(self, most: int) -> tuple | None:
+        """What Scan is made of, if tasks can hold it."""
+        rows = held(self.known.where("key <> ''"), most)
+        return None if rows is None else ({r.key: r.reading for r in rows},)
+
+
+class LatticeTokenizer:
     """words, connections of lattice.word_costs() and connection_costs(): the known words of the cheapest path."""
-    return lambda docs, *keys: lattice.tokens(docs, words, connections, *keys).select(*keys, "start", "end", "surface", "reading")
+
+    made = Path
+
+    def __init__(self, words: DataFrame, connections: dict[tuple[str, str], int]):
+        self.words, self.connections = words, connections
+
+    def __call__(self, docs: DataFrame, *keys: str) -> DataFrame:
+        return lattice.tokens(docs, self.words, self.connections, *keys).select(*keys, "start", "end", "surface", "reading")
+
+    def held(self, most: int) -> tuple | None:
+        """What Path is made of, if tasks can hold it."""
+        rows = held(written(lattice.cheapest(self.words), "words"), most)
+        return None if rows is None else ({r.key: [tuple(w) for w in r.words] for r in rows}, self.connections)
+
+
+def scan_tokenizer(lexicon: DataFrame) -> Callable[..., DataFrame]:
+    return ScanTokenizer(lexicon)
+
+
+def lattice_tokenizer(words: DataFrame, connections: dict[tuple[str, str], int]) -> Callable[..., DataFrame]:
+    return LatticeTokenizer(words, connections)
 
 
 def worded(tokenizer: Callable[..., DataFrame], docs: DataFrame, *keys: str) -> DataFrame:
@@ -122,11 +151,53 @@ def worded(tokenizer: Callable[..., DataFrame], docs: DataFrame, *keys: str) ->
     return rows.where("reading <> ''").select(*keys, "start", "end", "surface", "reading")
 
 
+def entries(mapping: DataFrame) -> DataFrame:
+    """key, entries: its (tier, reading, source) in order."""
+    each = F.struct(F.when(F.col("scope") == "book", BOOK).otherwise(COMMON).alias("tier"), "reading", F.coalesce("source", F.lit("propagation")).alias("source"))
+    return mapping.where("key <> '' and reading <> ''").groupBy("key").agg(F.array_sort(F.collect_list(each)).alias("entries"))
+
+
+def dictionaries(mapping: DataFrame, lexicon: DataFrame, tokenizer: Callable[..., DataFrame], rules: DataFrame | None, most: int) -> dict | None:
+    """What Chapters is made of, if tasks can hold it: tables of at most so many bytes each."""
+    if not hasattr(tokenizer, "held"):
+        return None
+    words = lexicon.groupBy("surface").agg(F.min("reading").alias("own"), F.lit(None).cast("struct<reading:string,accent:bigint,pos:string>").alias("lex"))
+    words = words.unionByName(tiers.sure_words(lexicon).select("surface", F.lit(None).cast("string").alias("own"), F.struct("lex.reading", F.col("lex.accent").cast("long").alias("accent"), "lex.pos").alias("lex")))
+    found = []
+    for rows in (lambda: held(entries(mapping), most), lambda: held(words.where("surface is not null"), most), lambda: tokenizer.held(most), lambda: [] if rules is None else held(rules.select("base", "prefixes").where("base is not null"), most)):
+        found.append(rows())
+        if found[-1] is None:
+            return None
+    known, surfaces, made, numbers = found
+    prefixes: dict = {}
+    for r in numbers:
+        prefixes.setdefault(r.base, []).append(r.prefixes)
+    tier = lambda t: {r.key: next((e.reading, e.source) for e in r.entries if e.tier == t) for r in known if any(e.tier == t for e in r.entries)}
+    return {
+        "tokenizer": made, "book": tier(BOOK), "common": tier(COMMON), "compounds": {r.key: r.entries[0].reading for r in known if len(r.key) > 1 and NARROW.search(r.key)},
+        "prefixes": {base: {x for p in listed for x in p if x} for base, listed in prefixes.items() if None not in listed},
+        "readings": {r.surface: r.own for r in surfaces if r.own is not None}, "sure": {r.surface: tuple(r.lex) for r in surfaces if r.lex is not None},
+    }
+
+
+def chapters_of(kind: type) -> Callable[[dict], Chapters]:
+    """Chapters of dictionaries() with a tokenizer of that kind."""
+    return lambda found: Chapters(**{**found, "tokenizer": kind(*found["tokenizer"])})
+
+
+def held_rows(docs: DataFrame, found: dict, kind: type, rows: Callable, fields: dict[str, str], *keys: str) -> DataFrame:
+    """rows (token_rows or rendered_rows) of docs, with their fields behind the keys."""
+    spans = F.transform("spans", lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), s["base"].alias("base"), s["reading"].alias("reading")))
+    read = docs.select("text", spans.alias("spans"), *keys)
+    schema = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name in keys], *[f"{name} {t}" for name, t in fields.items()]]
+    order = [f.name for f in read.schema if f.name in keys]
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    return read.mapInArrow(rows(shared, chapters_of(kind), order), ", ".join(schema))
+
+
 def candidates(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, tokenizer: Callable[..., DataFrame], rules: DataFrame | None, *keys: str) -> DataFrame:
     """keys..., tier, start, end, reading, fallback, source, ok."""
-    known = mapping.where("key <> '' and reading <> ''").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(F.when(F.col("scope") == "book", BOOK).otherwise(COMMON).alias("tier"), "reading", F.coalesce("source", F.lit("propagation")).alias("source")))).alias("entries")
-    )
+    known = entries(mapping)
     spans = F.array_sort(F.filter("spans", lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.char_length("text"))))
     own = docs.select(*keys, spans.alias("spans"))
     ruby = own.select(*keys, F.inline("spans"))
@@ -156,12 +227,32 @@ def candidates(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, tokenize
     return ruby.unionByName(compounds).unionByName(terms[0]).unionByName(terms[1]).unionByName(words)
 
 
-def built(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, *keys: str, tokenizer: Callable[..., DataFrame] | None = None, rules: DataFrame | None = None) -> DataFrame:
+def built(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, *keys: str, tokenizer: Callable[..., DataFrame] | None = None, rules: DataFrame | None = None, held_bytes: int = HELD_BYTES) -> DataFrame:
     """docs (keys..., text, spans), mapping (key, reading, scope: book or common, source), lexicon (surface, reading, accent,
     pos), rules (base, prefixes) -> a row a token: keys..., token_idx, start, end, surface, reading, fallback_reading,
     reading_source, prefix, suffix, accent, pos, block, validated. A source that isn't given is "propagation"."""
     mapping, lexicon = written(mapping, "mapping"), written(lexicon, "lexicon")
     tokenizer = tokenizer or scan_tokenizer(lexicon)
+    known = dictionaries(mapping, lexicon, tokenizer, rules, held_bytes)
+    if known is None:
+        return joined(written(docs, "docs"), mapping, lexicon, tokenizer, rules, *keys)
+    rows = held_rows(docs, known, tokenizer.made, token_rows, FIELDS, *keys)
+    return rows.select("surface", *keys, "start", "end", "reading", "fallback_reading", "reading_source", "prefix", "suffix", "token_idx", "accent", "pos", "block", "validated")
+
+
+def renders(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, *keys: str, tokenizer: Callable[..., DataFrame] | None = None, rules: DataFrame | None = None, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """rendered() of built(), from the same: where tasks hold the dictionaries, tokens are no rows on the way."""
+    mapping, lexicon = written(mapping, "mapping"), written(lexicon, "lexicon")
+    tokenizer = tokenizer or scan_tokenizer(lexicon)
+    known = dictionaries(mapping, lexicon, tokenizer, rules, held_bytes)
+    if known is None:
+        docs = written(docs, "docs")
+        return rendered(docs, joined(docs, mapping, lexicon, tokenizer, rules, *keys), *keys)
+    return held_rows(docs, known, tokenizer.made, rendered_rows, {"rendered": "string", "partial": "string"}, *keys).select(*keys, "rendered", "partial")
+
+
+def joined(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame, tokenizer: Callable[..., DataFrame], rules: DataFrame | None, *keys: str) -> DataFrame:
+    """built() of written tables, whatever the size of the dictionaries."""
     found = candidates(docs, mapping, lexicon, tokenizer, rules, *keys)
     found = found.groupBy(*keys).agg(F.collect_list(F.struct("tier", "start", "end", "reading", "fallback", "source", "ok")).alias("found"))
     rows = docs.where("text is not null").select(*keys, "text").join(found, list(keys), "left")

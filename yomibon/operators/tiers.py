@@ -193,13 +193,17 @@ def plain_reading(normalised: Column) -> Column:
     return ellipsis(canonical_katakana(normalised))
 
 
+def sure_words(lexicon: DataFrame) -> DataFrame:
+    """surface, lex: the least (reading, accent, pos) with an accent, where those have one reading."""
+    sure = F.countDistinct("reading") == 1
+    return lexicon.where("accent is not null").groupBy("surface").agg(F.min(F.struct("reading", "accent", "pos")).alias("lex"), sure.alias("sure")).where("sure").select("surface", "lex")
+
+
 def with_accents(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """tokens (surface, reading, fallback_reading, reading_source, accent, pos, ...) with accents and parts of speech of the
     lexicon (surface, reading, accent, pos) where it has one word with that reading; `validated` says if it has, and is
     true of tokens that came from the dictionary. Surfaces and readings are compared after NFKC."""
-    sure = F.countDistinct("reading") == 1
-    known = lexicon.where("accent is not null").groupBy("surface").agg(F.min(F.struct("reading", "accent", "pos")).alias("lex"), sure.alias("sure")).where("sure").select("surface", "lex")
-    rows = tokens.join(known, "surface", "left")
+    rows = tokens.join(sure_words(lexicon), "surface", "left")
     reading = canonical_katakana(F.coalesce(F.nullif("reading", F.lit("")), F.col("fallback_reading")))
     own = F.lower(F.coalesce("reading_source", F.lit(""))) == "unidic"
     same = F.coalesce(canonical_katakana(F.col("lex.reading")) == reading, F.lit(False)) & ~own

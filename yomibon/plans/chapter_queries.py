@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import kana
 from ..operators import chunks, evidence, tiered, tokens
 from ..sources import markup
-from ..storage import written
 from .catalogue import md5, query
 from .text_queries import JAPANESE, JTEXT, KEYS, LETTERS, RUNS, SPLIT, WORDS, canonical_sql, conversations, folded_sql, j_texts, j_words, katakana_sql, matches, runs
 
@@ -147,8 +146,8 @@ def rules(spark):
 
 
 def chapters(spark, d):
-    docs = written(chapter_docs(spark, d), "docs")
-    return docs, tiered.built(docs, mapping(spark, d), lexicon(spark, d), *KEYS, rules=rules(spark))
+    """Docs, mapping, lexicon and keys."""
+    return chapter_docs(spark, d), mapping(spark, d), lexicon(spark, d), *KEYS
 
 
 @query(
@@ -157,7 +156,7 @@ def chapters(spark, d):
 )
 def chapter_tokens(spark, d):
     """The tokens of chapters from ruby, the book's dictionary, the common one, a lexicon and the gaps between them."""
-    return chapters(spark, d)[1]
+    return tiered.built(*chapters(spark, d), rules=rules(spark))
 
 
 SURE = f"{matches('surface', kana.NARROW_CJK)} AND NOT block AND (lower(source) IN ('unidic', 'unidic-gap', 'nhk') OR same OR (own AND reading IS NOT NULL))"
@@ -171,8 +170,7 @@ SELECT conv_id, turn, md5(coalesce(a, '') || substr(t, CAST(coalesce(last, 0) +
 )
 def chapter_renders(spark, d):
     """Chapters from annotated pages to texts in katakana, and to partial ones."""
-    docs, found = chapters(spark, d)
-    return tiered.rendered(docs, found, *KEYS).select(*KEYS, md5(F.col("rendered")).alias("rendered"), md5(F.col("partial")).alias("partial"))
+    return tiered.renders(*chapters(spark, d), rules=rules(spark)).select(*KEYS, md5(F.col("rendered")).alias("rendered"), md5(F.col("partial")).alias("partial"))
 
 
 @query()
@@ -180,6 +178,5 @@ def chapter_lattice_tokens(spark, d):
     """The same with the lattice of the evidence's words as tokenizer, in the gaps too."""
     from . import lattice_queries
 
-    docs = written(chapter_docs(spark, d), "docs")
     tokenizer = tiered.lattice_tokenizer(lattice_queries.words(spark, d), lattice_queries.connections(spark, d))
-    return tiered.built(docs, mapping(spark, d), lexicon(spark, d), *KEYS, tokenizer=tokenizer, rules=rules(spark))
+    return tiered.built(*chapters(spark, d), tokenizer=tokenizer, rules=rules(spark))
