@@ -18,18 +18,22 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.slices import by_row
-from .alignment import offset_mapper
+from ..functions.slices import slices
+from .offset_maps import aligned
 
 TOKEN_COLUMNS = ["surface", "reading", "fallback_reading", "accent", "pos", "start", "end", "o_start", "o_end", "source"]
-NUMBERS = ["accent", "start", "end", "o_start", "o_end"]
 #: What in a pattern may look at the text before a match.
 LOOKS_BACK = re.compile(r"\(\?<|\\[bBA]|\^")
 
@@ -73,9 +77,10 @@ class Chapter:
         """Where a span of the text comes from."""
         if self.original is None:
             return start, end
-        mapped = offset_mapper(self.original, self.text)
-        a = min(mapped(start), len(self.original))
-        return a, max(a, min(mapped(end), len(self.original)))
+        size = len(self.original)
+        a, b = aligned(self.original, self.text).mapped([start, end]).tolist()
+        a = min(a, size)
+        return a, max(a, min(b, size))
 
     def override(self, rule: dict, source: str | None = None) -> None:
         """One rule; with a source only tokens of that source take part, as with the rule's own."""
@@ -267,50 +272,66 @@ def applied(t: dict, segment: str, rule: dict) -> bool:
     return same and reading in (t["reading"], t["fallback_reading"]) and new in (None, segment)
 
 
-def tokens_of(group: pd.DataFrame) -> list[dict]:
-    names = [k for k in TOKEN_COLUMNS if k in group]
-    group = group[group["start"].notna()]
-    columns = []
-    for name in names:
-        column = group[name].astype(object).where(group[name].notna(), None).tolist()
-        columns.append([None if v is None else int(v) for v in column] if name in NUMBERS else column)
-    return [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)]
-
-
-def table_of(chapter: Chapter, group: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(chapter.tokens or [dict.fromkeys(TOKEN_COLUMNS)], columns=TOKEN_COLUMNS)
-    for name in names:
-        if name not in TOKEN_COLUMNS:
-            out[name] = chapter.text if name == "text" else group[name].iloc[0]
-    return out[names].astype({k: "Int64" for k in NUMBERS if k in names})
-
-
-def chapter_of(group: pd.DataFrame) -> Chapter:
-    original = group["original"].iloc[0] if "original" in group else None
-    return Chapter(group["text"].iloc[0] or "", tokens_of(group), original)
-
-
-def by_chapter(chapters: DataFrame, keys: tuple[str, ...], change) -> DataFrame:
-    """change(chapter) for each chapter; columns that are neither keys, texts nor of tokens are dropped. A row is a token, or a
-    chapter with an array of its tokens: then nothing is shuffled. Batches are read by slices, so few chapters are objects at a time."""
+def chapter_rows(chapters: DataFrame, keys: tuple[str, ...], names: list[str]) -> DataFrame:
+    """A row a chapter with an array of its tokens, from a row a token, or as they are."""
+    if "tokens" in chapters.columns:
+        return chapters
+    listed = F.collect_list(F.struct(*[c for c in names if c in TOKEN_COLUMNS]))
+    return chapters.groupBy(*keys).agg(*[F.first(c).alias(c) for c in names if c in ("text", "original")], F.filter(listed, lambda t: t["start"].isNotNull()).alias("tokens"))
+
+
+def with_wanted(rows: DataFrame, wanted: DataFrame | Column, keys: tuple[str, ...], fields: dict[str, str]) -> DataFrame:
+    """Chapters' rows with what is wanted of each as an array `wanted` of structs: from a table by keys, or made of the rows themselves."""
+    if isinstance(wanted, Column):
+        return rows.withColumn("wanted", wanted)
+    each = F.struct(*[(F.col(c).cast(t) if c in wanted.columns else F.lit(None).cast(t)).alias(c) for c, t in fields.items()])
+    own = [F.col(k).alias(f"wanted_{n}") for n, k in enumerate(keys)]
+    listed = wanted.select(*own, each.alias("each")).groupBy(*[f"wanted_{n}" for n in range(len(keys))]).agg(F.collect_list("each").alias("wanted"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"wanted_{n}")) for n, k in enumerate(keys)])
+    return rows.join(listed, same, "left").drop(*[f"wanted_{n}" for n in range(len(keys))])
+
+
+def by_chapter(chapters: DataFrame, keys: tuple[str, ...], change, wanted: DataFrame | Column | None = None, fields: dict[str, str] | None = None) -> DataFrame:
+    """change(chapter, what is wanted of it) for each chapter; columns that are neither keys, texts nor of tokens are dropped. A row is a token,
+    or a chapter with an array of its tokens: then nothing is shuffled but for a table of what is wanted. Batches are read by slices, so few
+    chapters are objects at a time."""
     names = [c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)]
-    rows = chapters
+    rows = chapter_rows(chapters, keys, names)
     if "tokens" in chapters.columns:
         names += [c for c in chapters.schema["tokens"].dataType.elementType.names if c in TOKEN_COLUMNS]
-    else:
-        listed = F.collect_list(F.struct(*[c for c in names if c in TOKEN_COLUMNS]))
-        rows = chapters.groupBy(*keys).agg(*[F.first(c).alias(c) for c in names if c in ("text", "original")], F.filter(listed, lambda t: t["start"].isNotNull()).alias("tokens"))
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", rows.schema["tokens"].dataType)])
-
-    @by_row(kind)
-    def changed(text: str | None, original: str | None, tokens: list[dict] | None) -> dict:
-        chapter = Chapter(text or "", tokens or [], original)
-        change(chapter)
-        return {"text": chapter.text, "tokens": chapter.tokens}
+    asked = F.lit(None).cast("array<int>")
+    if wanted is not None:
+        rows, asked = with_wanted(rows, wanted, keys, fields), F.col("wanted")
+
+    @F.arrow_udf(kind)
+    def changed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        own = to_arrow_type(kind)
+        fields = own.field("tokens").type.value_type
+        given = [f.name for f in fields]
+        for batch in batches:
+            if not len(batch[0]):
+                yield pa.array([], own)
+            for texts, originals, listed, asked in slices(list(batch)):
+                # Columns by themselves: a row of dictionaries is read and written many times slower.
+                values, at = listed.flatten(), 0
+                columns = [values.field(k).to_pylist() for k in range(len(given))]
+                out, made, bounds = [], [[] for _ in given], [0]
+                for text, original, n, wanted in zip(texts.to_pylist(), originals.to_pylist(), pc.fill_null(pc.list_value_length(listed), 0).to_pylist(), asked.to_pylist(), strict=True):
+                    rows = zip(*(c[at : at + n] for c in columns), strict=True)
+                    at += n
+                    chapter = Chapter(text or "", [dict(zip(given, row, strict=True)) for row in rows], original)
+                    change(chapter, wanted or [])
+                    out.append(chapter.text)
+                    for name, column in zip(given, made, strict=True):
+                        column += [t[name] for t in chapter.tokens]
+                    bounds.append(bounds[-1] + len(chapter.tokens))
+                found = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(made, fields, strict=True)], given)
+                yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)], ["text", "tokens"])
 
     before = F.col("original") if "original" in names else F.lit(None).cast("string")
     kept = [F.col(c) for c in (*keys, "original") if c in names]
-    made = rows.select(*kept, changed(F.col("text"), before, F.col("tokens")).alias("made"))
+    made = rows.select(*kept, changed(F.col("text"), before, F.col("tokens"), asked).alias("made"))
     return made.select(*kept, F.col("made.text").alias("text"), F.inline_outer("made.tokens")).select(*names)
 
 
@@ -319,7 +340,7 @@ def refined(chapters: DataFrame, overrides: list[dict], removals: list[dict], *k
     for a chapter without tokens -> the same after the rules, in order. With a source only tokens of it are changed.
     Chapters may come as a row each (keys..., text, tokens array<struct<surface,...>>), too."""
 
-    def change(chapter: Chapter) -> None:
+    def change(chapter: Chapter, _) -> None:
         for rule in overrides:
             if rule.get("pattern"):
                 chapter.override(rule, source)
@@ -330,38 +351,31 @@ def refined(chapters: DataFrame, overrides: list[dict], removals: list[dict], *k
     return by_chapter(chapters, keys, change)
 
 
-def edited(chapters: DataFrame, edits: DataFrame, *keys: str) -> DataFrame:
+EDIT = {"token_idx": "long", "reading": "string", "accent": "long"}
+SELECTION = {"start": "long", "end": "long", "replacement": "string", "reading": "string", "surface": "string", "pos": "string", "accent": "long"}
+
+
+def edited(chapters: DataFrame, edits: DataFrame | Column, *keys: str) -> DataFrame:
     """chapters as in refined(), edits (keys..., token_idx, reading, accent): the tokens of these places, by order in
-    the chapter, get the reading, its text and the accent, and count as set by hand. A null reading removes the token."""
-    rows = chapters.select(*[c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)])
-    names = rows.columns
+    the chapter, get the reading, its text and the accent, and count as set by hand. A null reading removes the token.
+    Of chapters' rows edits may be an array of such structs instead."""
 
-    def run(key, group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if group.empty:
-            return group[names]
-        chapter = chapter_of(group)
-        listed = wanted.sort_values("token_idx", ascending=False, kind="stable")  # from the end, so places hold
-        chapter.edit([(int(k), r, None if pd.isna(a) else int(a)) for k, r, a in zip(listed["token_idx"], listed["reading"], listed["accent"], strict=True)])
-        return table_of(chapter, group, names)
+    def change(chapter: Chapter, wanted: list[dict]) -> None:
+        # From the end, so places hold.
+        chapter.edit([(e["token_idx"], e["reading"], e["accent"]) for e in sorted(wanted, key=lambda e: -e["token_idx"])])
 
-    return rows.groupBy(*keys).cogroup(edits.groupBy(*keys)).applyInPandas(run, rows.schema)
+    return by_chapter(chapters, keys, change, edits, EDIT)
 
 
-def selected(chapters: DataFrame, selections: DataFrame, *keys: str) -> DataFrame:
+def selected(chapters: DataFrame, selections: DataFrame | Column, *keys: str) -> DataFrame:
     """chapters as in refined(), selections (keys..., start, end, replacement, reading, surface, pos, accent): a token
-    for each selected span, in order of their starts from the end."""
-    rows = chapters.select(*[c for c in chapters.columns if c in (*keys, "text", "original", *TOKEN_COLUMNS)])
-    names = rows.columns
-
-    def run(key, group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if group.empty:
-            return group[names]
-        chapter = chapter_of(group)
-        for row in wanted.sort_values("start", ascending=False).to_dict("records"):
-            chapter.select(int(row["start"]), int(row["end"]), {k: None if pd.isna(v) else v for k, v in row.items() if k in ("replacement", "reading", "surface", "pos", "accent")})
-        return table_of(chapter, group, names)
-
-    return rows.groupBy(*keys).cogroup(selections.groupBy(*keys)).applyInPandas(run, rows.schema)
+    for each selected span, in order of their starts from the end. Of chapters' rows selections may be an array of such structs instead."""
+
+    def change(chapter: Chapter, wanted: list[dict]) -> None:
+        for given in sorted(wanted, key=lambda w: -w["start"]):
+            chapter.select(given["start"], given["end"], given)
+
+    return by_chapter(chapters, keys, change, selections, SELECTION)
 
 
 def changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
