@@ -103,3 +103,10 @@ def test_simple_pages_are_read_as_the_parser_reads_them():
         assert (one.text, one.spans) == (other.text, other.spans)
         fed += one.rawdata == "" and one.lasttag == "???"
     assert fed > 1000
+
+
+def test_connections_of_rows_are_those_of_words(spark):
+    texts = [["山", "a", "1", "か"], [], None, ["か"], ["山", "山", "、"]]
+    rows = spark.createDataFrame([*enumerate(texts)], "k long, words array<string>")
+    words = spark.createDataFrame([(k, n, w) for k, text in enumerate(texts) for n, w in enumerate(text or [])], "k long, n long, surface string")
+    assert lattice.connection_costs_of_rows(rows, "words") == lattice.connection_costs(words, "k", order="n") != {}

@@ -68,6 +68,18 @@ def connection_costs(sightings: DataFrame, *keys: str, order: str) -> dict[tuple
     """sightings (keys..., order, surface): words in order -> costs of (class, next class); at most as many as pairs of classes."""
     place = Window.partitionBy(*keys).orderBy(order)
     rows = sightings.select(*keys, order, class_of(F.col("surface")).alias("right")).withColumn("left", F.coalesce(F.lag("right").over(place), F.lit(BOUND)))
+    return costs_of(rows)
+
+
+def connection_costs_of_rows(texts: DataFrame, surfaces: str) -> dict[tuple[str, str], int]:
+    """The same of rows that hold the words of a text each, in order, as an array: nothing is shuffled but counts."""
+    rows = texts.select(F.transform(surfaces, class_of).alias("right"))
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(BOUND)), "right").alias("left"), F.col("right"))
+    return costs_of(rows.select(F.inline(pairs).alias("left", "right")).where("right is not null"))
+
+
+def costs_of(rows: DataFrame) -> dict[tuple[str, str], int]:
+    """rows (left, right): a row a pair of neighbours."""
     counts = rows.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
     costs = counts.withColumn("total", F.sum("n").over(Window.partitionBy("left"))).select("left", "right", cost_of(F.col("n"), F.col("total")).alias("cost"))
     return {(r.left, r.right): r.cost for r in costs.collect()}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kana
-from ..operators import lattice, tiers
+from ..operators import lattice, tiers, tokens
 from .catalogue import md5, query
-from .text_queries import JTEXT, KEYS, WORDS, canonical_sql, j_docs, j_words
+from .text_queries import JTEXT, KEYS, WORDS, canonical_sql, conversations, j_docs, j_words, japanese
 
 KANA_SQL = "[\\x{3041}-\\x{309F}\\x{30A0}-\\x{30FF}]"
 
@@ -51,7 +51,8 @@ def words(spark, d):
 
 
 def connections(spark, d):
-    return lattice.connection_costs(j_words(spark, d).select(*KEYS, "token_idx", F.col("j").alias("surface")), *KEYS, order="token_idx")
+    words = F.transform(tokens.plain_words(F.col("text")), japanese)
+    return lattice.connection_costs_of_rows(conversations(spark, d).select(words.alias("words")), "words")
 
 
 @query(f"WITH {LATTICE} SELECT conv_id, turn, x.cost AS cost, x.n AS n_words FROM bs JOIN tx USING (k)")
